@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from tidemark.llm import exact_dedup
+from tidemark.llm import exact_dedup, simhash
 
 
 def queries() -> dict:
-    return {"op6_exact_dedup": exact_dedup.op6_exact_dedup}
+    return {
+        "op4_simhash": simhash.op4_simhash,
+        "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
