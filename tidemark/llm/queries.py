@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tidemark.llm import exact_dedup, simhash
+from tidemark.llm import exact_dedup, packing, rans, simhash
 
 
 def queries() -> dict:
     return {
         "op4_simhash": simhash.op4_simhash,
+        "op5_token_files": rans.op5_token_files,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+        "op8_packing": packing.op8_packing,
     }
 
 
