@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import exact_dedup, packing, rans, simhash
+from tidemark.llm import exact_dedup, packing, quality, rans, simhash
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op5_token_files": rans.op5_token_files,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op8_packing": packing.op8_packing,
+        "op10_quality": quality.op10_quality,
     }
 
 
