@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import exact_dedup, packing, quality, rans, simhash
+from tidemark.llm import exact_dedup, packing, quality, rans, simhash, warc
 
 
 def queries() -> dict:
@@ -11,9 +11,10 @@ def queries() -> dict:
         "op5_token_files": rans.op5_token_files,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op8_packing": packing.op8_packing,
+        "op9_warc": warc.op9_warc,
         "op10_quality": quality.op10_quality,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": exact_dedup.ORACLE}
+    return {"op6_exact_dedup": exact_dedup.ORACLE, "op9_warc": warc.ORACLE}
