@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import exact_dedup, packing, quality, rans, simhash, warc
+from tidemark.llm import exact_dedup, flac, packing, quality, rans, simhash, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op4_simhash": simhash.op4_simhash,
         "op5_token_files": rans.op5_token_files,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+        "op7_flac": flac.op7_flac,
         "op8_packing": packing.op8_packing,
         "op9_warc": warc.op9_warc,
         "op10_quality": quality.op10_quality,
