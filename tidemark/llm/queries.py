@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tidemark.llm import exact_dedup, flac, packing, quality, rans, simhash, warc
+from tidemark.llm import exact_dedup, flac, licenses, packing, quality, rans, simhash, warc
 
 
 def queries() -> dict:
     return {
+        "op1_licenses": licenses.op1_licenses,
         "op4_simhash": simhash.op4_simhash,
         "op5_token_files": rans.op5_token_files,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
