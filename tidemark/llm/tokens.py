@@ -14,10 +14,42 @@ from pyspark.sql import functions as F
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one Spark task, one core
 
-#: Chunks whose ids a process keeps; beyond it the store is emptied.
-KEPT_CHUNKS = 500_000
+#: Chunks of either kind whose ids a process keeps; beyond it those go that weren't met lately.
+KEPT_CHUNKS = 1_000_000
 #: Texts that are split at a time.
 TEXTS = 256
+#: What may end a word and then is a pre-token of its own.
+MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
+#: Letters below this are letters to every version of the library's tables.
+LATIN_END = "\u0250"
+
+
+def byte_alphabet() -> dict[int, str]:
+    """What byte-level models write for each byte: itself if printable Latin-1, else the next character from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class Chunks:
+    """Ids by chunk, in two generations: what is met again outlives what isn't."""
+
+    def __init__(self, encode):
+        self.encode, self.young, self.old = encode, {}, {}
+
+    def find(self, chunks: list[str]) -> list[bytes | None]:
+        """The ids of each chunk; None for those at which a text can't be cut."""
+        if len(self.young) > KEPT_CHUNKS // 2:
+            self.young, self.old = {}, self.young
+        found = list(map(self.young.get, chunks))
+        new = {c for c, ids in zip(chunks, found) if ids is None}
+        if not new:
+            return found
+        old = self.old
+        self.young.update((c, old[c]) for c in new if c in old)
+        new = [c for c in new if c not in old and c and not c[0].isspace() and not c[-1].isspace()]
+        self.young.update(zip(new, self.encode(new)))
+        return list(map(self.young.get, chunks))
 
 
 class Encoder:
@@ -42,20 +74,34 @@ class Encoder:
             and not spec.get("normalizer")
             and spec["model"]["type"] == "BPE"
         )
-        self.head: dict[str, bytes] = {}
-        self.tail: dict[str, bytes] = {}
+        self.alphabet = byte_alphabet()
+        self.marks: dict[str, bytes] = {"": b""}
+        self.head, self.tail = Chunks(lambda c: self._chunks(c, "")), Chunks(lambda c: self._chunks(c, " "))
         self.feed = self._ids(["\n"])[0]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
-    def _learn(self, known: dict[str, bytes], chunks: set[str], before: str) -> set[str]:
-        """Encode what isn't known; returns the chunks at which a text can't be cut."""
-        new = [c for c in chunks if c not in known]
-        bad = {c for c in new if not c or c[0].isspace() or c[-1].isspace()}
-        new = [c for c in new if c not in bad]
-        known.update(zip(new, self._ids([before + c for c in new])))
-        return bad
+    def _chunks(self, chunks: list[str], before: str) -> list[bytes]:
+        """Ids of ``before`` and each chunk. A word of Latin letters, then marks, is two pre-tokens at most, which go to
+        the library's model without its other steps."""
+        out: list[bytes | None] = [None] * len(chunks)
+        tokenize, rest = self.library.model.tokenize, []
+        for k, c in enumerate(chunks):
+            word = c.rstrip(MARKS)
+            if not word.isalpha() or max(word) >= LATIN_END:
+                rest.append(k)
+                continue
+            marks = c[len(word) :]
+            if marks not in self.marks:
+                self.marks[marks] = self._ids([marks])[0]
+            shown = (before + word).encode().decode("latin-1").translate(self.alphabet)
+            out[k] = np.array([t.id for t in tokenize(shown)], "<u4").tobytes() + self.marks[marks]
+        if len(self.marks) > 50_000:
+            self.marks = {"": b""}
+        for k, ids in zip(rest, self._ids([before + chunks[k] for k in rest])):
+            out[k] = ids
+        return out
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -68,21 +114,20 @@ class Encoder:
             [line.split(" ") for line in t.split("\n")] if t and self.by_chunk and not any(s in t for s in self.special) else None
             for t in texts
         ]
-        if len(self.head) + len(self.tail) > KEPT_CHUNKS:
-            self.head, self.tail = {}, {}
-        bad_head = self._learn(self.head, {line[0] for s in split if s for line in s}, "")
-        bad_tail = self._learn(self.tail, {c for s in split if s for line in s for c in line[1:]}, " ")
-        whole = []
+        heads = iter(self.head.find([line[0] for s in split if s for line in s]))
+        tails = self.tail.find([c for s in split if s for line in s for c in line[1:]])
+        at, whole = 0, []
         for k, s in enumerate(split):
-            if s is None or any(x[0] in bad_head or not bad_tail.isdisjoint(x[1:]) for x in s):
-                whole.append(k)
-                continue
-            head, tail, parts = self.head, self.tail, []
-            for line in s:
+            parts = []
+            for line in s or ():
                 parts.append(self.feed)
-                parts.append(head[line[0]])
-                parts.extend(map(tail.__getitem__, line[1:]))
-            out[k] = b"".join(parts[1:])
+                parts.append(next(heads))
+                parts += tails[at : at + len(line) - 1]
+                at += len(line) - 1
+            if s is None or None in parts:
+                whole.append(k)
+            else:
+                out[k] = b"".join(parts[1:])
         for k, ids in zip(whole, self._ids([texts[k] for k in whole])):
             out[k] = ids
         return out
