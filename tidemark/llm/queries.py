@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tidemark.llm import exact_dedup, flac, licenses, line_dedup, packing, quality, rans, simhash, warc
+from tidemark.llm import exact_dedup, flac, licenses, line_dedup, packing, quality, rans, sentencepieces, simhash, warc
 
 
 def queries() -> dict:
     return {
         "op1_licenses": licenses.op1_licenses,
+        "op2_sentencepiece": sentencepieces.op2_sentencepiece,
         "op3_line_dedup": line_dedup.op3_line_dedup,
         "op4_simhash": simhash.op4_simhash,
         "op5_token_files": rans.op5_token_files,
