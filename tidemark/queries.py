@@ -1,11 +1,217 @@
-"""Registered queries of the event engine and their SQL."""
+"""Registered queries of the event engine over the driver's tables, with their SQL.
+
+Adapters give the tables the shape of the kinds: events are scalars, annotations and one-dimensional poses of a
+user; orders are poses of a customer with many equal times; embeddings are poses of a vector.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark import operators as ops
+from tidemark.functions.time import nanos
+from tidemark.operators.proximity import near_pairs
+from tidemark.plans.manifest import counters, manifest_of, reaches_latest, reaches_range
+from tidemark.schema import SEQ
+
+AT = 1_704_931_200_000_000_000
+START, END = 1_704_500_000_000_000_000, 1_704_900_000_000_000_000
+DAY = 86_400_000_000_000
+RADIUS = 0.05
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _rows(df: DataFrame, time: str, path: Column, seq: str, **columns: Column) -> DataFrame:
+    return df.select(nanos(F.col(time)).alias("t_ns"), path.alias("entity_path"), F.col(seq).alias(SEQ), *(c.alias(n) for n, c in columns.items()))
+
+
+def _user() -> Column:
+    return F.concat(F.lit("/user/"), F.col("user_id"))
+
+
+def scalars(spark, d) -> DataFrame:
+    return _rows(_read(spark, d, "events"), "ts", _user(), "event_id", value=F.col("value"))
+
+
+def labels(spark, d) -> DataFrame:
+    return _rows(_read(spark, d, "events"), "ts", _user(), "event_id", label=F.col("event_type"))
+
+
+def event_poses(spark, d) -> DataFrame:
+    return _rows(_read(spark, d, "events"), "ts", _user(), "event_id", tx=F.col("value"), ty=F.lit(0.0), tz=F.lit(0.0))
+
+
+def order_poses(spark, d) -> DataFrame:
+    path = F.concat(F.lit("/cust/"), F.col("o_custkey"))
+    return _rows(_read(spark, d, "orders"), "o_orderdate", path, "o_orderkey", tx=F.col("o_totalprice"), ty=F.lit(0.0), tz=F.lit(0.0))
+
+
+def vector_poses(spark, d) -> DataFrame:
+    at = lambda i: F.col("embedding")[i].cast("double")
+    return _read(spark, d, "embeddings").select(
+        F.concat(F.lit("/vec/"), F.col("vec_id")).alias("entity_path"), at(0).alias("tx"), at(1).alias("ty"), at(2).alias("tz")
+    )
+
+
+def _latest_sql(table: str, time: str, key: str, seq: str, prefix: str, columns: str, where: str) -> str:
+    return f"""
+SELECT epoch_ns({time}) AS t_ns, '{prefix}' || {key} AS entity_path, {columns} FROM {table} WHERE {where}
+QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY {time} DESC, {seq} DESC) = 1"""
+
+
+def _speed_sql(table: str, time: str, key: str, seq: str, prefix: str, value: str, where: str = "true") -> str:
+    return f"""
+WITH l AS (SELECT '{prefix}' || {key} AS entity_path, epoch_ns({time}) AS t, {value} AS v,
+  lag(epoch_ns({time})) OVER w AS t0, lag({value}) OVER w AS v0 FROM {table} WHERE {where}
+  WINDOW w AS (PARTITION BY {key} ORDER BY {time}, {seq}))
+SELECT entity_path, t0 AS t_start_ns, t AS t_end_ns, t - t0 AS dt_ns, sqrt((v - v0) * (v - v0)) AS distance_m,
+  sqrt((v - v0) * (v - v0)) / (CAST(t - t0 AS DOUBLE) * 1e-9::DOUBLE) AS speed_mps FROM l WHERE t - t0 > 0"""
+
+
+def _proximity_sql(radius: float) -> str:
+    return f"""
+WITH p AS (SELECT '/vec/' || vec_id AS e, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings),
+j AS (SELECT a.e AS entity_a, b.e AS entity_b, (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z) AS d2
+  FROM p a JOIN p b ON a.e < b.e)
+SELECT CAST({AT} AS BIGINT) AS at_ns, entity_a, entity_b, sqrt(d2) AS distance FROM j WHERE d2 <= {radius!r}::DOUBLE * {radius!r}::DOUBLE"""
+
+
+_MANIFEST = f"""m AS (SELECT epoch_ns(ts) - epoch_ns(ts) % {DAY} AS bucket_start_ns, count(*) AS n, min(epoch_ns(ts)) AS lo, max(epoch_ns(ts)) AS hi FROM events GROUP BY 1)"""
+
+
+def _counters_sql(keep: str) -> str:
+    return f"""WITH {_MANIFEST} SELECT count(*) AS candidate_partitions, CAST(0 AS BIGINT) AS pruned_by_kind,
+  count(*) FILTER (NOT ({keep})) AS pruned_by_time, count(*) FILTER ({keep}) AS scanned_partitions,
+  CAST(coalesce(sum(n) FILTER ({keep}), 0) AS BIGINT) AS scanned_rows FROM m"""
+
+
+def _counters(reaches):
+    return lambda spark, d: counters(manifest_of(scalars(spark, d), "Scalar", DAY), "Scalar", reaches)
+
+
+def _latest(table, at=AT, entity=None):
+    return lambda spark, d: ops.latest_at(table(spark, d), at, entity).drop(SEQ)
+
+
+def _range(start, end, entity=None):
+    return lambda spark, d: ops.range_scan(scalars(spark, d), start, end, entity).drop(SEQ)
+
+
+def _speed(table, *args):
+    return lambda spark, d: ops.speed_over_ground(table(spark, d), *args)
+
+
+def _near(radius, method):
+    return lambda spark, d: near_pairs(vector_poses(spark, d), AT, radius, method=method)
+
+
+def manifest(spark, d) -> DataFrame:
+    return manifest_of(scalars(spark, d), "Scalar", DAY)
+
+
+def kind_counts(spark, d) -> DataFrame:
+    """Rows per kind if each event is a scalar, each event type an annotation, and each vector a pose."""
+    parts = (("Transform3D", vector_poses(spark, d)), ("Scalar", scalars(spark, d)), ("Annotation", labels(spark, d)))
+    out = None
+    for kind, df in parts:
+        own = df.select(F.lit(kind).alias("kind"))
+        out = own if out is None else out.union(own)
+    return out.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+def points_build(spark, d) -> DataFrame:
+    """Each vector as points of three coordinates, told by their number and the sums of their coordinates."""
+    e = F.col("embedding")
+    points = F.transform(
+        F.sequence(F.lit(0), (F.floor(F.size(e) / 3) - 1).cast("int")),
+        lambda i: F.struct(*(e[i * 3 + k].cast("double").alias(c) for k, c in enumerate("xyz"))),
+    )
+    rows = _read(spark, d, "embeddings").select("vec_id", points.alias("points"))
+    return rows.select(
+        "vec_id",
+        F.size("points").cast("long").alias("n_points"),
+        F.col("points")[0]["x"].alias("first_x"),
+        F.element_at("points", -1)["z"].alias("last_z"),
+    )
+
+
+def json_ingest(spark, d) -> DataFrame:
+    """Events written as JSON lines, decoded strictly, and counted by user."""
+    from tidemark.sources.jsonl import decode, table_of
+
+    raw = _read(spark, d, "events").select(
+        F.to_json(
+            F.struct(
+                _user().alias("entity_path"),
+                F.lit("wall_time").alias("timeline"),
+                nanos(F.col("ts")).alias("t_ns"),
+                F.lit("value").alias("component"),
+                F.struct(F.lit("Scalar").alias("kind"), F.col("value")).alias("payload"),
+            )
+        ).alias("value"),
+        F.col("event_id").alias(SEQ),
+    )
+    rows = table_of(decode(raw), "Scalar")
+    return rows.groupBy("entity_path").agg(
+        F.count(F.lit(1)).alias("n"), F.min("t_ns").alias("t_min_ns"), F.max("t_ns").alias("t_max_ns"), F.max("value").alias("max_value")
+    )
+
 
 def queries() -> dict:
-    return {}
+    return {
+        "latest_at_all": _latest(scalars),
+        "latest_at_entity": _latest(scalars, AT, "/user/8"),
+        "latest_at_label": _latest(labels),
+        "latest_at_before_data": _latest(scalars, 0),
+        "latest_at_ties": _latest(order_poses, 10**19 // 2),
+        "range_scan_all": _range(START, END),
+        "range_scan_entity": _range(START, END, "/user/8"),
+        "range_scan_empty": _range(START, START),
+        "speed_entity": _speed(event_poses, "/user/8"),
+        "speed_window": _speed(event_poses, "/user/8", START, END),
+        "speed_all_entities": _speed(event_poses),
+        "speed_zero_dt": _speed(order_poses),
+        "proximity_pairs": _near(RADIUS, "nested"),
+        "proximity_grid": _near(RADIUS, "grid"),
+        "proximity_radius_zero": _near(0.0, "auto"),
+        "bucket_manifest": manifest,
+        "plan_counters_latest_at": _counters(reaches_latest(AT)),
+        "plan_counters_range": _counters(reaches_range(START, END)),
+        "kind_counts": kind_counts,
+        "points3d_build": points_build,
+        "json_ingest": json_ingest,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    event = ("events", "ts", "user_id", "event_id", "/user/")
+    order = ("orders", "o_orderdate", "o_custkey", "o_orderkey", "/cust/")
+    span = f"epoch_ns(ts) >= {START} AND epoch_ns(ts) < {END}"
+    scan = "SELECT epoch_ns(ts) AS t_ns, '/user/' || user_id AS entity_path, value FROM events WHERE "
+    return {
+        "latest_at_all": _latest_sql(*event, "value", f"epoch_ns(ts) <= {AT}"),
+        "latest_at_entity": _latest_sql(*event, "value", f"user_id = 8 AND epoch_ns(ts) <= {AT}"),
+        "latest_at_label": _latest_sql(*event, "event_type AS label", f"epoch_ns(ts) <= {AT}"),
+        "latest_at_before_data": _latest_sql(*event, "value", "epoch_ns(ts) <= 0"),
+        "latest_at_ties": _latest_sql(*order, "o_totalprice AS tx, 0.0::DOUBLE AS ty, 0.0::DOUBLE AS tz", "true"),
+        "range_scan_all": scan + span,
+        "range_scan_entity": scan + f"user_id = 8 AND {span}",
+        "range_scan_empty": scan + "false",
+        "speed_entity": _speed_sql(*event, "value", "user_id = 8"),
+        "speed_window": _speed_sql(*event, "value", f"user_id = 8 AND {span}"),
+        "speed_all_entities": _speed_sql(*event, "value"),
+        "speed_zero_dt": _speed_sql(*order, "o_totalprice"),
+        "proximity_pairs": _proximity_sql(RADIUS),
+        "proximity_grid": _proximity_sql(RADIUS),
+        "proximity_radius_zero": _proximity_sql(0.0),
+        "bucket_manifest": f"WITH {_MANIFEST} SELECT 'Scalar' AS kind, bucket_start_ns, n AS rows, lo AS t_min_ns, hi AS t_max_ns FROM m",
+        "plan_counters_latest_at": _counters_sql(f"lo <= {AT}"),
+        "plan_counters_range": _counters_sql(f"hi >= {START} AND lo < {END}"),
+        "kind_counts": "SELECT 'Transform3D' AS kind, count(*) AS n FROM embeddings UNION ALL SELECT 'Scalar', count(*) FROM events UNION ALL SELECT 'Annotation', count(*) FROM events",
+        "points3d_build": "SELECT vec_id, len(embedding) // 3 AS n_points, embedding[1]::DOUBLE AS first_x, embedding[3 * (len(embedding) // 3)]::DOUBLE AS last_z FROM embeddings",
+        "json_ingest": "SELECT '/user/' || user_id AS entity_path, count(*) AS n, min(epoch_ns(ts)) AS t_min_ns, max(epoch_ns(ts)) AS t_max_ns, max(value) AS max_value FROM events GROUP BY user_id",
+    }
