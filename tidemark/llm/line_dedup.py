@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import stored, table
 
 #: Fewest words of a line that is compared at all, and of one for which an edit is allowed.
 LEAST_WORDS, EDIT_WORDS = 5, 10
@@ -38,12 +38,16 @@ def line_hash(words: list[bytes]) -> tuple[int, int]:
     return int(h[0]), int(h[1])
 
 
+def anchor_sizes(n: int) -> list[int]:
+    """How many words the anchors of a line of n words have; a line of n or n + 1 words has one size in common."""
+    return sorted({1 << ((n // 2).bit_length() - 1), 1 << (((n - 1) // 2).bit_length() - 1)})
+
+
 def anchors(words: list[bytes]) -> list[int]:
-    """Hashes of a line's first and last words, so many that near lines have one in common."""
-    n = len(words)
-    sizes = {1 << ((n // 2).bit_length() - 1), 1 << (((n - 1) // 2).bit_length() - 1)}
-    parts = [(side, k, words[:k] if side == b"<" else words[-k:]) for k in sizes for side in (b"<", b">")]
-    return [xxhash.xxh3_64_intdigest(side + b" ".join(w), k) - (1 << 63) for side, k, w in parts]
+    """Hashes of a line's first words, then of its last ones; near lines have one in common, of the same side."""
+    sizes = anchor_sizes(len(words))
+    parts = [(k, words[:k]) for k in sizes] + [(-k, words[-k:]) for k in sizes]
+    return [xxhash.xxh3_64_intdigest(b" ".join(w), k & 0xFFFFFFFF) - (1 << 63) for k, w in parts]
 
 
 def variants(words: list[bytes]) -> np.ndarray:
@@ -73,46 +77,64 @@ def _signed(values) -> pa.Array:
     return pa.array(values, pa.int64())
 
 
+_LINES = "doc long, h1 long, h2 long, a0 long, a1 long, z0 long, z1 long"
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc, h1, h2, anchors of each distinct line of each document."""
+    """doc, h1, h2 of each distinct line of each document, and its anchors: a of its start, z of its end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = {}
+            rows: dict[tuple, list] = {}
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for _, w in split_lines(text):
-                    if len(w) >= LEAST_WORDS:
-                        rows.setdefault((doc, *line_hash(w)), w)
-            found = [anchors(w) if len(w) >= EDIT_WORDS else [] for w in rows.values()]
-            doc, h1, h2 = zip(*rows) if rows else ((), (), ())
-            yield pa.record_batch(
-                [_signed(doc), _signed(h1), _signed(h2), pa.array(found, pa.list_(pa.int64()))],
-                names=["doc", "h1", "h2", "anchors"],
-            )
+                    if len(w) >= LEAST_WORDS and (k := (doc, *line_hash(w))) not in rows:
+                        found = anchors(w) if len(w) >= EDIT_WORDS else []
+                        half = len(found) // 2
+                        rows[k] = [x for side in (found[:half], found[half:]) for x in (*side, None, None)[:2]]
+            columns = list(zip(*((*k, *v) for k, v in rows.items()))) if rows else [()] * 7
+            yield pa.record_batch(list(map(_signed, columns)), names=[c.split()[0] for c in _LINES.split(", ")])
 
-    return docs.mapInArrow(run, "doc long, h1 long, h2 long, anchors array<long>")
+    return docs.mapInArrow(run, _LINES)
 
 
 def _pick(docs: DataFrame) -> DataFrame:
-    """doc, no, h1, h2, line: of documents with a list ``wanted`` of first hashes, the first line of each."""
+    """doc, no, h1, h2, sides, line: of documents with a list ``wanted``, the first of each line of it.
+
+    All columns of ``docs`` come in, though few are read, so that this and the last step share one shuffle of the texts.
+    """
+    names = docs.columns
+    doc_at, text_at, wanted_at = (names.index(c) for c in ("__doc", "__text", "wanted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[tuple] = []
-            for doc, text, wanted in zip(*(b.column(i).to_pylist() for i in range(3))):
-                open_ = set(wanted)
+            for doc, text, wanted in zip(*(b.column(i).to_pylist() for i in (doc_at, text_at, wanted_at))):
+                sides: dict[int, int] = {}
+                for x in wanted:
+                    sides[x["h1"]] = sides.get(x["h1"], 0) | x["side"]
                 for no, (_, w) in enumerate(split_lines(text)):
-                    if len(w) >= EDIT_WORDS:
+                    if len(w) >= EDIT_WORDS and sides:
                         h1, h2 = line_hash(w)
-                        if h1 in open_:
-                            open_.discard(h1)
-                            rows.append((doc, no, h1, h2, b" ".join(w).decode()))
-            columns = list(zip(*rows)) if rows else [()] * 5
+                        if side := sides.pop(h1, 0):
+                            rows.append((doc, no, h1, h2, side, b" ".join(w).decode()))
+            columns = list(zip(*rows)) if rows else [()] * 6
             yield pa.record_batch(
-                [*map(_signed, columns[:4]), pa.array(columns[4], pa.string())], names=["doc", "no", "h1", "h2", "line"]
+                [*map(_signed, columns[:5]), pa.array(columns[5], pa.string())],
+                names=["doc", "no", "h1", "h2", "sides", "line"],
             )
 
-    return docs.mapInArrow(run, "doc long, no long, h1 long, h2 long, line string")
+    return docs.mapInArrow(run, "doc long, no long, h1 long, h2 long, sides long, line string")
+
+
+def gaps(n: int, sides: int) -> np.ndarray:
+    """Which words of a line of n words an edit can touch: not those of an anchor shared with another line.
+
+    1: an anchor at the start is shared, 2: one at the end. -1 stands for the whole line.
+    """
+    size = anchor_sizes(n)[0]
+    first, last = (size if sides == 1 else 0), (n - size if sides == 2 else n)
+    return np.concatenate([[-1], np.arange(first, last)])
 
 
 def _neighbourhood(lines: DataFrame) -> DataFrame:
@@ -120,21 +142,25 @@ def _neighbourhood(lines: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            docs, nos = b.column(0).to_numpy(), b.column(1).to_numpy()
+            docs, nos, sides = (b.column(i).to_numpy() for i in range(3))
             for i in range(0, b.num_rows, 500):
-                keys = [variants(x.encode().split()) for x in b.column(2).slice(i, 500).to_pylist()]
+                keys, places = [], []
+                for x, side in zip(b.column(3).slice(i, 500).to_pylist(), sides[i : i + 500].tolist()):
+                    all_keys = variants(x.encode().split())
+                    places.append(gaps(len(all_keys) - 1, side))
+                    keys.append(all_keys[places[-1] + 1])
                 sizes = [len(k) for k in keys]
                 yield pa.record_batch(
                     [
                         pa.array(np.concatenate(keys)),
-                        pa.array(np.concatenate([np.arange(-1, n - 1) for n in sizes])),
+                        pa.array(np.concatenate(places).astype(np.int32)),
                         pa.array(np.repeat(docs[i : i + 500], sizes)),
-                        pa.array(np.repeat(nos[i : i + 500], sizes)),
+                        pa.array(np.repeat(nos[i : i + 500], sizes).astype(np.int32)),
                     ],
                     names=["key", "gap", "doc", "no"],
                 )
 
-    return lines.select("doc", "no", "line").mapInArrow(run, "key long, gap long, doc long, no long")
+    return lines.select("doc", "no", "sides", "line").mapInArrow(run, "key long, gap int, doc long, no int")
 
 
 def _verified(pairs: DataFrame) -> DataFrame:
@@ -147,31 +173,50 @@ def _verified(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "h1 long, h2 long")
 
 
-def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """h1, h2 of the distinct lines that have an earlier near line.
+def _wanted(distinct: DataFrame) -> DataFrame:
+    """__doc, wanted: of each document the lines that share an anchor with another line, with the anchor's side."""
+    side = lambda c, n: F.struct(F.col(c).alias("anchor"), F.lit(n).alias("side"))
+    posts = (
+        distinct.where("a0 is not null")
+        .select("h1", "doc", F.explode(F.array(side("a0", 1), side("a1", 1), side("z0", 2), side("z1", 2))).alias("x"))
+        .select("h1", "doc", "x.anchor", "x.side")
+        .where("anchor is not null")
+    )
+    shared = posts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    found = posts.join(shared, "anchor").groupBy("doc").agg(F.collect_set(F.struct("h1", "side")).alias("wanted"))
+    return found.withColumnRenamed("doc", "__doc")
+
+
+def near_lines(lines: DataFrame) -> DataFrame:
+    """h1, h2 of the distinct lines (doc, no, h1, h2, sides, line) that have an earlier near line.
 
     Lines that differ in one word share the variant that leaves it out at the same place; any two in such a set are
     near. A line with a word more shares the variant that leaves it out with the shorter line itself. So the earliest
     line with the same gap, the whole line, and the earliest line with any gap are all that a line has to meet.
     """
-    posts = distinct.select("h1", "doc", F.explode("anchors").alias("anchor"))
-    shared = posts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
-    wanted = posts.join(shared, "anchor").groupBy("doc").agg(F.collect_set("h1").alias("wanted"))
-    lines = _pick(docs.join(wanted, "doc").select("doc", "text", "wanted"))
-    rows = _neighbourhood(lines).withColumn("at", F.struct("doc", "no"))
-    by_gap = rows.groupBy("key", "gap").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    rows = _neighbourhood(lines)
+    at = F.struct("doc", "no")
+    by_gap = rows.groupBy("key", "gap").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n"))
     whole = F.col("gap") == -1
     by_key = (
         by_gap.groupBy("key")
-        .agg(F.min(F.when(whole, F.col("first"))).alias("whole"), F.min(F.when(~whole, F.col("first"))).alias("cut"))
-        .where("whole is not null and cut is not null")
+        .agg(
+            F.min(F.when(whole, F.col("first"))).alias("whole"),
+            F.min(F.when(~whole, F.col("first"))).alias("cut"),
+            F.collect_list(F.when(F.col("n") > 1, F.struct("gap", "first"))).alias("gaps"),
+        )
+        .where("size(gaps) > 0 or (whole is not null and cut is not null)")
     )
-    same_gap = rows.join(by_gap.where("n > 1").select("key", "gap", "first"), ["key", "gap"]).where("first < at")
-    other = rows.join(by_key, "key").withColumn("first", F.when(whole, F.col("cut")).otherwise(F.col("whole"))).where("first < at")
-    pairs = same_gap.select("at", "first").union(other.select("at", "first")).distinct()
-    own = lines.select(F.struct("doc", "no").alias("at"), "h1", "h2", F.col("line").alias("a"))
-    early = lines.select(F.struct("doc", "no").alias("first"), F.col("line").alias("b"))
-    return _verified(pairs.join(own, "at").join(early, "first").select("h1", "h2", "a", "b")).distinct()
+    met = rows.join(by_key, "key").withColumn("at", at)
+    partners = F.concat(
+        F.transform(F.filter("gaps", lambda x: x["gap"] == F.col("gap")), lambda x: x["first"]),
+        F.array(F.when(whole, F.col("cut")).otherwise(F.col("whole"))),
+    )
+    pairs = met.select("at", F.explode(partners).alias("first")).where("first < at").distinct()
+    own = lines.select(at.alias("at"), "h1", "h2", F.col("line").alias("a"))
+    early = lines.select(at.alias("first"), F.col("line").alias("b"))
+    typed = pairs.select(*(F.struct(F.col(c)["doc"].alias("doc"), F.col(c)["no"].cast("long").alias("no")).alias(c) for c in ("at", "first")))
+    return _verified(typed.join(own, "at").join(early, "first").select("h1", "h2", "a", "b")).distinct()
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -184,11 +229,13 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     as one document, as do rows that share an id: their equal lines stay in each of them. No rows give no rows.
     Lines of any length are compared whole; the work for a line grows in proportion to its words.
     """
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))
-    texts = docs.select(key.alias("doc"), F.col(text_col).alias("text"))
-    lines = _lines(texts)
-    distinct = lines.groupBy("h1", "h2", "anchors").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("n"))
-    near = near_lines(texts, distinct.where("size(anchors) > 0")).withColumn("near", F.lit(True))
+    base = docs.withColumns({"__doc": F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)), "__text": F.col(text_col)})
+    base = base.drop(text_col)
+    lines = stored(_lines(base.select("__doc", "__text")), "lines")
+    distinct = lines.groupBy("h1", "h2", "a0", "a1", "z0", "z1").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("n"))
+    distinct = stored(distinct, "distinct-lines")
+    wanted = stored(_wanted(distinct), "wanted-lines")
+    near = near_lines(_pick(base.join(wanted, "__doc")).repartition("doc", "no")).withColumn("near", F.lit(True))
     marked = (
         distinct.select("h1", "h2", F.col("doc").alias("first"), "n")
         .join(near, ["h1", "h2"], "left")
@@ -203,34 +250,36 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         .agg(F.collect_set("h1").alias("__gone"))
         .withColumnRenamed("doc", "__doc")
     )
-    return _without(docs.withColumn("__doc", key).join(gone, "__doc", "left").drop("__doc"), text_col)
+    return _without(base.join(gone, "__doc", "left"), text_col, docs.columns)
 
 
-def _without(docs: DataFrame, text_col: str) -> DataFrame:
-    names = docs.columns
+def _without(rows: DataFrame, text_col: str, columns: list[str]) -> DataFrame:
+    names, kinds = rows.columns, dict(rows.dtypes)
+    read = [names.index("__text" if c == text_col else c) for c in columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, last = names.index(text_col), len(names) - 1
+        at, last = names.index("__text"), names.index("__gone")
         for b in batches:
             kept, dropped = [], []
             for text, gone in zip(b.column(at).to_pylist(), b.column(last).to_pylist()):
                 gone, seen, out = set(gone or ()), set(), []
-                rows = split_lines(text)
-                for line, w in rows:
+                found = split_lines(text)
+                for line, w in found:
                     if len(w) >= LEAST_WORDS:
                         h = line_hash(w)
                         if h[0] in gone or h in seen:
                             continue
                         seen.add(h)
                     out.append(line)
-                dropped.append(len(rows) - len(out))
+                dropped.append(len(found) - len(out))
                 kept.append(text if not dropped[-1] else "\n".join(out))
             yield pa.record_batch(
-                [*b.columns[:last], pa.array(kept, pa.string()), _signed(dropped)], names=[*names[:last], "__kept", "__lines_dropped"]
+                [*(b.column(i) for i in read), pa.array(kept, pa.string()), _signed(dropped)],
+                names=[*columns, "__kept", "__lines_dropped"],
             )
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes[:-1])
-    return docs.mapInArrow(run, f"{schema}, __kept string, __lines_dropped long")
+    schema = ", ".join(f"`{c}` {kinds['__text' if c == text_col else c]}" for c in columns)
+    return rows.mapInArrow(run, f"{schema}, __kept string, __lines_dropped long")
 
 
 def keep_new_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
