@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import os
 import tempfile
 import uuid
 
@@ -59,17 +58,19 @@ def _clean() -> None:
             return
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table into the shared folder and read it back: what follows survives lost executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
+def split_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Inner join on a long column with what an aggregation made a row per key.
 
-def row_count(df: DataFrame) -> int:
-    return df.count()
+    The keys are compared in another spelling. Otherwise the aggregation's own partitions would serve the join, and
+    a key with many rows on the left couldn't be split; so both sides have a shuffle, which adaptive execution may split.
+    """
+    spelled = F.col(key).bitwiseXOR(F.lit(0x5DEECE66D))
+    other = right.select(*(c for c in right.columns if c != key), spelled.alias("__key"))
+    return left.withColumn("__key", spelled).join(other, "__key").drop("__key")
 
 
-def local_path(folder: str) -> str:
-    """A file: URI as a plain path; other URIs stay."""
-    return os.path.abspath(folder.removeprefix("file://").removeprefix("file:")) if folder.startswith(("file:", "/")) else folder
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write a table into the shared folder and read it back: what follows survives lost executors."""
+    path = scratch(df.sparkSession, name)
+    df.write.options(**options).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

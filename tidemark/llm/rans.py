@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import scratch, stored, table
-from tidemark.llm.tokens import token_ids
+from tidemark.llm.tokens import token_ids, unsqueeze
 
 #: Frequencies of a table sum to 2 ** PRECISION.
 PRECISION = 18
@@ -153,12 +153,12 @@ def _arrow(**columns) -> pa.RecordBatch:
 
 
 def count_ids(ids: DataFrame) -> DataFrame:
-    """id, n over every row of ``ids`` (binary), summed in each task before the shuffle."""
+    """id, n over every row of ``ids`` (squeezed), summed in each task before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for b in batches:
-            flat = np.frombuffer(b"".join(b.column(0).to_pylist()), "<u4")
+            flat = np.concatenate([*map(unsqueeze, b.column(0).to_pylist()), np.zeros(0, np.uint16)])
             got = np.bincount(flat, minlength=len(total))
             got[: len(total)] += total
             total = got
@@ -185,7 +185,8 @@ def write_token_files(
     other. No rows write no blocks.
     """
     spark = docs.sparkSession
-    ids = stored(token_ids(docs, end_id=end_id, tokenizer=tokenizer, id_col=id_col, text_col=text_col), "token-ids")
+    ids = token_ids(docs, end_id=end_id, tokenizer=tokenizer, id_col=id_col, text_col=text_col, squeezed=True)
+    ids = stored(ids, "token-ids", compression="none")
     count_ids(ids).write.parquet(f"{path}/frequencies")
     freq = read_frequencies(spark, path)
 
@@ -193,13 +194,13 @@ def write_token_files(
         from pyspark import TaskContext
 
         shard, no, at = TaskContext.get().partitionId(), 0, 0
-        held: list[bytes] = []
+        held: list[np.ndarray] = []
         doc_ids: list[int | None] = []
 
         def block() -> pa.RecordBatch:
             nonlocal no, at, held, doc_ids
-            b = encode_block(np.frombuffer(b"".join(held), "<u4").astype(np.int64), freq.value)
-            row = {"shard": shard, "block": no, "at": at, **b, "doc_ids": doc_ids, "doc_lengths": [len(x) // 4 for x in held]}
+            b = encode_block(np.concatenate(held).astype(np.int64), freq.value)
+            row = {"shard": shard, "block": no, "at": at, **b, "doc_ids": doc_ids, "doc_lengths": [len(x) for x in held]}
             kinds = {"shard": pa.int32(), "block": pa.int32(), "lanes": pa.int32(), "doc_ids": pa.list_(pa.int64()), "doc_lengths": pa.list_(pa.int64())}
             kinds |= dict.fromkeys(("payload", "states", "marks"), pa.binary())
             no, at, held, doc_ids = no + 1, at + b["n"], [], []
@@ -209,9 +210,9 @@ def write_token_files(
         size = 0
         for b in batches:
             for d, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                held.append(x)
+                held.append(unsqueeze(x))
                 doc_ids.append(d)
-                size += len(x) // 4
+                size += len(held[-1])
                 if size >= BLOCK_IDS:
                     yield block()
                     size = 0

@@ -6,16 +6,18 @@ import functools
 import json
 import os
 from collections.abc import Iterator
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one Spark task, one core
 
 #: Chunks of either kind whose ids a process keeps; beyond it those go that weren't met lately.
-KEPT_CHUNKS = 1_000_000
+KEPT_CHUNKS = 1_200_000
 #: Texts that are split at a time.
 TEXTS = 256
 #: What may end a word and then is a pre-token of its own.
@@ -42,14 +44,16 @@ class Chunks:
         if len(self.young) > KEPT_CHUNKS // 2:
             self.young, self.old = {}, self.young
         found = list(map(self.young.get, chunks))
-        new = {c for c, ids in zip(chunks, found) if ids is None}
-        if not new:
+        if None not in found:
             return found
-        old = self.old
-        self.young.update((c, old[c]) for c in new if c in old)
+        gaps = [i for i, ids in enumerate(found) if ids is None]
+        new, old, young = {chunks[i] for i in gaps}, self.old, self.young
+        young.update((c, old[c]) for c in new if c in old)
         new = [c for c in new if c not in old and c and not c[0].isspace() and not c[-1].isspace()]
-        self.young.update(zip(new, self.encode(new)))
-        return list(map(self.young.get, chunks))
+        young.update(zip(new, self.encode(new)))
+        for i in gaps:
+            found[i] = young.get(chunks[i])
+        return found
 
 
 class Encoder:
@@ -76,13 +80,14 @@ class Encoder:
         )
         self.alphabet = byte_alphabet()
         self.marks: dict[str, bytes] = {"": b""}
-        self.head, self.tail = Chunks(lambda c: self._chunks(c, "")), Chunks(lambda c: self._chunks(c, " "))
+        self.head = Chunks(lambda c: self._chunks(c, "", self.head))
+        self.tail = Chunks(lambda c: self._chunks(c, " ", self.tail))
         self.feed = self._ids(["\n"])[0]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
-    def _chunks(self, chunks: list[str], before: str) -> list[bytes]:
+    def _chunks(self, chunks: list[str], before: str, known: Chunks) -> list[bytes]:
         """Ids of ``before`` and each chunk. A word of Latin letters, then marks, is two pre-tokens at most, which go to
         the library's model without its other steps."""
         out: list[bytes | None] = [None] * len(chunks)
@@ -95,8 +100,12 @@ class Encoder:
             marks = c[len(word) :]
             if marks not in self.marks:
                 self.marks[marks] = self._ids([marks])[0]
-            shown = (before + word).encode().decode("latin-1").translate(self.alphabet)
-            out[k] = np.array([t.id for t in tokenize(shown)], "<u4").tobytes() + self.marks[marks]
+            ids = known.young.get(word) or known.old.get(word)
+            if ids is None:
+                shown = (before + word).encode().decode("latin-1").translate(self.alphabet)
+                found = [t.id for t in tokenize(shown)]
+                ids = known.young[word] = pack(f"<{len(found)}I", *found)
+            out[k] = ids + self.marks[marks]
         if len(self.marks) > 50_000:
             self.marks = {"": b""}
         for k, ids in zip(rest, self._ids([before + chunks[k] for k in rest])):
@@ -144,10 +153,30 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def squeeze(ids: bytes) -> bytes:
+    """32-bit ids as zstandard of 16-bit ones if all fit, else of themselves; the first byte is the width."""
+    a = np.frombuffer(ids, "<u4")
+    width = 2 if not len(a) or a.max() < 1 << 16 else 4
+    return bytes([width]) + zstandard.ZstdCompressor(1).compress(a.astype(f"<u{width}").tobytes())
+
+
+def unsqueeze(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), f"<u{data[0]}")
+
+
 def token_ids(
-    docs: DataFrame, *, end_id: int, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    *,
+    end_id: int,
+    tokenizer: str | None = None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    squeezed: bool = False,
 ) -> DataFrame:
-    """doc_id, ids (little-endian unsigned 32-bit integers): the ids of each whole text and then ``end_id``."""
+    """doc_id, ids (little-endian unsigned 32-bit integers): the ids of each whole text and then ``end_id``.
+
+    ``squeezed`` gives them as ``squeeze`` does, for what is stored or shuffled on the way.
+    """
     path = tokenizer or default_tokenizer()
     end = np.array([end_id], "<u4").tobytes()
 
@@ -156,6 +185,7 @@ def token_ids(
             for i in range(0, b.num_rows, TEXTS):
                 part = b.slice(i, TEXTS)
                 ids = [x + end for x in encoder(path).encode([t or "" for t in part.column(1).to_pylist()])]
+                ids = list(map(squeeze, ids)) if squeezed else ids
                 yield pa.record_batch([part.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
