@@ -34,5 +34,15 @@ def test_every_core_query_has_sql():
     assert set(queries.queries()) == set(queries.oracle_sql())
 
 
+def test_queries_need_no_session():
+    import subprocess
+    import sys
+
+    root = entry.__file__.rpartition("/")[0]
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    got = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=60)
+    assert got.returncode == 0, got.stderr
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0

@@ -89,8 +89,8 @@ def _counters_sql(keep: str) -> str:
   CAST(coalesce(sum(n) FILTER ({keep}), 0) AS BIGINT) AS scanned_rows FROM m"""
 
 
-def _counters(reaches):
-    return lambda spark, d: counters(manifest_of(scalars(spark, d), "Scalar", DAY), "Scalar", reaches)
+def _counters(reaches, *times):
+    return lambda spark, d: counters(manifest_of(scalars(spark, d), "Scalar", DAY), "Scalar", reaches(*times))
 
 
 def _latest(table, at=AT, entity=None):
@@ -179,8 +179,8 @@ def queries() -> dict:
         "proximity_grid": _near(RADIUS, "grid"),
         "proximity_radius_zero": _near(0.0, "auto"),
         "bucket_manifest": manifest,
-        "plan_counters_latest_at": _counters(reaches_latest(AT)),
-        "plan_counters_range": _counters(reaches_range(START, END)),
+        "plan_counters_latest_at": _counters(reaches_latest, AT),
+        "plan_counters_range": _counters(reaches_range, START, END),
         "kind_counts": kind_counts,
         "points3d_build": points_build,
         "json_ingest": json_ingest,
