@@ -81,9 +81,10 @@ def test_simhash_large_postings_are_compared_whole(docs_of, monkeypatch):
 def test_covering_meets_every_choice():
     from itertools import combinations
 
-    for least, size in ((5, 4), (5, 3), (6, 4), (7, 4)):
-        combos = [set(c) for c in covering(8, least, size)]
+    for least in (3, 4, 5, 6, 7, 8):
+        combos = [set(c) for c in covering(least)]
         assert all(any(c <= set(x) for c in combos) for x in combinations(range(8), least))
+    assert len(covering(5)) == 14
 
 
 def test_components(spark):

@@ -35,6 +35,7 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         .withColumn("hash", hash_of(F.col("norm")))
     )
     texts = keyed.groupBy("hash", "norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
+    both = F.concat("hash", F.unhex("sha"))  # a key of its own, so that the join has shuffles that can be split
     groups = (
         texts.select("hash", F.sha2("norm", 256).alias("sha"), "keep_id", "n")
         .groupBy("hash", "sha")
@@ -45,10 +46,10 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                 F.raise_error(F.concat(F.lit("two texts share the SHA-256 "), F.col("sha")))
             ),
         )
-        .drop("texts")
+        .select(both.alias("key"), "keep_id", "group_size")
     )
-    ids = keyed.select("doc_id", "hash", F.sha2("norm", 256).alias("sha"))
-    return ids.join(groups, ["hash", "sha"]).select(
+    ids = keyed.select("doc_id", "hash", F.sha2("norm", 256).alias("sha")).select("doc_id", "sha", both.alias("key"))
+    return ids.join(groups, "key").select(
         "doc_id",
         "keep_id",
         "group_size",

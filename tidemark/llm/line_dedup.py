@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored, table
+from tidemark.llm.common import split_join, stored, table
 
 #: Fewest words of a line that is compared at all, and of one for which an edit is allowed.
 LEAST_WORDS, EDIT_WORDS = 5, 10
@@ -183,7 +183,7 @@ def _wanted(distinct: DataFrame) -> DataFrame:
         .where("anchor is not null")
     )
     shared = posts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
-    found = posts.join(shared, "anchor").groupBy("doc").agg(F.collect_set(F.struct("h1", "side")).alias("wanted"))
+    found = split_join(posts, shared, "anchor").groupBy("doc").agg(F.collect_set(F.struct("h1", "side")).alias("wanted"))
     return found.withColumnRenamed("doc", "__doc")
 
 
@@ -207,7 +207,7 @@ def near_lines(lines: DataFrame) -> DataFrame:
         )
         .where("size(gaps) > 0 or (whole is not null and cut is not null)")
     )
-    met = rows.join(by_key, "key").withColumn("at", at)
+    met = split_join(rows, by_key, "key").withColumn("at", at)
     partners = F.concat(
         F.transform(F.filter("gaps", lambda x: x["gap"] == F.col("gap")), lambda x: x["first"]),
         F.array(F.when(whole, F.col("cut")).otherwise(F.col("whole"))),
@@ -235,17 +235,13 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     distinct = lines.groupBy("h1", "h2", "a0", "a1", "z0", "z1").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("n"))
     distinct = stored(distinct, "distinct-lines")
     wanted = stored(_wanted(distinct), "wanted-lines")
-    near = near_lines(_pick(base.join(wanted, "__doc")).repartition("doc", "no")).withColumn("near", F.lit(True))
-    marked = (
-        distinct.select("h1", "h2", F.col("doc").alias("first"), "n")
-        .join(near, ["h1", "h2"], "left")
-        .where("n > 1 or near")
-        .select("h1", "h2", "first", "near")
-    )
+    near = near_lines(_pick(base.join(wanted, "__doc")).repartition("doc", "no"))
+    again = distinct.where("n > 1").select("h1", "h2", F.col("doc").alias("first"))
+    marked = again.union(near.select("h1", "h2", F.lit(None).cast("long")))
     gone = (
         lines.select("doc", "h1", "h2")
-        .join(marked, ["h1", "h2"])
-        .where("near or doc <> first")
+        .join(marked, ["h1", "h2"])  # a frequent line's key is one that adaptive execution splits
+        .where("first is null or doc <> first")
         .groupBy("doc")
         .agg(F.collect_set("h1").alias("__gone"))
         .withColumnRenamed("doc", "__doc")

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import split_join, stored, table
 from tidemark.llm.components import components
 
 #: Most fingerprints of a posting that are compared as one block; larger postings are compared block by block.
@@ -64,14 +64,16 @@ def fingerprints(docs: DataFrame, words: int, id_col: str = "doc_id", text_col:
     )
 
 
-def covering(width: int, least: int, size: int) -> list[tuple[int, ...]]:
-    """Combinations of ``size`` positions of which any ``least`` positions hold at least one.
+def covering(least: int) -> list[tuple[int, ...]]:
+    """Combinations of positional bytes (of 8) of which any ``least`` positions hold at least one.
 
-    Positions are dealt into as few groups as will make ``least`` of them put ``size`` into one group.
+    From 5 on these are the 14 planes of the affine space of 3 bits, the positions whose numbers cancel out under
+    exclusive or: the three positions outside five lie in one plane, whose complement is a plane too and lies in the five.
+    Below 5 all combinations of ``least`` positions are taken.
     """
-    groups = max(1, (least - 1) // (size - 1))
-    parts = [range(g, width, groups) for g in range(groups)]
-    return [c for p in parts for c in combinations(p, size)]
+    if least < 5:
+        return list(combinations(range(8), least))
+    return [c for c in combinations(range(8), 4) if c[0] ^ c[1] ^ c[2] ^ c[3] == 0]
 
 
 def postings(fps: DataFrame, combos: list[tuple[int, ...]]) -> DataFrame:
@@ -99,7 +101,7 @@ def blocks(posts: DataFrame, key: str, member: str) -> DataFrame:
     own = F.pmod(F.xxhash64(member), F.col("blocks"))
     other = F.col("other")
     return (
-        posts.join(sizes, key)
+        split_join(posts, sizes, key)
         .withColumn("blocks", n_blocks)
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -146,8 +148,8 @@ def linked(fp: np.ndarray, bits: int, least: int) -> list[tuple[int, int]]:
     return found
 
 
-def near_fingerprints(fps: DataFrame, bits: int = 3, size: int = 4) -> DataFrame:
-    """a, b: links between distinct fingerprints (column fp) that connect all pairs within ``bits`` differing bits."""
+def near_fingerprints(fps: DataFrame, bits: int = 3) -> DataFrame:
+    """a, b: links between fingerprints (column fp, each once) that connect all pairs within ``bits`` differing bits."""
     least = 8 - bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +164,8 @@ def near_fingerprints(fps: DataFrame, bits: int = 3, size: int = 4) -> DataFrame
                 a, b = [], []
         yield _pairs(a, b)
 
-    posts = postings(fps.select("fp").distinct(), covering(8, least, size))
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    posts = postings(fps.select("fp").repartition(parts, "fp"), covering(least))
     return (
         blocks(posts, "key", "fp")
         .repartition("key", "part")
@@ -189,8 +192,6 @@ def simhash_groups(
 
     Equal fingerprints are grouped before anything is compared, so copies cost one row.
     """
-    from tidemark.llm.common import stored
-
     fps = stored(fingerprints(docs, words, id_col, text_col), "fingerprints")
     classes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
     comps = components(near_fingerprints(classes, bits), "a", "b")
