@@ -48,6 +48,16 @@ def test_near_documents_against_brute_force(docs_of):
     assert all(want[a] == want[b] for a in got for b in got if got[a] == got[b])
 
 
+def test_partners_beyond_the_nearest_are_met(docs_of, monkeypatch):
+    rows = near_corpus(seed=5, bases=6, copies=14)
+    split = lambda: {r["doc"]: r["group_id"] for r in nd.near_documents(docs_of(rows)).collect()}
+    monkeypatch.setattr(nd, "NEAREST", 10_000)
+    want = split()
+    for nearest in (0, 1):
+        monkeypatch.setattr(nd, "NEAREST", nearest)
+        assert split() == want
+
+
 def test_bytes_agree_as_often_as_shingles():
     r = np.random.default_rng(0)
     agree = []

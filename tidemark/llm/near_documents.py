@@ -26,9 +26,11 @@ from tidemark.llm.simhash import blocks, hashes, runs
 WIDTH, KEY_BYTES = 48, 4
 #: Fewest shared bytes: documents of similarity 0.8 have 38 of 48, with a standard deviation of 2.8.
 LEAST = 27
-#: Earlier documents that one meets in a posting, the most similar by their tally. One would do to connect a
-#: group; the tally is an estimate, so that the nearest by it may be just below the similarity.
+#: Earlier documents that one meets first in a posting, the most similar by their tally. They connect nearly all of
+#: a group; what is beyond them is met in a second pass, unless the first has put both into one group.
 NEAREST = 4
+#: Most sets of shingles of a posting that the second pass compares as one block.
+SETS = 256
 _NO_ID = 2**63 - 1
 _WEIGHTS = np.random.default_rng(20).integers(0, 2**63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -61,35 +63,65 @@ def _fingerprints(texts: DataFrame, words: int) -> DataFrame:
     return texts.mapInArrow(run, "doc long, same binary, bytes binary")
 
 
-def _nearest(fp: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """For each row the NEAREST most similar earlier rows of those that share ``least`` bytes with it."""
-    found = []
+def _nearest(fp: np.ndarray, least: int) -> tuple[list[tuple[int, int]], bool]:
+    """For each row the NEAREST most similar earlier rows that share ``least`` bytes, and whether there were more."""
+    found, more = [], False
     for i in range(1, len(fp)):
         tally = (fp[:i] == fp[i]).sum(1)
         near = np.flatnonzero(tally >= least)
         if len(near) > NEAREST:
+            more = True
             near = near[np.argsort(-tally[near], kind="stable")[:NEAREST]]
         found += [(i, int(j)) for j in near]
+    return found, more
+
+
+def _links(fp: np.ndarray, sets: list[np.ndarray], group: np.ndarray, run: int, least: int, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of rows of different groups, verified on their shingles; each joins two groups, so they are at most the rows.
+
+    Pairs are left to the posting of the first run of bytes that they share.
+    """
+    found, group = [], group.copy()
+    sizes = np.array([len(x) for x in sets])
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    vocabulary, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    for i in range(1, len(fp)):
+        same = fp[:i] == fp[i]
+        near = (same.sum(1) >= least) & (group[:i] != group[i])
+        near &= same.reshape(i, -1, KEY_BYTES).all(2).argmax(1) == run
+        if near.any():
+            mine = np.zeros(len(vocabulary), bool)
+            mine[ids[starts[i] : starts[i] + sizes[i]]] = True
+            both = np.add.reduceat(mine[ids[: starts[i]]], starts[:i], dtype=np.int64)
+            for j in np.flatnonzero(near & (both >= similarity * (sizes[:i] + sizes[i] - both))):
+                if group[i] != group[j]:
+                    found.append((i, int(j)))
+                    group[group == group[i]] = group[j]
     return found
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """a, b (b the earlier): each document with the most similar earlier ones of every posting that it is in."""
+def _postings(classes: DataFrame) -> DataFrame:
+    """The columns of ``classes`` and key: a row for each run of KEY_BYTES bytes of the fingerprint."""
     keys = [
         F.concat(F.lit(bytes([i])), F.substring("bytes", 1 + i * KEY_BYTES, KEY_BYTES)) for i in range(WIDTH // KEY_BYTES)
     ]
     parts = classes.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    posts = classes.repartition(int(parts), "doc").select("doc", "bytes", F.explode(F.array(*keys)).alias("key"))
-    posts = posts.withColumn("key", F.conv(F.hex("key"), 16, 10).cast("long"))
+    posts = classes.repartition(int(parts), "doc").select(*classes.columns, F.explode(F.array(*keys)).alias("key"))
+    return posts.withColumn("key", F.conv(F.hex("key"), 16, 10).cast("long"))
+
+
+def candidates(posts: DataFrame) -> DataFrame:
+    """a, b: each document and the most similar earlier ones of its postings; (key, null) for a posting that has more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, ["key", "part"]):
             doc = t.column("doc").to_numpy()
-            fp = np.frombuffer(b"".join(t.column("bytes").to_pylist()), np.uint8).reshape(-1, WIDTH)
-            found = _nearest(fp, LEAST)
+            found, more = _nearest(_matrix(t), LEAST)
             if found:
                 i, j = np.array(found).T
                 yield pa.record_batch([pa.array(doc[i]), pa.array(doc[j])], names=["a", "b"])
+            if more:
+                yield pa.record_batch([pa.array([t.column("key")[0].as_py()]), pa.nulls(1, pa.int64())], names=["a", "b"])
 
     return (
         blocks(posts, "key", "doc")
@@ -100,6 +132,40 @@ def candidates(classes: DataFrame) -> DataFrame:
     )
 
 
+def _matrix(t: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(t.column("bytes").to_pylist()), np.uint8).reshape(-1, WIDTH)
+
+
+def _beyond_nearest(posts: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """a, b: verified links between groups (column group), of all pairs of postings. Shingles travel, pairs don't."""
+    mixed = posts.groupBy("key").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x <> y").select("key")
+    posts = stored(posts.join(mixed, "key", "left_semi"), "mixed-postings")
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_hashes(t, words).tobytes() for t in b.column(1).to_pylist()]
+            yield pa.record_batch([b.column(0), pa.array(sets, pa.binary())], names=["doc", "shingles"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs(batches, ["key", "part"]):
+            doc, sets = t.column("doc").to_numpy(), [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
+            at = t.column("key")[0].as_py() >> 8 * KEY_BYTES
+            found = _links(_matrix(t), sets, t.column("group").to_numpy(), at, LEAST, similarity)
+            if found:
+                i, j = np.array(found).T
+                yield pa.record_batch([pa.array(doc[i]), pa.array(doc[j])], names=["a", "b"])
+
+    sets = texts.join(posts.select("doc").distinct(), "doc", "left_semi").mapInArrow(shingled, "doc long, shingles binary")
+    return (
+        blocks(posts, "key", "doc", SETS)
+        .join(sets, "doc")
+        .repartition("key", "part")
+        .sortWithinPartitions("key", "part", "doc")
+        .mapInArrow(run, "a long, b long")
+        .distinct()
+    )
+
+
 def _verified(pairs: DataFrame, words: int, similarity: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -119,9 +185,10 @@ def near_documents(
 ) -> DataFrame:
     """doc, group_id: the smallest id of each document's group; linked documents have ``similarity`` or more.
 
-    Documents with equal sets of shingles are one class, found by a group-by; only classes are indexed. Each class meets
-    its most similar earlier classes in every posting, so links grow with the documents, not with their pairs; texts of
-    what meets are compared whole. A text of under ``words`` words is one shingle; texts without a word are equal.
+    Documents with equal sets of shingles are one class, found by a group-by; only classes are indexed. Each class first
+    meets its most similar earlier classes in every posting, so links grow with the documents, not with their pairs;
+    texts of what meets are compared whole. Postings with more are read once more, for all their pairs that
+    the groups so far don't join, so groups are those that all pairs of a posting would give. A text of under ``words`` words is one shingle; texts without a word are equal.
     Null ids count as the largest id; rows that share an id are one document. No rows give no rows.
     """
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc"), F.col(text_col).alias("text"))
@@ -129,8 +196,18 @@ def near_documents(
     classes = stored(marked.groupBy("same", "bytes").agg(F.min("doc").alias("doc")), "shingle-classes")
     one = texts.dropDuplicates(["doc"])
     left, right = one.select(F.col("doc").alias("a"), F.col("text").alias("x")), one.select(F.col("doc").alias("b"), F.col("text").alias("y"))
-    pairs = stored(candidates(classes.groupBy("doc").agg(F.min("bytes").alias("bytes"))), "candidates")
-    near = _verified(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), words, similarity)
+    classes_by_id = classes.groupBy("doc").agg(F.min("bytes").alias("bytes"))
+    pairs = stored(candidates(_postings(classes_by_id)), "candidates")
+    near = _verified(
+        pairs.where("b is not null").join(left, "a").join(right, "b").select("a", "b", "x", "y"), words, similarity
+    )
+    full = pairs.where("b is null").select(F.col("a").alias("key"))
+    if not full.isEmpty():
+        near = stored(near, "near")
+        groups = components(near, "a", "b").withColumnsRenamed({"node": "doc", "component": "group"})
+        grouped = classes_by_id.join(groups, "doc", "left").withColumn("group", F.coalesce("group", "doc"))
+        rest = _postings(grouped).join(full, "key", "left_semi")
+        near = near.union(_beyond_nearest(rest, one, words, similarity))
     same_id = marked.join(classes.withColumnRenamed("doc", "first"), ["same", "bytes"]).select("doc", "first").distinct()
     groups = components(near.union(same_id.where("doc <> first")), "a", "b")
     return (

@@ -89,15 +89,15 @@ def postings(fps: DataFrame, combos: list[tuple[int, ...]]) -> DataFrame:
     return fps.select(F.explode(F.array(*(key(i, c) for i, c in enumerate(combos)))).alias("key"), "fp")
 
 
-def blocks(posts: DataFrame, key: str, member: str) -> DataFrame:
+def blocks(posts: DataFrame, key: str, member: str, most: int | None = None) -> DataFrame:
     """The rows of keys that have two at least, with ``part``: within a (key, part) all rows may be compared.
 
-    A key of up to BLOCK rows has one part. The rows of a larger key are dealt into blocks, and each pair of blocks is a
+    A key of up to ``most`` (BLOCK) rows has one part. The rows of a larger key are dealt into blocks, and each pair of blocks is a
     part, so every pair still meets and no part holds more than about two blocks. Counts are summed before the
     shuffle; the join with them is one that adaptive execution splits.
     """
     sizes = posts.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    n_blocks = F.ceil(F.col("n") / BLOCK)
+    n_blocks = F.ceil(F.col("n") / (most or BLOCK))
     own = F.pmod(F.xxhash64(member), F.col("blocks"))
     other = F.col("other")
     return (
