@@ -72,3 +72,14 @@ def test_templates_find_themselves():
 
 def test_no_documents(spark):
     assert licenses.scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_files_with_several_notices():
+    index = licenses.Index({b"apache": 900, b"license": 950, b"mit": 800, b"cc": 990, b"gnu": 999}, 1000)
+    notices = [t for t, _ in licenses.TEMPLATES.values()]
+    r = random.Random(4)
+    texts = ["; ".join(notices), "; ".join(reversed(notices)), notices[9] + ". " + notices[0]]
+    texts += ["; ".join(r.sample(notices, r.randint(2, 8))) for _ in range(60)]
+    texts += [" ".join(r.sample(sorted(x.decode() for x in index.vocabulary), 60)) + " | " + t for t in notices]
+    for t in texts:
+        assert set(index.scan(t).found) == set(brute(t)[2])

@@ -1,9 +1,9 @@
 """License scans with a positional rare-token index.
 
-The index holds, for each word of the licence templates, its postings (template, position). A file's licence words are
-ranked by IDF over the whole corpus; the rarest are looked up, and their postings are intersected by relative position:
-a template stands at an offset where many of them agree. An alignment counts only if the template's mandatory phrases
-stand in the file where the template has them, and is scored by the share of the template's words that agree.
+The index holds, for each template, its rarest mandatory word by IDF over the whole corpus. Every template whose mandatory
+words are all in a file is looked up by that word; its places give the offsets at which the template may stand, as no
+alignment counts without its mandatory phrases. So the lookup loses none, however many licence words a file holds. An
+alignment is scored by the share of the template's words that agree.
 """
 
 from __future__ import annotations
@@ -60,8 +60,6 @@ TEMPLATES = {
     "unlicense": ("This is free and unencumbered software released into the public domain", ["free and unencumbered software"]),
 }
 
-#: Looked-up words of a file: those of its licence words with the highest IDF.
-RAREST = 12
 #: Share of a template's words that must agree at an alignment.
 AGREE = 0.75
 
@@ -92,28 +90,32 @@ class Index:
         self.templates = {k: words(text) for k, (text, _) in templates.items()}
         self.phrases = {k: [words(p) for p in must] for k, (_, must) in templates.items()}
         self.base = [(words(p), label) for p, label in base.items()]
-        self.postings: dict[bytes, list[tuple[str, int]]] = defaultdict(list)
-        for k, w in self.templates.items():
-            for i, x in enumerate(w):
-                self.postings[x].append((k, i))
-        self.vocabulary = frozenset(self.postings) | {x for p, _ in self.base for x in p}
+        self.vocabulary = frozenset(x for p in [*self.templates.values(), *(p for p, _ in self.base)] for x in p)
         self.idf = {x: math.log((1 + documents) / (1 + document_frequency.get(x, 0))) for x in self.vocabulary}
         self.heads: dict[bytes, list[tuple[list[bytes], str]]] = defaultdict(list)
         for p, label in self.base:
-            self.heads[min(p, key=lambda x: (-self.idf[x], x))].append((p, label))
+            self.heads[self._rarest(p)].append((p, label))
+        self.musts = {k: frozenset(x for p in must for x in p) for k, must in self.phrases.items()}
+        self.postings: dict[str, tuple[bytes, list[int]]] = {}
+        for k, t in self.templates.items():
+            x = self._rarest(self.musts[k])
+            self.postings[k] = x, [i for i, y in enumerate(t) if x == y]
+
+    def _rarest(self, words) -> bytes:
+        return min(words, key=lambda x: (-self.idf[x], x))
 
     def scan(self, text: str) -> Scan:
         w = words(text)
         here = self.vocabulary.intersection(w)
         if not here:
             return Scan(len(w), [], {}, {})
-        rare = sorted((x for x in here if x in self.postings), key=lambda x: (-self.idf[x], x))[:RAREST]
-        wanted = set(rare) | {x for x in here if x in self.heads}
+        likely = [k for k, must in self.musts.items() if must <= here]
+        wanted = {self.postings[k][0] for k in likely} | {x for x in here if x in self.heads}
         places: dict[bytes, list[int]] = defaultdict(list)
         for i, x in enumerate(w):
             if x in wanted:
                 places[x].append(i)
-        return Scan(len(w), self._base(w, places), *self._align(w, rare, places))
+        return Scan(len(w), self._base(w, places), *self._align(w, likely, places))
 
     def _base(self, w: list[bytes], places: dict[bytes, list[int]]) -> list[tuple[int, str]]:
         """Every place where a base phrase stands, found from its rarest word."""
@@ -126,24 +128,17 @@ class Index:
                         got.add((i - at, label))
         return sorted(got)
 
-    def _align(self, w, rare, places) -> tuple[dict[str, float], dict[str, int]]:
+    def _align(self, w, likely, places) -> tuple[dict[str, float], dict[str, int]]:
         """The best alignment of each template: the share of words that agree, and where the template starts."""
-        votes: Counter = Counter()
-        for x in rare:
-            for k, i in self.postings[x]:
-                for at in places[x]:
-                    votes[k, at - i] += 1
-        rare_set = set(rare)
-        known = {k: sum(x in rare_set for x in t) for k, t in self.templates.items()}
         best: dict[str, tuple[float, int]] = {}
-        for (k, at), n in votes.items():
-            t = self.templates[k]
-            if n < AGREE * known[k]:  # the rare words' postings don't intersect here
-                continue
-            agree = sum(0 <= at + i < len(w) and w[at + i] == x for i, x in enumerate(t)) / len(t)
-            if agree < AGREE or not all(self._stands(w, t, p, at) for p in self.phrases[k]):
-                continue
-            best[k] = max(best.get(k, (0.0, 0)), (agree, -at))
+        for k in likely:
+            t, (x, own) = self.templates[k], self.postings[k]
+            for at in {at - i for at in places[x] for i in own}:
+                if not all(self._stands(w, t, p, at) for p in self.phrases[k]):
+                    continue
+                agree = sum(0 <= at + i < len(w) and w[at + i] == y for i, y in enumerate(t)) / len(t)
+                if agree >= AGREE:
+                    best[k] = max(best.get(k, (0.0, -at)), (agree, -at))
         return {k: a for k, (a, _) in best.items()}, {k: -at for k, (_, at) in best.items()}
 
     @staticmethod
