@@ -83,3 +83,56 @@ def test_files_with_several_notices():
     texts += [" ".join(r.sample(sorted(x.decode() for x in index.vocabulary), 60)) + " | " + t for t in notices]
     for t in texts:
         assert set(index.scan(t).found) == set(brute(t)[2])
+
+
+def banded(text):
+    """Labels and shares straight from the definition: longest common subsequences in a band about each first phrase."""
+    w, found = licenses.words(text), {}
+    for label, (template, must) in licenses.TEMPLATES.items():
+        t, width = licenses.words(template), licenses.band(licenses.words(template))
+        first, *others = [(p, i) for p in map(licenses.words, must) for i in range(len(t)) if t[i : i + len(p)] == p]
+        stands = lambda p, j: j >= 0 and w[j : j + len(p)] == p  # noqa: E731, B023
+        for at in (j - first[1] for j in range(len(w)) if stands(first[0], j)):
+            if not all(any(stands(p, at + i + d) for d in range(-width, width + 1)) for p, i in others):
+                continue
+            rows = [[0] * (len(w) + 1)]
+            for i, x in enumerate(t):
+                rows.append([0])
+                for j, y in enumerate(w):
+                    same = x == y and abs(j - at - i) <= width
+                    rows[-1].append(max(rows[i][j + 1], rows[-1][j], rows[i][j] + same))
+            if (share := rows[-1][-1] / len(t)) >= licenses.AGREE:
+                found[label] = max(found.get(label, 0), share)
+    return found
+
+
+def test_inserted_and_dropped_words():
+    index, r = licenses.Index({}, 10), random.Random(6)
+    for label, (template, _) in licenses.TEMPLATES.items():
+        assert label in banded(template)
+        for _ in range(25):
+            w = template.split()
+            for _ in range(r.randint(1, 5)):
+                k = r.randrange(len(w))
+                w[k : k + r.randint(0, 1)] = r.choice([[], ["other"], ["dnl", "x"]])
+            t = " ".join(["the", "a", *w, "and"])
+            assert index.scan(t).found == banded(t)
+    for t in mixed():
+        assert index.scan(t).found == banded(t)
+
+
+def test_real_notices():
+    index = licenses.Index({}, 10)
+    mit = """MIT License. Permission is hereby granted, free of charge, to any person obtaining a copy
+    dnl of this software and associated documentation files (the "Software"), to deal
+    dnl in the Software without restriction, including without limitation the rights
+    dnl to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+    dnl copies of the Software, and to permit persons to whom the Software is furnished to do so"""
+    isc = "Permission to use, copy, modify, and{} distribute this software for any purpose with or without fee is hereby granted"
+    gpl = """This file is part of X. X is free software: you can redistribute it and/or modify it under the terms of the GNU
+    General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your
+    option) any later version."""
+    assert "mit-grant" in index.scan(mit).found and "mit-grant" in index.scan(mit.replace("dnl", "")).found
+    assert "mit-grant" in index.scan(mit.replace('(the "Software")', "").replace("dnl", "")).found
+    assert all("isc" in index.scan(isc.format(x)).found for x in ("", "/or"))
+    assert "gpl-3.0-grant" in index.scan(gpl).found and "gpl-2.0-grant" not in index.scan(gpl).found
