@@ -94,3 +94,31 @@ def test_keeps_columns_and_drops_what_is_left_without_text(spark):
     got = {(r["doc_id"], r["text"], r["gone"]) for r in ld.keep_new_lines(docs).collect()}
     assert got == {(1, line, "x"), (3, None, "z"), (4, "", "q"), (None, "short", "n")}
     assert ld.keep_new_lines(docs.where("false")).count() == 0
+
+
+def test_short_lines_and_lines_without_spaces(spark):
+    r = random.Random(8)
+    han = "".join(chr(r.randrange(0x4E00, 0x9FFF)) for _ in range(400))
+    words = ["a", "b", "ab", "ba", "abc", "xbc", "abcd", "é", han, han[:200] + "x" + han[200:], han[:150] + han[151:], han + "yz", "a b", "c b", "a c b", "p q", "p q r s t"]
+    rows = [(i, "\n".join([w, *(r.choice(words) for _ in range(2))])) for i, w in enumerate(words + words)]
+    units = lambda line: line.split() if " " in line else list(line)
+    first, want = {}, {}
+    for i, t in rows:
+        for no, line in enumerate(t.split("\n")):
+            first.setdefault(line, (i, no))
+    near = lambda x: any(first[y] < first[x] and (" " in x) == (" " in y) and distance(units(x), units(y)) == 1 for y in first)
+    for i, t in rows:
+        want[i] = "\n".join(line for no, line in enumerate(t.split("\n")) if first[line] == (i, no) and not near(line))
+    got = {x["doc_id"]: x["__kept"] for x in ld.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_near_characters_share_an_anchor_and_a_variant():
+    r = random.Random(2)
+    for _ in range(3000):
+        a = "".join(r.choice("abé") for _ in range(r.randint(1, 9)))
+        k = r.randrange(len(a))
+        b = a[:k] + r.choice(["", "x", "x" + a[k]]) + a[k + 1 :]
+        if b:
+            x, y = ld.units([a.encode()]), ld.units([b.encode()])
+            assert set(ld.anchors(*x)) & set(ld.anchors(*y)) and set(ld.variants(*x)) & set(ld.variants(*y))

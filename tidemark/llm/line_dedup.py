@@ -1,11 +1,12 @@
 """Line dedup by a deletion-neighbourhood join.
 
-Two lines are near if one edit of a word (replace, insert or delete) makes them equal. A line's variants, itself and
-the line without each one of its words, are joined as hashed keys; near lines share a variant. Of each set of lines
+Two lines are near if one edit of a word (replace, insert or delete) makes them equal; lines of a single word are near if
+one edit of a character does. Words, or characters, are a line's units. A line's variants, itself and
+the line without each one of its units, are joined as hashed keys; near lines share a variant. Of each set of lines
 that share one, every line meets the earliest only, so a set costs as many rows as it has lines. The edit distance of
 what meets is verified on the words, and lines with an earlier equal or near line go.
 
-Lines that share neither their first nor their last words with another can't be near to any (an edit touches one half
+Lines that share neither their first nor their last units with another can't be near to any (an edit touches one half
 only), so variants are made just for lines that share such an anchor.
 """
 
@@ -21,8 +22,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import split_join, stored, table
 
-#: Fewest words of a line that is compared at all, and of one for which an edit is allowed.
-LEAST_WORDS, EDIT_WORDS = 5, 10
+#: Fewest words of a line that is compared at all, and of one for which an edit of a word is allowed.
+LEAST_WORDS, EDIT_WORDS = 1, 2
+#: Added to the sizes of lines of characters, so that their keys and anchors aren't those of lines of words.
+_CHARACTERS = 1 << 31
 _NO_ID = 2**63 - 1
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
@@ -38,28 +41,39 @@ def line_hash(words: list[bytes]) -> tuple[int, int]:
     return int(h[0]), int(h[1])
 
 
-def anchor_sizes(n: int) -> list[int]:
-    """How many words the anchors of a line of n words have; a line of n or n + 1 words has one size in common."""
-    return sorted({1 << ((n // 2).bit_length() - 1), 1 << (((n - 1) // 2).bit_length() - 1)})
+def units(words: list[bytes]) -> tuple[list[bytes], int]:
+    """What an edit replaces, inserts or deletes in a line, its words or a single word's characters, and their salt."""
+    if len(words) >= EDIT_WORDS:
+        return words, 0
+    return [c.encode() for c in b" ".join(words).decode()], _CHARACTERS
 
 
-def anchors(words: list[bytes]) -> list[int]:
-    """Hashes of a line's first words, then of its last ones; near lines have one in common, of the same side."""
-    sizes = anchor_sizes(len(words))
-    parts = [(k, words[:k]) for k in sizes] + [(-k, words[-k:]) for k in sizes]
-    return [xxhash.xxh3_64_intdigest(b" ".join(w), k & 0xFFFFFFFF) - (1 << 63) for k, w in parts]
+def anchor_sizes(n: int, salt: int = 0) -> list[int]:
+    """How many units the anchors of a line of n have; a line of n or n + 1 units has one size in common.
+
+    A line of one or two characters may share no character with a near one; its anchor is empty.
+    """
+    half = lambda k: 1 << (k // 2).bit_length() >> 1
+    return sorted({half(n), half(n - 1)} - (set() if salt else {0}))
+
+
+def anchors(words: list[bytes], salt: int = 0) -> list[int]:
+    """Hashes of a line's first units, then of its last ones; near lines have one in common, of the same side."""
+    sizes, n = anchor_sizes(len(words), salt), len(words)
+    parts = [(k, words[:k]) for k in sizes] + [(-k, words[n - k :]) for k in sizes]
+    return [xxhash.xxh3_64_intdigest(b" ".join(w), (k & 0xFFFFFFFF) + (salt << 2)) - (1 << 63) for k, w in parts]
 
 
-def variants(words: list[bytes]) -> np.ndarray:
-    """Keys of the line, then of the line without each word; equal words in equal order have equal keys."""
+def variants(words: list[bytes], salt: int = 0) -> np.ndarray:
+    """Keys of the line, then of the line without each unit; equal units in equal order have equal keys."""
     n = len(words)
     h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, n)
     terms = h * np.cumprod(np.full(n, _BASE))
     sums = np.cumsum(terms)
     shorter = sums - terms + (sums[-1] - sums) * _BACK
     keys = np.concatenate([sums[-1:], shorter])
-    size = np.full(n + 1, n - 1, np.uint64)
-    size[0] = n
+    size = np.full(n + 1, n - 1 + salt, np.uint64)
+    size[0] = n + salt
     return (keys * _BASE ^ size * _BACK).view(np.int64)
 
 
@@ -89,7 +103,7 @@ def _lines(docs: DataFrame) -> DataFrame:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for _, w in split_lines(text):
                     if len(w) >= LEAST_WORDS and (k := (doc, *line_hash(w))) not in rows:
-                        found = anchors(w) if len(w) >= EDIT_WORDS else []
+                        found = anchors(*units(w))
                         half = len(found) // 2
                         rows[k] = [x for side in (found[:half], found[half:]) for x in (*side, None, None)[:2]]
             columns = list(zip(*((*k, *v) for k, v in rows.items()))) if rows else [()] * 7
@@ -114,7 +128,7 @@ def _pick(docs: DataFrame) -> DataFrame:
                 for x in wanted:
                     sides[x["h1"]] = sides.get(x["h1"], 0) | x["side"]
                 for no, (_, w) in enumerate(split_lines(text)):
-                    if len(w) >= EDIT_WORDS and sides:
+                    if len(w) >= LEAST_WORDS and sides:
                         h1, h2 = line_hash(w)
                         if side := sides.pop(h1, 0):
                             rows.append((doc, no, h1, h2, side, b" ".join(w).decode()))
@@ -127,18 +141,18 @@ def _pick(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc long, no long, h1 long, h2 long, sides long, line string")
 
 
-def gaps(n: int, sides: int) -> np.ndarray:
-    """Which words of a line of n words an edit can touch: not those of an anchor shared with another line.
+def gaps(n: int, sides: int, salt: int = 0) -> np.ndarray:
+    """Which units of a line of n an edit can touch: not those of an anchor shared with another line.
 
     1: an anchor at the start is shared, 2: one at the end. -1 stands for the whole line.
     """
-    size = anchor_sizes(n)[0]
+    size = anchor_sizes(n, salt)[0]
     first, last = (size if sides == 1 else 0), (n - size if sides == 2 else n)
     return np.concatenate([[-1], np.arange(first, last)])
 
 
 def _neighbourhood(lines: DataFrame) -> DataFrame:
-    """key, gap (the place of the word left out; -1: none), doc, no."""
+    """key, gap (the place of the unit left out; -1: none), doc, no."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -146,8 +160,9 @@ def _neighbourhood(lines: DataFrame) -> DataFrame:
             for i in range(0, b.num_rows, 500):
                 keys, places = [], []
                 for x, side in zip(b.column(3).slice(i, 500).to_pylist(), sides[i : i + 500].tolist()):
-                    all_keys = variants(x.encode().split())
-                    places.append(gaps(len(all_keys) - 1, side))
+                    parts, salt = units(x.encode().split())
+                    all_keys = variants(parts, salt)
+                    places.append(gaps(len(parts), side, salt))
                     keys.append(all_keys[places[-1] + 1])
                 sizes = [len(k) for k in keys]
                 yield pa.record_batch(
@@ -166,7 +181,10 @@ def _neighbourhood(lines: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            near = [within_one_edit(x.encode().split(), y.encode().split()) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            near = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                (x, kind), (y, other) = units(x.encode().split()), units(y.encode().split())
+                near.append(kind == other and within_one_edit(x, y))
             keep = pa.array(near, pa.bool_())
             yield pa.record_batch([b.column(0).filter(keep), b.column(1).filter(keep)], names=["h1", "h2"])
 
@@ -190,8 +208,8 @@ def _wanted(distinct: DataFrame) -> DataFrame:
 def near_lines(lines: DataFrame) -> DataFrame:
     """h1, h2 of the distinct lines (doc, no, h1, h2, sides, line) that have an earlier near line.
 
-    Lines that differ in one word share the variant that leaves it out at the same place; any two in such a set are
-    near. A line with a word more shares the variant that leaves it out with the shorter line itself. So the earliest
+    Lines that differ in one unit share the variant that leaves it out at the same place; any two in such a set are
+    near. A line with a unit more shares the variant that leaves it out with the shorter line itself. So the earliest
     line with the same gap, the whole line, and the earliest line with any gap are all that a line has to meet.
     """
     rows = _neighbourhood(lines)
@@ -223,11 +241,11 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """The rows of ``docs`` with two more columns: __kept (text of the lines that stay) and __lines_dropped.
 
     A line goes if an equal one stands earlier in the order of (id, line), or if its first occurrence has an
-    earlier near line. Equal means the same words, white space aside; near lines have EDIT_WORDS words at least;
-    lines of under LEAST_WORDS words always stay, as do blank ones. The line that makes another go may itself have gone
+    earlier near line. Equal means the same words, white space aside; near lines of two words or more differ by one edit
+    of a word, those of one word by one of a character. Blank lines always stay. The line that makes another go may itself have gone
     for a still earlier one. Null text is empty and stays null if nothing goes. Rows with a null id come last and count
     as one document, as do rows that share an id: their equal lines stay in each of them. No rows give no rows.
-    Lines of any length are compared whole; the work for a line grows in proportion to its words.
+    Lines of any length are compared whole; the work for a line grows in proportion to its units.
     """
     base = docs.withColumns({"__doc": F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)), "__text": F.col(text_col)})
     base = base.drop(text_col)
