@@ -98,3 +98,18 @@ def test_stream_equals_batch_and_repeats_change_nothing(spark, tmp_path):
     version = live.version()
     lines = spark.createDataFrame([(j(event()), 0)], "value string, ingest_seq long")
     assert live.append_events(jsonl.decode(lines), live._latest()["done"][0]) == version
+
+
+def test_stream_keeps_the_order_of_lines_in_split_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for f in (0, 1):
+        (tmp_path / f"in/{f}.jsonl").write_text("\n".join(j(event(payload={"kind": "Annotation", "label": f"{f}-{i:04}"})) for i in range(400)))
+    store = Store(spark, f"file://{tmp_path}/s")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10k")
+    try:
+        assert ingest_stream(spark, f"{tmp_path}/in", store, f"{tmp_path}/cp").awaitTermination(120)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    rows = store.snapshot().table("Annotation").orderBy("ingest_seq").collect()
+    assert [r["label"] for r in rows] == [f"{f}-{i:04}" for f in (0, 1) for i in range(400)]
+    assert len({r["ingest_seq"] for r in rows}) == 800

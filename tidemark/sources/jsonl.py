@@ -65,18 +65,27 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     The sequence follows files by name and lines by place: a file's splits are numbered in order, and a line adds its
     number within its task. It grows along each file without gaps mattering, and needs no sort of the data.
     """
-    text = spark.read.text(path).select(
+    return decode(in_order(lines_of(spark.read.text(path))))
+
+
+def lines_of(text: DataFrame) -> DataFrame:
+    """value, with the file and the start of the split that it comes from, of text files; for in_order."""
+    return text.select(
         "value",
         F.col("_metadata.file_path").alias("__file"),
         F.col("_metadata.file_block_start").alias("__start"),
     )
+
+
+def in_order(text: DataFrame) -> DataFrame:
+    """value, ingest_seq: a number for each split, in order of (file, start), then one for each line within its task."""
     splits = text.select("__file", "__start").distinct().collect()  # a row per split of the input
     order = {tuple(r): i for i, r in enumerate(sorted(map(tuple, splits)))}
-    numbers = spark.createDataFrame([(f, s, i) for (f, s), i in order.items()] or [], "__file string, __start long, __split long")
+    numbers = text.sparkSession.createDataFrame([(f, s, i) for (f, s), i in order.items()] or [], "__file string, __start long, __split long")
     row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     numbered = text.withColumn("__row", row).join(F.broadcast(numbers), ["__file", "__start"])
     seq = F.shiftleft(F.col("__split"), 33).bitwiseOR(F.col("__row"))
-    return decode(numbered.select("value", seq.alias(SEQ)))
+    return numbered.select("value", seq.alias(SEQ))
 
 
 def table_of(events: DataFrame, kind: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.schema import SEQ
-from tidemark.sources.jsonl import decode, read_events
+from tidemark.sources.jsonl import decode, in_order, lines_of, read_events
 from tidemark.sources.store import Store
 
 
@@ -102,18 +102,8 @@ def ingest_stream(
     told = summary if summary is not None else IngestSummary()
 
     def commit(batch: DataFrame, number: int) -> None:
-        row = F.monotonically_increasing_id()
-        files = sorted(r[0] for r in batch.select("__file").distinct().collect())
-        order = spark.createDataFrame([(f, i) for i, f in enumerate(files)], "__file string, __no long")
-        low = row.bitwiseAND(F.lit((1 << 33) - 1))
-        numbered = batch.withColumn("__row", low).join(F.broadcast(order), "__file")
-        seq = F.shiftleft(F.col("__no"), 33).bitwiseOR(F.col("__row"))
-        _append(store, decode(numbered.select("value", seq.alias(SEQ))), told, f"{checkpoint}#{number}")
-
-    lines = (
-        spark.readStream.option("maxFilesPerTrigger", files_per_trigger)
-        .text(folder)
-        .select("value", F.col("_metadata.file_path").alias("__file"))
-    )
+        _append(store, decode(in_order(batch)), told, f"{checkpoint}#{number}")
+
+    lines = lines_of(spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(folder))
     writer = lines.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if delay_ms is None else writer.trigger(processingTime=f"{delay_ms} milliseconds")).start()
