@@ -109,3 +109,15 @@ def test_stages_against_brute_force(spark):
 def test_run(spark):
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert got.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and got.count() > 50
+
+
+def test_ids_link_no_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(5, a, 1), (9, b, 2), (None, a, 3), (None, b + " end", 4), (None, c, 5), (None, c + " end", 6), (None, None, 7), (7, c + " more", 8)]
+    rows += [(3, "same id " + x, 9 + i) for i, x in enumerate(["one", "two", "two"])] + [(1, "alone", 12), (2, a + " end", 13), (2, "another", 14)]
+    rows += [(None, "only null ids", 15), (None, "only null ids", 16)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n long")
+    got = sorted((r["doc_id"], r["text"]) for r in nd.keep_first(docs).collect() if r["doc_id"] is not None)
+    null = sorted(r["text"] or "" for r in nd.keep_first(docs).collect() if r["doc_id"] is None)
+    assert got == sorted([(9, b), (7, c + " more"), (3, "same id one"), (3, "same id two"), (1, "alone"), (2, a + " end"), (2, "another")])
+    assert null == ["", "only null ids"]

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored
+from tidemark.llm.common import split_join, stored
 from tidemark.llm.components import components
 from tidemark.llm.simhash import blocks, hashes, runs
 
@@ -180,23 +180,54 @@ def _verified(pairs: DataFrame, words: int, similarity: float) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
+def _class_node(same: bytes) -> int:
+    """The node of rows without an id of their own: 60 bits of the hash of their set of shingles."""
+    return int(same.hex()[:15], 16)
+
+
+def _by_class(rows: DataFrame, text_col: str, words: int) -> DataFrame:
+    """``rows`` with their node by the text's set of shingles as __node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            same = (xxhash.xxh3_128_digest(shingle_hashes(t, words).tobytes()) for t in b.column(text_col).to_pylist())
+            yield pa.record_batch([*b.columns, pa.array(map(_class_node, same), pa.int64())], names=[*b.schema.names, "__node"])
+
+    kinds = dict(rows.dtypes)
+    return rows.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in rows.columns) + ", __node long")
+
+
 def near_documents(
     docs: DataFrame, *, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """doc, group_id: the smallest id of each document's group; linked documents have ``similarity`` or more.
+    """doc, node, group_id, first: the smallest id of each document's group and the node that stays of it.
+
+    Linked documents have ``similarity`` or more. Documents with equal sets of shingles are one class, found by a
+    group-by; only classes are indexed. Each class first meets its most similar earlier classes in every posting, so links
+    grow with the documents, not with their pairs; texts of what meets are compared whole. Postings with more are read
+    once more, for all their pairs that the groups so far don't join, so groups are those that all pairs of a posting would
+    give. A text of under ``words`` words is one shingle; texts without a word are equal.
 
-    Documents with equal sets of shingles are one class, found by a group-by; only classes are indexed. Each class first
-    meets its most similar earlier classes in every posting, so links grow with the documents, not with their pairs;
-    texts of what meets are compared whole. Postings with more are read once more, for all their pairs that
-    the groups so far don't join, so groups are those that all pairs of a posting would give. A text of under ``words`` words is one shingle; texts without a word are equal.
-    Null ids count as the largest id; rows that share an id are one document. No rows give no rows.
+    A row whose id is its own is a node by that id. Rows with a null id, or one that others have too, are nodes by their
+    class, so ids never link different texts; there is a row per id and class. Null ids count as the largest id. No rows
+    give no rows.
     """
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc"), F.col(text_col).alias("text"))
-    marked = stored(_fingerprints(texts, words), "wide-fingerprints")
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))
+    texts = docs.select(key.alias("id"), F.col(text_col).alias("text"))
+    marked = stored(_fingerprints(texts.withColumnRenamed("id", "doc"), words), "wide-fingerprints").withColumnRenamed("doc", "id")
+    many = stored(_not_own(marked, "id"), "repeated-ids")
+    class_node = F.conv(F.substring(F.hex("same"), 1, 15), 16, 10).cast("long")  # _class_node
+    own = marked.join(many, "id", "left_anti").withColumn("doc", F.col("id"))
+    lookup = texts.withColumnRenamed("id", "doc")
+    if not many.isEmpty():
+        marked = stored(own.union(marked.join(many, "id", "left_semi").withColumn("doc", class_node)), "nodes")
+        shared = _by_class(texts.join(many, "id", "left_semi"), "text", words).select(F.col("__node").alias("doc"), "text")
+        lookup = texts.join(many, "id", "left_anti").select(F.col("id").alias("doc"), "text").union(shared.dropDuplicates(["doc"]))
+    else:
+        marked = marked.withColumn("doc", F.col("id"))
     classes = stored(marked.groupBy("same", "bytes").agg(F.min("doc").alias("doc")), "shingle-classes")
-    one = texts.dropDuplicates(["doc"])
-    left, right = one.select(F.col("doc").alias("a"), F.col("text").alias("x")), one.select(F.col("doc").alias("b"), F.col("text").alias("y"))
-    classes_by_id = classes.groupBy("doc").agg(F.min("bytes").alias("bytes"))
+    left, right = lookup.select(F.col("doc").alias("a"), F.col("text").alias("x")), lookup.select(F.col("doc").alias("b"), F.col("text").alias("y"))
+    classes_by_id = classes.select("doc", "bytes")
     pairs = stored(candidates(_postings(classes_by_id)), "candidates")
     near = _verified(
         pairs.where("b is not null").join(left, "a").join(right, "b").select("a", "b", "x", "y"), words, similarity
@@ -207,19 +238,43 @@ def near_documents(
         groups = components(near, "a", "b").withColumnsRenamed({"node": "doc", "component": "group"})
         grouped = classes_by_id.join(groups, "doc", "left").withColumn("group", F.coalesce("group", "doc"))
         rest = _postings(grouped).join(full, "key", "left_semi")
-        near = near.union(_beyond_nearest(rest, one, words, similarity))
-    same_id = marked.join(classes.withColumnRenamed("doc", "first"), ["same", "bytes"]).select("doc", "first").distinct()
-    groups = components(near.union(same_id.where("doc <> first")), "a", "b")
-    return (
-        same_id.groupBy("doc").agg(F.min("first").alias("first"))
-        .join(groups.select(F.col("node").alias("doc"), "component"), "doc", "left")
-        .select("doc", F.coalesce("component", "first").alias("group_id"))
+        near = near.union(_beyond_nearest(rest, lookup, words, similarity))
+    of_class = marked.join(classes.withColumnRenamed("doc", "class"), ["same", "bytes"]).select("id", "doc", "class").distinct()
+    groups = components(near.union(of_class.select("doc", "class").where("doc <> class")), "a", "b")
+    members = stored(
+        of_class.join(groups.select(F.col("node").alias("doc"), "component"), "doc", "left")
+        .select("id", F.col("doc").alias("node"), F.coalesce("component", "class").alias("component")),
+        "members",
     )
+    first = members.groupBy("component").agg(F.min(F.struct("id", "node")).alias("least"))
+    return split_join(members, first, "component").select(
+        F.col("id").alias("doc"), "node", F.col("least.id").alias("group_id"), F.col("least.node").alias("first")
+    )
+
 
+def _not_own(rows: DataFrame, id_col: str) -> DataFrame:
+    """The ids, as longs in one column of that name, that aren't a single row's own; null counts as the largest."""
+    return rows.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | (F.col(id_col) == _NO_ID)).select(id_col)
 
-def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents that are the first of their group, with their columns."""
-    groups = near_documents(docs, id_col=id_col, text_col=text_col, **options)
-    gone = groups.where("doc <> group_id").select(F.col("doc").alias("__gone"))
+
+def keep_first(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8
+) -> DataFrame:
+    """The one document that is the first of its group, of each group, with its columns.
+
+    Of rows that share both id and set of shingles one stays.
+    """
+    groups = near_documents(docs, id_col=id_col, text_col=text_col, words=words, similarity=similarity)
+    groups = stored(groups, "near-groups")
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))
-    return docs.join(gone, key == F.col("__gone"), "left_anti")
+    last = (F.col("doc") == F.col("group_id")) & (F.col("node") == F.col("first"))
+    gone = groups.where(~last & (F.col("doc") == F.col("node"))).select(F.col("doc").alias("__gone"))
+    ids = docs.select(key.alias("__many"))
+    many = stored(_not_own(ids, "__many"), "repeated-ids")
+    if many.isEmpty():
+        return docs.join(gone, key == F.col("__gone"), "left_anti")
+    own = docs.join(many, key == F.col("__many"), "left_anti").join(gone, key == F.col("__gone"), "left_anti")
+    stay = groups.where(last).select(F.col("doc").alias("__id"), F.col("node").alias("__first"))
+    shared = _by_class(docs.join(many, key == F.col("__many"), "left_semi").withColumn("__key", key), text_col, words)
+    shared = shared.join(stay, (F.col("__key") == F.col("__id")) & (F.col("__node") == F.col("__first")), "left_semi")
+    return own.union(shared.dropDuplicates(["__key", "__node"]).select(*docs.columns))
