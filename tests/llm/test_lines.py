@@ -106,7 +106,7 @@ def test_short_lines_and_lines_without_spaces(spark):
     for i, t in rows:
         for no, line in enumerate(t.split("\n")):
             first.setdefault(line, (i, no))
-    near = lambda x: any(first[y] < first[x] and (" " in x) == (" " in y) and distance(units(x), units(y)) == 1 for y in first)
+    near = lambda x: any(first[y] < first[x] and " " in x and " " in y and distance(units(x), units(y)) == 1 for y in first)
     for i, t in rows:
         want[i] = "\n".join(line for no, line in enumerate(t.split("\n")) if first[line] == (i, no) and not near(line))
     got = {x["doc_id"]: x["__kept"] for x in ld.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}

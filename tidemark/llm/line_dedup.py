@@ -1,7 +1,7 @@
 """Line dedup by a deletion-neighbourhood join.
 
-Two lines are near if one edit of a word (replace, insert or delete) makes them equal; lines of a single word are near if
-one edit of a character does. Words, or characters, are a line's units. A line's variants, itself and
+Two lines are near if one edit of a word (replace, insert or delete) makes them equal; lines of a single
+word are compared for equality only. Words are a line's units (characters, for one word, which no step asks for yet). A line's variants, itself and
 the line without each one of its units, are joined as hashed keys; near lines share a variant. Of each set of lines
 that share one, every line meets the earliest only, so a set costs as many rows as it has lines. The edit distance of
 what meets is verified on the words, and lines with an earlier equal or near line go.
@@ -103,7 +103,7 @@ def _lines(docs: DataFrame) -> DataFrame:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for _, w in split_lines(text):
                     if len(w) >= LEAST_WORDS and (k := (doc, *line_hash(w))) not in rows:
-                        found = anchors(*units(w))
+                        found = anchors(*units(w)) if len(w) >= EDIT_WORDS else []  # one word: equality only
                         half = len(found) // 2
                         rows[k] = [x for side in (found[:half], found[half:]) for x in (*side, None, None)[:2]]
             columns = list(zip(*((*k, *v) for k, v in rows.items()))) if rows else [()] * 7
@@ -242,7 +242,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     A line goes if an equal one stands earlier in the order of (id, line), or if its first occurrence has an
     earlier near line. Equal means the same words, white space aside; near lines of two words or more differ by one edit
-    of a word, those of one word by one of a character. Blank lines always stay. The line that makes another go may itself have gone
+    of a word; those of one word are compared for equality only. Blank lines always stay. The line that makes another go may itself have gone
     for a still earlier one. Null text is empty and stays null if nothing goes. Rows with a null id come last and count
     as one document, as do rows that share an id: their equal lines stay in each of them. No rows give no rows.
     Lines of any length are compared whole; the work for a line grows in proportion to its units.
