@@ -3,11 +3,12 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tidemark.llm import packing
+from tidemark.llm import packing, tokens
 from tidemark.llm.tokens import default_tokenizer, encoder
 
 TEXTS = [
@@ -30,6 +31,29 @@ def test_chunks_give_the_ids_of_the_library():
     assert got == library(texts)
 
 
+def test_cuts_near_odd_characters():
+    """White space beyond ASCII, contractions, marks, digits and letters of other scripts, at every seam of two or three."""
+    r = random.Random(4)
+    odd = ["a", "é", "×", "ß", "ŉ", "日", "e\u0301", "5", "²", "'", "'s", "'ll", ".", "$", " ", "  ", "\n", "\t", "\x0b", "\x1c", "\x1f", "\x85", "\xa0",
+           "\u1680", "\u2003", "\u2028", "\u202f", "\u205f", "\u3000", "\u200b", "\ufeff", "\x00", "À", "¢"]
+    texts = [a + b + c for a in odd for b in odd for c in ("", "x", " ", "'s")] + ["".join(r.choices(odd, k=40)) for _ in range(2000)]
+    got = [np.frombuffer(x, "<u4").tolist() for x in encoder(default_tokenizer()).encode(texts)]
+    assert [t for t, g, w in zip(texts, got, library(texts)) if g != w] == []
+
+
+def test_long_texts_and_a_small_cache(monkeypatch):
+    r = random.Random(6)
+    texts = [" ".join("".join(r.choices("abcdeé,.5", k=r.randint(1, 9))) for _ in range(n)) for n in (2000, 1, 0, 30, 900)] + ["y" * 3000, None]
+    want = library([t or "" for t in texts])
+    monkeypatch.setattr(tokens, "SLICE", 512)
+    own = tokens.Encoder(default_tokenizer())
+    own.kept = tokens.Kept(4000)
+    for size in (512, 100_000):
+        got = [x for i, j in tokens.slices(pa.array(texts), size) for x in own.encode_rows(pa.array(texts).slice(i, j - i))]
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == want
+    assert len(own.kept.young) + len(own.kept.old) < 400
+
+
 def check_pieces(rows, texts, limit=1024):
     ids = {i: np.array(x + [0], "<u4") for i, x in zip(texts, library([t or "" for t in texts.values()]))}
     by_doc, by_seq = defaultdict(list), defaultdict(list)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import table
-from tidemark.llm.tokens import TEXTS, default_tokenizer, encoder
+from tidemark.llm.tokens import default_tokenizer, encoder, slices
 
 #: Examples, and tokens, that a task packs together.
 POOL_EXAMPLES, POOL_TOKENS = 1024, 2_000_000
@@ -148,12 +149,10 @@ def pack_documents(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         no, pool, tokens = TaskContext.get().partitionId() << 36, [], 0
         for b in batches:
-            for k in range(0, b.num_rows, TEXTS):
-                part = b.slice(k, TEXTS).to_pydict()
-                prompts = [b""] * len(part["text"])
-                if prompt_col:
-                    prompts = encoder(path).encode([t or "" for t in part["prompt"]])
-                for d, p, x in zip(part["doc_id"], prompts, encoder(path).encode([t or "" for t in part["text"]])):
+            for i, j in slices(b.column(1)):
+                part = b.slice(i, j - i)
+                prompts = encoder(path).encode_rows(part.column(2)) if prompt_col else repeat(b"")
+                for d, p, x in zip(part.column(0).to_pylist(), prompts, encoder(path).encode_rows(part.column(1))):
                     pool.append((d, p + x + end, len(p) // 4))
                     tokens += len(pool[-1][1]) // 4
                     if len(pool) >= POOL_EXAMPLES or tokens >= POOL_TOKENS:

@@ -22,7 +22,7 @@ from tidemark.llm.tokens import token_ids, unsqueeze
 
 #: Frequencies of a table sum to 2 ** PRECISION.
 PRECISION = 18
-LANES, BLOCK_IDS, CHECKPOINT_STEPS = 512, 1 << 18, 256
+LANES, BLOCK_IDS, CHECKPOINT_STEPS = 1024, 1 << 18, 128
 _LOW = np.uint64(1 << 31)
 _WORD = np.uint64(32)
 

@@ -25,7 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import table
-from tidemark.llm.tokens import MARKS, TEXTS, Chunks
+
+#: Chunks whose ids a process keeps.
+KEPT_CHUNKS, TEXTS = 300_000, 256
+MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 
 MARK = "▁"
 #: A character without a piece costs that much more than the worst piece, as in the published library.
@@ -34,6 +37,29 @@ UNKNOWN_COST = 10.0
 KEPT_PAIRS = 1_000_000
 
 
+class Chunks:
+    """Ids by chunk, in two generations: what is met again outlives what isn't."""
+
+    def __init__(self, encode):
+        self.encode, self.young, self.old = encode, {}, {}
+
+    def find(self, chunks: list[str]) -> list[bytes | None]:
+        """The ids of each chunk; None for those at which a text can't be cut."""
+        if len(self.young) > KEPT_CHUNKS // 2:
+            self.young, self.old = {}, self.young
+        found = list(map(self.young.get, chunks))
+        if None not in found:
+            return found
+        gaps = [i for i, ids in enumerate(found) if ids is None]
+        new, old, young = {chunks[i] for i in gaps}, self.old, self.young
+        young.update((c, old[c]) for c in new if c in old)
+        new = [c for c in new if c not in old and c and not c[0].isspace() and not c[-1].isspace()]
+        young.update(zip(new, self.encode(new)))
+        for i in gaps:
+            found[i] = young.get(chunks[i])
+        return found
+
+
 @dataclass(frozen=True)
 class Spec:
     """What of a model file the transducers need."""

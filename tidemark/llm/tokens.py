@@ -1,4 +1,8 @@
-"""Token ids of whole texts by the tokenizers library."""
+"""Token ids of whole texts by the tokenizers library.
+
+Texts are handled a slice of a batch at a time, as Arrow buffers: numpy finds where a text may be cut, Arrow's dictionary
+encoding finds the distinct units between the cuts, only these meet the library, and numpy gathers the ids back.
+"""
 
 from __future__ import annotations
 
@@ -16,14 +20,21 @@ from pyspark.sql import functions as F
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one Spark task, one core
 
-#: Chunks of either kind whose ids a process keeps; beyond it those go that weren't met lately.
-KEPT_CHUNKS = 1_200_000
-#: Texts that are split at a time.
-TEXTS = 256
-#: What may end a word and then is a pre-token of its own.
-MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
+#: Bytes of units and their ids that a process keeps, Python's own included.
+KEPT_BYTES = 64 << 20
+#: Bytes of text that are handled at a time; what numpy and Arrow hold is about twelve times that.
+SLICE = 8 << 20
 #: Letters below this are letters to every version of the library's tables.
-LATIN_END = "\u0250"
+LATIN_END = "ɐ"
+
+_OTHER, _SPACE, _MARK, _DIGIT, _LETTER = range(5)
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[33:127] = _MARK
+_CLASS[list(b"0123456789")] = _DIGIT
+_CLASS[[c for c in range(128) if chr(c).isalpha()]] = _LETTER
+_CLASS[list(b"\t\n\v\f\r ")] = _SPACE
+#: White space beyond ASCII, by its last bytes.
+_WIDE = [c.encode() for c in map(chr, range(128, 0x3001)) if c.isspace()]
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -33,45 +44,109 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class Chunks:
-    """Ids by chunk, in two generations: what is met again outlives what isn't."""
-
-    def __init__(self, encode):
-        self.encode, self.young, self.old = encode, {}, {}
-
-    def find(self, chunks: list[str]) -> list[bytes | None]:
-        """The ids of each chunk; None for those at which a text can't be cut."""
-        if len(self.young) > KEPT_CHUNKS // 2:
-            self.young, self.old = {}, self.young
-        found = list(map(self.young.get, chunks))
-        if None not in found:
-            return found
-        gaps = [i for i, ids in enumerate(found) if ids is None]
-        new, old, young = {chunks[i] for i in gaps}, self.old, self.young
-        young.update((c, old[c]) for c in new if c in old)
-        new = [c for c in new if c not in old and c and not c[0].isspace() and not c[-1].isspace()]
-        young.update(zip(new, self.encode(new)))
-        for i in gaps:
-            found[i] = young.get(chunks[i])
+def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column of strings and where each string starts and ends in them; null counts as empty."""
+    column = column.cast(pa.string()).fill_null("")
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return raw[offsets[0] : offsets[-1]], (offsets - offsets[0]).astype(np.int64)
+
+
+def slices(column: pa.Array, most: int | None = None) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of at most ``most`` (SLICE) bytes of text; a longer text is a range of its own."""
+    most = most or SLICE
+    ends = utf8(column)[1][1:]
+    at = 0
+    while at < len(ends):
+        begun = int(ends[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, begun + most, side="right")))
+        yield at, end
+        at = end
+
+
+def cuts(raw: np.ndarray) -> np.ndarray:
+    """Where a byte-level BPE with the usual pattern never merges across: true for a byte that begins a unit.
+
+    Before white space that follows something else, and where letters, or digits, end before another ASCII character.
+    White space beyond ASCII counts as such: no cut comes after it.
+    """
+    kind = _CLASS[raw]
+    lead = (raw >= 0xC3) & (raw <= 0xC5)  # U+00C0 to U+017F are letters but for two signs
+    if lead.any():
+        at = np.flatnonzero(lead[:-1])
+        kind[at[(raw[at] != 0xC3) | ((raw[at + 1] != 0x97) & (raw[at + 1] != 0xB7))] + 1] = _LETTER
+    a, b = kind[:-1], kind[1:]
+    out = np.zeros(len(raw), bool)
+    out[1:] = ((b == _SPACE) & (a != _SPACE)) | ((a >= _DIGIT) & (b >= _MARK) & (a != b))
+    doubt = np.flatnonzero(out[1:] & (b == _SPACE) & (a == _OTHER))
+    if len(doubt):
+        wide = (raw[doubt] >= 0x1C) & (raw[doubt] <= 0x1F)
+        for w in _WIDE:
+            same = doubt >= len(w) - 1
+            for k, byte in enumerate(reversed(w)):
+                same &= raw[np.maximum(doubt - k, 0)] == byte
+            wide |= same
+        out[doubt[wide] + 1] = False
+    return out
+
+
+def distinct(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, pa.StringArray]:
+    """For the units of a buffer, which of the distinct ones each is, and these."""
+    offsets = np.append(starts, len(raw)).astype(np.int32)
+    units = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(raw)))
+    coded = units.dictionary_encode()
+    return coded.indices.to_numpy(), coded.dictionary
+
+
+def gather(values: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of stretches of ``values`` that have ``sizes``, those named by ``which``, joined; and where each of them ends."""
+    starts = np.cumsum(sizes) - sizes
+    n = sizes[which]
+    ends = np.cumsum(n)
+    total = int(ends[-1]) if len(ends) else 0
+    return values[np.repeat(starts[which] - (ends - n), n) + np.arange(total)], ends
+
+
+class Kept:
+    """Values by unit within a bound of bytes and those of one slice, in two generations: what is met again outlives what isn't."""
+
+    def __init__(self, most: int = KEPT_BYTES):
+        self.most, self.size, self.young, self.old = most, 0, {}, {}
+
+    def find(self, units: list[str], make) -> list[bytes]:
+        """The value of each of distinct units; ``make`` gives those of a list of units that aren't kept."""
+        found = list(map(self.young.get, units))
+        gaps = [i for i, v in enumerate(found) if v is None]
+        names = [units[i] for i in gaps]
+        got = list(map(self.old.get, names))
+        made = iter(make([u for u, v in zip(names, got) if v is None]))
+        got = [next(made) if v is None else v for v in got]
+        for i, v in zip(gaps, got):
+            found[i] = v
+        if self.size > self.most // 2:
+            self.young, self.old, self.size = {}, self.young, 0
+        self.young.update(zip(names, got))
+        self.size += 200 * len(names) + sum(map(len, names)) + sum(map(len, got))
         return found
 
 
 class Encoder:
-    """Ids of texts, each distinct chunk of text encoded once by the library.
+    """Ids of texts, each distinct unit of a slice given to the library at most once.
 
-    A byte-level BPE never merges across a single space or line feed between two characters that aren't white space, so
-    the ids of a text are those of its chunks joined. A text with other white space, or with the string of a
-    special token, is encoded in one piece, as is every text if the tokenizer isn't of this kind.
+    The ids of a text are those of its units joined. A text with the string of a special token goes to the library in one
+    piece, as does every text if the tokenizer isn't a byte-level BPE with the usual pattern.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        spec = json.load(open(path, encoding="utf-8"))
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
         self.library = Tokenizer.from_file(path)
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        self.by_chunk = (
+        self.by_unit = (
             pre.get("type") == "ByteLevel"
             and not pre.get("add_prefix_space")
             and pre.get("use_regex", True)
@@ -79,70 +154,94 @@ class Encoder:
             and spec["model"]["type"] == "BPE"
         )
         self.alphabet = byte_alphabet()
-        self.marks: dict[str, bytes] = {"": b""}
-        self.head = Chunks(lambda c: self._chunks(c, "", self.head))
-        self.tail = Chunks(lambda c: self._chunks(c, " ", self.tail))
-        self.feed = self._ids(["\n"])[0]
+        self.kept = Kept()
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
+    def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
-    def _chunks(self, chunks: list[str], before: str, known: Chunks) -> list[bytes]:
-        """Ids of ``before`` and each chunk. A word of Latin letters, then marks, is two pre-tokens at most, which go to
-        the library's model without its other steps."""
-        out: list[bytes | None] = [None] * len(chunks)
+    def _make(self, units: list[str]) -> list[bytes]:
+        """Ids of units. One of Latin letters, with or without a space before it, is one word to the pattern and goes to
+        the library's model without the other steps."""
+        out: list = [None] * len(units)
         tokenize, rest = self.library.model.tokenize, []
-        for k, c in enumerate(chunks):
-            word = c.rstrip(MARKS)
-            if not word.isalpha() or max(word) >= LATIN_END:
+        for k, unit in enumerate(units):
+            word = unit[1:] if unit[0] == " " else unit
+            if not word.isalpha() or not (word.isascii() or max(word) < LATIN_END):
                 rest.append(k)
                 continue
-            marks = c[len(word) :]
-            if marks not in self.marks:
-                self.marks[marks] = self._ids([marks])[0]
-            ids = known.young.get(word) or known.old.get(word)
-            if ids is None:
-                shown = (before + word).encode().decode("latin-1").translate(self.alphabet)
-                found = [t.id for t in tokenize(shown)]
-                ids = known.young[word] = pack(f"<{len(found)}I", *found)
-            out[k] = ids + self.marks[marks]
-        if len(self.marks) > 50_000:
-            self.marks = {"": b""}
-        for k, ids in zip(rest, self._ids([before + chunks[k] for k in rest])):
+            shown = unit.encode().decode("latin-1").translate(self.alphabet)
+            ids = [t.id for t in tokenize(shown)]
+            out[k] = pack(f"<{len(ids)}I", *ids)
+        for k, ids in zip(rest, self._whole([units[k] for k in rest])):
             out[k] = ids
         return out
 
+    def _units(self, raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a buffer's units, joined, and where each unit's ids end."""
+        which, units = distinct(raw, starts)
+        found = self.kept.find(units.to_pylist(), self._make)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        return gather(np.frombuffer(b"".join(found), "<u4"), sizes, which)
+
+    def _long(self, raw: np.ndarray) -> np.ndarray:
+        """The ids of one text, a window at a time, each begun where the last whole unit of the one before ended."""
+        at, size, parts = 0, SLICE, []
+        while at < len(raw):
+            window = raw[at : at + size]
+            starts = np.flatnonzero(np.append(True, cuts(window)[1:]))
+            if at + size < len(raw):
+                if len(starts) == 1:
+                    size *= 2
+                    continue
+                window, starts = window[: starts[-1]], starts[:-1]
+            parts.append(self._units(window, starts)[0])
+            at, size = at + len(window), SLICE
+        return np.concatenate(parts)
+
+    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Unsigned 32-bit ids of the texts of a slice, joined, and where each text's ids start and end."""
+        raw, offsets = utf8(column)
+        if not self.by_unit:
+            return self._joined(self._whole(column.fill_null("").to_pylist()))
+        if len(column) == 1 and len(raw) > SLICE and not self._has_special(raw):
+            ids = self._long(raw)
+            return ids, np.array([0, len(ids)])
+        if not len(raw):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        begins = cuts(raw)
+        begins[offsets[:-1][offsets[:-1] < len(raw)]] = True
+        starts = np.flatnonzero(begins)
+        ids, ends = self._units(raw, starts)
+        bounds = np.append(0, ends)[np.searchsorted(starts, offsets)]
+        if self._has_special(raw):
+            texts = column.fill_null("").to_pylist()
+            odd = {i for i, t in enumerate(texts) if any(s in t for s in self.special)}
+            whole = dict(zip(odd, self._whole([texts[i] for i in odd])))
+            return self._joined([whole.get(i) or ids[a:b].tobytes() for i, (a, b) in enumerate(zip(bounds, bounds[1:]))])
+        return ids, bounds
+
+    def _has_special(self, raw: np.ndarray) -> bool:
+        data = raw.tobytes() if self.special else b""
+        return any(s.encode() in data for s in self.special)
+
+    @staticmethod
+    def _joined(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        bounds = np.cumsum([0, *map(len, parts)]) // 4
+        return np.frombuffer(b"".join(parts), "<u4"), bounds
+
+    def encode_rows(self, column: pa.Array) -> Iterator[bytes]:
+        """The ids of each text of a column as little-endian unsigned 32-bit integers."""
+        for a, b in slices(column):
+            ids, bounds = self.encode_column(column.slice(a, b - a))
+            raw = ids.astype("<u4").tobytes()
+            yield from (raw[4 * s : 4 * e] for s, e in zip(bounds.tolist(), bounds[1:].tolist()))
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        for i in range(0, len(texts), TEXTS):
-            yield from self._encode(texts[i : i + TEXTS])
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        split = [
-            [line.split(" ") for line in t.split("\n")] if t and self.by_chunk and not any(s in t for s in self.special) else None
-            for t in texts
-        ]
-        heads = iter(self.head.find([line[0] for s in split if s for line in s]))
-        tails = self.tail.find([c for s in split if s for line in s for c in line[1:]])
-        at, whole = 0, []
-        for k, s in enumerate(split):
-            parts = []
-            for line in s or ():
-                parts.append(self.feed)
-                parts.append(next(heads))
-                parts += tails[at : at + len(line) - 1]
-                at += len(line) - 1
-            if s is None or None in parts:
-                whole.append(k)
-            else:
-                out[k] = b"".join(parts[1:])
-        for k, ids in zip(whole, self._ids([texts[k] for k in whole])):
-            out[k] = ids
-        return out
+        """The same of a list."""
+        return self.encode_rows(pa.array(texts, pa.string()))
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
 
@@ -175,18 +274,18 @@ def token_ids(
 ) -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit integers): the ids of each whole text and then ``end_id``.
 
-    ``squeezed`` gives them as ``squeeze`` does, for what is stored or shuffled on the way.
+    ``squeezed`` gives them as ``squeeze`` does, for what is stored or shuffled on the way. Null text is empty; null ids
+    stay null, repeated rows stay repeated, no rows give no rows; other columns aren't read.
     """
     path = tokenizer or default_tokenizer()
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, TEXTS):
-                part = b.slice(i, TEXTS)
-                ids = [x + end for x in encoder(path).encode([t or "" for t in part.column(1).to_pylist()])]
+            for i, j in slices(b.column(1)):
+                ids = [x + end for x in encoder(path).encode_rows(b.column(1).slice(i, j - i))]
                 ids = list(map(squeeze, ids)) if squeezed else ids
-                yield pa.record_batch([part.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+                yield pa.record_batch([b.column(0).slice(i, j - i), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
         run, "doc_id long, ids binary"
