@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -25,11 +26,14 @@ def text_of(column: str = "text") -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where the session has none (tests on one machine) a temporary folder is set.
+    Only where the session has none and all runs on one machine (a local master, as in tests) a temporary folder is set;
+    on a cluster a missing setting raises, as no machine's own folder would do.
     """
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         sc.setCheckpointDir(folder)
     elif not sc.getCheckpointDir():
@@ -59,14 +63,15 @@ def _clean() -> None:
 
 
 def split_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Inner join on a long column with what an aggregation made a row per key.
+    """Inner join on a long, string or binary column with what an aggregation made a row per key.
 
     The keys are compared in another spelling. Otherwise the aggregation's own partitions would serve the join, and
     a key with many rows on the left couldn't be split; so both sides have a shuffle, which adaptive execution may split.
     """
-    spelled = F.col(key).bitwiseXOR(F.lit(0x5DEECE66D))
-    other = right.select(*(c for c in right.columns if c != key), spelled.alias("__key"))
-    return left.withColumn("__key", spelled).join(other, "__key").drop("__key")
+    long = dict(left.dtypes)[key] == "bigint"
+    spelled = F.col(key).bitwiseXOR(F.lit(0x5DEECE66D)) if long else F.concat(F.col(key), F.col(key))
+    other = right.select(*(c for c in right.columns if c != key), spelled.alias("__tm_key"))
+    return left.withColumn("__tm_key", spelled).join(other, "__tm_key").drop("__tm_key")
 
 
 def stored(df: DataFrame, name: str, **options: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored
+from tidemark.llm.common import split_join, stored
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -16,7 +16,7 @@ def _state(edges: DataFrame) -> tuple[int, int]:
 def _hook(pairs: DataFrame, keep) -> DataFrame:
     """Of rows (u, v): link what keep selects to the smallest of u and its v."""
     least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return pairs.join(least, "u").transform(keep).where("u > v").distinct()
+    return split_join(pairs, least, "u").transform(keep).where("u > v").distinct()
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
@@ -24,7 +24,8 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
 
     Rows with a null end or two equal ends make no link. Each round is written to the shared folder, so its
     lineage is one read. Stars shrink in a logarithmic number of rounds; minima are taken before the shuffle, and the
-    join on a hub's key is one that adaptive execution splits. No links give an empty table.
+    join of a hub's links with its minimum has shuffles of its own, so that adaptive execution can split the hub. No links
+    give an empty table.
     """
     edges = (
         links.where(f"{a} <> {b}")

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import table
@@ -119,8 +119,12 @@ def _bits_for(total: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return cost[np.arange(len(total)), best], best
 
 
-def encode(payloads: list[bytes], orders: tuple[int, ...] = (0, 1, 2), lpc_order: int = 0) -> list[bytes]:
-    """A FLAC stream of one channel of 8-bit samples (byte - 128) for each payload; any length, also none."""
+def encode(payloads: list[bytes], orders: tuple[int, ...] = (0, 1, 2, 3, 4), lpc_order: int = 4) -> list[bytes]:
+    """A FLAC stream of one channel of 8-bit samples (byte - 128) for each payload; any length, also none.
+
+    Each frame takes what is shortest by estimate: samples as they are, a fixed predictor of ``orders``, or a general one
+    of ``lpc_order`` (0: none) fitted to the frame.
+    """
     out: list[bytes] = []
     for group in _groups([len(p) for p in payloads]):
         out += _encode([payloads[i] for i in group], orders, lpc_order)
@@ -432,22 +436,25 @@ def _rice(r: Bits, p: np.ndarray, n: int, order: int) -> tuple[np.ndarray, np.nd
     return u >> 1 ^ -(u & 1), p
 
 
-def decode_frames(data: bytes, starts: list[int], info_bits: list[int]) -> tuple[list[np.ndarray], list[int]]:
-    """Samples (a column per channel) of the frames at ``starts``, and where each ends. Wrong checksums raise."""
+def decode_frames(data: bytes, starts: list[int], info_bits: list[int], bits: Bits | None = None) -> tuple[list[np.ndarray], list[int]]:
+    """Samples (a column per channel) of the frames at ``starts``, and where each ends. Wrong checksums raise.
+
+    ``bits`` are those of ``data``, for whoever reads it more than once.
+    """
     buf = np.frombuffer(data, np.uint8)
-    r = Bits(buf)
+    r = bits or Bits(buf)
     heads = [_head(data, s, b) for s, b in zip(starts, info_bits)]
     out: list = [None] * len(starts)
     ends = np.zeros(len(starts), np.int64)
     for n, code in dict.fromkeys(h[1:3] for h in heads):
         rows = [i for i, h in enumerate(heads) if h[1:3] == (n, code)]
         p = np.array([8 * (starts[i] + heads[i][0]) for i in rows])
-        bits = np.array([heads[i][3] for i in rows])
+        depth = np.array([heads[i][3] for i in rows])
         count = 2 if code >= 8 else code + 1
         channels = []
         for c in range(count):
             side = code == 9 and c == 0 or code in (8, 10) and c == 1
-            x, p = _subframes(r, p, n, bits + side)
+            x, p = _subframes(r, p, n, depth + side)
             channels.append(x)
         if code == 8:
             channels[1] = channels[0] - channels[1]
@@ -491,9 +498,9 @@ def _decode(streams: list[bytes]) -> list[tuple[np.ndarray, Info]]:
         own = frames[at : at + n]
         at += n
         if info.points is None and info.samples:
-            own, p, got = [], info.first, 0
+            own, p, got, r = [], info.first, 0, Bits(np.frombuffer(s, np.uint8))
             while got < info.samples:
-                (x,), (p,) = decode_frames(s[:], [p], [info.bits])
+                (x,), (p,) = decode_frames(s, [p], [info.bits], r)
                 own.append(x)
                 got += len(x)
         pcm = np.concatenate(own) if own else np.zeros((0, info.channels), np.int64)
@@ -538,7 +545,7 @@ def _parts(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
 
 
 def _map(df: DataFrame, keep: list[str], column: str, run, added: str) -> DataFrame:
-    picked = df.select(*keep, F.col(column).alias("__in"))
+    picked = df.select(*keep, F.col(column).alias("__tm_in"))
     schema = ", ".join(f"`{c}` {t}" for c, t in picked.dtypes[:-1])
     return picked.mapInArrow(run, ", ".join(x for x in (schema, added) if x))
 
@@ -553,35 +560,56 @@ def feature(pcm: np.ndarray) -> str:
     return f"rms={rms:.3f};peak={int(np.abs(x).max())};mean={float(x.mean()):.3f};crossings={crossings}"
 
 
-def decode_column(df: DataFrame, media: str, *, keep: list[str]) -> DataFrame:
-    """``keep``, pcm (unsigned 8-bit samples of 8-bit streams) and feature of a column of FLAC streams; null stays null."""
+#: Samples of a block of PCM.
+PCM_SAMPLES = 1 << 16
+_PCM = pa.list_(pa.struct([("block", pa.int64()), ("sample_offset", pa.int64()), ("n_samples", pa.int64()), ("pcm", pa.binary())]))
+
+
+def decode_blocks(df: DataFrame, media: str, *, keep: list[str], samples: int = PCM_SAMPLES) -> DataFrame:
+    """``keep``, blocks and feature of a column of FLAC streams; null stays null.
+
+    blocks are the stream's PCM (unsigned 8-bit samples) in blocks of ``samples``: block, sample_offset, n_samples, pcm. So
+    a sample is found by its number, in the block of that number divided by ``samples``. No samples give no blocks.
+    """
+
+    def told(pcm: np.ndarray) -> list[dict]:
+        raw = (pcm + 128).astype(np.uint8).tobytes()
+        cut = ((i, raw[i : i + samples]) for i in range(0, len(raw), samples))
+        return [{"block": i // samples, "sample_offset": i, "n_samples": len(x), "pcm": x} for i, x in cut]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in _parts(b, len(keep)):
                 raw = part.column(len(keep)).to_pylist()
                 got = iter(decode([x for x in raw if x is not None]))
-                pairs = [None if x is None else next(got)[0] for x in raw]
-                pcm = [None if x is None else (x + 128).astype(np.uint8).tobytes() for x in pairs]
-                told = [None if x is None else feature(x) for x in pairs]
+                found = [None if x is None else next(got)[0] for x in raw]
                 yield pa.record_batch(
-                    [*part.columns[: len(keep)], pa.array(pcm, pa.binary()), pa.array(told, pa.string())],
-                    names=[*keep, "pcm", "feature"],
+                    [
+                        *part.columns[: len(keep)],
+                        pa.array([None if x is None else told(x) for x in found], _PCM),
+                        pa.array([None if x is None else feature(x) for x in found], pa.string()),
+                    ],
+                    names=[*keep, "blocks", "feature"],
                 )
 
-    return _map(df, keep, media, run, "pcm binary, feature string")
+    kind = "array<struct<block:bigint,sample_offset:bigint,n_samples:bigint,pcm:binary>>"
+    return _map(df, keep, media, run, f"blocks {kind}, feature string")
 
 
-def pcm_blocks(df: DataFrame, media: str, *, keep: list[str], samples: int = 1 << 16) -> DataFrame:
-    """Decoded streams as blocks: ``keep``, block, sample_offset, n_samples, pcm. A stream without samples has none."""
-    whole = decode_column(df, media, keep=keep).where("octet_length(pcm) > 0")
-    last = F.floor((F.octet_length("pcm") - 1) / samples).cast("long")
-    return (
-        whole.select(*keep, "pcm", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("block"))
-        .withColumn("sample_offset", F.col("block") * samples)
-        .withColumn("pcm", F.substring("pcm", (F.col("sample_offset") + 1).cast("int"), F.lit(samples)))
-        .select(*keep, "block", "sample_offset", F.octet_length("pcm").cast("long").alias("n_samples"), "pcm")
-    )
+def whole_pcm(blocks: str = "blocks") -> Column:
+    """The samples of a column of blocks, joined."""
+    return F.unhex(F.array_join(F.transform(blocks, lambda b: F.hex(b["pcm"])), ""))
+
+
+def decode_column(df: DataFrame, media: str, *, keep: list[str]) -> DataFrame:
+    """``keep``, pcm (unsigned 8-bit samples of 8-bit streams) and feature of a column of FLAC streams; null stays null."""
+    return decode_blocks(df, media, keep=keep).select(*keep, whole_pcm().alias("pcm"), "feature")
+
+
+def pcm_blocks(df: DataFrame, media: str, *, keep: list[str], samples: int = PCM_SAMPLES) -> DataFrame:
+    """Decoded streams with a row per block: ``keep``, block, sample_offset, n_samples, pcm."""
+    rows = decode_blocks(df, media, keep=keep, samples=samples).select(*keep, F.explode("blocks").alias("__tm_block"))
+    return rows.select(*keep, "__tm_block.*")
 
 
 def text_payloads(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -596,22 +624,24 @@ def text_payloads(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def op7_flac(spark, sf_dir: str) -> DataFrame:
-    """Null ids are kept, repeated rows stay repeated, an empty table has no rows."""
-    media = encode_column(text_payloads(table(spark, sf_dir, "documents")), "payload", keep=["doc_id", "n_bytes"])
+    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature of every document.
+
+    payload and feature come from the blocks of PCM that the stored stream decodes to. Null text is empty; null ids are
+    kept, repeated rows stay repeated, an empty table has no rows.
+    """
+    keep = ["doc_id", "n_bytes", "media_bytes", "media_sha256"]
+    media = encode_column(text_payloads(table(spark, sf_dir, "documents")), "payload", keep=keep[:2])
     told = media.select(
-        "doc_id",
-        "n_bytes",
-        F.octet_length("media").cast("long").alias("media_bytes"),
-        F.sha2("media", 256).alias("media_sha256"),
-        "media",
+        *keep[:2], F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media"
     )
-    back = decode_column(told, "media", keep=["doc_id", "n_bytes", "media_bytes", "media_sha256"])
-    return back.select(
+    blocks = decode_blocks(told, "media", keep=keep)
+    last = F.element_at("blocks", -1)["pcm"]  # a payload is a multiple of 576 bytes, a block of 65536: at least 64 are left
+    return blocks.select(
         "doc_id",
         "n_bytes",
-        F.octet_length("pcm").cast("long").alias("payload_bytes"),
-        F.sha2("pcm", 256).alias("payload_sha256"),
-        F.crc32(F.substring("pcm", -32, 32)).alias("tail_crc32"),
+        F.aggregate("blocks", F.lit(0).cast("long"), lambda n, b: n + b["n_samples"]).alias("payload_bytes"),
+        F.sha2(whole_pcm(), 256).alias("payload_sha256"),
+        F.crc32(F.substring(last, -32, 32)).alias("tail_crc32"),
         "media_bytes",
         "media_sha256",
         "feature",

@@ -251,6 +251,11 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
 
 def op1_licenses(spark, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every document.
+
+    score is 1 where a base phrase stands, else the largest share of a template's words that agree, else 0. Null text has no
+    words; null ids are kept, repeated rows stay repeated, an empty table has no rows.
+    """
     labels = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
     base, aligned = F.col("base.label"), F.col("alignments.label")
     share = F.coalesce(F.array_max("alignments.share"), F.lit(0.0))

@@ -26,7 +26,8 @@ from tidemark.llm.common import split_join, stored, table
 LEAST_WORDS, EDIT_WORDS = 1, 2
 #: Added to the sizes of lines of characters, so that their keys and anchors aren't those of lines of words.
 _CHARACTERS = 1 << 31
-_NO_ID = 2**63 - 1
+#: From here on are the places of rows without an id in the order of documents.
+_NO_ID = 1 << 62
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 
@@ -113,12 +114,12 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _pick(docs: DataFrame) -> DataFrame:
-    """doc, no, h1, h2, sides, line: of documents with a list ``wanted``, the first of each line of it.
+    """doc, no, h1, h2, sides, line: of documents with a list ``__tm_wanted``, the first of each line of it.
 
     All columns of ``docs`` come in, though few are read, so that this and the last step share one shuffle of the texts.
     """
     names = docs.columns
-    doc_at, text_at, wanted_at = (names.index(c) for c in ("__doc", "__text", "wanted"))
+    doc_at, text_at, wanted_at = (names.index(c) for c in ("__tm_doc", "__tm_text", "__tm_wanted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -192,7 +193,7 @@ def _verified(pairs: DataFrame) -> DataFrame:
 
 
 def _wanted(distinct: DataFrame) -> DataFrame:
-    """__doc, wanted: of each document the lines that share an anchor with another line, with the anchor's side."""
+    """__tm_doc, wanted: of each document the lines that share an anchor with another line, with the anchor's side."""
     side = lambda c, n: F.struct(F.col(c).alias("anchor"), F.lit(n).alias("side"))
     posts = (
         distinct.where("a0 is not null")
@@ -201,8 +202,8 @@ def _wanted(distinct: DataFrame) -> DataFrame:
         .where("anchor is not null")
     )
     shared = posts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
-    found = split_join(posts, shared, "anchor").groupBy("doc").agg(F.collect_set(F.struct("h1", "side")).alias("wanted"))
-    return found.withColumnRenamed("doc", "__doc")
+    found = split_join(posts, shared, "anchor").groupBy("doc").agg(F.collect_set(F.struct("h1", "side")).alias("__tm_wanted"))
+    return found.withColumnRenamed("doc", "__tm_doc")
 
 
 def near_lines(lines: DataFrame) -> DataFrame:
@@ -237,23 +238,27 @@ def near_lines(lines: DataFrame) -> DataFrame:
     return _verified(typed.join(own, "at").join(early, "first").select("h1", "h2", "a", "b")).distinct()
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with two more columns: __kept (text of the lines that stay) and __lines_dropped.
+def dedup_lines(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", kept: str = "__kept", dropped: str = "__lines_dropped"
+) -> DataFrame:
+    """The rows of ``docs`` with two more columns, ``kept`` (text of the lines that stay) and the number ``dropped``.
 
     A line goes if an equal one stands earlier in the order of (id, line), or if its first occurrence has an
     earlier near line. Equal means the same words, white space aside; near lines of two words or more differ by one edit
     of a word; those of one word are compared for equality only. Blank lines always stay. The line that makes another go may itself have gone
-    for a still earlier one. Null text is empty and stays null if nothing goes. Rows with a null id come last and count
-    as one document, as do rows that share an id: their equal lines stay in each of them. No rows give no rows.
+    for a still earlier one. Null text is empty and stays null if nothing goes. Rows with a null id come last, in
+    the order of a hash of their texts. Rows that share an id, or a null id and the text, count as one document: their equal
+    lines stay in each of them. No rows give no rows. Extra columns come back; their names mustn't begin with __tm_.
     Lines of any length are compared whole; the work for a line grows in proportion to its units.
     """
-    base = docs.withColumns({"__doc": F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)), "__text": F.col(text_col)})
+    place = F.lit(_NO_ID).bitwiseOR(F.shiftrightunsigned(F.xxhash64(text_col), 2))  # rows without an id: by their text
+    base = docs.withColumns({"__tm_doc": F.coalesce(F.col(id_col).cast("long"), place), "__tm_text": F.col(text_col)})
     base = base.drop(text_col)
-    lines = stored(_lines(base.select("__doc", "__text")), "lines")
+    lines = stored(_lines(base.select("__tm_doc", "__tm_text")), "lines")
     distinct = lines.groupBy("h1", "h2", "a0", "a1", "z0", "z1").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("n"))
     distinct = stored(distinct, "distinct-lines")
     wanted = stored(_wanted(distinct), "wanted-lines")
-    near = near_lines(_pick(base.join(wanted, "__doc")).repartition("doc", "no"))
+    near = near_lines(_pick(base.join(wanted, "__tm_doc")).repartition("doc", "no"))
     again = distinct.where("n > 1").select("h1", "h2", F.col("doc").alias("first"))
     marked = again.union(near.select("h1", "h2", F.lit(None).cast("long")))
     gone = (
@@ -261,27 +266,27 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         .join(marked, ["h1", "h2"])  # a frequent line's key is one that adaptive execution splits
         .where("first is null or doc <> first")
         .groupBy("doc")
-        .agg(F.collect_set("h1").alias("__gone"))
-        .withColumnRenamed("doc", "__doc")
+        .agg(F.collect_set(F.struct("h1", "h2")).alias("__tm_gone"))
+        .withColumnRenamed("doc", "__tm_doc")
     )
-    return _without(base.join(gone, "__doc", "left"), text_col, docs.columns)
+    return _without(base.join(gone, "__tm_doc", "left"), text_col, docs.columns, kept, dropped)
 
 
-def _without(rows: DataFrame, text_col: str, columns: list[str]) -> DataFrame:
+def _without(rows: DataFrame, text_col: str, columns: list[str], kept_name: str, dropped_name: str) -> DataFrame:
     names, kinds = rows.columns, dict(rows.dtypes)
-    read = [names.index("__text" if c == text_col else c) for c in columns]
+    read = [names.index("__tm_text" if c == text_col else c) for c in columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, last = names.index("__text"), names.index("__gone")
+        at, last = names.index("__tm_text"), names.index("__tm_gone")
         for b in batches:
             kept, dropped = [], []
             for text, gone in zip(b.column(at).to_pylist(), b.column(last).to_pylist()):
-                gone, seen, out = set(gone or ()), set(), []
+                gone, seen, out = {(x["h1"], x["h2"]) for x in gone or ()}, set(), []
                 found = split_lines(text)
                 for line, w in found:
                     if len(w) >= LEAST_WORDS:
                         h = line_hash(w)
-                        if h[0] in gone or h in seen:
+                        if h in gone or h in seen:
                             continue
                         seen.add(h)
                     out.append(line)
@@ -289,22 +294,26 @@ def _without(rows: DataFrame, text_col: str, columns: list[str]) -> DataFrame:
                 kept.append(text if not dropped[-1] else "\n".join(out))
             yield pa.record_batch(
                 [*(b.column(i) for i in read), pa.array(kept, pa.string()), _signed(dropped)],
-                names=[*columns, "__kept", "__lines_dropped"],
+                names=[*columns, kept_name, dropped_name],
             )
 
-    schema = ", ".join(f"`{c}` {kinds['__text' if c == text_col else c]}" for c in columns)
-    return rows.mapInArrow(run, f"{schema}, __kept string, __lines_dropped long")
+    schema = ", ".join(f"`{c}` {kinds['__tm_text' if c == text_col else c]}" for c in columns)
+    return rows.mapInArrow(run, f"{schema}, `{kept_name}` string, `{dropped_name}` long")
 
 
 def keep_new_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with what stays of their texts; those of which nothing but white space stays go."""
     names = docs.columns
-    done = dedup_lines(docs, id_col=id_col, text_col=text_col)
-    left = done.where("__lines_dropped = 0 or length(trim(BOTH ' \t\r\n' FROM __kept)) > 0")
-    return left.select(*(F.col("__kept").alias(c) if c == text_col else F.col(c) for c in names))
+    done = dedup_lines(docs, id_col=id_col, text_col=text_col, kept="__tm_kept", dropped="__tm_dropped")
+    left = done.where("__tm_dropped = 0 or length(trim(BOTH ' \t\r\n' FROM __tm_kept)) > 0")
+    return left.select(*(F.col("__tm_kept").alias(c) if c == text_col else F.col(c) for c in names))
 
 
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_dropped, kept_sha256 (of the lines that stay) of every document.
+
+    Null text is one empty line; null and repeated ids are as dedup_lines has them; an empty table has no rows.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = F.coalesce("__kept", F.lit(""))
     return dedup_lines(docs).select(

@@ -186,15 +186,15 @@ def _class_node(same: bytes) -> int:
 
 
 def _by_class(rows: DataFrame, text_col: str, words: int) -> DataFrame:
-    """``rows`` with their node by the text's set of shingles as __node."""
+    """``rows`` with their node by the text's set of shingles as __tm_node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             same = (xxhash.xxh3_128_digest(shingle_hashes(t, words).tobytes()) for t in b.column(text_col).to_pylist())
-            yield pa.record_batch([*b.columns, pa.array(map(_class_node, same), pa.int64())], names=[*b.schema.names, "__node"])
+            yield pa.record_batch([*b.columns, pa.array(map(_class_node, same), pa.int64())], names=[*b.schema.names, "__tm_node"])
 
     kinds = dict(rows.dtypes)
-    return rows.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in rows.columns) + ", __node long")
+    return rows.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in rows.columns) + ", __tm_node long")
 
 
 def near_documents(
@@ -221,7 +221,7 @@ def near_documents(
     lookup = texts.withColumnRenamed("id", "doc")
     if not many.isEmpty():
         marked = stored(own.union(marked.join(many, "id", "left_semi").withColumn("doc", class_node)), "nodes")
-        shared = _by_class(texts.join(many, "id", "left_semi"), "text", words).select(F.col("__node").alias("doc"), "text")
+        shared = _by_class(texts.join(many, "id", "left_semi"), "text", words).select(F.col("__tm_node").alias("doc"), "text")
         lookup = texts.join(many, "id", "left_anti").select(F.col("id").alias("doc"), "text").union(shared.dropDuplicates(["doc"]))
     else:
         marked = marked.withColumn("doc", F.col("id"))
@@ -268,13 +268,13 @@ def keep_first(
     groups = stored(groups, "near-groups")
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))
     last = (F.col("doc") == F.col("group_id")) & (F.col("node") == F.col("first"))
-    gone = groups.where(~last & (F.col("doc") == F.col("node"))).select(F.col("doc").alias("__gone"))
-    ids = docs.select(key.alias("__many"))
-    many = stored(_not_own(ids, "__many"), "repeated-ids")
+    gone = groups.where(~last & (F.col("doc") == F.col("node"))).select(F.col("doc").alias("__tm_gone"))
+    ids = docs.select(key.alias("__tm_many"))
+    many = stored(_not_own(ids, "__tm_many"), "repeated-ids")
     if many.isEmpty():
-        return docs.join(gone, key == F.col("__gone"), "left_anti")
-    own = docs.join(many, key == F.col("__many"), "left_anti").join(gone, key == F.col("__gone"), "left_anti")
-    stay = groups.where(last).select(F.col("doc").alias("__id"), F.col("node").alias("__first"))
-    shared = _by_class(docs.join(many, key == F.col("__many"), "left_semi").withColumn("__key", key), text_col, words)
-    shared = shared.join(stay, (F.col("__key") == F.col("__id")) & (F.col("__node") == F.col("__first")), "left_semi")
-    return own.union(shared.dropDuplicates(["__key", "__node"]).select(*docs.columns))
+        return docs.join(gone, key == F.col("__tm_gone"), "left_anti")
+    own = docs.join(many, key == F.col("__tm_many"), "left_anti").join(gone, key == F.col("__tm_gone"), "left_anti")
+    stay = groups.where(last).select(F.col("doc").alias("__tm_id"), F.col("node").alias("__tm_first"))
+    shared = _by_class(docs.join(many, key == F.col("__tm_many"), "left_semi").withColumn("__tm_key", key), text_col, words)
+    shared = shared.join(stay, (F.col("__tm_key") == F.col("__tm_id")) & (F.col("__tm_node") == F.col("__tm_first")), "left_semi")
+    return own.union(shared.dropDuplicates(["__tm_key", "__tm_node"]).select(*docs.columns))

@@ -122,8 +122,8 @@ def pack_documents(
 
     Each whole text becomes its ids and ``end_id``. ``prompt_col`` names a text before it whose ids bear no
     loss; without it all ids bear loss. Each task packs its own partition in pools of POOL_EXAMPLES examples, with
-    no shuffle; the last sequence of a pool is cut into powers of two, so a pool pads at most where the segment limit
-    closes a sequence. sequence_id is the task's partition and a running number. Null text is empty and still gives
+    no shuffle. A sequence that stays short of the token limit, as the last of a pool or one that another limit closes, is
+    cut into powers of two, which need no padding. sequence_id is the task's partition and a running number. Null text is empty and still gives
     its end id. Null and repeated doc_ids are packed like others, each row on its own. No rows give no rows.
     """
     path = tokenizer or default_tokenizer()
@@ -133,8 +133,7 @@ def pack_documents(
     def rows(pool: list[tuple[object, bytes, int]], first: int) -> tuple[pa.RecordBatch, int]:
         lengths = np.array([len(x) // 4 for _, x, _ in pool])
         sequences = pack(lengths, lengths - np.array([p for *_, p in pool]), limits)
-        if sequences:
-            sequences[-1:] = by_powers(sequences[-1])
+        sequences = [y for x in sequences for y in ([x] if sum(n for *_, n in x) == limits.tokens else by_powers(x))]
         columns: list[list] = [[] for _ in names]
         for no, seq in enumerate(sequences, first):
             at = 0
@@ -172,6 +171,10 @@ def pack_documents(
 
 
 def op8_packing(spark, sf_dir: str) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece of every document.
+
+    Null text is its end id only; null and repeated ids are packed like others; an empty table has no pieces.
+    """
     return pack_documents(table(spark, sf_dir, "documents")).select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )

@@ -69,7 +69,7 @@ def feature_rows(docs: DataFrame, keep: list[str], text_col: str = "text") -> Da
                 [*b.columns[: len(keep)], pa.array(values, pa.list_(pa.float64()))], names=[*keep, "values"]
             )
 
-    picked = docs.select(*keep, F.col(text_col).alias("__text"))
+    picked = docs.select(*keep, F.col(text_col).alias("__tm_text"))
     schema = ", ".join(f"`{c}` {t}" for c, t in picked.dtypes[:-1])
     return picked.mapInArrow(run, f"{schema}, values array<double>")
 
@@ -192,18 +192,19 @@ def train(
     """Fit on labelled documents, held-out ids left out.
 
     Of the labelled ids the ``max_rows`` with the smallest hash are taken; that bound is what is sent to all tasks
-    and comes back to the driver, whatever the size of the corpus. Null ids and null labels are left out; an id
-    labelled twice, or a document that occurs twice, counts each time.
+    and comes back to the driver, whatever the size of the corpus and however often an id occurs. Null ids and null labels
+    are left out; an id labelled twice, or a document that occurs twice, counts each time within the bound.
     """
     sample = (
         labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull() & (remainder(id_col) != 0))
-        .select(F.col(id_col).alias("__id"), F.col("quality").cast("int").alias("__label"))
-        .orderBy(F.xxhash64("__id"), "__id", "__label")
+        .select(F.col(id_col).alias("__tm_id"), F.col("quality").cast("int").alias("__tm_label"))
+        .orderBy(F.xxhash64("__tm_id"), "__tm_id", "__tm_label")
         .limit(max_rows)
     )
-    picked = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__txt")).join(F.broadcast(sample), "__id")
-    rows = feature_rows(picked, ["__id", "__label"], "__txt").orderBy("__id", "__label").toArrow()
-    y = rows.column("__label").to_numpy()
+    picked = docs.select(F.col(id_col).alias("__tm_id"), F.col(text_col).alias("__tm_txt")).join(F.broadcast(sample), "__tm_id")
+    order = [F.xxhash64("__tm_id"), "__tm_id", "__tm_label", "values"]
+    rows = feature_rows(picked, ["__tm_id", "__tm_label"], "__tm_txt").orderBy(*order).limit(max_rows).toArrow()
+    y = rows.column("__tm_label").to_numpy()
     return fit(np.array(rows.column("values").to_pylist(), float).reshape(-1, len(FEATURES)), y)
 
 
@@ -217,12 +218,16 @@ def score(docs: DataFrame, model: Model, *, keep: list[str], text_col: str = "te
             got = shared.value.score(np.array([features(t or "") for t in texts], float).reshape(-1, len(FEATURES)))
             yield pa.record_batch([*b.columns[: len(keep)], pa.array(got, pa.float64())], names=[*keep, name])
 
-    picked = docs.select(*keep, F.col(text_col).alias("__text"))
+    picked = docs.select(*keep, F.col(text_col).alias("__tm_text"))
     schema = ", ".join(f"`{c}` {t}" for c, t in picked.dtypes[:-1])
     return picked.mapInArrow(run, f"{schema}, `{name}` double")
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document, by a model fitted on labelled ids that aren't held out.
+
+    Null text is scored as empty; a null id is scored and not held out; repeated rows stay repeated; no rows give none.
+    """
     docs = table(spark, sf_dir, "documents")
     model = train(docs, table(spark, sf_dir, "labels"))
     return score(docs, model, keep=["doc_id"]).select(
@@ -235,4 +240,4 @@ def op10_quality(spark, sf_dir: str) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents whose score reaches the threshold, with their columns."""
-    return score(docs, train(docs, labels), keep=docs.columns, name="__score").where(f"__score >= {threshold}").drop("__score")
+    return score(docs, train(docs, labels), keep=docs.columns, name="__tm_score").where(f"__tm_score >= {threshold}").drop("__tm_score")

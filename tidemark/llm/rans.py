@@ -58,6 +58,21 @@ class Frequencies:
         self.slot = np.repeat(np.arange(len(self.freq)), self.freq)
         self.f, self.c = self.freq.astype(np.uint64), self.start.astype(np.uint64)
         self.filler = int(np.argmax(self.freq)) if len(self.freq) else 0
+        top = int(self.symbols[-1]) if len(self.symbols) else -1
+        self.places = np.full(top + 1, -1, np.int32) if top < 1 << 22 else None  # of each id, where ids are small
+        if self.places is not None:
+            self.places[self.symbols] = np.arange(len(self.symbols))
+
+    def place_of(self, ids: np.ndarray) -> np.ndarray:
+        """The place of each id in the table; one that it doesn't have raises ValueError."""
+        if self.places is not None and len(ids) and ids.max() < len(self.places):
+            place = self.places[ids]
+        else:
+            place = np.searchsorted(self.symbols, ids)
+            place[(place >= len(self.symbols)) | (self.symbols[np.minimum(place, len(self.symbols) - 1)] != ids)] = -1
+        if (place < 0).any():
+            raise ValueError("an id is not in the frequency table")
+        return place
 
 
 def encode_block(ids: np.ndarray, table_: Frequencies, lanes: int = LANES, every: int = CHECKPOINT_STEPS) -> dict:
@@ -65,9 +80,7 @@ def encode_block(ids: np.ndarray, table_: Frequencies, lanes: int = LANES, every
     n = len(ids)
     lanes = int(min(lanes, max(1, n // 64)))
     steps = -(-n // lanes)
-    place = np.searchsorted(table_.symbols, ids)
-    if (place >= len(table_.symbols)).any() or (table_.symbols[np.minimum(place, len(table_.symbols) - 1)] != ids).any():
-        raise ValueError("an id is not in the frequency table")
+    place = table_.place_of(ids)
     grid = np.full(steps * lanes, table_.filler)
     grid[:n] = place
     grid = grid.reshape(steps, lanes)
@@ -220,9 +233,12 @@ def write_token_files(
             yield block()
 
     freq = spark.sparkContext.broadcast(freq)
+    order = ["doc_id", "row"]  # the row's number in the stored table parts the rows of an id that many have
     (
-        ids.repartitionByRange("doc_id")
-        .sortWithinPartitions("doc_id")
+        ids.withColumn("row", F.monotonically_increasing_id())
+        .repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .drop("row")
         .mapInArrow(run, BLOCK_SCHEMA)
         .write.option("compression", "none")
         .parquet(f"{path}/blocks")
@@ -262,6 +278,10 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op5_token_files(spark, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every document, from token files written and read back.
+
+    Null text is empty and has its end id; null ids come first, rows of equal ids follow each other; no rows give none.
+    """
     path = scratch(spark, "token-files")
     write_token_files(table(spark, sf_dir, "documents"), path, end_id=2)
     return read_token_files(spark, path).select(

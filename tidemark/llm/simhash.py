@@ -200,7 +200,7 @@ def simhash_groups(
         .select("fp", "first", F.coalesce("component", "fp").alias("root"))
     )
     least = first.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_class = first.join(least, "root").select("fp", "component_id")
+    of_class = split_join(first, least, "root").select("fp", "component_id")
     return fps.join(of_class, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )

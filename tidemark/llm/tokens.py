@@ -256,11 +256,16 @@ def squeeze(ids: bytes) -> bytes:
     """32-bit ids as zstandard of 16-bit ones if all fit, else of themselves; the first byte is the width."""
     a = np.frombuffer(ids, "<u4")
     width = 2 if not len(a) or a.max() < 1 << 16 else 4
-    return bytes([width]) + zstandard.ZstdCompressor(1).compress(a.astype(f"<u{width}").tobytes())
+    return bytes([width]) + _zstd()[0].compress(a.astype(f"<u{width}").tobytes())
 
 
 def unsqueeze(data: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), f"<u{data[0]}")
+    return np.frombuffer(_zstd()[1].decompress(data[1:]), f"<u{data[0]}")
+
+
+@functools.cache
+def _zstd() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    return zstandard.ZstdCompressor(1), zstandard.ZstdDecompressor()
 
 
 def token_ids(

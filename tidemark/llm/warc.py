@@ -40,7 +40,7 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from tidemark.llm.common import scratch, table
+from tidemark.llm.common import scratch, split_join, table
 
 #: Columns, the header each comes from, and whether it is a number.
 HEADERS = {
@@ -373,7 +373,8 @@ def page_records(pages: DataFrame, *, least: int = 100, date: str = "1970-01-01T
     Of pages with equal payloads of at least ``least`` bytes, compared by SHA-256, the smallest page_id is a
     response; the others are revisits that refer to it and hold no payload. Smaller ones are all responses. Null html
     is an empty payload; a null page_id is written as ``null`` and is never the smallest beside another;
-    a page_id that occurs twice with one payload gives two responses. Other columns aren't read.
+    a page_id that occurs twice with one payload gives two responses. Other columns aren't read. The pages of a frequent
+    payload meet its first page in a join whose shuffles adaptive execution can split.
     """
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
@@ -384,7 +385,7 @@ def page_records(pages: DataFrame, *, least: int = 100, date: str = "1970-01-01T
     first = large.groupBy("digest").agg(F.min("page_id").alias("first"))
     same = F.col("page_id").eqNullSafe(F.col("first"))
     typed = (
-        large.join(first, "digest")
+        split_join(large, first, "digest")
         .withColumn("record_type", F.when(same, "response").otherwise("revisit"))
         .withColumn("refers", F.when(~same, F.col("first")))
         .select(*rows.columns, "record_type", "refers")
@@ -414,6 +415,11 @@ def page_records(pages: DataFrame, *, least: int = 100, date: str = "1970-01-01T
 
 
 def op9_warc(spark, sf_dir: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every page, from archives written and read back.
+
+    Revisits come from a read that decodes no payload. Null and repeated rows are as page_records has them; an empty table
+    has no rows.
+    """
     register(spark)
     path = scratch(spark, "warc")
     page_records(table(spark, sf_dir, "pages")).write.format("warc").mode("append").save(path)
