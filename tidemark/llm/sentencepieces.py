@@ -31,7 +31,9 @@ MARK = "▁"
 #: A character without a piece costs that much more than the worst piece, as in the published library.
 UNKNOWN_COST = 10.0
 #: Bytes of text that are handled at a time, and characters of distinct units whose lattices are held at a time.
-SLICE, CHARACTERS = 4 << 20, 200_000
+SLICE, CHARACTERS = 4 << 20, 100_000
+#: Bytes of units and their ids that a process keeps, Python's own included.
+KEPT_BYTES = 32 << 20
 #: Characters from which a stretch without a cut is relaxed on its own instead of beside others.
 LONG = 256
 _NEVER = 1 << 40
@@ -113,8 +115,8 @@ class Normaliser:
             text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
             state[(full[:-1] - full[offsets[text]] == 0)] = 0
         at = 2 * state + kind
-        extra = np.array([len(self.arcs[s, c][0]) if (s, c) in self.arcs else 0 for s in range(3) for c in range(2)], np.uint8)[at]
-        own = np.array([self.copied.get((s, c), True) for s in range(3) for c in range(2)])[at]
+        extra = np.array([len(self.arcs[s, c][0]) for s in range(3) for c in range(2)], np.uint8)[at]
+        own = np.array([self.copied[s, c] for s in range(3) for c in range(2)])[at]
         if own.all() and not extra.any():
             return raw, offsets
         ends = np.cumsum(extra + own.view(np.uint8), dtype=np.int64)
@@ -335,7 +337,7 @@ class Transducer:
                 for y in forms(b):
                     self.joined[x[-1], y[0]] = True
         self.joined[:, 0x80:0xC0] = True  # inside a character
-        self.kept = Kept()
+        self.kept = Kept(KEPT_BYTES)
 
     # ---- byte fallback ----
 
@@ -411,29 +413,28 @@ class Transducer:
         """The same of a list."""
         return self.encode_rows(pa.array(texts, pa.string()))
 
-    # ---- decoder ----
 
-    @functools.cached_property
-    def spelled(self) -> tuple[np.ndarray, np.ndarray]:
-        """The bytes of all ids, joined, and how many each has."""
-        back = {i: bytes([b]) for b, i in self.bytes.items()}
-        for i, (p, k) in enumerate(zip(self.spec.pieces, self.spec.kinds)):
-            back.setdefault(i, {2: " ⁇ ", 3: ""}.get(k, p.replace(MARK, " ")).encode())
-        parts = [back[i] for i in range(len(self.spec.pieces))]
-        return np.frombuffer(b"".join(parts), np.uint8), np.array(list(map(len, parts)))
+class Inverse:
+    """The inverse of the byte fallback, the pieces and the normaliser: from ids to text."""
+
+    def __init__(self, spec: Spec):
+        spelled = {2: " ⁇ ", 3: ""}
+        parts = [bytes([int(p[3:5], 16)]) if k == 6 else spelled.get(k, p.replace(MARK, " ")).encode() for p, k in zip(spec.pieces, spec.kinds)]
+        self.values, self.sizes = np.frombuffer(b"".join(parts), np.uint8), np.array(list(map(len, parts)))
+        self.dummy_prefix = spec.dummy_prefix
 
     def decode_column(self, ids: pa.Array) -> pa.Array:
-        """The texts of a column of binary ids, by the inverse of the byte fallback, the pieces and the normaliser."""
-        sizes = np.array([0 if x is None else len(x) // 4 for x in ids.to_pylist()], np.int64)
-        flat = np.frombuffer(b"".join(x for x in ids.to_pylist() if x), "<u4").astype(np.int64)
-        raw, ends = gather(*self.spelled, flat)
+        """The texts of a column of binary ids; null stays null."""
+        held = ids.to_pylist()
+        sizes = np.array([len(x or b"") // 4 for x in held], np.int64)
+        raw, ends = gather(self.values, self.sizes, np.frombuffer(b"".join(x or b"" for x in held), "<u4"))
         bounds = np.append(0, ends)[np.append(0, np.cumsum(sizes))]
         begin, end = bounds[:-1].copy(), bounds[1:]
-        if self.spec.dummy_prefix and len(raw):
+        if self.dummy_prefix and len(raw):
             begin += (begin < end) & (raw[np.minimum(begin, len(raw) - 1)] == 32)
         data = raw.tobytes()
         found = [data[a:b].decode("utf-8", "replace") for a, b in zip(begin.tolist(), end.tolist())]
-        return pa.array([t if v else None for t, v in zip(found, ids.is_valid().to_pylist())], pa.string())
+        return pa.array([None if x is None else t for t, x in zip(found, held)], pa.string())
 
     def decode(self, ids: np.ndarray) -> str:
         return self.decode_column(pa.array([ids.astype("<u4").tobytes()], pa.binary()))[0].as_py()
@@ -444,6 +445,11 @@ def transducer(path: str) -> Transducer:
     return Transducer(read_model(path))
 
 
+@functools.lru_cache(maxsize=1)
+def inverse(path: str) -> Inverse:
+    return Inverse(read_model(path))
+
+
 def default_model() -> str:
     import public_tokenizers
 
@@ -478,7 +484,7 @@ def decode_pieces(ids: DataFrame, *, model: str | None = None, keep: tuple[str,
         for b in batches:
             for i in range(0, b.num_rows, 1024):
                 part = b.slice(i, 1024)
-                text = transducer(path).decode_column(part.column(len(keep)))
+                text = inverse(path).decode_column(part.column(len(keep)))
                 yield pa.record_batch([*part.columns[: len(keep)], text], names=[*keep, "text"])
 
     return picked.mapInArrow(run, f"{schema}, text string")
