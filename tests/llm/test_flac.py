@@ -91,3 +91,74 @@ def test_blocks_have_sample_offsets(spark):
     rows = sorted(flac.pcm_blocks(media, "media", keep=["id"], samples=1000).collect())
     assert [(r["block"], r["sample_offset"], r["n_samples"]) for r in rows] == [(0, 0, 1000), (1, 1000, 1000), (2, 2000, 1000)]
     assert b"".join(bytes(r["pcm"]) for r in rows) == b"abc" * 1000
+
+
+def slow_decode(stream):
+    """A decoder of mono 8-bit streams with one partition a frame, a bit at a time, straight from the format."""
+    at = 4
+    while True:
+        last, n = stream[at] >> 7, int.from_bytes(stream[at + 1 : at + 4], "big")
+        if stream[at] & 127 == 0:
+            total = int.from_bytes(stream[at + 14 : at + 22], "big") & (1 << 36) - 1
+        at += 4 + n
+        if last:
+            break
+    bits = "".join(format(b, "08b") for b in stream[at:])
+    out, p = [], 0
+
+    def take(n, signed=False):
+        nonlocal p
+        v = int(bits[p : p + n] or "0", 2)
+        p += n
+        return v - (v >> n - 1 << n) if signed and n else v
+
+    while len(out) < total:
+        assert take(14) == 0b11111111111110 and take(2) == 0
+        size, _ = take(4), take(12)
+        more = 0
+        while take(1):
+            more += 1
+        take(7 - more + 8 * (more - 1) if more else 7)
+        n = {2: 576, 7: None}[size] or take(16) + 1
+        take(8 + 1)
+        kind, _ = take(6), take(1)
+        if kind == 0:
+            x = [take(8, True)] * n
+        elif kind == 1:
+            x = [take(8, True) for _ in range(n)]
+        else:
+            o = kind - 8 if kind < 32 else kind - 31
+            x = [take(8, True) for _ in range(o)]
+            c, shift = {0: [], 1: [1], 2: [2, -1], 3: [3, -3, 1], 4: [4, -6, 4, -1]}.get(o, []), 0
+            if kind >= 32:
+                width = take(4) + 1
+                shift = take(5, True)
+                c = [take(width, True) for _ in range(o)]
+            assert take(2) == 0 and take(4) == 0
+            k = take(4)
+            for _ in range(n - o):
+                q = bits.index("1", p) - p
+                p += q + 1
+                u = q << k | take(k)
+                x.append((u >> 1 if u % 2 == 0 else -(u + 1 >> 1)) + (sum(a * b for a, b in zip(c, x[::-1])) >> shift))
+        p = -(-p // 8) * 8 + 16
+        out += x
+    return bytes(v + 128 for v in out)
+
+
+def test_streams_are_read_by_a_slow_decoder():
+    for p in PAYLOADS:
+        for orders, lpc in (((0, 1, 2), 4), ((), 3), ((3, 4), 0)):
+            assert slow_decode(flac.encode([p], orders, lpc)[0]) == p
+    x = np.frombuffer(PAYLOADS[6] + PAYLOADS[7], np.uint8)
+    assert sum(len(flac.encode([x.tobytes()], (0, 1, 2), k)[0]) for k in (4,)) < len(flac.encode([x.tobytes()], (0, 1, 2), 0)[0])
+
+
+def test_feature_against_plain_sums():
+    for p in (b"", b"\x80", bytes(range(256)), R.randbytes(999)):
+        x = [b - 128 for b in p]
+        want = "rms=0.000;peak=0;mean=0.000;crossings=0"
+        if x:
+            rms, mean = (sum(v * v for v in x) / len(x)) ** 0.5, sum(x) / len(x)
+            want = f"rms={rms:.3f};peak={max(map(abs, x))};mean={mean:.3f};crossings={sum((a < 0) != (b < 0) for a, b in zip(x, x[1:]))}"
+        assert flac.feature(np.array(x, np.int64).reshape(-1, 1)) == want

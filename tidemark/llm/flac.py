@@ -104,22 +104,22 @@ def lpc(x: np.ndarray, order: int, precision: int = 12) -> tuple[np.ndarray, np.
     top = np.maximum(np.abs(a).max(1), 1e-9)
     shift = np.clip(precision - 2 - np.ceil(np.log2(top)).astype(int), 0, 15)
     limit = (1 << precision - 1) - 1
-    return np.clip(np.rint(a * (1 << shift)[:, None]), -limit - 1, limit).astype(np.int64), shift
+    return np.clip(np.rint(a * (1 << shift)[:, None]), -limit - 1, limit).astype(np.int32), shift.astype(np.int32)
 
 
 def _fold(e: np.ndarray) -> np.ndarray:
-    return np.where(e < 0, -2 * e - 1, 2 * e)
+    return (e << 1) ^ (e >> 8 * e.itemsize - 1)
 
 
 def _bits_for(total: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """About the fewest bits of n Rice codes with the sum ``total``, and their parameter."""
     k = np.arange(15)
-    cost = n * (1 + k) + np.maximum(0, total[:, None] - n * ((1 << k) - 1) / 2) / (1 << k)
+    cost = n * (1 + k) + np.maximum(0, total[:, None].astype(float) - n * ((1 << k) - 1) / 2) / (1 << k)
     best = cost.argmin(1)
     return cost[np.arange(len(total)), best], best
 
 
-def encode(payloads: list[bytes], orders: tuple[int, ...] = (0, 1, 2, 3, 4), lpc_order: int = 4) -> list[bytes]:
+def encode(payloads: list[bytes], orders: tuple[int, ...] = (0, 1, 2), lpc_order: int = 4) -> list[bytes]:
     """A FLAC stream of one channel of 8-bit samples (byte - 128) for each payload; any length, also none.
 
     Each frame takes what is shortest by estimate: samples as they are, a fixed predictor of ``orders``, or a general one
@@ -145,7 +145,7 @@ def _groups(sizes: list[int]) -> Iterator[list[int]]:
 
 def _encode(payloads: list[bytes], orders: tuple[int, ...], lpc_order: int) -> list[bytes]:
     full = [len(p) // BLOCK for p in payloads]
-    x = np.frombuffer(b"".join(p[: n * BLOCK] for p, n in zip(payloads, full)), np.uint8).astype(np.int64).reshape(-1, BLOCK) - 128
+    x = np.frombuffer(b"".join(p[: n * BLOCK] for p, n in zip(payloads, full)), np.uint8).astype(np.int32).reshape(-1, BLOCK) - 128
     frames = _frames(x, [i for n in full for i in range(n)], orders, lpc_order) if len(x) else []
     out, at = [], 0
     for p, n in zip(payloads, full):
@@ -188,7 +188,7 @@ def _frames(x: np.ndarray, numbers: list[int], orders: tuple[int, ...], lpc_orde
     best = np.full(count, 8.0 * n)
     order, param, kind = np.zeros(count, int), np.zeros(count, int), np.full(count, 1)
     res = x.copy()
-    coefs, shift = np.zeros((count, 0), np.int64), np.zeros(count, int)
+    coefs, shift = np.zeros((count, 0), np.int32), np.zeros(count, int)
     e = x
     for o in range(max(orders, default=-1) + 1):
         if o:
@@ -214,7 +214,7 @@ def _frames(x: np.ndarray, numbers: list[int], orders: tuple[int, ...], lpc_orde
     u = _fold(res)
     rice = kind >= 8
     head_bits = np.where(rice, 8 * order + np.where(kind >= 32, 9 + 12 * order, 0) + 10, 0)
-    code_bits = (u >> param[:, None]) + 1 + param[:, None]
+    code_bits = (u >> param[:, None].astype(np.int32)) + (1 + param[:, None]).astype(np.int32)
     code_bits[np.arange(n)[None, :] < order[:, None]] = 0
     code_bits[~rice] = 0
     body = np.where(rice, head_bits + code_bits.sum(1), body)
@@ -379,35 +379,37 @@ def _subframes(r: Bits, p: np.ndarray, n: int, bits: np.ndarray) -> tuple[np.nda
         rows = np.flatnonzero(kind == k)
         o = k - 8 if k < 32 else k - 31
         q, b = p[rows], bits[rows]
+        own = np.zeros((n, len(rows)), np.int64)  # a row per sample, so that a step reads and writes whole rows
         for i in range(o):
-            x[rows, i] = r.signed(q, b)
+            own[i] = r.signed(q, b)
             q = q + b
         if k >= 32:
             precision, shift = r.get(q, 4) + 1, r.signed(q + 4, 5)
             q = q + 9
-            coefs = np.zeros((len(rows), o), np.int64)
+            coefs = np.zeros((o, len(rows)), np.int64)
             for i in range(o):
-                coefs[:, i] = r.signed(q, precision)
+                coefs[i] = r.signed(q, precision)
                 q = q + precision
         else:
-            shift, coefs = np.zeros(len(rows), np.int64), np.tile(np.array(FIXED[o], np.int64), (len(rows), 1))
+            shift, coefs = 0, FIXED[o]
         e, q = _rice(r, q, n, o)
-        for i in range(o, n):
-            guess = (coefs * x[rows, i - o : i][:, ::-1]).sum(1) >> shift if o else 0
-            x[rows, i] = e[:, i] + guess
+        own[o:] = e[o:]
+        for i in range(o, n) if o else ():
+            own[i] += sum(c * own[i - 1 - j] for j, c in enumerate(coefs)) >> shift
+        x[rows] = own.T
         p[rows] = q
     return x << wasted[:, None], p
 
 
 def _rice(r: Bits, p: np.ndarray, n: int, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Residuals from bit p on: Rice codes in partitions, each with its parameter or raw."""
+    """Residuals from bit p on, a row per sample: Rice codes in partitions, each with its parameter or raw."""
     wide = r.get(p, 2)
     if (wide > 1).any():
         raise ValueError("a reserved coding of residuals")
     part = n >> r.get(p + 2, 4)
     p = p + 6
     width = 4 + wide
-    u = np.zeros((len(p), n), np.int64)
+    u = np.zeros((n, len(p)), np.int64)
     k, raw = np.zeros_like(p), np.zeros(len(p), bool)
     smallest = np.unique(part)
     for i in range(order, n):
@@ -423,15 +425,15 @@ def _rice(r: Bits, p: np.ndarray, n: int, order: int) -> tuple[np.ndarray, np.nd
         if raw.any():
             rows = np.flatnonzero(raw)
             v = np.where(k[rows] > 0, r.signed(p[rows], np.maximum(k[rows], 1)), 0)
-            u[rows, i] = _fold(v)
+            u[i, rows] = _fold(v)
             p[rows] += k[rows]
             rows = np.flatnonzero(~raw)
             q, at = r.unary(p[rows])
-            u[rows, i] = q << k[rows] | r.get(at, k[rows])
+            u[i, rows] = q << k[rows] | r.get(at, k[rows])
             p[rows] = at + k[rows]
         else:
             q, at = r.unary(p)
-            u[:, i] = q << k | r.get(at, k)
+            u[i] = q << k | r.get(at, k)
             p = at + k
     return u >> 1 ^ -(u & 1), p
 
