@@ -13,6 +13,7 @@ only), so variants are made just for lines that share such an anchor.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from struct import unpack
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +39,7 @@ def split_lines(text: str | None) -> list[tuple[str, list[bytes]]]:
 
 def line_hash(words: list[bytes]) -> tuple[int, int]:
     """128 bits of a line's words as two signed longs; white space between words doesn't count."""
-    h = np.frombuffer(xxhash.xxh3_128_digest(b" ".join(words)), "<i8")
-    return int(h[0]), int(h[1])
+    return unpack("<qq", xxhash.xxh3_128_digest(b" ".join(words)))
 
 
 def units(words: list[bytes]) -> tuple[list[bytes], int]:
