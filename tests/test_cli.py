@@ -34,6 +34,14 @@ def test_queries(spark, run_file, capsys):
     assert "considered_entities=3" in err and out.count("/agent/") == 6
 
 
+def test_rows_fetched_once_and_files_capped(spark, run_file, capsys, tmp_path):
+    out, err = said(capsys, "--json", "query", "range", "--input", run_file, "--kind", "scalar", "--start", "0", "--end", "30000000", "--store", f"file://{tmp_path}/s", "--batch-rows", "7")
+    assert sum("unit" in json.loads(x) for x in out.splitlines()) == 6
+    summary = next(json.loads(x) for x in out.splitlines() if '"ingest"' in x)["ingest"]
+    assert summary["max_batch_rows"] == 7 and summary["batches_flushed"] > 20
+    assert max(x.stat().st_size for x in (tmp_path / "s/versions").iterdir()) < 1000
+
+
 def test_errors_and_ingest(spark, run_file, capsys):
     assert cli.main(["op", "speed", "--input", run_file, "--entity", "agent"]) == 2
     assert cli.main(["op", "proximity", "--input", run_file, "--at", "1", "--radius", "-1"]) == 2
@@ -55,7 +63,10 @@ def test_bench_and_figures(spark, tmp_path):
     assert rows["ingest", "8x500"] == 4840 and rows["latest_at", "8x500"] == 8 and rows["range_scan", "8x500"] == 125
     assert rows["proximity", "50 nested"] == rows["proximity", "50 grid"] == 1225 and rows["speed", "200"] == 199
     report["scenarios"] += [s | {"n": s["n"] * 2} for s in report["scenarios"]]
-    assert all(p.endswith(".svg") for p in benchmarks.figures(report, f"{tmp_path}/figs"))
+    paths = benchmarks.figures(report, f"{tmp_path}/figs")
+    assert all(p.endswith(".svg") and 'class="p95"' in open(p).read() for p in paths)
+    benchmarks.write_report(report, f"{tmp_path}/bench.json")
+    assert cli.main(["figs", "--from", f"{tmp_path}/bench.json", "--out", f"{tmp_path}/more"]) == 0
 
 
 def test_reporters():

@@ -1,6 +1,7 @@
 """Hand-made fixtures of the operators, the store and the plan counters."""
 
 import hashlib
+import json
 import struct
 
 import pytest
@@ -110,6 +111,36 @@ def test_proximity_arguments(spark):
     assert engine.proximity_pairs(s, 1, 1.0).considered() == 3
 
 
+@pytest.mark.parametrize("scale,radius", [(1.0, 2.0), (1e12, 2.0), (2.0**31, 2.5), (1e300, 1e280), (1e-300, 2e-300), (1e-160, 0.0), (1e-320, 1e-320), (1.0, 1e200)])
+def test_near_pairs_at_every_scale(spark, scale, radius):
+    import random
+
+    r = random.Random(3)
+    far = [(f"/e/{i:03}", *(float(scale * r.choice([0, 1, -1, 1 + 2**-31, r.random()]) + radius * r.choice([0, 0.4, 1, -1.5])) for _ in "xyz")) for i in range(60)]
+    far += [("/edge/0", radius * 2.0**30, 0.0, 0.0), ("/edge/1", radius * (2.0**30 + 1), 0.0, 0.0), ("/edge/2", radius * (2.0**30 - 0.5), radius / 2, 0.0), ("/e/neg", -0.0, 0.0, 0.0)]
+    df = spark.createDataFrame(far, "entity_path string, tx double, ty double, tz double")
+    pairs = lambda method: [tuple(x) for x in operators.near_pairs(df, 7, radius, method=method).collect()]
+    assert pairs("auto") == pairs("nested") and pairs("auto")
+
+
+def test_near_pairs_join_on_equal_keys(spark):
+    df = spark.createDataFrame([("/a", 1.0, 2.0, 3.0)], "entity_path string, tx double, ty double, tz double")
+    for radius in (0.0, 0.5):
+        plan = operators.near_pairs(df, 0, radius)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join Inner, " in plan and "__tx" in plan and "__tz" in plan
+
+
+@pytest.mark.parametrize("span", [None, 1, 3, 7, 10**12])
+def test_speed_does_not_depend_on_spans(spark, span):
+    import random
+
+    r = random.Random(2)
+    rows = [(f"/e/{r.randrange(3)}", r.randrange(-20, 40), r.randrange(9)) for _ in range(120)]
+    t = snap(spark, rows).table("Transform3D")
+    want = [tuple(x) for x in operators.speed_over_ground(t, span_ns=None).collect()]
+    assert [tuple(x) for x in operators.speed_over_ground(t, span_ns=span).collect()] == want and len(want) > 60
+
+
 def test_speed(spark):
     s = snap(spark, [("/a", i * B, i) for i in range(11)])
     r = engine.speed_over_ground(s, "/a")
@@ -222,3 +253,77 @@ def test_operators_against_brute_force(spark, rows, at):
     for method in ("grid", "nested"):
         got = engine.proximity_pairs(s, at, 1.5, method).rows.collect()
         assert [(r["entity_a"], r["entity_b"]) for r in got] == pairs
+
+
+def test_versions_stay_small(spark, tmp_path, monkeypatch):
+    from tidemark.sources import store as stores
+
+    monkeypatch.setattr(stores, "CHAIN", 3)
+    store = Store(spark, f"file://{tmp_path}/s")
+    held = []
+    for i in range(8):
+        store.append("Transform3D", poses(spark, [("/a", i, i)]))
+        held.append(store.snapshot())
+    assert all(len(json.loads(store.files.read(f"versions/{v:012d}.json"))["commits"]) < 3 for v in range(1, 9))
+    assert [s.total_rows() for s in held] == list(range(1, 9)) and store.snapshot(5).total_rows() == 5
+    assert [r["tx"] for r in store.snapshot().table("Transform3D").orderBy("ingest_seq").collect()] == list(range(8))
+    store.compact()
+    assert store.snapshot().total_rows() == 8 and len(store._commits(store._latest())) == 1
+
+
+def test_of_two_writers_one_publishes_a_version(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    stores = [Store(spark, f"file://{tmp_path}/s") for _ in range(2)]
+    stores[0].append("Transform3D", poses(spark, [("/a", 0, 0)]))
+
+    def write(k):
+        wins = 0
+        for i in range(6):
+            try:
+                stores[k].append("Transform3D", poses(spark, [(f"/{k}", i, i)]))
+                wins += 1
+            except errors.VersionConflict:
+                pass
+        return wins
+
+    with ThreadPoolExecutor(2) as pool:
+        wins = sum(pool.map(write, (0, 1)))
+    assert stores[0].version() == 1 + wins and stores[0].snapshot().total_rows() == 1 + wins
+    assert not [n for n in stores[0].files.names("versions") if n.endswith(".draft")]
+
+
+def test_readers_beside_a_writer_see_whole_versions(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    store, done = Store(spark, f"file://{tmp_path}/s"), []
+
+    def write():
+        for i in range(12):
+            store.append("Transform3D", poses(spark, [(f"/e/{k}", i, k) for k in range(4)]))
+        done.append(True)
+
+    def read(_):
+        seen = []
+        while not done or not seen:
+            s = Store(spark, f"file://{tmp_path}/s").snapshot()
+            seen.append((s.total_rows(), s.table("Transform3D").count()))
+        return seen
+
+    with ThreadPoolExecutor(4) as pool:
+        writer, readers = pool.submit(write), [pool.submit(read, k) for k in range(3)]
+        writer.result()
+        for seen in (r.result() for r in readers):
+            assert all(a == b and a % 4 == 0 for a, b in seen) and seen == sorted(seen)
+    assert store.snapshot().total_rows() == 48
+
+
+def test_scaled_tables(spark):
+    config = generator.GenConfig(agents=5, ticks=40, image_every=15, scalar_every=7)
+    tables = generator.scaled_tables(spark, config)
+    s = snapshot_of(spark, tables)
+    assert s.count_by_kind() == generator.count_by_kind(generator.run_events(config))
+    exact = {(e["t_ns"], e["entity_path"]): e["payload"] for e in generator.run_events(config) if e["payload"]["kind"] == "Scalar"}
+    got = {(r["t_ns"], r["entity_path"]): r["value"] for r in tables["Scalar"].collect()}
+    assert got == {k: p["value"] for k, p in exact.items()}
+    assert {r["uri"] for r in tables["ImageRef"].collect()} == {e["payload"]["uri"] for e in generator.run_events(config) if e["payload"]["kind"] == "ImageRef"}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark import schema
 from tidemark.sources import generator, jsonl
 from tidemark.sources.store import Store
-from tidemark.streaming import IngestSummary, ingest_file, ingest_rows, ingest_stream
+from tidemark.streaming import IngestSummary, cancel, ingest_file, ingest_rows, ingest_stream
 
 
 def event(t=1, payload=None, **more):
@@ -86,7 +86,8 @@ def test_stream_equals_batch_and_repeats_change_nothing(spark, tmp_path):
     ingest_file(spark, f"{tmp_path}/in", batch)
     total = IngestSummary()
     q = ingest_stream(spark, f"{tmp_path}/in", live, f"{tmp_path}/cp", summary=total, files_per_trigger=1)
-    assert q.awaitTermination(120) and total.rows_emitted == len(events) and total.batches_flushed == 3
+    assert q.awaitTermination(120) and total.rows_emitted == len(events)
+    assert total.batches_flushed == sum(len({e["payload"]["kind"] for e in events[i::3]}) for i in range(3))  # a file of each kind
     held = live.snapshot()
     for kind in ("Transform3D", "Scalar", "ImageRef"):
         a, b = (s.table(kind).drop("ingest_seq").collect() for s in (batch.snapshot(), live.snapshot()))
@@ -97,7 +98,7 @@ def test_stream_equals_batch_and_repeats_change_nothing(spark, tmp_path):
     assert live.snapshot().total_rows() == len(events) + 1 and held.total_rows() == len(events)
     version = live.version()
     lines = spark.createDataFrame([(j(event()), 0)], "value string, ingest_seq long")
-    assert live.append_events(jsonl.decode(lines), live._latest()["done"][0]) == version
+    assert live.append_events(jsonl.decode(lines), next(iter(live._latest()["done"].items()))) == version
 
 
 def test_stream_keeps_the_order_of_lines_in_split_files(spark, tmp_path):
@@ -113,3 +114,30 @@ def test_stream_keeps_the_order_of_lines_in_split_files(spark, tmp_path):
     rows = store.snapshot().table("Annotation").orderBy("ingest_seq").collect()
     assert [r["label"] for r in rows] == [f"{f}-{i:04}" for f in (0, 1) for i in range(400)]
     assert len({r["ingest_seq"] for r in rows}) == 800
+
+
+def test_batches_have_a_row_cap_and_are_counted_by_kind(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    lines = [j(event(t, SCALAR)) for t in range(25)] + [j(event(t)) for t in range(7)] + [j(event(-1))]
+    (tmp_path / "in/a.jsonl").write_text("\n".join(lines))
+    store = Store(spark, f"file://{tmp_path}/s")
+    s = ingest_file(spark, f"{tmp_path}/in", store, batch_rows=10)
+    assert (s.events_received, s.events_rejected, s.rows_emitted, s.batches_flushed, s.max_batch_rows) == (33, 1, 32, 4, 10)
+    name = store._commits(store._latest())[0]["name"]
+    assert len(list((tmp_path / f"s/data/{name}/kind=Scalar").glob("*.parquet"))) == 3
+    assert sorted(r[0] for r in store.snapshot().table("Scalar").select("ingest_seq").collect()) == list(range(25))
+
+
+def test_a_cancelled_stream_says_so_and_goes_on(spark, tmp_path):
+    generator.write_jsonl([event(t) for t in range(5)], f"{tmp_path}/in/0.jsonl")
+    store, told = Store(spark, f"file://{tmp_path}/s"), IngestSummary()
+    q = ingest_stream(spark, f"{tmp_path}/in", store, f"{tmp_path}/cp", summary=told, delay_ms=100)
+    q.processAllAvailable()
+    cancel(q, told)
+    cancel(q, told)
+    assert told.cancelled and told.rows_emitted == 5 and not q.isActive
+    generator.write_jsonl([event(9)], f"{tmp_path}/in/1.jsonl")
+    told = IngestSummary()
+    assert ingest_stream(spark, f"{tmp_path}/in", store, f"{tmp_path}/cp", summary=told).awaitTermination(120)
+    cancel(q, told)
+    assert (told.cancelled, told.rows_emitted, store.snapshot().total_rows()) == (False, 1, 6)

@@ -15,7 +15,8 @@ from tidemark import engine
 from tidemark.schema import SEQ
 from tidemark.sources.generator import GenConfig, line, run_events
 from tidemark.sources.jsonl import decode, table_of
-from tidemark.sources.store import Snapshot, snapshot_of
+from tidemark.sources.scratch import scratch
+from tidemark.sources.store import Snapshot, Store, snapshot_of
 
 
 def percentile(values: list[float], q: float) -> float:
@@ -70,9 +71,9 @@ def run_all(spark: SparkSession, samples: int = 51, small: bool = False) -> dict
 
     for agents, ticks in pick(INGEST):
         lines = [(i, line(e)) for i, e in enumerate(run_events(GenConfig(agents=agents, ticks=ticks)))]
-        df = spark.createDataFrame(lines, f"{SEQ} long, value string").persist()
-        df.count()
-        us = measure(lambda df=df: decode(df).where("event is not null").count(), samples)
+        events = decode(spark.createDataFrame(lines, f"{SEQ} long, value string")).persist()
+        events.count()
+        us = measure(lambda events=events: Store(spark, scratch(spark, "bench")).append_events(events), samples)
         out.append(_row("ingest", f"{agents}x{ticks}", len(lines), len(lines), us, events_per_s=len(lines) / percentile(us, 0.5) * 1e6))
     for agents, ticks in pick(LATEST):
         r = engine.latest_at(snap(agents, ticks), "Transform3D", ticks // 2 * TICK).rows
@@ -96,19 +97,20 @@ def write_report(report: dict, path: str) -> None:
     Path(path).write_text(json.dumps(report, indent=1))
 
 
-def chart(title: str, points: list[tuple[float, float]], slope: int | None = None) -> str:
-    """An SVG of microseconds against size on logarithmic axes, with a line of the given slope."""
+def chart(title: str, points: list[tuple[float, float, float]], slope: int | None = None) -> str:
+    """An SVG of p50 (full) and p95 (dashed) against size on logarithmic axes, with a line of the given slope."""
     width, height, pad = 480, 320, 50
-    xs, ys = [math.log10(x) for x, _ in points], [math.log10(y) for _, y in points]
-    low, high = min(ys) - 0.2, max(ys) + 0.2
+    xs, ys, tops = ([math.log10(p[i]) for p in points] for i in range(3))
+    low, high = min(ys) - 0.2, max(*ys, *tops) + 0.2
     left, right = min(xs), max(max(xs), min(xs) + 0.1)
     at = lambda x, y: (pad + (x - left) / (right - left) * (width - 2 * pad), height - pad - (y - low) / (high - low) * (height - 2 * pad))
     line_of = lambda pairs: " ".join(f"{a:.1f},{b:.1f}" for a, b in (at(*p) for p in pairs))
     marks = "".join(f'<circle cx="{a:.1f}" cy="{b:.1f}" r="3"/><text x="{a:.1f}" y="{height - 30}" font-size="10">{10**x:.0f}</text>' for (a, b), x in ((at(x, y), x) for x, y in zip(xs, ys)))
     guide = "" if slope is None else f'<polyline points="{line_of([(left, ys[0]), (right, ys[0] + slope * (right - left))])}" fill="none" stroke="gray" stroke-dasharray="4"/>'
     return (
-        f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}"><text x="{pad}" y="24">{title}, p50 in microseconds</text>'
+        f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}"><text x="{pad}" y="24">{title}, p50 and p95 (dashed) in microseconds</text>'
         f'<polyline points="{line_of(zip(xs, ys))}" fill="none" stroke="black"/>{guide}{marks}'
+        f'<polyline class="p95" points="{line_of(zip(xs, tops))}" fill="none" stroke="black" stroke-dasharray="6 3"/>'
         f'<text x="5" y="{pad}" font-size="10">{10**high:.0f}</text><text x="5" y="{height - pad}" font-size="10">{10**low:.0f}</text></svg>'
     )
 
@@ -120,6 +122,6 @@ def figures(report: dict, folder: str) -> list[str]:
     for suite in dict.fromkeys(s["suite"] for s in report["scenarios"]):
         rows = [s for s in report["scenarios"] if s["suite"] == suite and s.get("method", "grid") == "grid"]
         path = Path(folder, f"{suite}.svg")
-        path.write_text(chart(suite, [(s["n"], s["p50_us"]) for s in rows], {"proximity": 2, "speed": 1}.get(suite)))
+        path.write_text(chart(suite, [(s["n"], s["p50_us"], s["p95_us"]) for s in rows], {"proximity": 2, "speed": 1}.get(suite)))
         out.append(str(path))
     return out

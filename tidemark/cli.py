@@ -5,16 +5,16 @@ from __future__ import annotations
 import argparse
 import json
 import sys
-import tempfile
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Row, SparkSession
 
 from tidemark import benchmarks, engine
 from tidemark.errors import TidemarkError
 from tidemark.report import JsonReporter, QuerySummary, Reporter, RunSummary, TerminalReporter
 from tidemark.schema import KINDS, entity_path
 from tidemark.sources.generator import GenConfig, count_by_kind, run_events, write_jsonl
+from tidemark.sources.scratch import scratch
 from tidemark.sources.store import Store
 from tidemark.streaming.ingest import IngestSummary, ingest_file
 
@@ -22,12 +22,14 @@ from tidemark.streaming.ingest import IngestSummary, ingest_file
 KIND_ARGUMENTS = dict(zip(("transform3d", "points3d", "scalar", "image-ref", "annotation"), KINDS))
 
 LIMITS = [
-    "A store is a folder of files with versions; it has no transactions over several commits and no deletes.",
-    "Nothing here claims to be compatible with another product's files, protocols or queries.",
-    "Results are checked on synthetic fixtures and the tables of the tests, not on real-world recordings.",
-    "Queries are the operators of this package; SQL comes with Spark's views, without a dialect of its own.",
-    "Benchmark numbers are latencies of one machine on synthetic runs, neither a promise nor a comparison.",
-    "One writer publishes versions at a time; another one's commit fails and has to be repeated.",
+    "One writer at a time commits to a store; a commit that meets another one raises VersionConflict and can be repeated.",
+    "A store needs a file system whose rename is one step and refuses a taken name.",
+    "Rows of a store can't be changed or deleted; compaction leaves the files of older versions where they are.",
+    "A proximity query returns every near pair, so its result grows with the square of a crowd within one radius.",
+    "Speed needs all samples of an entity within a span (an hour unless told otherwise) in one task.",
+    "The exact generator draws its numbers one after another in one process; large runs come from scaled_run, with other numbers.",
+    "Query and op commands print results that fit the driver; without --store they ingest into a folder of this machine, so on a local master only.",
+    "Times are 64-bit nanoseconds; bounds on a timestamp column are those of its microseconds.",
 ]
 
 
@@ -50,7 +52,7 @@ def parser() -> argparse.ArgumentParser:
     i = sub.add_parser("ingest", help="read JSON lines and print counters")
     i.add_argument("--input", required=True)
     i.add_argument("--producers", type=int, default=1, help="accepted, without effect")
-    i.add_argument("--batch-rows", type=int, default=4096, help="accepted, without effect: Spark sizes its batches")
+    i.add_argument("--batch-rows", type=int, default=4096, help="most rows of a file that is written")
     i.add_argument("--max-delay-ms", type=int, default=50, help="accepted, without effect on a batch")
     i.add_argument("--store", help="folder of a store to append to; without it a temporary one is used")
 
@@ -58,7 +60,8 @@ def parser() -> argparse.ArgumentParser:
         q = sub.add_parser(name)
         q.add_argument("--input", required=True)
         q.add_argument("--explain", action="store_true", help="print all counters of the plan")
-        q.add_argument("--batch-rows", type=int, default=4096, help="accepted, without effect")
+        q.add_argument("--batch-rows", type=int, default=4096, help="most rows of a file that ingest writes")
+        q.add_argument("--store", help="folder of a store to ingest into; without it a temporary one is used")
         return q
 
     kinds = sub.add_parser("query").add_subparsers(dest="query", required=True)
@@ -86,7 +89,7 @@ def parser() -> argparse.ArgumentParser:
     b.add_argument("--samples", type=int, default=51)
     b.add_argument("--small", action="store_true")
     f = sub.add_parser("figs", help="draw a report of bench")
-    f.add_argument("--input", default="out/bench.json")
+    f.add_argument("--from", "--input", dest="input", default="out/bench.json")
     f.add_argument("--out", default="out/figs")
     sub.add_parser("limits", help="what this package doesn't claim")
     return p
@@ -101,33 +104,36 @@ def session() -> SparkSession:
     )
 
 
-def show(rows: DataFrame, as_json: bool) -> None:
-    """Rows as a table, or as a JSON object per line."""
+def show(rows: list[Row], names: list[str], as_json: bool) -> None:
+    """Rows as a table, or as a JSON object per line; a field that is null is left out of its object."""
     if as_json:
-        for x in rows.toJSON().toLocalIterator():
-            print(x)
+        for r in rows:
+            print(json.dumps({k: v for k, v in r.asDict(True).items() if v is not None}))
         return
-    n = rows.count()
-    if n:
-        rows.show(n, truncate=False)
-    else:
+    if not rows:
         print("result=empty")
+        return
+    cells = [names, *([str(v) for v in r] for r in rows)]
+    widths = [max(map(len, column)) for column in zip(*cells)]
+    rule = "+" + "+".join("-" * w for w in widths) + "+"
+    lines = ["|" + "|".join(x.rjust(w) for x, w in zip(row, widths)) + "|" for row in cells]
+    print("\n".join([rule, lines[0], rule, *lines[1:], rule]))
 
 
-def _load(spark: SparkSession, path: str, say: Reporter, root: str | None = None) -> tuple[Store, IngestSummary]:
-    say.step(f"ingest {path}")
-    store = Store(spark, root or "file://" + tempfile.mkdtemp(prefix="tidemark-"))
-    return store, ingest_file(spark, path, store)
+def _load(spark: SparkSession, args, say: Reporter) -> tuple[Store, IngestSummary]:
+    say.step(f"ingest {args.input}")
+    store = Store(spark, args.store or scratch(spark, "store"))
+    return store, ingest_file(spark, args.input, store, batch_rows=args.batch_rows)
 
 
 def _answer(args, r: engine.Result, say: Reporter, ingest: IngestSummary, extra: list[tuple[str, object]]) -> None:
-    plan = r.plan()
+    rows, plan = r.fetch(), r.plan()
     shown = plan.as_dict() if args.explain else {k: plan.as_dict()[k] for k in ("returned_rows", "latency_us")}
     for k, v in shown.items():
         say.counter(k, v)
     for k, v in extra:
         say.info(f"{k}={v}")
-    show(r.rows, args.json)
+    show(rows, r.rows.columns, args.json)
     say.summary(RunSummary(plan.query_type, ingest, QuerySummary.of(plan), [(k, str(v)) for k, v in extra]))
 
 
@@ -150,7 +156,7 @@ def run(args, say: Reporter) -> None:
         benchmarks.write_report(benchmarks.run_all(session(), args.samples, args.small), args.out)
         say.info(args.out)
     elif args.command == "ingest":
-        store, told = _load(session(), args.input, say, args.store)
+        store, told = _load(session(), args, say)
         snap = store.snapshot()
         say.counter("partitions", snap.num_partitions())
         say.counter("rows", snap.total_rows())
@@ -159,7 +165,7 @@ def run(args, say: Reporter) -> None:
         name = getattr(args, "entity", None)
         if name is not None:
             entity_path(name)
-        store, told = _load(session(), args.input, say)
+        store, told = _load(session(), args, say)
         snap, extra = store.snapshot(), []
         if args.command == "query" and args.query == "latest-at":
             r = engine.latest_at(snap, KIND_ARGUMENTS[args.kind], args.at, name)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 
 from tidemark import operators as ops
 from tidemark.functions.time import MAX_NS, MIN_NS, check_bounds
@@ -16,8 +16,9 @@ from tidemark.sources.store import Snapshot
 
 @dataclass
 class Result:
-    """Rows of a query as a DataFrame. ``plan`` runs it and counts; ``considered`` says how many rows the operator had
-    (entities of a proximity query, samples of a speed query)."""
+    """Rows of a query as a DataFrame. ``fetch`` brings them to the driver once and keeps them; ``plan`` counts, running the
+    query only if nothing was fetched; ``considered`` says how many rows the operator had (entities of a proximity query,
+    samples of a speed query)."""
 
     rows: DataFrame
     _snapshot: Snapshot
@@ -25,12 +26,23 @@ class Result:
     _type: str
     _reaches: object
     _considered: DataFrame | None = None
+    _fetched: list[Row] | None = None
+    _us: int = 0
+
+    def fetch(self) -> list[Row]:
+        """All rows, for results that a person reads."""
+        if self._fetched is None:
+            timed = Timed()
+            self._fetched = self.rows.collect()
+            self._us = timed.us()
+        return self._fetched
 
     def plan(self) -> QueryPlan:
         timed = Timed()
+        returned = self.rows.count() if self._fetched is None else len(self._fetched)
+        us = self._us or timed.us()
         plan = plan_of(self._type, self._snapshot.manifest(), self._kind, self._reaches)
-        plan.returned_rows = self.rows.count()
-        plan.latency_us = timed.us()
+        plan.returned_rows, plan.latency_us = returned, us
         return plan
 
     def considered(self) -> int:

@@ -28,6 +28,18 @@ def half_open(t: Column, start_ns: int, end_ns: int) -> Column:
     return (t >= F.lit(start_ns)) & (t < F.lit(end_ns))
 
 
+def timestamps_within(column: str, kind: str, start_ns: int | None = None, end_ns: int | None = None) -> Column:
+    """start <= t < end as bounds on a timestamp column of type ``kind``, which a Parquet scan takes over.
+
+    The column has microseconds, so a bound between two of them is the later one. A bound of None is left out.
+    """
+    out = F.lit(True)
+    for bound, test in ((start_ns, Column.__ge__), (end_ns, Column.__lt__)):
+        if bound is not None:
+            out = out & test(F.col(column), F.timestamp_micros(F.lit(-(-bound // 1000))).cast(kind))
+    return out
+
+
 def nanos(ts: Column) -> Column:
     """Nanoseconds since the epoch of a timestamp of microseconds; the session's time zone must be UTC for one without zone."""
     return F.unix_micros(ts.cast("timestamp")) * F.lit(1000).cast("long")

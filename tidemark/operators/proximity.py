@@ -12,6 +12,11 @@ from tidemark.operators.latest import latest_at
 
 #: Cells from the origin within which rounding can't move a point by more than one cell.
 FAR = 2.0**30
+#: Coordinates below this may differ by so little that the square of the difference is 0.
+TINY = 1e-140
+#: The level of points that lie within FAR cells.
+_PLAIN = -100_000
+_AXES = ("tx", "ty", "tz")
 
 
 def check_radius(radius: float) -> float:
@@ -21,7 +26,7 @@ def check_radius(radius: float) -> float:
 
 
 def _pairs(a: DataFrame, b: DataFrame, at_ns: int, radius: float, on: Column) -> DataFrame:
-    dx, dy, dz = (F.col(f"a.{c}") - F.col(f"b.{c}") for c in ("tx", "ty", "tz"))
+    dx, dy, dz = (F.col(f"a.{c}") - F.col(f"b.{c}") for c in _AXES)
     d2 = dx * dx + dy * dy + dz * dz
     near = on & (F.col("a.entity_path") < F.col("b.entity_path")) & (d2 <= F.lit(radius * radius))
     return a.alias("a").join(b.alias("b"), near).select(
@@ -32,37 +37,68 @@ def _pairs(a: DataFrame, b: DataFrame, at_ns: int, radius: float, on: Column) ->
     )
 
 
+def _same_place(points: DataFrame, at_ns: int, radius: float) -> DataFrame:
+    """Pairs of points whose distance has the square 0: an equality join on the coordinates, tiny ones counting as 0."""
+    keys = [F.when(F.abs(c) < TINY, 0.0).otherwise(F.col(c)).alias(f"__{c}") for c in _AXES]
+    keyed = points.select("*", *keys)
+    on = F.lit(True)
+    for c in _AXES:
+        on = on & (F.col(f"a.__{c}") == F.col(f"b.__{c}"))
+    return _pairs(keyed, keyed, at_ns, radius, on)
+
+
+def _in_cells(points: DataFrame, at_ns: int, radius: float) -> DataFrame:
+    """Pairs of points in neighbouring cells.
+
+    Cells are a little wider than the radius. Points beyond FAR of them are put into cells of the 2**-30th part of their own
+    power of two instead: near points have the same power or neighbouring ones. So every pair meets by equal keys.
+    """
+    cell = radius * (1 + 2.0**-20)
+    far = F.greatest(*(F.abs(c) for c in _AXES))
+    power = F.ceil(F.log2(far)).cast("int")
+    plain = F.lit(_PLAIN)
+    width = F.when(F.col("__level") == plain, F.lit(cell)).otherwise(F.pow(F.lit(2.0), F.col("__level") - 30))
+    key = [F.floor(F.col(c) / F.col("__width")).cast("long").alias(f"__{c}") for c in _AXES]
+    own = points.withColumn("__level", F.when(far < cell * FAR, plain).otherwise(power))
+    own = own.withColumn("__width", width).select("*", *key)
+    levels = (
+        F.when(far < cell * (FAR - 4), F.array(plain))
+        .when(far < cell * (FAR + 4), F.array(plain, power - 1, power, power + 1))
+        .otherwise(F.array(power - 1, power, power + 1))
+    )
+    around = points.withColumn("__level", F.explode(levels)).withColumn("__width", width).select("*", *key)
+    for c in _AXES:
+        k = F.col(f"__{c}")
+        around = around.withColumn(f"__{c}", F.explode(F.array(k - 1, k, k + 1)))
+    on = F.col("a.__level") == F.col("b.__level")
+    for c in _AXES:
+        on = on & (F.col(f"a.__{c}") == F.col(f"b.__{c}"))
+    return _pairs(own, around, at_ns, radius, on)
+
+
 def near_pairs(poses: DataFrame, at_ns: int, radius: float, *, method: str = "auto", ordered: bool = True) -> DataFrame:
     """at_ns, entity_a, entity_b, distance of pairs a < b of rows (entity_path, tx, ty, tz) with d² <= r².
 
-    ``nested`` compares all pairs. ``grid`` joins each point with the 27 cells around it, the cells a little wider than
-    the radius: equal keys, hence a shuffle by cell, and work in proportion to the pairs that are near. ``auto`` takes
-    the grid unless the radius is 0 or has no square, or points lie so far out that cells can't be told apart.
-    Points that aren't finite are near to none.
+    ``auto`` joins on equal keys: on the coordinates where the radius has the square 0, else on the 27 cells around a point,
+    so that work follows the near pairs. Only a radius whose square is infinite makes every pair a candidate, as every
+    pair is in the result then. ``nested`` compares all pairs, for comparison on small inputs. Points that aren't finite are
+    near to none.
     """
     radius = check_radius(radius)
-    points = poses.select("entity_path", *(F.col(c).cast("double").alias(c) for c in ("tx", "ty", "tz")))
-    points = points.where(" and ".join(f"abs({c}) < double('Infinity')" for c in ("tx", "ty", "tz")))
-    cell = radius * (1 + 2.0**-20)
-    if method == "auto":
-        method = "nested"
-        if 0 < cell and math.isfinite(radius * radius) and radius * radius > 0:
-            far = points.agg(F.max(F.greatest(*(F.abs(c) for c in ("tx", "ty", "tz"))))).first()[0]
-            method = "grid" if far is None or far / cell < FAR else "nested"
-    if method == "nested":
+    points = poses.select("entity_path", *(F.col(c).cast("double").alias(c) for c in _AXES))
+    points = points.where(" and ".join(f"abs({c}) < double('Infinity')" for c in _AXES))
+    square = radius * radius
+    if method == "nested" or math.isinf(square):
         out = _pairs(points, points, at_ns, radius, F.lit(True))
+    elif square == 0:
+        out = _same_place(points, at_ns, radius)
     else:
-        keys = [F.floor(F.col(c) / F.lit(cell)).cast("long").alias(k) for c, k in zip(("tx", "ty", "tz"), "ijk")]
-        around = points.select("*", *keys)
-        for k in "ijk":
-            around = around.withColumn(k, F.explode(F.array(F.col(k) - 1, F.col(k), F.col(k) + 1)))
-        on = (F.col("a.i") == F.col("b.i")) & (F.col("a.j") == F.col("b.j")) & (F.col("a.k") == F.col("b.k"))
-        out = _pairs(points.select("*", *keys), around, at_ns, radius, on)
+        out = _in_cells(points, at_ns, radius)
     return out.orderBy("entity_a", "entity_b") if ordered else out
 
 
 def proximity_pairs(poses: DataFrame, at_ns: int, radius: float, *, method: str = "auto", ordered: bool = True) -> DataFrame:
     """``near_pairs`` of where each entity was last seen at ``at_ns``, however long before."""
     check_radius(radius)
-    here = latest_at(poses.select("t_ns", "entity_path", "ingest_seq", "tx", "ty", "tz"), at_ns, ordered=False)
+    here = latest_at(poses.select("t_ns", "entity_path", "ingest_seq", *_AXES), at_ns, ordered=False)
     return near_pairs(here, at_ns, radius, method=method, ordered=ordered)

@@ -5,32 +5,50 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.time import MAX_NS, MIN_NS
+from tidemark.functions.time import MAX_NS, MIN_NS, bucket_of
 from tidemark.operators.ranges import range_scan
 from tidemark.schema import SEQ
 
+#: Time that one task takes of an entity: an hour.
+SPAN_NS = 3_600_000_000_000
+
 
 def speed_over_ground(
-    poses: DataFrame, entity: str | None = None, start_ns: int = MIN_NS, end_ns: int = MAX_NS, *, ordered: bool = True
+    poses: DataFrame,
+    entity: str | None = None,
+    start_ns: int = MIN_NS,
+    end_ns: int = MAX_NS,
+    *,
+    ordered: bool = True,
+    span_ns: int | None = SPAN_NS,
 ) -> DataFrame:
     """entity_path, t_start_ns, t_end_ns, dt_ns, distance_m, speed_mps between samples that follow each other.
 
     Samples are ordered by (t_ns, arrival) within an entity; pairs without a positive time step are left out after
     they were paired, so the last of several samples of one instant is what the next one is measured from. Without
     ``entity`` every entity is worked on at once. The window is half-open.
+
+    An entity's history is dealt out by spans of ``span_ns``; what carries over from one to the next is a row a span. With
+    None an entity is one task.
     """
-    w = Window.partitionBy("entity_path").orderBy("t_ns", SEQ)
-    steps = range_scan(poses, start_ns, end_ns, entity).select(
-        "entity_path", "t_ns", "tx", "ty", "tz", *(F.lag(c).over(w).alias(f"__{c}") for c in ("t_ns", "tx", "ty", "tz"))
-    )
-    dx, dy, dz = (F.col(c) - F.col(f"__{c}") for c in ("tx", "ty", "tz"))
+    names = ["t_ns", "tx", "ty", "tz"]
+    rows = range_scan(poses, start_ns, end_ns, entity).select("entity_path", *names, SEQ)
+    rows = rows.withColumn("__span", F.lit(0).cast("long") if span_ns is None else bucket_of(F.col("t_ns"), span_ns))
+    w = Window.partitionBy("entity_path", "__span").orderBy("t_ns", SEQ)
+    before = F.lag(F.struct(*names)).over(w)
+    steps = rows.select("entity_path", "__span", *names, before.alias("__before"), F.lead("t_ns").over(w).isNull().alias("__last"))
+    if span_ns is not None:
+        by_span = Window.partitionBy("entity_path").orderBy("__span")
+        carried = steps.where("__last").select("entity_path", "__span", F.lag(F.struct(*names)).over(by_span).alias("__carried"))
+        steps = steps.join(carried, ["entity_path", "__span"]).withColumn("__before", F.coalesce("__before", "__carried"))
+    dx, dy, dz = (F.col(c) - F.col(f"__before.{c}") for c in names[1:])
     out = (
-        steps.where(F.col("t_ns") > F.col("__t_ns"))
+        steps.where(F.col("t_ns") > F.col("__before.t_ns"))
         .select(
             "entity_path",
-            F.col("__t_ns").alias("t_start_ns"),
+            F.col("__before.t_ns").alias("t_start_ns"),
             F.col("t_ns").alias("t_end_ns"),
-            (F.col("t_ns") - F.col("__t_ns")).alias("dt_ns"),
+            (F.col("t_ns") - F.col("__before.t_ns")).alias("dt_ns"),
             F.sqrt(dx * dx + dy * dy + dz * dz).alias("distance_m"),
         )
         .withColumn("speed_mps", F.col("distance_m") / (F.col("dt_ns").cast("double") * F.lit(1e-9)))

@@ -136,6 +136,28 @@ def count_by_kind(events) -> dict[str, int]:
     return dict(Counter(e["payload"]["kind"] for e in events))
 
 
+def scaled_tables(spark: SparkSession, config: GenConfig = GenConfig()) -> dict[str, DataFrame]:
+    """The tables of a run of any size by kind, as jobs: poses, scalars and images at their rates."""
+    poses = scaled_run(spark, config).where(F.col("t_ns") % (config.tick_ns * config.pose_every) == 0)
+
+    def every(ticks: int, *columns) -> DataFrame:
+        number = F.floor(F.col("id") / config.agents)
+        rows = spark.range(config.agents * -(-config.ticks // ticks)).select(
+            "id", (number * ticks).cast("long").alias("tick"), F.concat(F.lit("/agent/"), F.col("id") % config.agents).alias("entity_path")
+        )
+        return rows.select((F.col("tick") * config.tick_ns).alias("t_ns"), "entity_path", *columns, F.col("id").alias("ingest_seq"))
+
+    charge = F.lit(1.0) - F.col("tick") / F.lit(float(config.ticks))
+    uri = F.concat(F.lit("synthetic:/"), "entity_path", F.lit("/tick/"), F.col("tick"))
+    return {
+        "Transform3D": poses,
+        "Scalar": every(config.scalar_every, charge.alias("value"), F.lit("ratio").alias("unit")),
+        "ImageRef": every(
+            config.image_every, uri.alias("uri"), F.lit(640).alias("width"), F.lit(480).alias("height"), F.lit("JPEG").alias("format")
+        ),
+    }
+
+
 def scaled_run(spark: SparkSession, config: GenConfig = GenConfig()) -> DataFrame:
     """Poses (t_ns, entity_path, ingest_seq, tx ... qw) of a run of any size, as a job.
 

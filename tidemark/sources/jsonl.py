@@ -62,8 +62,7 @@ def decode(lines: DataFrame, column: str = "value") -> DataFrame:
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """event, blank, ingest_seq of every line of a file or folder.
 
-    The sequence follows files by name and lines by place: a file's splits are numbered in order, and a line adds its
-    number within its task. It grows along each file without gaps mattering, and needs no sort of the data.
+    The sequence follows files by name and lines by place, and needs no sort of the data.
     """
     return decode(in_order(lines_of(spark.read.text(path))))
 
@@ -78,14 +77,19 @@ def lines_of(text: DataFrame) -> DataFrame:
 
 
 def in_order(text: DataFrame) -> DataFrame:
-    """value, ingest_seq: a number for each split, in order of (file, start), then one for each line within its task."""
-    splits = text.select("__file", "__start").distinct().collect()  # a row per split of the input
-    order = {tuple(r): i for i, r in enumerate(sorted(map(tuple, splits)))}
-    numbers = text.sparkSession.createDataFrame([(f, s, i) for (f, s), i in order.items()] or [], "__file string, __start long, __split long")
-    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    numbered = text.withColumn("__row", row).join(F.broadcast(numbers), ["__file", "__start"])
-    seq = F.shiftleft(F.col("__split"), 33).bitwiseOR(F.col("__row"))
-    return numbered.select("value", seq.alias(SEQ))
+    """value, ingest_seq: lines numbered from 0 in order of (file, place), without gaps.
+
+    A split lies in one task; its lines are counted first, a row per split of the input.
+    """
+    numbered = text.withColumn("__row", F.monotonically_increasing_id())
+    splits = numbered.groupBy("__file", "__start").agg(F.min("__row").alias("first"), F.count(F.lit(1)).alias("n")).collect()
+    at, shifts = 0, []
+    for r in sorted(splits, key=lambda r: (r["__file"], r["__start"])):
+        shifts.append((r["__file"], r["__start"], at - r["first"]))
+        at += r["n"]
+    places = F.broadcast(text.sparkSession.createDataFrame(shifts, "__file string, __start long, __shift long"))
+    seq = F.col("__row") + F.col("__shift")
+    return numbered.join(places, ["__file", "__start"]).select("value", seq.alias(SEQ))
 
 
 def table_of(events: DataFrame, kind: str) -> DataFrame:

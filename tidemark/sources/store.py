@@ -1,8 +1,12 @@
 """A versioned store of events.
 
-A commit writes new files for all kinds in one job, then publishes a version: a small JSON file that lists the commits,
-put in place by a rename that fails if the version exists. Files are never changed, so a snapshot, which is the list
-of a version, keeps reading the same rows whatever is appended later. Late rows are always accepted.
+A commit writes new files for all kinds in one job, then publishes a version: a small JSON file, put in place by a rename
+that fails if the version exists. So a store may lie on file systems whose rename is one step and refuses a taken
+name: HDFS and local ones, but not object stores that rename by copying. Files are never changed, so a snapshot,
+which is the list of a version's commits, keeps reading the same rows whatever is appended later. Late rows are always
+accepted.
+
+A version lists the commits since the last base, a file that lists all before it and is written every CHAIN commits.
 """
 
 from __future__ import annotations
@@ -19,6 +23,8 @@ from tidemark.functions.time import BUCKET_NS, bucket_of
 from tidemark.plans.manifest import manifest_of, merge_manifests
 from tidemark.schema import BUCKET, KINDS, SEQ, check_kind, check_table, columns, schema
 
+#: Commits that a version lists beside its base.
+CHAIN = 64
 _MANIFEST = "kind string, bucket_start_ns long, rows long, t_min_ns long, t_max_ns long"
 
 
@@ -55,6 +61,16 @@ class Files:
             raise VersionConflict(f"{name} was published by another writer")
 
 
+@dataclass(frozen=True)
+class Flushed:
+    """What a commit wrote of a kind: its files, their rows, and the rows of the largest file."""
+
+    kind: str
+    files: int
+    rows: int
+    largest: int
+
+
 @dataclass(frozen=True)
 class Snapshot:
     """An immutable view: a table of each kind that has rows, and the manifest of its partitions."""
@@ -124,32 +140,43 @@ class Store:
     def _latest(self) -> dict:
         numbers = [int(n[:-5]) for n in self.files.names("versions") if n.endswith(".json")]
         if not numbers:
-            return {"version": 0, "commits": [], "next_seq": 0, "done": []}
+            return {"version": 0, "base": None, "commits": [], "next_seq": 0, "done": {}}
         return json.loads(self.files.read(f"versions/{max(numbers):012d}.json"))
 
+    def _commits(self, version: dict) -> list[dict]:
+        """All commits of a version."""
+        before = json.loads(self.files.read(f"bases/{version['base']}.json")) if version["base"] else []
+        return before + version["commits"]
+
     def version(self) -> int:
         return self._latest()["version"]
 
-    def append(self, kind: str, rows: DataFrame) -> int:
-        """Append rows of one kind; no rows make no version. Returns the version."""
+    def append(self, kind: str, rows: DataFrame, *, batch_rows: int | None = None) -> int:
+        """Append rows of one kind in files of at most ``batch_rows``; no rows make no version. Returns the version."""
         check_table(rows, kind)
         if SEQ not in rows.columns:
             rows = rows.withColumn(SEQ, F.monotonically_increasing_id())
-        return self._commit({kind: rows})
+        return self._commit({kind: rows}, batch_rows=batch_rows)
 
-    def append_events(self, events: DataFrame, batch: str | None = None) -> int:
-        """Append decoded events (event, ingest_seq) of all kinds in one commit.
+    def append_events(
+        self, events: DataFrame, batch: tuple[str, int] | None = None, *, batch_rows: int | None = None, told: list[Flushed] | None = None
+    ) -> int:
+        """Append decoded events (event, ingest_seq) of all kinds in one commit, a kind's in files of at most ``batch_rows``.
 
-        A ``batch`` that was committed before is left out, so a repeated micro-batch changes nothing.
+        ``batch`` is a stream and the number of its micro-batch, which grows; one that was committed before is left out, so
+        a repeated micro-batch changes nothing. ``told`` gets what was written.
         """
         from tidemark.sources.jsonl import table_of
 
-        if batch is not None and batch in self._latest()["done"]:
-            return self.version()
+        now = self._latest()
+        if batch is not None and batch[1] <= now["done"].get(batch[0], -1):
+            return now["version"]
         valid = events.where("event is not null and event.t_ns >= 0")
-        return self._commit({k: table_of(valid, k) for k in KINDS}, batch)
+        return self._commit({k: table_of(valid, k) for k in KINDS}, batch, batch_rows, told)
 
-    def _commit(self, tables: dict[str, DataFrame], batch: str | None = None) -> int:
+    def _commit(
+        self, tables: dict[str, DataFrame], batch: tuple[str, int] | None = None, batch_rows: int | None = None, told: list[Flushed] | None = None
+    ) -> int:
         now, name = self._latest(), uuid.uuid4().hex
         wide = None
         for kind, rows in tables.items():
@@ -158,7 +185,8 @@ class Store:
             wide = part if wide is None else wide.unionByName(part, allowMissingColumns=True)
         wide = wide.withColumn(SEQ, F.col(SEQ) + F.lit(now["next_seq"]))
         folder = f"{self.root}/data/{name}"
-        wide.sortWithinPartitions("kind", "t_ns", SEQ).write.partitionBy("kind").parquet(folder)
+        wide = wide.sortWithinPartitions("kind", "t_ns", SEQ)
+        wide.write.option("maxRecordsPerFile", batch_rows or 0).partitionBy("kind").parquet(folder)
         kinds = [n.partition("=")[2] for n in self.files.names(f"data/{name}") if n.startswith("kind=")]
         if not kinds and batch is None:
             return now["version"]
@@ -166,37 +194,46 @@ class Store:
         if kinds:
             rows = self.spark.read.schema(f"t_ns long, {SEQ} long, kind string").parquet(folder)
             manifest_of(rows, F.col("kind"), self.bucket_ns).write.parquet(f"{self.root}/manifest/{name}")
-            top = rows.agg(F.max(SEQ)).first()[0] + 1
+            by_file = rows.groupBy("kind", F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("n"), F.max(SEQ).alias("top"))
+            by_kind = by_file.groupBy("kind").agg(F.count(F.lit(1)).alias("files"), F.sum("n"), F.max("n"), F.max("top")).collect()
+            top = max(r[-1] for r in by_kind) + 1
+            if told is not None:
+                told += [Flushed(*r[:4]) for r in by_kind]
         version = now["version"] + 1
         new = {
             "version": version,
             "bucket_ns": self.bucket_ns,
             "next_seq": top,
+            "base": now["base"],
             "commits": now["commits"] + [{"name": name, "kinds": sorted(kinds)}] * bool(kinds),
-            "done": now["done"] + [batch] * (batch is not None),
+            "done": now["done"] | ({batch[0]: batch[1]} if batch else {}),
         }
+        if len(new["commits"]) >= CHAIN:
+            self.files.publish(f"bases/{name}.json", json.dumps(self._commits(new)))
+            new |= {"base": name, "commits": []}
         self.files.publish(f"versions/{version:012d}.json", json.dumps(new))
         return version
 
     def snapshot(self, version: int | None = None) -> Snapshot:
         """The tables of a version (the latest if none is given), pinned to its files."""
         now = self._latest() if version is None else json.loads(self.files.read(f"versions/{version:012d}.json"))
-        if not now["commits"]:
+        commits = self._commits(now)
+        if not commits:
             return empty_snapshot(self.spark, self.bucket_ns)
         tables = {}
         for kind in KINDS:
-            paths = [f"{self.root}/data/{c['name']}/kind={kind}" for c in now["commits"] if kind in c["kinds"]]
+            paths = [f"{self.root}/data/{c['name']}/kind={kind}" for c in commits if kind in c["kinds"]]
             if paths:
                 ddl = schema(kind).add(SEQ, "long")
                 tables[kind] = self.spark.read.schema(ddl).parquet(*paths)
-        parts = self.spark.read.schema(_MANIFEST).parquet(*(f"{self.root}/manifest/{c['name']}" for c in now["commits"]))
+        parts = self.spark.read.schema(_MANIFEST).parquet(*(f"{self.root}/manifest/{c['name']}" for c in commits))
         return Snapshot(self.spark, self.bucket_ns, tables, parts)
 
     def compact(self, rows_per_file: int = 5_000_000) -> int:
         """Rewrite all commits as one, sorted by time within files, and publish it as a version."""
         now = self._latest()
         snap = self.snapshot()
-        if len(now["commits"]) < 2:
+        if len(self._commits(now)) < 2:
             return now["version"]
         wide = None
         for kind, rows in snap.tables.items():
@@ -209,7 +246,7 @@ class Store:
         )
         snap.manifest().write.parquet(f"{self.root}/manifest/{name}")
         version = now["version"] + 1
-        new = now | {"version": version, "commits": [{"name": name, "kinds": sorted(snap.tables)}]}
+        new = now | {"version": version, "base": None, "commits": [{"name": name, "kinds": sorted(snap.tables)}]}
         self.files.publish(f"versions/{version:012d}.json", json.dumps(new))
         return version
 

@@ -1,5 +1,5 @@
 """Batch and streaming ingest."""
 
-from tidemark.streaming.ingest import IngestSummary, ingest_file, ingest_rows, ingest_stream
+from tidemark.streaming.ingest import IngestSummary, cancel, ingest_file, ingest_rows, ingest_stream
 
-__all__ = ["IngestSummary", "ingest_file", "ingest_rows", "ingest_stream"]
+__all__ = ["IngestSummary", "cancel", "ingest_file", "ingest_rows", "ingest_stream"]

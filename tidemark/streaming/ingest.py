@@ -11,12 +11,15 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.schema import SEQ
 from tidemark.sources.jsonl import decode, in_order, lines_of, read_events
-from tidemark.sources.store import Store
+from tidemark.sources.store import Flushed, Store
 
 
 @dataclass
 class IngestSummary:
-    """What an ingest did. Malformed lines aren't events and count nowhere; rejected are those of negative time."""
+    """What an ingest did. Malformed lines aren't events and count nowhere; rejected are those of negative time.
+
+    A batch is a file of one kind: at most ``batch_rows`` rows of what a task has of it, the last one as many as are left.
+    """
 
     events_received: int = 0
     events_rejected: int = 0
@@ -27,14 +30,14 @@ class IngestSummary:
     wall_ms: float = 0.0
     cancelled: bool = False
 
-    def add(self, received: int, rejected: int) -> None:
-        kept = received - rejected
+    def add(self, received: int, rejected: int, flushed: list[Flushed]) -> None:
         self.events_received += received
         self.events_rejected += rejected
-        self.events_sent += kept
-        self.rows_emitted += kept
-        self.batches_flushed += bool(kept)
-        self.max_batch_rows = max(self.max_batch_rows, kept)
+        self.events_sent += received - rejected
+        for x in flushed:
+            self.rows_emitted += x.rows
+            self.batches_flushed += x.files
+            self.max_batch_rows = max(self.max_batch_rows, x.largest)
 
     def as_dict(self) -> dict:
         return asdict(self)
@@ -51,21 +54,22 @@ def _observed(events: DataFrame) -> tuple[DataFrame, Observation]:
     return counted, seen
 
 
-def _append(store: Store, events: DataFrame, summary: IngestSummary, batch: str | None = None) -> None:
+def _append(store: Store, events: DataFrame, summary: IngestSummary, batch: tuple[str, int] | None = None, batch_rows: int | None = None) -> None:
     events = events.persist()  # the kinds' tables are parts of one job, each reads the parsed lines
     try:
         counted, seen = _observed(events)
         counted.write.format("noop").mode("overwrite").save()
-        store.append_events(events.select("event", SEQ), batch)
-        summary.add(seen.get["received"], seen.get["rejected"])
+        told: list[Flushed] = []
+        store.append_events(events.select("event", SEQ), batch, batch_rows=batch_rows, told=told)
+        summary.add(seen.get["received"], seen.get["rejected"], told)
     finally:
         events.unpersist()
 
 
-def ingest_file(spark: SparkSession, path: str, store: Store) -> IngestSummary:
+def ingest_file(spark: SparkSession, path: str, store: Store, *, batch_rows: int | None = None) -> IngestSummary:
     """Append the events of a JSON-lines file or folder; malformed and blank lines are skipped."""
     began, summary = time.perf_counter(), IngestSummary()
-    _append(store, read_events(spark, path), summary)
+    _append(store, read_events(spark, path), summary, batch_rows=batch_rows)
     summary.wall_ms = (time.perf_counter() - began) * 1e3
     return summary
 
@@ -92,18 +96,27 @@ def ingest_stream(
     summary: IngestSummary | None = None,
     files_per_trigger: int = 100,
     delay_ms: int | None = None,
+    batch_rows: int | None = None,
 ) -> StreamingQuery:
     """Follow a folder of JSON-lines files. With ``delay_ms`` micro-batches go on until the query is stopped; without it
     what is there is taken, and the query ends.
 
     Arrival is in order of micro-batches, in them of files by name, then of lines. Backpressure is the number of files
-    a trigger takes. A stopped query goes on where its checkpoint is, and a batch that is repeated is committed once.
+    a trigger takes. A query that ``cancel`` stops goes on where its checkpoint is, and a batch that is repeated is
+    committed once.
     """
     told = summary if summary is not None else IngestSummary()
 
     def commit(batch: DataFrame, number: int) -> None:
-        _append(store, decode(in_order(batch)), told, f"{checkpoint}#{number}")
+        _append(store, decode(in_order(batch)), told, (checkpoint, number), batch_rows)
 
     lines = lines_of(spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(folder))
     writer = lines.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if delay_ms is None else writer.trigger(processingTime=f"{delay_ms} milliseconds")).start()
+
+
+def cancel(query: StreamingQuery, summary: IngestSummary) -> None:
+    """Stop a stream before its input has ended; ``summary`` says so. What was committed stays."""
+    if query.isActive:
+        summary.cancelled = True
+        query.stop()
