@@ -1,4 +1,4 @@
-"""Every registered query with SQL against DuckDB on the same tables."""
+"""Every registered query of the event engine against DuckDB on the same tables."""
 
 import duckdb
 import pytest
@@ -22,7 +22,7 @@ def plain(rows):
     return sorted((tuple(r) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_equals_sql(spark, duck, name):
     df = entry.queries()[name](spark, SF)
     cols = sorted(df.columns)
@@ -34,6 +34,14 @@ def test_every_core_query_has_sql():
     assert set(queries.queries()) == set(queries.oracle_sql())
 
 
+@pytest.mark.parametrize("name,pushed", [("range_scan_entity", ("GreaterThanOrEqual(ts,", "LessThan(ts,", "EqualTo(user_id,8)")), ("latest_at_entity", ("LessThan(ts,", "EqualTo(user_id,8)")), ("speed_window", ("LessThan(ts,", "EqualTo(user_id,8)")), ("proximity_pairs", ("LessThan(o_orderdate,",))])
+def test_bounds_reach_the_scan(spark, name, pushed):
+    plan = entry.queries()[name](spark, SF)._jdf.queryExecution().toString()
+    filters = plan[plan.index("PushedFilters: [") :].partition("]")[0]
+    assert all(p in filters for p in pushed), filters
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
 def test_queries_need_no_session():
     import subprocess
     import sys

@@ -1,7 +1,8 @@
 """Registered queries of the event engine over the driver's tables, with their SQL.
 
 Adapters give the tables the shape of the kinds: events are scalars, annotations and one-dimensional poses of a
-user; orders are poses of a customer with many equal times; embeddings are poses of a vector.
+user; orders are poses of a customer with many equal times; embeddings are poses and clouds of a vector; pages are images.
+A time window or an entity is also put as bounds on the table's own columns, which the Parquet scan takes over.
 """
 
 from __future__ import annotations
@@ -10,53 +11,228 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import operators as ops
-from tidemark.functions.time import nanos
+from tidemark.functions.time import nanos, timestamps_within
 from tidemark.operators.proximity import near_pairs
 from tidemark.plans.manifest import counters, manifest_of, reaches_latest, reaches_range
-from tidemark.schema import SEQ
+from tidemark.schema import KINDS, SEQ
+from tidemark.sources.jsonl import decode, table_of
+from tidemark.sources.scratch import scratch
+from tidemark.sources.store import Snapshot, Store, snapshot_of
+from tidemark.streaming.ingest import IngestSummary, ingest_file, ingest_stream
 
 AT = 1_704_931_200_000_000_000
 START, END = 1_704_500_000_000_000_000, 1_704_900_000_000_000_000
 DAY = 86_400_000_000_000
 RADIUS = 0.05
+#: An instant within the orders, at which many customers were last seen long before, and a radius in their prices.
+ORDERS_AT, PRICE_RADIUS = 900_000_000_000_000_000, 40.0
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _rows(df: DataFrame, time: str, path: Column, seq: str, **columns: Column) -> DataFrame:
-    return df.select(nanos(F.col(time)).alias("t_ns"), path.alias("entity_path"), F.col(seq).alias(SEQ), *(c.alias(n) for n, c in columns.items()))
-
-
-def _user() -> Column:
-    return F.concat(F.lit("/user/"), F.col("user_id"))
+def _rows(
+    df: DataFrame, time: str, prefix: str, key: str, seq: str, columns: dict[str, Column],
+    start: int | None = None, end: int | None = None, entity: str | None = None,
+) -> DataFrame:
+    """A kind's rows of a table, within start <= t < end and of one entity, if these are given."""
+    df = df.where(timestamps_within(time, dict(df.dtypes)[time], start, end))
+    if entity is not None:
+        df = df.where(F.col(key) == F.lit(entity.removeprefix(prefix)).cast(dict(df.dtypes)[key]))
+    return df.select(
+        nanos(F.col(time)).alias("t_ns"),
+        F.concat(F.lit(prefix), F.col(key)).alias("entity_path"),
+        F.col(seq).alias(SEQ),
+        *(c.alias(n) for n, c in columns.items()),
+    )
 
 
-def scalars(spark, d) -> DataFrame:
-    return _rows(_read(spark, d, "events"), "ts", _user(), "event_id", value=F.col("value"))
+def _pose(x: Column, y: Column | None = None, z: Column | None = None) -> dict[str, Column]:
+    zero = F.lit(0.0)
+    return {"tx": x, "ty": zero if y is None else y, "tz": zero if z is None else z, "qx": zero, "qy": zero, "qz": zero, "qw": F.lit(1.0)}
 
 
-def labels(spark, d) -> DataFrame:
-    return _rows(_read(spark, d, "events"), "ts", _user(), "event_id", label=F.col("event_type"))
+def _events(columns) -> object:
+    return lambda spark, d, *within: _rows(_read(spark, d, "events"), "ts", "/user/", "user_id", "event_id", columns(), *within)
 
 
-def event_poses(spark, d) -> DataFrame:
-    return _rows(_read(spark, d, "events"), "ts", _user(), "event_id", tx=F.col("value"), ty=F.lit(0.0), tz=F.lit(0.0))
+scalars = _events(lambda: {"value": F.col("value"), "unit": F.lit(None).cast("string")})
+labels = _events(lambda: {"label": F.col("event_type")})
+event_poses = _events(lambda: _pose(F.col("value")))
 
 
-def order_poses(spark, d) -> DataFrame:
-    path = F.concat(F.lit("/cust/"), F.col("o_custkey"))
-    return _rows(_read(spark, d, "orders"), "o_orderdate", path, "o_orderkey", tx=F.col("o_totalprice"), ty=F.lit(0.0), tz=F.lit(0.0))
+def order_poses(spark, d, *within) -> DataFrame:
+    return _rows(_read(spark, d, "orders"), "o_orderdate", "/cust/", "o_custkey", "o_orderkey", _pose(F.col("o_totalprice")), *within)
 
 
 def vector_poses(spark, d) -> DataFrame:
     at = lambda i: F.col("embedding")[i].cast("double")
     return _read(spark, d, "embeddings").select(
-        F.concat(F.lit("/vec/"), F.col("vec_id")).alias("entity_path"), at(0).alias("tx"), at(1).alias("ty"), at(2).alias("tz")
+        F.col("vec_id").alias("t_ns"),
+        F.concat(F.lit("/vec/"), F.col("vec_id")).alias("entity_path"),
+        F.col("vec_id").alias(SEQ),
+        *(c.alias(n) for n, c in _pose(at(0), at(1), at(2)).items()),
+    )
+
+
+def snapshot(spark, d) -> Snapshot:
+    """Each event a scalar and its type an annotation, each order a pose, in buckets of a day."""
+    tables = {"Transform3D": order_poses(spark, d), "Scalar": scalars(spark, d), "Annotation": labels(spark, d)}
+    return snapshot_of(spark, tables, DAY)
+
+
+# ---- events as JSON lines ----
+
+
+def _line(path: Column, t_ns: Column, component: str, kind: str, **payload: Column) -> Column:
+    return F.to_json(
+        F.struct(
+            path.alias("entity_path"),
+            F.lit("wall_time").alias("timeline"),
+            t_ns.alias("t_ns"),
+            F.lit(component).alias("component"),
+            F.struct(F.lit(kind).alias("kind"), *(c.alias(n) for n, c in payload.items())).alias("payload"),
+        )
+    )
+
+
+def _lines_of(kind: str, spark, d) -> DataFrame:
+    """value, ingest_seq: a line of the kind for each row of a table."""
+    if kind == "Transform3D":
+        df, seq, pose = _read(spark, d, "orders"), "o_orderkey", _pose(F.col("o_totalprice"), F.col("o_custkey") + 0.5)
+        text = _line(F.concat(F.lit("/cust/"), F.col("o_custkey")), nanos(F.col("o_orderdate")), "pose", kind, **pose)
+    elif kind == "Points3D":
+        df, seq = _read(spark, d, "embeddings"), "vec_id"
+        e = F.col("embedding")
+        number = F.sequence(F.lit(0), (F.floor(F.size(e) / 3) - 1).cast("int"))
+        points = F.transform(number, lambda i: F.transform(F.slice(e, i * 3 + 1, 3), lambda x: x.cast("double")))
+        text = _line(F.concat(F.lit("/vec/"), F.col("vec_id")), F.col("vec_id") * 1000, "cloud", kind, points=points)
+    elif kind == "ImageRef":
+        df, seq = _read(spark, d, "pages"), "page_id"
+        size = (F.col("page_id") % 4096 + 1).cast("int")
+        text = _line(F.concat(F.lit("/page/"), F.col("page_id") % 7), F.col("page_id"), "camera", kind, uri=F.col("url"), width=size, height=F.lit(480), format=F.lit("HTML"))
+    elif kind == "Annotation":
+        df, seq = _read(spark, d, "events"), "event_id"
+        text = _line(F.concat(F.lit("/user/"), F.col("user_id")), nanos(F.col("ts")), "note", kind, label=F.col("event_type"))
+    else:
+        df, seq = _read(spark, d, "events"), "event_id"
+        text = _line(F.concat(F.lit("/user/"), F.col("user_id")), nanos(F.col("ts")), "value", kind, value=F.col("value"), unit=F.lit("V"))
+    return df.select(text.alias("value"), F.col(seq).alias(SEQ))
+
+
+def _decoded(kind: str):
+    """The kind's table of its lines, decoded strictly."""
+    return lambda spark, d: table_of(decode(_lines_of(kind, spark, d)), kind)
+
+
+def points_build(spark, d) -> DataFrame:
+    """Clouds told by their number of points and their first and last coordinate."""
+    points = F.col("points")
+    return _decoded("Points3D")(spark, d).select(
+        "t_ns",
+        "entity_path",
+        F.size(points).cast("long").alias("n_points"),
+        points[0]["x"].alias("first_x"),
+        F.element_at(points, -1)["z"].alias("last_z"),
+    )
+
+
+#: What is done to the lines of events by the remainder of their number by 10, and whether they are still events then.
+DAMAGE = {1: "half", 2: "tail", 3: "key", 4: "text", 5: "kind", 6: "blank", 7: "early"}
+
+
+def _damaged(spark, d) -> DataFrame:
+    line, seq = F.col("value"), F.col(SEQ)
+    changed = {
+        "half": F.substring(line, 1, 40),
+        "tail": F.concat(line, F.lit("}")),
+        "key": F.regexp_replace(line, '"t_ns":', '"t_ns":1,"t_ns":'),
+        "text": F.regexp_replace(line, '"t_ns":([0-9]+)', '"t_ns":"$1"'),
+        "kind": F.regexp_replace(line, '"Scalar"', '"scalar"'),
+        "blank": F.lit("  "),
+        "early": F.regexp_replace(line, '"t_ns":', '"t_ns":-'),
+    }
+    value = line
+    for k, name in DAMAGE.items():
+        value = F.when(seq % 10 == k, changed[name]).otherwise(value)
+    return _lines_of("Scalar", spark, d).select(value.alias("value"), SEQ)
+
+
+def json_malformed(spark, d) -> DataFrame:
+    """Of the lines of events, by what was done to them: how many there are, are events, are blank, and have a negative time."""
+    name = F.lit("none")
+    for k, what in DAMAGE.items():
+        name = F.when(F.col(SEQ) % 10 == k, what).otherwise(name)
+    rows = decode(_damaged(spark, d)).withColumn("damage", name)
+    return rows.groupBy("damage").agg(
+        F.count(F.lit(1)).alias("lines"),
+        F.count("event").alias("events"),
+        F.count_if("blank").alias("blank"),
+        F.count_if(F.col("event.t_ns") < 0).alias("early"),
+    )
+
+
+def json_ingest(spark, d) -> DataFrame:
+    """Events written as JSON lines, decoded strictly, and counted by user."""
+    rows = _decoded("Scalar")(spark, d)
+    return rows.groupBy("entity_path").agg(
+        F.count(F.lit(1)).alias("n"), F.min("t_ns").alias("t_min_ns"), F.max("t_ns").alias("t_max_ns"), F.max("value").alias("max_value")
+    )
+
+
+def _files(spark, d, kinds=tuple(KINDS)) -> str:
+    """A folder of JSON lines of all kinds, damaged scalars among them."""
+    folder, wide = scratch(spark, "lines"), None
+    for kind in kinds:
+        own = (_damaged if kind == "Scalar" else lambda s, p, k=kind: _lines_of(k, s, p))(spark, d).select("value")
+        wide = own if wide is None else wide.union(own)
+    wide.write.text(folder)
+    return folder
+
+
+def _store(spark) -> Store:
+    return Store(spark, scratch(spark, "store"), DAY)
+
+
+def _kinds(store: Store) -> DataFrame:
+    """By kind, from the manifest of the store's last version: rows, partitions, times."""
+    return store.snapshot().manifest().groupBy("kind").agg(
+        F.sum("rows").alias("n"), F.count(F.lit(1)).alias("partitions"), F.min("t_min_ns").alias("t_min_ns"), F.max("t_max_ns").alias("t_max_ns")
     )
 
 
+def store_ingest(spark, d) -> DataFrame:
+    """Files of lines of all kinds read into a store, by kind."""
+    store = _store(spark)
+    ingest_file(spark, _files(spark, d), store)
+    return _kinds(store)
+
+
+def stream_ingest(spark, d) -> DataFrame:
+    """The same by a stream of micro-batches of one file."""
+    store = _store(spark)
+    query = ingest_stream(spark, _files(spark, d, ("Scalar", "Annotation")), store, scratch(spark, "stream"), files_per_trigger=1)
+    query.awaitTermination()
+    return _kinds(store)
+
+
+def ingest_summary(spark, d) -> DataFrame:
+    """What an ingest of damaged scalars tells."""
+    told: IngestSummary = ingest_file(spark, _files(spark, d, ("Scalar",)), _store(spark), batch_rows=1000)
+    row = (told.events_received, told.events_rejected, told.events_sent, told.rows_emitted, told.cancelled)
+    return spark.createDataFrame([row], "events_received long, events_rejected long, events_sent long, rows_emitted long, cancelled boolean")
+
+
+def store_latest(spark, d) -> DataFrame:
+    """The last scalar of each user in a store to which the events came in two commits, the later ones first."""
+    store = _store(spark)
+    late = nanos(F.col("ts")) >= START
+    for part in (late, ~late):
+        store.append("Scalar", _rows(_read(spark, d, "events").where(part), "ts", "/user/", "user_id", "event_id", {"value": F.col("value"), "unit": F.lit(None).cast("string")}))
+    return ops.latest_at(store.snapshot().table("Scalar"), AT).select("t_ns", "entity_path", "value")
+
+
 def _latest_sql(table: str, time: str, key: str, seq: str, prefix: str, columns: str, where: str) -> str:
     return f"""
 SELECT epoch_ns({time}) AS t_ns, '{prefix}' || {key} AS entity_path, {columns} FROM {table} WHERE {where}
@@ -80,33 +256,42 @@ j AS (SELECT a.e AS entity_a, b.e AS entity_b, (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.
 SELECT CAST({AT} AS BIGINT) AS at_ns, entity_a, entity_b, sqrt(d2) AS distance FROM j WHERE d2 <= {radius!r}::DOUBLE * {radius!r}::DOUBLE"""
 
 
-_MANIFEST = f"""m AS (SELECT epoch_ns(ts) - epoch_ns(ts) % {DAY} AS bucket_start_ns, count(*) AS n, min(epoch_ns(ts)) AS lo, max(epoch_ns(ts)) AS hi FROM events GROUP BY 1)"""
+_MANIFEST = f"""e AS (SELECT 'Scalar' AS kind, epoch_ns(ts) AS t FROM events UNION ALL SELECT 'Annotation', epoch_ns(ts) FROM events
+  UNION ALL SELECT 'Transform3D', epoch_ns(o_orderdate) FROM orders),
+m AS (SELECT kind, t - t % {DAY} AS bucket_start_ns, count(*) AS n, min(t) AS lo, max(t) AS hi FROM e GROUP BY 1, 2)"""
 
 
-def _counters_sql(keep: str) -> str:
-    return f"""WITH {_MANIFEST} SELECT count(*) AS candidate_partitions, CAST(0 AS BIGINT) AS pruned_by_kind,
-  count(*) FILTER (NOT ({keep})) AS pruned_by_time, count(*) FILTER ({keep}) AS scanned_partitions,
-  CAST(coalesce(sum(n) FILTER ({keep}), 0) AS BIGINT) AS scanned_rows FROM m"""
+def _counters_sql(kind: str, keep: str) -> str:
+    return f"""WITH {_MANIFEST} SELECT count(*) AS candidate_partitions, count(*) FILTER (kind <> '{kind}') AS pruned_by_kind,
+  count(*) FILTER (kind = '{kind}' AND NOT ({keep})) AS pruned_by_time, count(*) FILTER (kind = '{kind}' AND {keep}) AS scanned_partitions,
+  CAST(coalesce(sum(n) FILTER (kind = '{kind}' AND {keep}), 0) AS BIGINT) AS scanned_rows FROM m"""
 
 
-def _counters(reaches, *times):
-    return lambda spark, d: counters(manifest_of(scalars(spark, d), "Scalar", DAY), "Scalar", reaches(*times))
+def _counters(kind, reaches, *times):
+    return lambda spark, d: counters(snapshot(spark, d).manifest(), kind, reaches(*times))
 
 
-def _latest(table, at=AT, entity=None):
-    return lambda spark, d: ops.latest_at(table(spark, d), at, entity).drop(SEQ)
+def _latest(table, columns, at=AT, entity=None):
+    within = (None, at + 1, entity)
+    return lambda spark, d: ops.latest_at(table(spark, d, *within), at, entity).select("t_ns", "entity_path", *columns)
 
 
 def _range(start, end, entity=None):
-    return lambda spark, d: ops.range_scan(scalars(spark, d), start, end, entity).drop(SEQ)
+    return lambda spark, d: ops.range_scan(scalars(spark, d, start, end, entity), start, end, entity).select("t_ns", "entity_path", "value")
 
 
 def _speed(table, *args):
-    return lambda spark, d: ops.speed_over_ground(table(spark, d), *args)
+    entity, start, end = (*args, None, None, None)[:3]
+    return lambda spark, d: ops.speed_over_ground(table(spark, d, start, end, entity), *args)
+
 
+def _near(radius):
+    return lambda spark, d: near_pairs(vector_poses(spark, d), AT, radius)
 
-def _near(radius, method):
-    return lambda spark, d: near_pairs(vector_poses(spark, d), AT, radius, method=method)
+
+def stale_pairs(spark, d) -> DataFrame:
+    """Customers whose last orders at an instant, however old, were nearly of one price."""
+    return ops.proximity_pairs(order_poses(spark, d, None, ORDERS_AT + 1), ORDERS_AT, PRICE_RADIUS)
 
 
 def manifest(spark, d) -> DataFrame:
@@ -114,60 +299,18 @@ def manifest(spark, d) -> DataFrame:
 
 
 def kind_counts(spark, d) -> DataFrame:
-    """Rows per kind if each event is a scalar, each event type an annotation, and each vector a pose."""
-    parts = (("Transform3D", vector_poses(spark, d)), ("Scalar", scalars(spark, d)), ("Annotation", labels(spark, d)))
-    out = None
-    for kind, df in parts:
-        own = df.select(F.lit(kind).alias("kind"))
-        out = own if out is None else out.union(own)
-    return out.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
-
-
-def points_build(spark, d) -> DataFrame:
-    """Each vector as points of three coordinates, told by their number and the sums of their coordinates."""
-    e = F.col("embedding")
-    points = F.transform(
-        F.sequence(F.lit(0), (F.floor(F.size(e) / 3) - 1).cast("int")),
-        lambda i: F.struct(*(e[i * 3 + k].cast("double").alias(c) for k, c in enumerate("xyz"))),
-    )
-    rows = _read(spark, d, "embeddings").select("vec_id", points.alias("points"))
-    return rows.select(
-        "vec_id",
-        F.size("points").cast("long").alias("n_points"),
-        F.col("points")[0]["x"].alias("first_x"),
-        F.element_at("points", -1)["z"].alias("last_z"),
-    )
-
-
-def json_ingest(spark, d) -> DataFrame:
-    """Events written as JSON lines, decoded strictly, and counted by user."""
-    from tidemark.sources.jsonl import decode, table_of
-
-    raw = _read(spark, d, "events").select(
-        F.to_json(
-            F.struct(
-                _user().alias("entity_path"),
-                F.lit("wall_time").alias("timeline"),
-                nanos(F.col("ts")).alias("t_ns"),
-                F.lit("value").alias("component"),
-                F.struct(F.lit("Scalar").alias("kind"), F.col("value")).alias("payload"),
-            )
-        ).alias("value"),
-        F.col("event_id").alias(SEQ),
-    )
-    rows = table_of(decode(raw), "Scalar")
-    return rows.groupBy("entity_path").agg(
-        F.count(F.lit(1)).alias("n"), F.min("t_ns").alias("t_min_ns"), F.max("t_ns").alias("t_max_ns"), F.max("value").alias("max_value")
-    )
+    """Rows per kind, from the snapshot's manifest."""
+    return snapshot(spark, d).manifest().groupBy("kind").agg(F.sum("rows").alias("n"))
 
 
 def queries() -> dict:
+    pose = ("tx", "ty", "tz")
     return {
-        "latest_at_all": _latest(scalars),
-        "latest_at_entity": _latest(scalars, AT, "/user/8"),
-        "latest_at_label": _latest(labels),
-        "latest_at_before_data": _latest(scalars, 0),
-        "latest_at_ties": _latest(order_poses, 10**19 // 2),
+        "latest_at_all": _latest(scalars, ["value"]),
+        "latest_at_entity": _latest(scalars, ["value"], AT, "/user/8"),
+        "latest_at_label": _latest(labels, ["label"]),
+        "latest_at_before_data": _latest(scalars, ["value"], 0),
+        "latest_at_ties": _latest(order_poses, pose, 10**18 * 4),
         "range_scan_all": _range(START, END),
         "range_scan_entity": _range(START, END, "/user/8"),
         "range_scan_empty": _range(START, START),
@@ -175,16 +318,38 @@ def queries() -> dict:
         "speed_window": _speed(event_poses, "/user/8", START, END),
         "speed_all_entities": _speed(event_poses),
         "speed_zero_dt": _speed(order_poses),
-        "proximity_pairs": _near(RADIUS, "nested"),
-        "proximity_grid": _near(RADIUS, "grid"),
-        "proximity_radius_zero": _near(0.0, "auto"),
+        "proximity_pairs": stale_pairs,
+        "proximity_grid": _near(RADIUS),
+        "proximity_radius_zero": _near(0.0),
         "bucket_manifest": manifest,
-        "plan_counters_latest_at": _counters(reaches_latest, AT),
-        "plan_counters_range": _counters(reaches_range, START, END),
+        "plan_counters_latest_at": _counters("Scalar", reaches_latest, AT),
+        "plan_counters_range": _counters("Transform3D", reaches_range, ORDERS_AT, ORDERS_AT + 100 * DAY),
         "kind_counts": kind_counts,
         "points3d_build": points_build,
+        "transform3d_table": _decoded("Transform3D"),
+        "scalar_table": _decoded("Scalar"),
+        "image_table": _decoded("ImageRef"),
+        "annotation_table": _decoded("Annotation"),
         "json_ingest": json_ingest,
+        "json_malformed": json_malformed,
+        "store_ingest": store_ingest,
+        "store_latest": store_latest,
+        "stream_ingest": stream_ingest,
+        "ingest_summary": ingest_summary,
+    }
+
+
+def _stored_sql(kinds: tuple[str, ...]) -> str:
+    damaged = ", ".join(str(k) for k in DAMAGE)
+    parts = {
+        "Transform3D": "SELECT 'Transform3D' AS kind, epoch_ns(o_orderdate) AS t FROM orders",
+        "Points3D": "SELECT 'Points3D' AS kind, vec_id * 1000 AS t FROM embeddings",
+        "Scalar": f"SELECT 'Scalar' AS kind, epoch_ns(ts) AS t FROM events WHERE event_id % 10 NOT IN ({damaged})",
+        "ImageRef": "SELECT 'ImageRef' AS kind, page_id AS t FROM pages",
+        "Annotation": "SELECT 'Annotation' AS kind, epoch_ns(ts) AS t FROM events",
     }
+    rows = " UNION ALL ".join(parts[k] for k in kinds)
+    return f"SELECT kind, count(*) AS n, count(DISTINCT t // {DAY}) AS partitions, min(t) AS t_min_ns, max(t) AS t_max_ns FROM ({rows}) GROUP BY kind"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -192,6 +357,7 @@ def oracle_sql() -> dict[str, str]:
     order = ("orders", "o_orderdate", "o_custkey", "o_orderkey", "/cust/")
     span = f"epoch_ns(ts) >= {START} AND epoch_ns(ts) < {END}"
     scan = "SELECT epoch_ns(ts) AS t_ns, '/user/' || user_id AS entity_path, value FROM events WHERE "
+    names = " ".join(f"WHEN {k} THEN '{v}'" for k, v in DAMAGE.items())
     return {
         "latest_at_all": _latest_sql(*event, "value", f"epoch_ns(ts) <= {AT}"),
         "latest_at_entity": _latest_sql(*event, "value", f"user_id = 8 AND epoch_ns(ts) <= {AT}"),
@@ -205,13 +371,25 @@ def oracle_sql() -> dict[str, str]:
         "speed_window": _speed_sql(*event, "value", f"user_id = 8 AND {span}"),
         "speed_all_entities": _speed_sql(*event, "value"),
         "speed_zero_dt": _speed_sql(*order, "o_totalprice"),
-        "proximity_pairs": _proximity_sql(RADIUS),
+        "proximity_pairs": f"""
+WITH p AS ({_latest_sql(*order, "o_totalprice AS x", f"epoch_ns(o_orderdate) <= {ORDERS_AT}")})
+SELECT CAST({ORDERS_AT} AS BIGINT) AS at_ns, a.entity_path AS entity_a, b.entity_path AS entity_b, sqrt((a.x - b.x) * (a.x - b.x)) AS distance
+FROM p a JOIN p b ON b.x BETWEEN a.x - 41 AND a.x + 41 AND a.entity_path < b.entity_path AND (a.x - b.x) * (a.x - b.x) <= {PRICE_RADIUS!r}::DOUBLE * {PRICE_RADIUS!r}::DOUBLE""",
         "proximity_grid": _proximity_sql(RADIUS),
         "proximity_radius_zero": _proximity_sql(0.0),
-        "bucket_manifest": f"WITH {_MANIFEST} SELECT 'Scalar' AS kind, bucket_start_ns, n AS rows, lo AS t_min_ns, hi AS t_max_ns FROM m",
-        "plan_counters_latest_at": _counters_sql(f"lo <= {AT}"),
-        "plan_counters_range": _counters_sql(f"hi >= {START} AND lo < {END}"),
-        "kind_counts": "SELECT 'Transform3D' AS kind, count(*) AS n FROM embeddings UNION ALL SELECT 'Scalar', count(*) FROM events UNION ALL SELECT 'Annotation', count(*) FROM events",
-        "points3d_build": "SELECT vec_id, len(embedding) // 3 AS n_points, embedding[1]::DOUBLE AS first_x, embedding[3 * (len(embedding) // 3)]::DOUBLE AS last_z FROM embeddings",
+        "bucket_manifest": f"WITH {_MANIFEST} SELECT kind, bucket_start_ns, n AS rows, lo AS t_min_ns, hi AS t_max_ns FROM m WHERE kind = 'Scalar'",
+        "plan_counters_latest_at": _counters_sql("Scalar", f"lo <= {AT}"),
+        "plan_counters_range": _counters_sql("Transform3D", f"hi >= {ORDERS_AT} AND lo < {ORDERS_AT + 100 * DAY}"),
+        "kind_counts": f"WITH {_MANIFEST} SELECT kind, CAST(sum(n) AS BIGINT) AS n FROM m GROUP BY kind",
+        "points3d_build": "SELECT vec_id * 1000 AS t_ns, '/vec/' || vec_id AS entity_path, len(embedding) // 3 AS n_points, embedding[1]::DOUBLE AS first_x, embedding[3 * (len(embedding) // 3)]::DOUBLE AS last_z FROM embeddings",
+        "transform3d_table": f"SELECT epoch_ns(o_orderdate) AS t_ns, '/cust/' || o_custkey AS entity_path, o_totalprice AS tx, o_custkey + 0.5::DOUBLE AS ty, 0.0::DOUBLE AS tz, 0.0::DOUBLE AS qx, 0.0::DOUBLE AS qy, 0.0::DOUBLE AS qz, 1.0::DOUBLE AS qw, o_orderkey AS {SEQ} FROM orders",
+        "scalar_table": f"SELECT epoch_ns(ts) AS t_ns, '/user/' || user_id AS entity_path, value, 'V' AS unit, event_id AS {SEQ} FROM events",
+        "image_table": f"SELECT page_id AS t_ns, '/page/' || page_id % 7 AS entity_path, url AS uri, CAST(page_id % 4096 + 1 AS INTEGER) AS width, CAST(480 AS INTEGER) AS height, 'HTML' AS format, page_id AS {SEQ} FROM pages",
+        "annotation_table": f"SELECT epoch_ns(ts) AS t_ns, '/user/' || user_id AS entity_path, event_type AS label, event_id AS {SEQ} FROM events",
         "json_ingest": "SELECT '/user/' || user_id AS entity_path, count(*) AS n, min(epoch_ns(ts)) AS t_min_ns, max(epoch_ns(ts)) AS t_max_ns, max(value) AS max_value FROM events GROUP BY user_id",
+        "json_malformed": f"SELECT CASE event_id % 10 {names} ELSE 'none' END AS damage, count(*) AS lines, count(*) FILTER (event_id % 10 IN (0, 7, 8, 9)) AS events, count(*) FILTER (event_id % 10 = 6) AS blank, count(*) FILTER (event_id % 10 = 7) AS early FROM events GROUP BY 1",
+        "store_ingest": _stored_sql(tuple(KINDS)),
+        "store_latest": _latest_sql(*event, "value", f"epoch_ns(ts) <= {AT}"),
+        "stream_ingest": _stored_sql(("Scalar", "Annotation")),
+        "ingest_summary": "SELECT count(*) AS events_received, count(*) FILTER (event_id % 10 = 7) AS events_rejected, count(*) FILTER (event_id % 10 <> 7) AS events_sent, count(*) FILTER (event_id % 10 <> 7) AS rows_emitted, false AS cancelled FROM events WHERE event_id % 10 IN (0, 7, 8, 9)",
     }
