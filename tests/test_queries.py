@@ -36,7 +36,8 @@ def test_every_core_query_has_sql():
 
 @pytest.mark.parametrize("name,pushed", [("range_scan_entity", ("GreaterThanOrEqual(ts,", "LessThan(ts,", "EqualTo(user_id,8)")), ("latest_at_entity", ("LessThan(ts,", "EqualTo(user_id,8)")), ("speed_window", ("LessThan(ts,", "EqualTo(user_id,8)")), ("proximity_pairs", ("LessThan(o_orderdate,",))])
 def test_bounds_reach_the_scan(spark, name, pushed):
-    plan = entry.queries()[name](spark, SF)._jdf.queryExecution().toString()
+    df = entry.queries()[name](spark, SF)
+    plan = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
     filters = plan[plan.index("PushedFilters: [") :].partition("]")[0]
     assert all(p in filters for p in pushed), filters
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
