@@ -456,21 +456,26 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def encode_pieces(docs: DataFrame, *, model: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_pieces(
+    docs: DataFrame, *, model: str | None = None, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False
+) -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit) of each whole text; null text is empty and has no ids.
 
-    Null ids stay null, repeated rows stay repeated, an empty table gives no rows; other columns aren't read.
+    With ``decoded`` also decoded, the text that decode_pieces makes of the ids, by the same tasks. Null ids stay null,
+    repeated rows stay repeated, an empty table gives no rows; other columns aren't read.
     """
     path = model or default_model()
+    names = ["doc_id", "ids"] + ["decoded"] * decoded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j in slices(b.column(1), SLICE):
-                ids = list(transducer(path).encode_rows(b.column(1).slice(i, j - i)))
-                yield pa.record_batch([b.column(0).slice(i, j - i), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+                ids = pa.array(transducer(path).encode_rows(b.column(1).slice(i, j - i)), pa.binary())
+                back = [inverse(path).decode_column(ids)] if decoded else []
+                yield pa.record_batch([b.column(0).slice(i, j - i), ids, *back], names=names)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, "doc_id long, ids binary"
+        run, "doc_id long, ids binary" + ", decoded string" * decoded
     )
 
 
@@ -495,9 +500,10 @@ def op2_sentencepiece(spark, sf_dir: str) -> DataFrame:
 
     Null text is empty; null ids are kept, repeated rows stay repeated, an empty table has no rows.
     """
-    ids = encode_pieces(table(spark, sf_dir, "documents")).select(
-        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"), "ids"
-    )
-    return decode_pieces(ids, keep=("doc_id", "n_ids", "ids_crc32")).select(
-        "doc_id", "n_ids", "ids_crc32", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256")
+    return encode_pieces(table(spark, sf_dir, "documents"), decoded=True).select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_ids"),
+        F.crc32("ids").alias("ids_crc32"),
+        F.octet_length("decoded").cast("long").alias("n_bytes"),
+        F.sha2("decoded", 256).alias("text_sha256"),
     )
