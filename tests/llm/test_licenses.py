@@ -50,7 +50,6 @@ def test_against_brute_force(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r for r in licenses.op1_licenses(spark, str(tmp_path)).collect()}
     assert len(got) == len(rows)
-    full = 0
     for i, t in rows:
         n, base, found = brute(t) if len(t or "") < 10_000 else (120_002, [(120_000, "cc-by")], {})
         r = got[i]
@@ -59,9 +58,7 @@ def test_against_brute_force(spark, tmp_path):
         assert (r["first_word"], r["last_word"]) == ((min(at), max(at)) if at else (None, None))
         assert r["base_labels"] == ",".join(sorted({x for _, x in base}))
         method = set(r["labels"].split(",")) - set(r["base_labels"].split(",")) - {""}
-        assert method <= set(found) and 0 <= r["score"] <= 1
-        full += method == set(found)
-    assert full > 0.95 * len(rows)  # alignments whose rarest words were replaced are not looked up
+        assert method == set(found) and 0 <= r["score"] <= 1
 
 
 def test_templates_find_themselves():

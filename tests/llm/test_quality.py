@@ -59,3 +59,47 @@ def test_held_out_is_crc32_of_the_text_of_the_id(spark):
 
     got = spark.range(200).select("id", quality.remainder("id").alias("r")).collect()
     assert all(r["r"] == zlib.crc32(str(r["id"]).encode()) % 5 for r in got)
+
+
+def plain_score(model, text):
+    """A score by loops: features counted one by one, bins found by comparing, tables added up."""
+    raw = text.encode()
+    words, lines = raw.split(), [x for x in raw.split(b"\n") if x]
+    share = lambda test: sum(test(b) for b in raw) / max(1, len(raw))
+    k = max(1, len(words))
+    log = lambda n: float(np.log(1 + n))
+    x = [
+        log(len(raw)), log(len(words)), sum(len(w) for w in words) / k, log(max((len(w) for w in words), default=0)),
+        share(lambda b: 65 <= b <= 90), share(lambda b: 48 <= b <= 57), share(lambda b: b == 33), share(lambda b: b in b",.;:?"),
+        share(lambda b: b in b"#$%&*<>{}[]\\^~_=+@/"), share(lambda b: b == 124), share(lambda b: b > 127),
+        len(set(words)) / k, max((words.count(w) for w in set(words)), default=0) / k, sum(a == b for a, b in zip(words, words[1:])) / k,
+        log(len(words) / max(1, len(lines))), len(set(lines)) / max(1, len(lines)), sum(len(w) == 1 for w in words) / k,
+    ]
+    at = [sum(v >= e for e in edges.tolist()) for v, edges in zip(x, model.edges)]
+    z = model.base + sum(t[i] for t, i in zip(model.tables, at)) + sum(t[at[i], at[j]] for t, (i, j) in zip(model.pair_tables, model.pairs))
+    return 1 / (1 + np.exp(-z))
+
+
+def test_op10_against_plain_loops(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.train(docs, labels)
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    got = {r["doc_id"]: r for r in quality.op10_quality(spark, sf).collect()}
+    assert set(got) == set(texts)
+    for i, t in texts.items():
+        if len(t) < 4000:
+            want = plain_score(model, t)
+            assert abs(got[i]["score"] - want) < 1e-9 and got[i]["predicted"] == (want >= 0.3)
+
+
+def test_an_id_that_many_rows_share_keeps_the_fit_bounded(spark):
+    docs = spark.createDataFrame([(7, f"text {i}") for i in range(50)] + [(8, "other")], "doc_id long, text string")
+    labels = spark.createDataFrame([(7, 1), (8, 0)], "doc_id long, quality int")
+    seen = []
+    fit, quality.fit = quality.fit, lambda x, y, **k: seen.append(len(y)) or fit(x, y, **k)
+    try:
+        quality.train(docs, labels, max_rows=10)
+    finally:
+        quality.fit = fit
+    assert seen == [10]

@@ -1,10 +1,12 @@
-"""Near-duplicate documents by Jaccard similarity of word shingles, on SimHash bytes and their positional index.
+"""Near-duplicate documents by Jaccard similarity of word shingles, on a positional index of fingerprint bytes.
 
 Bits of a SimHash with equal weights differ at 15 % between documents of Jaccard similarity 0.8, so of 8 bytes hardly
 two agree and no count is guaranteed. Here each byte of a wide fingerprint has weights of its own for the shingles, so
-heavy-tailed that the shingle of the largest weight decides the byte's bits; then a byte of two documents agrees with
-a chance equal to their similarity. The rest is the positional index: postings for combinations of bytes, a tally of
-shared positional bytes where documents meet, a minimum, and verification on the shingles themselves.
+heavy-tailed that the shingle of the largest weight decides the byte's bits. That limit of a weighted SimHash is minwise
+hashing: a byte of two documents agrees with a chance equal to their similarity (and 1/256 of the rest). The index is
+op4's: postings for combinations of bytes, a tally of shared positional bytes where documents meet, a minimum, and
+verification, here on the shingles themselves. The minimum isn't one that is guaranteed, but one that a pair of the least
+similarity misses with a chance of 1 in 20,000 (LEAST of WIDTH); it meets in a posting with a chance of 0.998.
 """
 
 from __future__ import annotations
