@@ -63,6 +63,9 @@ def test_bench_and_figures(spark, tmp_path):
     assert rows["ingest", "8x500"] == 4840 and rows["latest_at", "8x500"] == 8 and rows["range_scan", "8x500"] == 125
     assert rows["proximity", "50 nested"] == rows["proximity", "50 grid"] == 1225 and rows["speed", "200"] == 199
     report["scenarios"] += [s | {"n": s["n"] * 2} for s in report["scenarios"]]
+    assert report["growth"] == {}
+    made = [{"suite": "speed", "n": n, "p50_us": 3.0 * n} for n in (10, 40, 20)] + [{"suite": "proximity", "method": "nested", "n": n, "p50_us": n * n} for n in (5, 50)]
+    assert {k: round(v, 6) for k, v in benchmarks.growth(made).items()} == {"speed": 1.0, "proximity nested": 2.0}
     paths = benchmarks.figures(report, f"{tmp_path}/figs")
     assert all(p.endswith(".svg") and 'class="p95"' in open(p).read() for p in paths)
     benchmarks.write_report(report, f"{tmp_path}/bench.json")

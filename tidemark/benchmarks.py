@@ -89,7 +89,22 @@ def run_all(spark: SparkSession, samples: int = 51, small: bool = False) -> dict
     for ticks in pick(SPEED):
         r = engine.speed_over_ground(snap(4, ticks), "/agent/0").rows
         out.append(_row("speed", str(ticks), ticks, r.count(), measure(r.collect, samples)))
-    return {"samples": samples, "os": platform.system(), "arch": platform.machine(), "scenarios": out}
+    return {"samples": samples, "os": platform.system(), "arch": platform.machine(), "growth": growth(out), "scenarios": out}
+
+
+def growth(scenarios: list[dict]) -> dict[str, float]:
+    """The power of the size with which each suite's p50 grows from its smallest to its largest scenario; 1 is linear, 2 is
+    what comparing all pairs takes."""
+    suites: dict[str, list[tuple[int, float]]] = {}
+    for s in scenarios:
+        name = s["suite"] + (f" {s['method']}" if "method" in s else "")
+        suites.setdefault(name, []).append((s["n"], s["p50_us"]))
+    out = {}
+    for name, points in suites.items():
+        (n, a), (m, b) = min(points), max(points)
+        if m > n:
+            out[name] = math.log(b / a) / math.log(m / n)
+    return out
 
 
 def write_report(report: dict, path: str) -> None:
