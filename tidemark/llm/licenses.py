@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import table
+from tidemark.llm.tokens import parts
 
 # Phrases and the labels of the places where they stand.
 BASE = {
@@ -206,7 +207,7 @@ def document_frequency(docs: DataFrame, text_col: str = "text") -> tuple[dict[by
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
-        for b in batches:
+        for b in parts(batches, 0):
             seen[b""] += b.num_rows
             for t in b.column(0).to_pylist():
                 if t:
@@ -238,7 +239,7 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base_type = pa.list_(pa.struct([("word", pa.int64()), ("label", pa.string())]))
         aligned_type = pa.list_(pa.struct([("label", pa.string()), ("word", pa.int64()), ("share", pa.float64())]))
-        for b in batches:
+        for b in parts(batches, 1):
             got = [index.value.scan(t or "") for t in b.column(1).to_pylist()]
             base = [[{"word": i, "label": x} for i, x in s.base] for s in got]
             aligned = [[{"label": k, "word": s.places[k], "share": a} for k, a in sorted(s.found.items())] for s in got]

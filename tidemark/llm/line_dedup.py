@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import split_join, stored, table
+from tidemark.llm.tokens import parts
 
 #: Fewest words of a line that is compared at all, and of one for which an edit of a word is allowed.
 LEAST_WORDS, EDIT_WORDS = 1, 2
@@ -99,7 +100,7 @@ def _lines(docs: DataFrame) -> DataFrame:
     """doc, h1, h2 of each distinct line of each document, and its anchors: a of its start, z of its end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches, 1):
             rows: dict[tuple, list] = {}
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for _, w in split_lines(text):
@@ -122,7 +123,7 @@ def _pick(docs: DataFrame) -> DataFrame:
     doc_at, text_at, wanted_at = (names.index(c) for c in ("__tm_doc", "__tm_text", "__tm_wanted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches, text_at):
             rows: list[tuple] = []
             for doc, text, wanted in zip(*(b.column(i).to_pylist() for i in (doc_at, text_at, wanted_at))):
                 sides: dict[int, int] = {}
@@ -161,9 +162,9 @@ def _neighbourhood(lines: DataFrame) -> DataFrame:
             for i in range(0, b.num_rows, 500):
                 keys, places = [], []
                 for x, side in zip(b.column(3).slice(i, 500).to_pylist(), sides[i : i + 500].tolist()):
-                    parts, salt = units(x.encode().split())
-                    all_keys = variants(parts, salt)
-                    places.append(gaps(len(parts), side, salt))
+                    own, salt = units(x.encode().split())
+                    all_keys = variants(own, salt)
+                    places.append(gaps(len(own), side, salt))
                     keys.append(all_keys[places[-1] + 1])
                 sizes = [len(k) for k in keys]
                 yield pa.record_batch(
@@ -278,7 +279,7 @@ def _without(rows: DataFrame, text_col: str, columns: list[str], kept_name: str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, last = names.index("__tm_text"), names.index("__tm_gone")
-        for b in batches:
+        for b in parts(batches, at):
             kept, dropped = [], []
             for text, gone in zip(b.column(at).to_pylist(), b.column(last).to_pylist()):
                 gone, seen, out = {(x["h1"], x["h2"]) for x in gone or ()}, set(), []

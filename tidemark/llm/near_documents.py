@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import split_join, stored
 from tidemark.llm.components import components
 from tidemark.llm.simhash import blocks, hashes, runs
+from tidemark.llm.tokens import parts
 
 #: Bytes of a fingerprint, and bytes of a posting's key: documents of similarity 0.8 share a key with a chance of
 #: 1 - (1 - 0.8 ** 4) ** 12 = 0.998.
@@ -52,7 +53,7 @@ def _fingerprints(texts: DataFrame, words: int) -> DataFrame:
     """doc, same (128 bits of the set of shingles), bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches, 1):
             same, wide = [], []
             for t in b.column(1).to_pylist():
                 h = shingle_hashes(t, words)
@@ -144,7 +145,7 @@ def _beyond_nearest(posts: DataFrame, texts: DataFrame, words: int, similarity:
     posts = stored(posts.join(mixed, "key", "left_semi"), "mixed-postings")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches, 1):
             sets = [shingle_hashes(t, words).tobytes() for t in b.column(1).to_pylist()]
             yield pa.record_batch([b.column(0), pa.array(sets, pa.binary())], names=["doc", "shingles"])
 
@@ -191,7 +192,7 @@ def _by_class(rows: DataFrame, text_col: str, words: int) -> DataFrame:
     """``rows`` with their node by the text's set of shingles as __tm_node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches, text_col):
             same = (xxhash.xxh3_128_digest(shingle_hashes(t, words).tobytes()) for t in b.column(text_col).to_pylist())
             yield pa.record_batch([*b.columns, pa.array(map(_class_node, same), pa.int64())], names=[*b.schema.names, "__tm_node"])
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import table
-from tidemark.llm.tokens import default_tokenizer, encoder, slices
+from tidemark.llm.tokens import default_tokenizer, encoder, parts
 
 #: Examples, and tokens, that a task packs together.
 POOL_EXAMPLES, POOL_TOKENS = 1024, 2_000_000
@@ -147,17 +147,15 @@ def pack_documents(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         no, pool, tokens = TaskContext.get().partitionId() << 36, [], 0
-        for b in batches:
-            for i, j in slices(b.column(1)):
-                part = b.slice(i, j - i)
-                prompts = encoder(path).encode_rows(part.column(2)) if prompt_col else repeat(b"")
-                for d, p, x in zip(part.column(0).to_pylist(), prompts, encoder(path).encode_rows(part.column(1))):
-                    pool.append((d, p + x + end, len(p) // 4))
-                    tokens += len(pool[-1][1]) // 4
-                    if len(pool) >= POOL_EXAMPLES or tokens >= POOL_TOKENS:
-                        out, no = rows(pool, no)
-                        yield out
-                        pool, tokens = [], 0
+        for b in parts(batches, 1):
+            prompts = encoder(path).encode_rows(b.column(2)) if prompt_col else repeat(b"")
+            for d, p, x in zip(b.column(0).to_pylist(), prompts, encoder(path).encode_rows(b.column(1))):
+                pool.append((d, p + x + end, len(p) // 4))
+                tokens += len(pool[-1][1]) // 4
+                if len(pool) >= POOL_EXAMPLES or tokens >= POOL_TOKENS:
+                    out, no = rows(pool, no)
+                    yield out
+                    pool, tokens = [], 0
         if pool:
             yield rows(pool, no)[0]
 

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import table
+from tidemark.llm.tokens import parts
 
 #: Most labelled rows that a model is fitted on; those with the smallest hash of their id.
 FIT_ROWS = 20_000
@@ -63,7 +64,7 @@ def feature_rows(docs: DataFrame, keep: list[str], text_col: str = "text") -> Da
     """The columns ``keep`` and ``values``, the features of each whole text; null counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches, len(keep)):
             values = [features(t or "") for t in b.column(len(keep)).to_pylist()]
             yield pa.record_batch(
                 [*b.columns[: len(keep)], pa.array(values, pa.list_(pa.float64()))], names=[*keep, "values"]
@@ -213,7 +214,7 @@ def score(docs: DataFrame, model: Model, *, keep: list[str], text_col: str = "te
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches, len(keep)):
             texts = b.column(len(keep)).to_pylist()
             got = shared.value.score(np.array([features(t or "") for t in texts], float).reshape(-1, len(FEATURES)))
             yield pa.record_batch([*b.columns[: len(keep)], pa.array(got, pa.float64())], names=[*keep, name])

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import table
-from tidemark.llm.tokens import Kept, distinct, gather, slices, utf8
+from tidemark.llm.tokens import Kept, distinct, gather, parts, slices, utf8
 
 MARK = "▁"
 #: A character without a piece costs that much more than the worst piece, as in the published library.
@@ -468,11 +468,10 @@ def encode_pieces(
     names = ["doc_id", "ids"] + ["decoded"] * decoded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, j in slices(b.column(1), SLICE):
-                ids = pa.array(transducer(path).encode_rows(b.column(1).slice(i, j - i)), pa.binary())
-                back = [inverse(path).decode_column(ids)] if decoded else []
-                yield pa.record_batch([b.column(0).slice(i, j - i), ids, *back], names=names)
+        for b in parts(batches, 1, SLICE):
+            ids = pa.array(transducer(path).encode_rows(b.column(1)), pa.binary())
+            back = [inverse(path).decode_column(ids)] if decoded else []
+            yield pa.record_batch([b.column(0), ids, *back], names=names)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
         run, "doc_id long, ids binary" + ", decoded string" * decoded

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import split_join, stored, table
 from tidemark.llm.components import components
+from tidemark.llm.tokens import parts
 
 #: Most fingerprints of a posting that are compared as one block; larger postings are compared block by block.
 BLOCK = 1024
@@ -55,7 +56,7 @@ def fingerprints(docs: DataFrame, words: int, id_col: str = "doc_id", text_col:
     """doc_id, fp (the 64 bits as a signed long) of every whole text; null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches, 1):
             fp = np.array([fingerprint(hashes(x or "", words)) for x in b.column(1).to_pylist()], np.uint64)
             yield pa.record_batch([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 

@@ -6,6 +6,7 @@ encoding finds the distinct units between the cuts, only these meet the library,
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import json
 import os
@@ -65,6 +66,19 @@ def slices(column: pa.Array, most: int | None = None) -> Iterator[tuple[int, int
         at = end
 
 
+def parts(batches: Iterator[pa.RecordBatch], text: int | str, most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The batches of a task in pieces of at most ``most`` (SLICE) bytes of the column ``text``, so that what a task holds
+    doesn't depend on how long texts are on average. At the end memory that isn't in use goes back to the system, as the
+    process waits for other tasks."""
+    for b in batches:
+        for i, j in slices(b.column(text), most):
+            yield b.slice(i, j - i)
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def cuts(raw: np.ndarray) -> np.ndarray:
     """Where a byte-level BPE with the usual pattern never merges across: true for a byte that begins a unit.
 
@@ -286,11 +300,10 @@ def token_ids(
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, j in slices(b.column(1)):
-                ids = [x + end for x in encoder(path).encode_rows(b.column(1).slice(i, j - i))]
-                ids = list(map(squeeze, ids)) if squeezed else ids
-                yield pa.record_batch([b.column(0).slice(i, j - i), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+        for b in parts(batches, 1):
+            ids = [x + end for x in encoder(path).encode_rows(b.column(1))]
+            ids = list(map(squeeze, ids)) if squeezed else ids
+            yield pa.record_batch([b.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
         run, "doc_id long, ids binary"
