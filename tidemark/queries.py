@@ -10,15 +10,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark import engine
 from tidemark import operators as ops
 from tidemark.functions.time import nanos, timestamps_within
 from tidemark.operators.proximity import near_pairs
 from tidemark.plans.manifest import counters, manifest_of, reaches_latest, reaches_range
-from tidemark.schema import KINDS, SEQ
+from tidemark.schema import KINDS, SEQ, columns
+from tidemark.sources.generator import GenConfig, run_events, scaled_tables
 from tidemark.sources.jsonl import decode, table_of
 from tidemark.sources.scratch import scratch
-from tidemark.sources.store import Snapshot, Store, snapshot_of
-from tidemark.streaming.ingest import IngestSummary, ingest_file, ingest_stream
+from tidemark.sources.store import Snapshot, Store, snapshot_of, validate
+from tidemark.streaming.ingest import IngestSummary, ingest_file, ingest_rows, ingest_stream
 
 AT = 1_704_931_200_000_000_000
 START, END = 1_704_500_000_000_000_000, 1_704_900_000_000_000_000
@@ -294,6 +296,40 @@ def stale_pairs(spark, d) -> DataFrame:
     return ops.proximity_pairs(order_poses(spark, d, None, ORDERS_AT + 1), ORDERS_AT, PRICE_RADIUS)
 
 
+def engine_plans(spark, d) -> DataFrame:
+    """The counters of a query of each type over one snapshot, without their times."""
+    s = snapshot(spark, d)
+    results = [
+        engine.latest_at(s, "Scalar", AT),
+        engine.range_scan(s, "Annotation", START, END, "/user/8"),
+        engine.proximity_pairs(s, ORDERS_AT, PRICE_RADIUS),
+        engine.speed_over_ground(s, "/cust/8"),
+    ]
+    rows = [{k: v for k, v in r.plan().as_dict().items() if k != "latency_us"} | {"considered": r.considered()} for r in results]
+    kinds = ", ".join(f"{k} {'string' if k == 'query_type' else 'long'}" for k in rows[0])
+    return spark.createDataFrame([tuple(r.values()) for r in rows], kinds)
+
+
+def monotone(spark, d) -> DataFrame:
+    """By kind, whether times never fall in order of arrival."""
+    s = snapshot(spark, d)
+    return spark.createDataFrame([(k, validate(s, k)) for k in KINDS], "kind string, in_order boolean")
+
+
+RUN = GenConfig(agents=4, ticks=100, scalar_every=7, image_every=30)
+
+
+def memory_ingest(spark, d) -> DataFrame:
+    """A generated run held in memory, ingested into a store."""
+    store = _store(spark)
+    ingest_rows(spark, list(run_events(RUN)), store)
+    return _kinds(store)
+
+
+def _scaled(kind: str):
+    return lambda spark, d: scaled_tables(spark, RUN)[kind].select(*columns(kind))
+
+
 def manifest(spark, d) -> DataFrame:
     return manifest_of(scalars(spark, d), "Scalar", DAY)
 
@@ -336,6 +372,11 @@ def queries() -> dict:
         "store_latest": store_latest,
         "stream_ingest": stream_ingest,
         "ingest_summary": ingest_summary,
+        "memory_ingest": memory_ingest,
+        "engine_plans": engine_plans,
+        "monotone": monotone,
+        "generated_scalars": _scaled("Scalar"),
+        "generated_images": _scaled("ImageRef"),
     }
 
 
@@ -352,6 +393,36 @@ def _stored_sql(kinds: tuple[str, ...]) -> str:
     return f"SELECT kind, count(*) AS n, count(DISTINCT t // {DAY}) AS partitions, min(t) AS t_min_ns, max(t) AS t_max_ns FROM ({rows}) GROUP BY kind"
 
 
+def _plans_sql(pairs: str) -> str:
+    event, order = ("events", "ts", "user_id", "event_id", "/user/"), ("orders", "o_orderdate", "o_custkey", "o_orderkey", "/cust/")
+    span = f"user_id = 8 AND epoch_ns(ts) >= {START} AND epoch_ns(ts) < {END}"
+    last = _latest_sql(*order, "o_totalprice AS x", f"epoch_ns(o_orderdate) <= {ORDERS_AT}")
+    parts = [
+        ("latest_at", "Scalar", f"lo <= {AT}", _latest_sql(*event, "value", f"epoch_ns(ts) <= {AT}"), "SELECT 1 WHERE false"),
+        ("range_scan", "Annotation", f"hi >= {START} AND lo < {END}", f"SELECT 1 FROM events WHERE {span}", "SELECT 1 WHERE false"),
+        ("proximity_pairs", "Transform3D", f"lo <= {ORDERS_AT}", pairs, last),
+        ("speed_over_ground", "Transform3D", "true", _speed_sql(*order, "o_totalprice", "o_custkey = 8"), "SELECT 1 FROM orders WHERE o_custkey = 8"),
+    ]
+    rows = (
+        f"SELECT '{name}' AS query_type, (SELECT count(*) FROM ({rows})) AS returned_rows, (SELECT count(*) FROM ({considered})) AS considered, * FROM ({_counters_sql(kind, keep)})"
+        for name, kind, keep, rows, considered in parts
+    )
+    return " UNION ALL ".join(rows)
+
+
+def _run_sql() -> str:
+    tick = lambda every: f"SELECT unnest(range(0, {RUN.ticks}, {every})) * {RUN.tick_ns} AS t"
+    rows = " UNION ALL ".join(
+        f"SELECT '{kind}' AS kind, t FROM ({tick(every)}) CROSS JOIN range({RUN.agents})"
+        for kind, every in (("Transform3D", RUN.pose_every), ("Scalar", RUN.scalar_every), ("ImageRef", RUN.image_every))
+    )
+    return f"SELECT kind, count(*) AS n, count(DISTINCT t // {DAY}) AS partitions, min(t) AS t_min_ns, max(t) AS t_max_ns FROM ({rows}) GROUP BY kind"
+
+
+def _scaled_sql(every: int, columns: str) -> str:
+    return f"SELECT tick * {RUN.tick_ns} AS t_ns, '/agent/' || a AS entity_path, {columns} FROM (SELECT unnest(range(0, {RUN.ticks}, {every})) AS tick) CROSS JOIN range({RUN.agents}) AS r(a)"
+
+
 def oracle_sql() -> dict[str, str]:
     event = ("events", "ts", "user_id", "event_id", "/user/")
     order = ("orders", "o_orderdate", "o_custkey", "o_orderkey", "/cust/")
@@ -371,10 +442,10 @@ def oracle_sql() -> dict[str, str]:
         "speed_window": _speed_sql(*event, "value", f"user_id = 8 AND {span}"),
         "speed_all_entities": _speed_sql(*event, "value"),
         "speed_zero_dt": _speed_sql(*order, "o_totalprice"),
-        "proximity_pairs": f"""
+        "proximity_pairs": (pairs := f"""
 WITH p AS ({_latest_sql(*order, "o_totalprice AS x", f"epoch_ns(o_orderdate) <= {ORDERS_AT}")})
 SELECT CAST({ORDERS_AT} AS BIGINT) AS at_ns, a.entity_path AS entity_a, b.entity_path AS entity_b, sqrt((a.x - b.x) * (a.x - b.x)) AS distance
-FROM p a JOIN p b ON b.x BETWEEN a.x - 41 AND a.x + 41 AND a.entity_path < b.entity_path AND (a.x - b.x) * (a.x - b.x) <= {PRICE_RADIUS!r}::DOUBLE * {PRICE_RADIUS!r}::DOUBLE""",
+FROM p a JOIN p b ON b.x BETWEEN a.x - 41 AND a.x + 41 AND a.entity_path < b.entity_path AND (a.x - b.x) * (a.x - b.x) <= {PRICE_RADIUS!r}::DOUBLE * {PRICE_RADIUS!r}::DOUBLE"""),
         "proximity_grid": _proximity_sql(RADIUS),
         "proximity_radius_zero": _proximity_sql(0.0),
         "bucket_manifest": f"WITH {_MANIFEST} SELECT kind, bucket_start_ns, n AS rows, lo AS t_min_ns, hi AS t_max_ns FROM m WHERE kind = 'Scalar'",
@@ -392,4 +463,13 @@ FROM p a JOIN p b ON b.x BETWEEN a.x - 41 AND a.x + 41 AND a.entity_path < b.ent
         "store_latest": _latest_sql(*event, "value", f"epoch_ns(ts) <= {AT}"),
         "stream_ingest": _stored_sql(("Scalar", "Annotation")),
         "ingest_summary": "SELECT count(*) AS events_received, count(*) FILTER (event_id % 10 = 7) AS events_rejected, count(*) FILTER (event_id % 10 <> 7) AS events_sent, count(*) FILTER (event_id % 10 <> 7) AS rows_emitted, false AS cancelled FROM events WHERE event_id % 10 IN (0, 7, 8, 9)",
+        "memory_ingest": _run_sql(),
+        "engine_plans": _plans_sql(pairs),
+        "monotone": """
+WITH e AS (SELECT 'Scalar' AS kind, user_id AS k, event_id AS q, ts AS t FROM events UNION ALL SELECT 'Annotation', user_id, event_id, ts FROM events
+  UNION ALL SELECT 'Transform3D', o_custkey, o_orderkey, o_orderdate FROM orders),
+l AS (SELECT kind, t < lag(t) OVER (PARTITION BY kind, k ORDER BY q) AS back FROM e)
+SELECT kind, NOT coalesce(bool_or(back), false) AS in_order FROM l GROUP BY kind UNION ALL SELECT unnest(['Points3D', 'ImageRef']), true""",
+        "generated_scalars": _scaled_sql(RUN.scalar_every, f"1.0::DOUBLE - tick / {float(RUN.ticks)!r}::DOUBLE AS value, 'ratio' AS unit"),
+        "generated_images": _scaled_sql(RUN.image_every, "'synthetic://agent/' || a || '/tick/' || tick AS uri, CAST(640 AS INTEGER) AS width, CAST(480 AS INTEGER) AS height, 'JPEG' AS format"),
     }
