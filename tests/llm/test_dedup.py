@@ -3,12 +3,16 @@ import random
 import re
 from collections import defaultdict
 
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from tidemark.llm import components as components_of
+from tidemark.llm.common import split_join
 from tidemark.llm.components import components
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.simhash import covering, simhash_groups
+from tidemark.llm.warc import page_records
 
 
 def brute_exact(rows):
@@ -92,3 +96,35 @@ def test_components(spark):
     got = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()))
     assert got == {1: 1, 2: 1, 3: 1, 20: 1, 8: 8, 9: 8} | dict.fromkeys(range(100, 141), 100)
     assert components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+
+
+@pytest.fixture
+def sorted_joins(spark):
+    """Plans that don't change while they run, without broadcast joins."""
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_joins_with_an_aggregate_have_shuffles_that_can_be_split(spark, sorted_joins):
+    """Both sides of the join are dealt out for it: three exchanges with the aggregate's own, where two would do unsplit."""
+    rows = spark.range(100).selectExpr("id % 3 AS k", "concat('s', id % 3) AS s", "id AS v")
+    for key in ("k", "s"):
+        sums = rows.groupBy(key).agg(F.min("v").alias("m"))
+        assert sorted_joins(rows.join(sums, key)).count("Exchange hashpartitioning") == 2
+        got = split_join(rows, sums, key)
+        assert sorted_joins(got).count("Exchange hashpartitioning") == 3
+        assert sorted(map(tuple, got.select("v", "m").collect())) == [(v, v % 3) for v in range(100)]
+
+
+def test_hot_keys_of_pages_and_stars_are_split(spark, sorted_joins):
+    pages = spark.range(50).selectExpr("id AS page_id", "'u' AS url", "concat(id % 2, repeat('same page ', 20)) AS html")
+    assert sorted_joins(page_records(pages)).count("Exchange hashpartitioning") == 3
+    edges = spark.range(50).selectExpr("id + 1 AS u", "cast(0 as long) AS v")
+    star = components_of._hook(edges, lambda d: d.select(F.col("v").alias("u"), F.col("m").alias("v")))
+    joined = sorted_joins(star)
+    assert joined.count("Exchange hashpartitioning") == 4  # the fourth is that of distinct
