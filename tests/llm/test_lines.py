@@ -113,6 +113,17 @@ def test_short_lines_and_lines_without_spaces(spark):
     assert got == want
 
 
+def test_bounds_are_parameters(spark):
+    lines = ["a", "a", "b c", "b d", "b c", "e f g", "e x g", "e f g h"]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    kept = lambda **k: [r["doc_id"] for r in sorted(ld.dedup_lines(docs, **k).collect()) if not r["__lines_dropped"]]
+    assert kept() == [0, 2, 5]
+    assert kept(edit_words=3) == [0, 2, 3, 5]
+    assert kept(edit_words=9) == [0, 2, 3, 5, 6, 7]
+    assert kept(least_words=2) == [0, 1, 2, 5]
+    assert kept(least_words=4, edit_words=4) == list(range(8))
+
+
 def test_near_characters_share_an_anchor_and_a_variant():
     r = random.Random(2)
     for _ in range(3000):

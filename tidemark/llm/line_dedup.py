@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import split_join, stored, table
 from tidemark.llm.tokens import parts
 
-#: Fewest words of a line that is compared at all, and of one for which an edit of a word is allowed.
+#: Fewest words of a line that is compared at all, and of one for which an edit of a word is allowed, unless told otherwise.
 LEAST_WORDS, EDIT_WORDS = 1, 2
 #: Added to the sizes of lines of characters, so that their keys and anchors aren't those of lines of words.
 _CHARACTERS = 1 << 31
@@ -43,9 +43,9 @@ def line_hash(words: list[bytes]) -> tuple[int, int]:
     return unpack("<qq", xxhash.xxh3_128_digest(b" ".join(words)))
 
 
-def units(words: list[bytes]) -> tuple[list[bytes], int]:
+def units(words: list[bytes], edit_words: int = EDIT_WORDS) -> tuple[list[bytes], int]:
     """What an edit replaces, inserts or deletes in a line, its words or a single word's characters, and their salt."""
-    if len(words) >= EDIT_WORDS:
+    if len(words) >= edit_words:
         return words, 0
     return [c.encode() for c in b" ".join(words).decode()], _CHARACTERS
 
@@ -96,7 +96,7 @@ def _signed(values) -> pa.Array:
 _LINES = "doc long, h1 long, h2 long, a0 long, a1 long, z0 long, z1 long"
 
 
-def _lines(docs: DataFrame) -> DataFrame:
+def _lines(docs: DataFrame, least_words: int, edit_words: int) -> DataFrame:
     """doc, h1, h2 of each distinct line of each document, and its anchors: a of its start, z of its end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,8 +104,8 @@ def _lines(docs: DataFrame) -> DataFrame:
             rows: dict[tuple, list] = {}
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for _, w in split_lines(text):
-                    if len(w) >= LEAST_WORDS and (k := (doc, *line_hash(w))) not in rows:
-                        found = anchors(*units(w)) if len(w) >= EDIT_WORDS else []  # one word: equality only
+                    if len(w) >= least_words and (k := (doc, *line_hash(w))) not in rows:
+                        found = anchors(*units(w, edit_words)) if len(w) >= edit_words else []  # else equality only
                         half = len(found) // 2
                         rows[k] = [x for side in (found[:half], found[half:]) for x in (*side, None, None)[:2]]
             columns = list(zip(*((*k, *v) for k, v in rows.items()))) if rows else [()] * 7
@@ -114,7 +114,7 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, _LINES)
 
 
-def _pick(docs: DataFrame) -> DataFrame:
+def _pick(docs: DataFrame, least_words: int) -> DataFrame:
     """doc, no, h1, h2, sides, line: of documents with a list ``__tm_wanted``, the first of each line of it.
 
     All columns of ``docs`` come in, though few are read, so that this and the last step share one shuffle of the texts.
@@ -130,7 +130,7 @@ def _pick(docs: DataFrame) -> DataFrame:
                 for x in wanted:
                     sides[x["h1"]] = sides.get(x["h1"], 0) | x["side"]
                 for no, (_, w) in enumerate(split_lines(text)):
-                    if len(w) >= LEAST_WORDS and sides:
+                    if len(w) >= least_words and sides:
                         h1, h2 = line_hash(w)
                         if side := sides.pop(h1, 0):
                             rows.append((doc, no, h1, h2, side, b" ".join(w).decode()))
@@ -153,7 +153,7 @@ def gaps(n: int, sides: int, salt: int = 0) -> np.ndarray:
     return np.concatenate([[-1], np.arange(first, last)])
 
 
-def _neighbourhood(lines: DataFrame) -> DataFrame:
+def _neighbourhood(lines: DataFrame, edit_words: int) -> DataFrame:
     """key, gap (the place of the unit left out; -1: none), doc, no."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +162,7 @@ def _neighbourhood(lines: DataFrame) -> DataFrame:
             for i in range(0, b.num_rows, 500):
                 keys, places = [], []
                 for x, side in zip(b.column(3).slice(i, 500).to_pylist(), sides[i : i + 500].tolist()):
-                    own, salt = units(x.encode().split())
+                    own, salt = units(x.encode().split(), edit_words)
                     all_keys = variants(own, salt)
                     places.append(gaps(len(own), side, salt))
                     keys.append(all_keys[places[-1] + 1])
@@ -180,12 +180,12 @@ def _neighbourhood(lines: DataFrame) -> DataFrame:
     return lines.select("doc", "no", "sides", "line").mapInArrow(run, "key long, gap int, doc long, no int")
 
 
-def _verified(pairs: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, edit_words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             near = []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                (x, kind), (y, other) = units(x.encode().split()), units(y.encode().split())
+                (x, kind), (y, other) = (units(line.encode().split(), edit_words) for line in (x, y))
                 near.append(kind == other and within_one_edit(x, y))
             keep = pa.array(near, pa.bool_())
             yield pa.record_batch([b.column(0).filter(keep), b.column(1).filter(keep)], names=["h1", "h2"])
@@ -207,14 +207,14 @@ def _wanted(distinct: DataFrame) -> DataFrame:
     return found.withColumnRenamed("doc", "__tm_doc")
 
 
-def near_lines(lines: DataFrame) -> DataFrame:
+def near_lines(lines: DataFrame, edit_words: int = EDIT_WORDS) -> DataFrame:
     """h1, h2 of the distinct lines (doc, no, h1, h2, sides, line) that have an earlier near line.
 
     Lines that differ in one unit share the variant that leaves it out at the same place; any two in such a set are
     near. A line with a unit more shares the variant that leaves it out with the shorter line itself. So the earliest
     line with the same gap, the whole line, and the earliest line with any gap are all that a line has to meet.
     """
-    rows = _neighbourhood(lines)
+    rows = _neighbourhood(lines, edit_words)
     at = F.struct("doc", "no")
     by_gap = rows.groupBy("key", "gap").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n"))
     whole = F.col("gap") == -1
@@ -236,17 +236,25 @@ def near_lines(lines: DataFrame) -> DataFrame:
     own = lines.select(at.alias("at"), "h1", "h2", F.col("line").alias("a"))
     early = lines.select(at.alias("first"), F.col("line").alias("b"))
     typed = pairs.select(*(F.struct(F.col(c)["doc"].alias("doc"), F.col(c)["no"].cast("long").alias("no")).alias(c) for c in ("at", "first")))
-    return _verified(typed.join(own, "at").join(early, "first").select("h1", "h2", "a", "b")).distinct()
+    return _verified(typed.join(own, "at").join(early, "first").select("h1", "h2", "a", "b"), edit_words).distinct()
 
 
 def dedup_lines(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", kept: str = "__kept", dropped: str = "__lines_dropped"
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    kept: str = "__kept",
+    dropped: str = "__lines_dropped",
+    least_words: int = LEAST_WORDS,
+    edit_words: int = EDIT_WORDS,
 ) -> DataFrame:
     """The rows of ``docs`` with two more columns, ``kept`` (text of the lines that stay) and the number ``dropped``.
 
     A line goes if an equal one stands earlier in the order of (id, line), or if its first occurrence has an
-    earlier near line. Equal means the same words, white space aside; near lines of two words or more differ by one edit
-    of a word; those of one word are compared for equality only. Blank lines always stay. The line that makes another go may itself have gone
+    earlier near line. Equal means the same words, white space aside; near lines, of ``edit_words`` words or more, differ by
+    one edit of a word; shorter ones are compared for equality only, and lines of under ``least_words`` (1: blank ones)
+    always stay. The line that makes another go may itself have gone
     for a still earlier one. Null text is empty and stays null if nothing goes. Rows with a null id come last, in
     the order of a hash of their texts. Rows that share an id, or a null id and the text, count as one document: their equal
     lines stay in each of them. No rows give no rows. Extra columns come back; their names mustn't begin with __tm_.
@@ -255,11 +263,11 @@ def dedup_lines(
     place = F.lit(_NO_ID).bitwiseOR(F.shiftrightunsigned(F.xxhash64(text_col), 2))  # rows without an id: by their text
     base = docs.withColumns({"__tm_doc": F.coalesce(F.col(id_col).cast("long"), place), "__tm_text": F.col(text_col)})
     base = base.drop(text_col)
-    lines = stored(_lines(base.select("__tm_doc", "__tm_text")), "lines")
+    lines = stored(_lines(base.select("__tm_doc", "__tm_text"), least_words, edit_words), "lines")
     distinct = lines.groupBy("h1", "h2", "a0", "a1", "z0", "z1").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("n"))
     distinct = stored(distinct, "distinct-lines")
     wanted = stored(_wanted(distinct), "wanted-lines")
-    near = near_lines(_pick(base.join(wanted, "__tm_doc")).repartition("doc", "no"))
+    near = near_lines(_pick(base.join(wanted, "__tm_doc"), least_words).repartition("doc", "no"), edit_words)
     again = distinct.where("n > 1").select("h1", "h2", F.col("doc").alias("first"))
     marked = again.union(near.select("h1", "h2", F.lit(None).cast("long")))
     gone = (
@@ -270,10 +278,12 @@ def dedup_lines(
         .agg(F.collect_set(F.struct("h1", "h2")).alias("__tm_gone"))
         .withColumnRenamed("doc", "__tm_doc")
     )
-    return _without(base.join(gone, "__tm_doc", "left"), text_col, docs.columns, kept, dropped)
+    return _without(base.join(gone, "__tm_doc", "left"), text_col, docs.columns, kept, dropped, least_words)
 
 
-def _without(rows: DataFrame, text_col: str, columns: list[str], kept_name: str, dropped_name: str) -> DataFrame:
+def _without(
+    rows: DataFrame, text_col: str, columns: list[str], kept_name: str, dropped_name: str, least_words: int
+) -> DataFrame:
     names, kinds = rows.columns, dict(rows.dtypes)
     read = [names.index("__tm_text" if c == text_col else c) for c in columns]
 
@@ -285,7 +295,7 @@ def _without(rows: DataFrame, text_col: str, columns: list[str], kept_name: str,
                 gone, seen, out = {(x["h1"], x["h2"]) for x in gone or ()}, set(), []
                 found = split_lines(text)
                 for line, w in found:
-                    if len(w) >= LEAST_WORDS:
+                    if len(w) >= least_words:
                         h = line_hash(w)
                         if h in gone or h in seen:
                             continue
