@@ -212,9 +212,9 @@ def store_ingest(spark, d) -> DataFrame:
 
 
 def stream_ingest(spark, d) -> DataFrame:
-    """The same by a stream of micro-batches of one file."""
+    """The same by a stream of micro-batches of four files."""
     store = _store(spark)
-    query = ingest_stream(spark, _files(spark, d, ("Scalar", "Annotation")), store, scratch(spark, "stream"), files_per_trigger=1)
+    query = ingest_stream(spark, _files(spark, d, ("Scalar", "Annotation")), store, scratch(spark, "stream"), files_per_trigger=4)
     query.awaitTermination()
     return _kinds(store)
 
