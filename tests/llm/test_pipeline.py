@@ -24,6 +24,27 @@ def groups_of(rows, words=5, least=0.8):
     return of
 
 
+def test_shingle_sets_tell_texts_apart_as_shingles_do():
+    import re
+
+    r = random.Random(1)
+    texts = [None, "", " \n", "a", "A", " a ", "a b", "a  B\t", "a b c d e", "a b c d e f", "b c d e f", "ÉA b c d e", "éa b c d e", "a\x1fb c", "a\u00a0b c"]
+    texts += [" ".join(r.choices("abé", k=r.randint(0, 9))) + r.choice(["", " ", "\n"]) for _ in range(300)]
+
+    def shingles(t, n):
+        fold = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", fold) if x]
+        return frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1)))
+
+    for n in (1, 3, 5):
+        sets = nd.shingle_sets(nd.pa.array(texts, nd.pa.string()).slice(1), n)
+        want = [shingles(t, n) for t in texts[1:]]
+        assert [len(x) for x in sets] == [len(x) for x in want]
+        of = dict(zip(want, (x.tobytes() for x in sets)))
+        assert all(of[w] == x.tobytes() for w, x in zip(want, sets)) and len(set(of.values())) == len(of)
+        assert all((np.diff(x.astype(object)) > 0).all() for x in sets)
+
+
 def near_corpus(seed=3, bases=25, copies=6):
     r = random.Random(seed)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))

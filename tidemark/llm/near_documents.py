@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import split_join, stored
 from tidemark.llm.components import components
-from tidemark.llm.simhash import blocks, hashes, runs
-from tidemark.llm.tokens import parts
+from tidemark.llm.simhash import blocks, runs
+from tidemark.llm.tokens import CLASS, SPACE, distinct, parts, utf8
 
 #: Bytes of a fingerprint, and bytes of a posting's key: documents of similarity 0.8 share a key with a chance of
 #: 1 - (1 - 0.8 ** 4) ** 12 = 0.998.
@@ -35,6 +35,9 @@ NEAREST = 4
 #: Most sets of shingles of a posting that the second pass compares as one block.
 SETS = 256
 _NO_ID = 2**63 - 1
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 _WEIGHTS = np.random.default_rng(20).integers(0, 2**63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -47,10 +50,51 @@ def wide_fingerprint(h: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(16)).astype(np.uint8)
 
 
+def shingle_sets(column: pa.Array, words: int) -> list[np.ndarray]:
+    """Of each text the distinct 64-bit hashes of its shingles, in order.
+
+    Words are what stands between ASCII white space, A-Z lower-cased; a text of fewer words is one shingle; a text without a
+    word has the hash 0, so that such texts are equal. Distinct words of the column are hashed once.
+    """
+    raw, offsets = utf8(column)
+    solid = CLASS[raw] != SPACE
+    begins, ends = solid.copy(), solid.copy()
+    begins[1:] &= ~solid[:-1]
+    ends[:-1] &= ~solid[1:]
+    first = offsets[:-1][offsets[:-1] < len(raw)]
+    begins[first] = solid[first]
+    last = first[first > 0] - 1
+    ends[last] = solid[last]
+    at = np.flatnonzero(begins)
+    if not len(at):
+        return [np.zeros(1, np.uint64)] * len(column)
+    bounds = np.searchsorted(at, offsets)  # of each text's words
+    sizes = np.flatnonzero(ends) + 1 - at
+    which, distinct_words = distinct(_LOWER[raw[solid]], np.cumsum(sizes) - sizes)
+    word = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct_words.to_pylist()), np.uint64, len(distinct_words))[which]
+    whole = _mixed([word[k : len(word) - words + 1 + k] for k in range(words)]) if len(word) >= words else word[:0]
+    out = []
+    for a, b in zip(bounds.tolist(), bounds[1:].tolist()):
+        if b - a >= words:
+            h = np.sort(whole[a : b - words + 1])
+            out.append(h[np.append(True, h[1:] != h[:-1])])
+        else:
+            out.append(_mixed([word[k : k + 1] for k in range(a, b)]) if b > a else np.zeros(1, np.uint64))
+    return out
+
+
+def _mixed(parts: list[np.ndarray]) -> np.ndarray:
+    """One hash of hashes in order; their number counts."""
+    h = np.full(len(parts[0]), len(parts), np.uint64)
+    for x in parts:
+        h = ((h ^ (h >> np.uint64(32))) * _MIX) ^ x
+    h = (h ^ (h >> np.uint64(29))) * _MIX
+    return h ^ (h >> np.uint64(32))
+
+
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
-    """Distinct hashes in order; a text without a word has one, so that such texts are equal."""
-    h = np.unique(hashes(text or "", words))
-    return h if len(h) else np.zeros(1, np.uint64)
+    """The same of one text."""
+    return shingle_sets(pa.array([text], pa.string()), words)[0]
 
 
 def _fingerprints(texts: DataFrame, words: int) -> DataFrame:
@@ -59,8 +103,7 @@ def _fingerprints(texts: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts(batches, 1):
             same, wide = [], []
-            for t in b.column(1).to_pylist():
-                h = shingle_hashes(t, words)
+            for h in shingle_sets(b.column(1), words):
                 same.append(xxhash.xxh3_128_digest(h.tobytes()))
                 wide.append(wide_fingerprint(h).tobytes())
             yield pa.record_batch(
@@ -150,7 +193,7 @@ def _beyond_nearest(posts: DataFrame, texts: DataFrame, words: int, similarity:
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts(batches, 1):
-            sets = [shingle_hashes(t, words).tobytes() for t in b.column(1).to_pylist()]
+            sets = [x.tobytes() for x in shingle_sets(b.column(1), words)]
             yield pa.record_batch([b.column(0), pa.array(sets, pa.binary())], names=["doc", "shingles"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,10 +218,9 @@ def _beyond_nearest(posts: DataFrame, texts: DataFrame, words: int, similarity:
 
 def _verified(pairs: DataFrame, words: int, similarity: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches, 2):
             keep = []
-            for x, y in zip(b.column(2), b.column(3)):
-                x, y = shingle_hashes(x.as_py(), words), shingle_hashes(y.as_py(), words)
+            for x, y in zip(shingle_sets(b.column(2), words), shingle_sets(b.column(3), words)):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             mask = pa.array(keep, pa.bool_())
@@ -197,7 +239,7 @@ def _by_class(rows: DataFrame, text_col: str, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts(batches, text_col):
-            same = (xxhash.xxh3_128_digest(shingle_hashes(t, words).tobytes()) for t in b.column(text_col).to_pylist())
+            same = (xxhash.xxh3_128_digest(x.tobytes()) for x in shingle_sets(b.column(text_col), words))
             yield pa.record_batch([*b.columns, pa.array(map(_class_node, same), pa.int64())], names=[*b.schema.names, "__tm_node"])
 
     kinds = dict(rows.dtypes)

@@ -28,12 +28,12 @@ SLICE = 8 << 20
 #: Letters below this are letters to every version of the library's tables.
 LATIN_END = "ɐ"
 
-_OTHER, _SPACE, _MARK, _DIGIT, _LETTER = range(5)
-_CLASS = np.zeros(256, np.uint8)
-_CLASS[33:127] = _MARK
-_CLASS[list(b"0123456789")] = _DIGIT
-_CLASS[[c for c in range(128) if chr(c).isalpha()]] = _LETTER
-_CLASS[list(b"\t\n\v\f\r ")] = _SPACE
+_OTHER, SPACE, _MARK, _DIGIT, _LETTER = range(5)
+CLASS = np.zeros(256, np.uint8)
+CLASS[33:127] = _MARK
+CLASS[list(b"0123456789")] = _DIGIT
+CLASS[[c for c in range(128) if chr(c).isalpha()]] = _LETTER
+CLASS[list(b"\t\n\v\f\r ")] = SPACE
 #: White space beyond ASCII, by its last bytes.
 _WIDE = [c.encode() for c in map(chr, range(128, 0x3001)) if c.isspace()]
 
@@ -85,15 +85,15 @@ def cuts(raw: np.ndarray) -> np.ndarray:
     Before white space that follows something else, and where letters, or digits, end before another ASCII character.
     White space beyond ASCII counts as such: no cut comes after it.
     """
-    kind = _CLASS[raw]
+    kind = CLASS[raw]
     lead = (raw >= 0xC3) & (raw <= 0xC5)  # U+00C0 to U+017F are letters but for two signs
     if lead.any():
         at = np.flatnonzero(lead[:-1])
         kind[at[(raw[at] != 0xC3) | ((raw[at + 1] != 0x97) & (raw[at + 1] != 0xB7))] + 1] = _LETTER
     a, b = kind[:-1], kind[1:]
     out = np.zeros(len(raw), bool)
-    out[1:] = ((b == _SPACE) & (a != _SPACE)) | ((a >= _DIGIT) & (b >= _MARK) & (a != b))
-    doubt = np.flatnonzero(out[1:] & (b == _SPACE) & (a == _OTHER))
+    out[1:] = ((b == SPACE) & (a != SPACE)) | ((a >= _DIGIT) & (b >= _MARK) & (a != b))
+    doubt = np.flatnonzero(out[1:] & (b == SPACE) & (a == _OTHER))
     if len(doubt):
         wide = (raw[doubt] >= 0x1C) & (raw[doubt] <= 0x1F)
         for w in _WIDE:
