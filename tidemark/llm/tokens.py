@@ -24,7 +24,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one Spark task, one
 #: Bytes of units and their ids that a process keeps, Python's own included.
 KEPT_BYTES = 64 << 20
 #: Bytes of text that are handled at a time; what numpy and Arrow hold is about twelve times that.
-SLICE = 8 << 20
+SLICE = 4 << 20
 #: Letters below this are letters to every version of the library's tables.
 LATIN_END = "ɐ"
 
