@@ -12,6 +12,7 @@ only), so variants are made just for lines that share such an anchor.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from struct import unpack
 
@@ -50,6 +51,7 @@ def units(words: list[bytes], edit_words: int = EDIT_WORDS) -> tuple[list[bytes]
     return [c.encode() for c in b" ".join(words).decode()], _CHARACTERS
 
 
+@functools.lru_cache(maxsize=4096)
 def anchor_sizes(n: int, salt: int = 0) -> list[int]:
     """How many units the anchors of a line of n have; a line of n or n + 1 units has one size in common.
 
