@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import split_join, stored
 from tidemark.llm.components import components
 from tidemark.llm.simhash import blocks, runs
-from tidemark.llm.tokens import CLASS, SPACE, distinct, parts, utf8
+from tidemark.llm.tokens import distinct, parts, utf8, word_places
 
 #: Bytes of a fingerprint, and bytes of a posting's key: documents of similarity 0.8 share a key with a chance of
 #: 1 - (1 - 0.8 ** 4) ** 12 = 0.998.
@@ -57,19 +57,10 @@ def shingle_sets(column: pa.Array, words: int) -> list[np.ndarray]:
     word has the hash 0, so that such texts are equal. Distinct words of the column are hashed once.
     """
     raw, offsets = utf8(column)
-    solid = CLASS[raw] != SPACE
-    begins, ends = solid.copy(), solid.copy()
-    begins[1:] &= ~solid[:-1]
-    ends[:-1] &= ~solid[1:]
-    first = offsets[:-1][offsets[:-1] < len(raw)]
-    begins[first] = solid[first]
-    last = first[first > 0] - 1
-    ends[last] = solid[last]
-    at = np.flatnonzero(begins)
+    solid, at, sizes = word_places(raw, offsets)
     if not len(at):
         return [np.zeros(1, np.uint64)] * len(column)
     bounds = np.searchsorted(at, offsets)  # of each text's words
-    sizes = np.flatnonzero(ends) + 1 - at
     which, distinct_words = distinct(_LOWER[raw[solid]], np.cumsum(sizes) - sizes)
     word = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct_words.to_pylist()), np.uint64, len(distinct_words))[which]
     whole = _mixed([word[k : len(word) - words + 1 + k] for k in range(words)]) if len(word) >= words else word[:0]

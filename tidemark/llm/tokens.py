@@ -113,6 +113,21 @@ def distinct(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, pa.String
     return coded.indices.to_numpy(), coded.dictionary
 
 
+def word_places(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a buffer of texts: which bytes aren't ASCII white space, and where words (runs of these in a text) start, and how
+    long they are."""
+    solid = CLASS[raw] != SPACE
+    begins, ends = solid.copy(), solid.copy()
+    begins[1:] &= ~solid[:-1]
+    ends[:-1] &= ~solid[1:]
+    first = offsets[:-1][offsets[:-1] < len(raw)]
+    begins[first] = solid[first]
+    last = first[first > 0] - 1
+    ends[last] = solid[last]
+    at = np.flatnonzero(begins)
+    return solid, at, np.flatnonzero(ends) + 1 - at
+
+
 def gather(values: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of stretches of ``values`` that have ``sizes``, those named by ``which``, joined; and where each of them ends."""
     starts = np.cumsum(sizes) - sizes
