@@ -54,6 +54,14 @@ def test_long_texts_and_a_small_cache(monkeypatch):
     assert len(own.kept.young) + len(own.kept.old) < 400
 
 
+def test_token_ids(spark):
+    docs = spark.createDataFrame([(1, "a b", b"x"), (None, None, b"y"), (1, "a b", b"z")], "doc_id long, text string, ids binary")
+    got = [(r["doc_id"], np.frombuffer(r["ids"], "<u4").tolist()) for r in tokens.token_ids(docs, end_id=9).collect()]
+    (want,) = library(["a b"])
+    assert sorted(got, key=repr) == sorted([(1, [*want, 9]), (None, [9]), (1, [*want, 9])], key=repr)
+    assert tokens.token_ids(docs.where("false"), end_id=9).count() == 0
+
+
 def check_pieces(rows, texts, limit=1024):
     ids = {i: np.array(x + [0], "<u4") for i, x in zip(texts, library([t or "" for t in texts.values()]))}
     by_doc, by_seq = defaultdict(list), defaultdict(list)

@@ -18,11 +18,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import scratch, stored, table
-from tidemark.llm.tokens import token_ids, unsqueeze
+from tidemark.llm.tokens import default_tokenizer, encoder, parts, squeeze, unsqueeze
 
 #: Frequencies of a table sum to 2 ** PRECISION.
 PRECISION = 18
 LANES, BLOCK_IDS, CHECKPOINT_STEPS = 1024, 1 << 18, 128
+#: How columns of compressed bytes are written.
+_PLAIN = {"compression": "none", "parquet.enable.dictionary": "false"}
 _LOW = np.uint64(1 << 31)
 _WORD = np.uint64(32)
 
@@ -165,20 +167,37 @@ def _arrow(**columns) -> pa.RecordBatch:
     return pa.record_batch(list(columns.values()), names=list(columns))
 
 
-def count_ids(ids: DataFrame) -> DataFrame:
-    """id, n over every row of ``ids`` (squeezed), summed in each task before the shuffle."""
+def _encoded(docs: DataFrame, end_id: int, path: str, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, ids (squeezed), counts: a row per document, and one per task that says how often it met each id."""
+    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
-        for b in batches:
-            flat = np.concatenate([*map(unsqueeze, b.column(0).to_pylist()), np.zeros(0, np.uint16)])
-            got = np.bincount(flat, minlength=len(total))
+        for b in parts(batches, 1):
+            ids = [x + end for x in encoder(path).encode_rows(b.column(1))]
+            got = np.bincount(np.frombuffer(b"".join(ids), "<u4"), minlength=len(total))
             got[: len(total)] += total
             total = got
+            yield _arrow(doc_id=b.column(0), ids=pa.array(map(squeeze, ids), pa.binary()), counts=pa.nulls(len(ids), pa.binary()))
         seen = np.flatnonzero(total)
-        yield _arrow(id=pa.array(seen, pa.int64()), n=pa.array(total[seen], pa.int64()))
+        told = np.stack([seen, total[seen]]).astype("<i8").tobytes()
+        yield _arrow(doc_id=pa.nulls(1, pa.int64()), ids=pa.nulls(1, pa.binary()), counts=pa.array([told], pa.binary()))
+
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return picked.mapInArrow(run, "doc_id long, ids binary, counts binary")
+
+
+def _counted(encoded: DataFrame) -> DataFrame:
+    """id, n over all tasks; only the column of counts is read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for told in b.column(0).to_pylist():
+                ids, n = np.frombuffer(told, "<i8").reshape(2, -1)
+                yield _arrow(id=pa.array(ids), n=pa.array(n))
 
-    return ids.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = encoded.where("counts is not null").select("counts")
+    return counts.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 BLOCK_SCHEMA = (
@@ -198,9 +217,9 @@ def write_token_files(
     other. No rows write no blocks.
     """
     spark = docs.sparkSession
-    ids = token_ids(docs, end_id=end_id, tokenizer=tokenizer, id_col=id_col, text_col=text_col, squeezed=True)
-    ids = stored(ids, "token-ids", compression="none")
-    count_ids(ids).write.parquet(f"{path}/frequencies")
+    encoded = stored(_encoded(docs, end_id, tokenizer or default_tokenizer(), id_col, text_col), "token-ids", **_PLAIN)
+    _counted(encoded).write.parquet(f"{path}/frequencies")
+    ids = encoded.where("ids is not null").select("doc_id", "ids")
     freq = read_frequencies(spark, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,7 +259,7 @@ def write_token_files(
         .sortWithinPartitions(*order)
         .drop("row")
         .mapInArrow(run, BLOCK_SCHEMA)
-        .write.option("compression", "none")
+        .write.options(**_PLAIN)
         .parquet(f"{path}/blocks")
     )
 

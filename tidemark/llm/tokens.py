@@ -298,18 +298,11 @@ def _zstd() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
 
 
 def token_ids(
-    docs: DataFrame,
-    *,
-    end_id: int,
-    tokenizer: str | None = None,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    squeezed: bool = False,
+    docs: DataFrame, *, end_id: int, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit integers): the ids of each whole text and then ``end_id``.
 
-    ``squeezed`` gives them as ``squeeze`` does, for what is stored or shuffled on the way. Null text is empty; null ids
-    stay null, repeated rows stay repeated, no rows give no rows; other columns aren't read.
+    Null text is empty; null ids stay null, repeated rows stay repeated, no rows give no rows; other columns aren't read.
     """
     path = tokenizer or default_tokenizer()
     end = np.array([end_id], "<u4").tobytes()
@@ -317,7 +310,6 @@ def token_ids(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts(batches, 1):
             ids = [x + end for x in encoder(path).encode_rows(b.column(1))]
-            ids = list(map(squeeze, ids)) if squeezed else ids
             yield pa.record_batch([b.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
