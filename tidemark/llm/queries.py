@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import exact_dedup, flac, licenses, line_dedup, packing, quality, rans, sentencepieces, simhash, warc
+from tidemark.llm import centroids, exact_dedup, flac, licenses, line_dedup, packing, quality, rans, sentencepieces, simhash, warc
 
 
 def queries() -> dict:
@@ -17,8 +17,9 @@ def queries() -> dict:
         "op8_packing": packing.op8_packing,
         "op9_warc": warc.op9_warc,
         "op10_quality": quality.op10_quality,
+        "op12_centroids": centroids.op12_centroids,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": exact_dedup.ORACLE, "op9_warc": warc.ORACLE}
+    return {"op6_exact_dedup": exact_dedup.ORACLE, "op9_warc": warc.ORACLE, "op12_centroids": centroids.ORACLE}
