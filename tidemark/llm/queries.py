@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import centroids, exact_dedup, flac, lexical, licenses, line_dedup, packing, quality, rans, sentencepieces, simhash, warc
+from tidemark.llm import centroids, chat, exact_dedup, flac, lexical, licenses, line_dedup, packing, quality, rans, sentencepieces, simhash, warc
 
 
 def queries() -> dict:
@@ -17,10 +17,11 @@ def queries() -> dict:
         "op8_packing": packing.op8_packing,
         "op9_warc": warc.op9_warc,
         "op10_quality": quality.op10_quality,
+        "op11_chat": chat.op11_chat,
         "op12_centroids": centroids.op12_centroids,
         "op13_lexical": lexical.op13_lexical,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": exact_dedup.ORACLE, "op9_warc": warc.ORACLE, "op12_centroids": centroids.ORACLE, "op13_lexical": lexical.ORACLE}
+    return {"op6_exact_dedup": exact_dedup.ORACLE, "op9_warc": warc.ORACLE, "op11_chat": chat.ORACLE, "op12_centroids": centroids.ORACLE, "op13_lexical": lexical.ORACLE}
