@@ -24,7 +24,7 @@ FIT_ROWS = 20_000
 THRESHOLD = 0.3
 
 FEATURES = [
-    "log_bytes", "log_words", "word_bytes", "longest_word", "upper", "digit", "exclaim", "comma_stop", "symbol",
+    "bytes", "words", "word_bytes", "longest_word", "upper", "digit", "exclaim", "comma_stop", "symbol",
     "bar", "non_ascii", "distinct_words", "top_word", "repeats", "line_words", "distinct_lines", "one_byte_words",
 ]
 
@@ -44,7 +44,8 @@ for _k, _chars in enumerate(
 
 
 def features(text: str) -> list[float]:
-    """The values of FEATURES; all 0 for a text without a byte."""
+    """The values of FEATURES; all 0 for a text without a byte. They are counts and single quotients of counts, which every
+    processor gives alike to the last bit."""
     raw = text.encode()
     n = max(1, len(raw))
     share = np.bincount(np.frombuffer(raw, np.uint8), minlength=256) @ _CLASSES / n
@@ -54,9 +55,9 @@ def features(text: str) -> list[float]:
     lines = [x for x in raw.split(b"\n") if x]
     sizes = list(map(len, words))
     return [
-        np.log1p(len(raw)), np.log1p(len(words)), sum(sizes) / k, np.log1p(max(sizes, default=0)), *share,
+        len(raw), len(words), sum(sizes) / k, max(sizes, default=0), *share,
         len(counts) / k, max(counts.values(), default=0) / k, sum(map(bytes.__eq__, words, words[1:])) / k,
-        np.log1p(len(words) / max(1, len(lines))), len(set(lines)) / max(1, len(lines)), sizes.count(1) / k,
+        len(words) / max(1, len(lines)), len(set(lines)) / max(1, len(lines)), sizes.count(1) / k,
     ]
 
 
@@ -97,6 +98,14 @@ class Model:
         return 1 / (1 + np.exp(-z))
 
 
+def _edges(x: np.ndarray, bins: int) -> np.ndarray:
+    """Edges halfway between values next to each other, at the quantiles: no value that was fitted on stands on an edge."""
+    values = np.unique(x)
+    at = np.searchsorted(values, np.quantile(x, np.linspace(0, 1, bins + 1)[1:-1]))
+    at = np.unique(at[at > 0])
+    return (values[at - 1] + values[at]) / 2
+
+
 def _gain(g, h, reg):
     return g * g / (h + reg)
 
@@ -150,7 +159,7 @@ def fit(
     y = np.asarray(y, float)
     if not len(y):
         return Model(0.0, [np.zeros(0)] * count, [np.zeros(1)] * count)
-    edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(count)]
+    edges = [_edges(x[:, j], bins) for j in range(count)]
     share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
     m = Model(float(np.log(share / (1 - share))), edges, [np.zeros(len(e) + 1) for e in edges])
     b = m.bins(x)
