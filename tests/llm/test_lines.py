@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import pytest
+
 from tidemark.llm import line_dedup as ld
 
 
@@ -14,10 +16,10 @@ def brute(rows):
             if len(w) >= ld.LEAST_WORDS:
                 places.setdefault(w, []).append((d, no))
     bad = set()
-    kinds = [w for w in places if len(w) >= ld.EDIT_WORDS]
-    for a in kinds:
-        for b in kinds:
-            if a != b and abs(len(a) - len(b)) < 2 and places[b][0] < places[a][0] and distance(a, b) <= 1:
+    kinds = [(w, *kind(w)) for w in places if kind(w)]
+    for a, x, how in kinds:
+        for b, y, other in kinds:
+            if a != b and how == other and places[b][0] < places[a][0] and one_edit(x, y):
                 bad.add(a)
     out = []
     for d, (i, t) in enumerate(rows):
@@ -30,6 +32,22 @@ def brute(rows):
     return out
 
 
+def kind(words):
+    """What an edit changes in a line, or None: words of ten and more, characters of twenty and more."""
+    line = " ".join(words)
+    return (words, "words") if len(words) >= 10 else (tuple(line), "characters") if len(line) >= 20 else None
+
+
+def one_edit(a, b):
+    """Whether what is left beside the common start and end is one unit at most."""
+    n = max(len(a), len(b))
+    if n - min(len(a), len(b)) > 1:
+        return False
+    start = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    end = next((k for k, (x, y) in enumerate(zip(a[::-1], b[::-1])) if x != y), min(len(a), len(b)))
+    return start + end >= n - 1
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -72,7 +90,7 @@ def test_one_edit():
     for _ in range(3000):
         a = [r.choice([b"x", b"y"]) for _ in range(r.randint(0, 7))]
         b = [r.choice([b"x", b"y"]) for _ in range(r.randint(0, 7))]
-        assert ld.within_one_edit(a, b) == (distance(a, b) <= 1)
+        assert ld.within_one_edit(a, b) == (distance(a, b) <= 1) == one_edit(a, b)
 
 
 def test_near_lines_share_an_anchor_and_a_variant():
@@ -99,14 +117,15 @@ def test_keeps_columns_and_drops_what_is_left_without_text(spark):
 def test_short_lines_and_lines_without_spaces(spark):
     r = random.Random(8)
     han = "".join(chr(r.randrange(0x4E00, 0x9FFF)) for _ in range(400))
-    words = ["a", "b", "ab", "ba", "abc", "xbc", "abcd", "é", han, han[:200] + "x" + han[200:], han[:150] + han[151:], han + "yz", "a b", "c b", "a c b", "p q", "p q r s t"]
+    words = ["a", "b", "ab", "ba", "abc", "xbc", "abcd", "é", han, han[:200] + "x" + han[200:], han[:150] + han[151:], han + "yz", han[:19], han[:18], han[:20], han[:20] + "x", han[:21], "a line of twenty-five and", "a line of twenty-four and", "a line of twenty-five end", "a b", "c b", "a c b", "p q", "p q r s t"]
     rows = [(i, "\n".join([w, *(r.choice(words) for _ in range(2))])) for i, w in enumerate(words + words)]
-    units = lambda line: line.split() if " " in line else list(line)
     first, want = {}, {}
     for i, t in rows:
         for no, line in enumerate(t.split("\n")):
             first.setdefault(line, (i, no))
-    near = lambda x: any(first[y] < first[x] and " " in x and " " in y and distance(units(x), units(y)) == 1 for y in first)
+    own = {line: kind(tuple(line.split())) for line in first}
+    near = lambda x: any(first[y] < first[x] and own[x] and own[y] and own[x][1] == own[y][1] and distance(own[x][0], own[y][0]) == 1 for y in first)
+    assert sum(map(near, first)) > 3
     for i, t in rows:
         want[i] = "\n".join(line for no, line in enumerate(t.split("\n")) if first[line] == (i, no) and not near(line))
     got = {x["doc_id"]: x["__kept"] for x in ld.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
@@ -117,13 +136,25 @@ def test_bounds_are_parameters(spark):
     lines = ["a", "a", "b c", "b d", "b c", "e f g", "e x g", "e f g h"]
     docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
     kept = lambda **k: [r["doc_id"] for r in sorted(ld.dedup_lines(docs, **k).collect()) if not r["__lines_dropped"]]
-    assert kept() == [0, 2, 5]
+    assert kept() == [0, 2, 3, 5, 6, 7]
+    assert kept(edit_words=2) == [0, 2, 5]
     assert kept(edit_words=3) == [0, 2, 3, 5]
-    assert kept(edit_words=9) == [0, 2, 3, 5, 6, 7]
-    assert kept(least_words=2) == [0, 1, 2, 5]
+    assert kept(edit_characters=5) == [0, 2, 3, 5, 7]  # a word more is two characters more
+    assert kept(edit_words=2, least_words=2) == [0, 1, 2, 5]
     assert kept(least_words=4, edit_words=4) == list(range(8))
 
 
+def test_short_lines_that_differ_in_a_word_stay(spark):
+    lines = ["hello world", "hello there", "Chapter 1", "Chapter 2", "Chapter 1", "see page 4", "see page 5"]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    assert sorted(r["text"] for r in ld.keep_new_lines(docs).collect()) == sorted(set(lines))
+
+
+def test_names_of_its_own_are_refused(spark):
+    with pytest.raises(ValueError):
+        ld.dedup_lines(spark.createDataFrame([(1, "a", 2)], "doc_id long, text string, __tm_doc long"))
+
+
 def test_near_characters_share_an_anchor_and_a_variant():
     r = random.Random(2)
     for _ in range(3000):
@@ -131,5 +162,5 @@ def test_near_characters_share_an_anchor_and_a_variant():
         k = r.randrange(len(a))
         b = a[:k] + r.choice(["", "x", "x" + a[k]]) + a[k + 1 :]
         if b:
-            x, y = ld.units([a.encode()]), ld.units([b.encode()])
+            x, y = ld.units([a.encode()], (2, 1)), ld.units([b.encode()], (2, 1))
             assert set(ld.anchors(*x)) & set(ld.anchors(*y)) and set(ld.variants(*x)) & set(ld.variants(*y))

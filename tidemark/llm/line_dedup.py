@@ -1,10 +1,11 @@
 """Line dedup by a deletion-neighbourhood join.
 
-Two lines are near if one edit of a word (replace, insert or delete) makes them equal; lines of a single
-word are compared for equality only. Words are a line's units (characters, for one word, which no step asks for yet). A line's variants, itself and
-the line without each one of its units, are joined as hashed keys; near lines share a variant. Of each set of lines
-that share one, every line meets the earliest only, so a set costs as many rows as it has lines. The edit distance of
-what meets is verified on the words, and lines with an earlier equal or near line go.
+Two lines are near if one edit of a unit (replace, insert or delete) makes them equal. The units of a line of ten words and more
+are its words, those of a shorter one its characters, of which it must have twenty; so an edit is a tenth of a line at most,
+and still shorter lines are compared for equality only. A line's variants, itself and the line without each one of its
+units, are joined as hashed keys; near lines share a variant. Of each set of lines that share one, every line meets the
+earliest only, so a set costs as many rows as it has lines. The edit distance of what meets is verified on the units, and
+lines with an earlier equal or near line go.
 
 Lines that share neither their first nor their last units with another can't be near to any (an edit touches one half
 only), so variants are made just for lines that share such an anchor.
@@ -19,14 +20,15 @@ from struct import unpack
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import split_join, stored, table
 from tidemark.llm.tokens import parts
 
-#: Fewest words of a line that is compared at all, and of one for which an edit of a word is allowed, unless told otherwise.
-LEAST_WORDS, EDIT_WORDS = 1, 2
+#: Fewest words of a line that is compared at all, of one for which an edit of a word is allowed, and fewest characters of one
+#: with fewer words for which an edit of a character is allowed, unless told otherwise.
+LEAST_WORDS, EDIT_WORDS, EDIT_CHARACTERS = 1, 10, 20
 #: Added to the sizes of lines of characters, so that their keys and anchors aren't those of lines of words.
 _CHARACTERS = 1 << 31
 #: From here on are the places of rows without an id in the order of documents.
@@ -44,11 +46,13 @@ def line_hash(words: list[bytes]) -> tuple[int, int]:
     return unpack("<qq", xxhash.xxh3_128_digest(b" ".join(words)))
 
 
-def units(words: list[bytes], edit_words: int = EDIT_WORDS) -> tuple[list[bytes], int]:
-    """What an edit replaces, inserts or deletes in a line, its words or a single word's characters, and their salt."""
-    if len(words) >= edit_words:
+def units(words: list[bytes], bounds: tuple[int, int] = (EDIT_WORDS, EDIT_CHARACTERS)) -> tuple[list[bytes], int]:
+    """What an edit replaces, inserts or deletes in a line, words or characters, and their salt; nothing if the line allows
+    no edit. ``bounds``: the fewest words, and of lines with less the fewest characters, that allow one."""
+    if len(words) >= bounds[0]:
         return words, 0
-    return [c.encode() for c in b" ".join(words).decode()], _CHARACTERS
+    line = b" ".join(words).decode()
+    return ([c.encode() for c in line] if len(line) >= bounds[1] else []), _CHARACTERS
 
 
 @functools.lru_cache(maxsize=4096)
@@ -98,7 +102,7 @@ def _signed(values) -> pa.Array:
 _LINES = "doc long, h1 long, h2 long, a0 long, a1 long, z0 long, z1 long"
 
 
-def _lines(docs: DataFrame, least_words: int, edit_words: int) -> DataFrame:
+def _lines(docs: DataFrame, least_words: int, bounds: tuple[int, int]) -> DataFrame:
     """doc, h1, h2 of each distinct line of each document, and its anchors: a of its start, z of its end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +111,8 @@ def _lines(docs: DataFrame, least_words: int, edit_words: int) -> DataFrame:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for _, w in split_lines(text):
                     if len(w) >= least_words and (k := (doc, *line_hash(w))) not in rows:
-                        found = anchors(*units(w, edit_words)) if len(w) >= edit_words else []  # else equality only
+                        own, salt = units(w, bounds)
+                        found = anchors(own, salt) if own else []  # else equality only
                         half = len(found) // 2
                         rows[k] = [x for side in (found[:half], found[half:]) for x in (*side, None, None)[:2]]
             columns = list(zip(*((*k, *v) for k, v in rows.items()))) if rows else [()] * 7
@@ -155,7 +160,7 @@ def gaps(n: int, sides: int, salt: int = 0) -> np.ndarray:
     return np.concatenate([[-1], np.arange(first, last)])
 
 
-def _neighbourhood(lines: DataFrame, edit_words: int) -> DataFrame:
+def _neighbourhood(lines: DataFrame, bounds: tuple[int, int]) -> DataFrame:
     """key, gap (the place of the unit left out; -1: none), doc, no."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +169,7 @@ def _neighbourhood(lines: DataFrame, edit_words: int) -> DataFrame:
             for i in range(0, b.num_rows, 500):
                 keys, places = [], []
                 for x, side in zip(b.column(3).slice(i, 500).to_pylist(), sides[i : i + 500].tolist()):
-                    own, salt = units(x.encode().split(), edit_words)
+                    own, salt = units(x.encode().split(), bounds)
                     all_keys = variants(own, salt)
                     places.append(gaps(len(own), side, salt))
                     keys.append(all_keys[places[-1] + 1])
@@ -182,12 +187,12 @@ def _neighbourhood(lines: DataFrame, edit_words: int) -> DataFrame:
     return lines.select("doc", "no", "sides", "line").mapInArrow(run, "key long, gap int, doc long, no int")
 
 
-def _verified(pairs: DataFrame, edit_words: int) -> DataFrame:
+def _verified(pairs: DataFrame, bounds: tuple[int, int]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             near = []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                (x, kind), (y, other) = (units(line.encode().split(), edit_words) for line in (x, y))
+                (x, kind), (y, other) = (units(line.encode().split(), bounds) for line in (x, y))
                 near.append(kind == other and within_one_edit(x, y))
             keep = pa.array(near, pa.bool_())
             yield pa.record_batch([b.column(0).filter(keep), b.column(1).filter(keep)], names=["h1", "h2"])
@@ -209,14 +214,14 @@ def _wanted(distinct: DataFrame) -> DataFrame:
     return found.withColumnRenamed("doc", "__tm_doc")
 
 
-def near_lines(lines: DataFrame, edit_words: int = EDIT_WORDS) -> DataFrame:
+def near_lines(lines: DataFrame, bounds: tuple[int, int] = (EDIT_WORDS, EDIT_CHARACTERS)) -> DataFrame:
     """h1, h2 of the distinct lines (doc, no, h1, h2, sides, line) that have an earlier near line.
 
     Lines that differ in one unit share the variant that leaves it out at the same place; any two in such a set are
     near. A line with a unit more shares the variant that leaves it out with the shorter line itself. So the earliest
     line with the same gap, the whole line, and the earliest line with any gap are all that a line has to meet.
     """
-    rows = _neighbourhood(lines, edit_words)
+    rows = _neighbourhood(lines, bounds)
     at = F.struct("doc", "no")
     by_gap = rows.groupBy("key", "gap").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n"))
     whole = F.col("gap") == -1
@@ -238,7 +243,13 @@ def near_lines(lines: DataFrame, edit_words: int = EDIT_WORDS) -> DataFrame:
     own = lines.select(at.alias("at"), "h1", "h2", F.col("line").alias("a"))
     early = lines.select(at.alias("first"), F.col("line").alias("b"))
     typed = pairs.select(*(F.struct(F.col(c)["doc"].alias("doc"), F.col(c)["no"].cast("long").alias("no")).alias(c) for c in ("at", "first")))
-    return _verified(typed.join(own, "at").join(early, "first").select("h1", "h2", "a", "b"), edit_words).distinct()
+    return _verified(typed.join(own, "at").join(early, "first").select("h1", "h2", "a", "b"), bounds).distinct()
+
+
+def _key(column: str = "__tm_doc") -> Column:
+    """A document's place in another spelling: joins on it have shuffles of their own on both sides, which may be split, and
+    the texts' shuffle serves both joins."""
+    return F.col(column).bitwiseXOR(F.lit(0x5DEECE66D))
 
 
 def dedup_lines(
@@ -250,26 +261,32 @@ def dedup_lines(
     dropped: str = "__lines_dropped",
     least_words: int = LEAST_WORDS,
     edit_words: int = EDIT_WORDS,
+    edit_characters: int = EDIT_CHARACTERS,
 ) -> DataFrame:
     """The rows of ``docs`` with two more columns, ``kept`` (text of the lines that stay) and the number ``dropped``.
 
     A line goes if an equal one stands earlier in the order of (id, line), or if its first occurrence has an
-    earlier near line. Equal means the same words, white space aside; near lines, of ``edit_words`` words or more, differ by
-    one edit of a word; shorter ones are compared for equality only, and lines of under ``least_words`` (1: blank ones)
-    always stay. The line that makes another go may itself have gone
-    for a still earlier one. Null text is empty and stays null if nothing goes. Rows with a null id come last, in
+    earlier near line. Equal means the same words, white space aside. Near lines differ by one edit: both of ``edit_words``
+    words or more by one word, both of less, but at least ``edit_characters`` characters, by one character; shorter ones are
+    compared for equality only, and lines of under ``least_words`` (1: blank ones) always stay. The line that makes
+    another go may itself have gone for a still earlier one. Null text is empty and stays null if nothing goes. Rows with a null id come last, in
     the order of a hash of their texts. Rows that share an id, or a null id and the text, count as one document: their equal
-    lines stay in each of them. No rows give no rows. Extra columns come back; their names mustn't begin with __tm_.
+    lines stay in each of them. No rows give no rows. Extra columns come back; one whose name begins
+    with __tm_ raises.
     Lines of any length are compared whole; the work for a line grows in proportion to its units.
     """
+    if own := [c for c in docs.columns if c.startswith("__tm_")]:
+        raise ValueError(f"columns {', '.join(own)} have names of this operator")
+    bounds = edit_words, edit_characters
     place = F.lit(_NO_ID).bitwiseOR(F.shiftrightunsigned(F.xxhash64(text_col), 2))  # rows without an id: by their text
     base = docs.withColumns({"__tm_doc": F.coalesce(F.col(id_col).cast("long"), place), "__tm_text": F.col(text_col)})
-    base = base.drop(text_col)
-    lines = stored(_lines(base.select("__tm_doc", "__tm_text"), least_words, edit_words), "lines")
+    base = base.drop(text_col).withColumn("__tm_key", _key())
+    lines = stored(_lines(base.select("__tm_doc", "__tm_text"), least_words, bounds), "lines")
     distinct = lines.groupBy("h1", "h2", "a0", "a1", "z0", "z1").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("n"))
     distinct = stored(distinct, "distinct-lines")
-    wanted = stored(_wanted(distinct), "wanted-lines")
-    near = near_lines(_pick(base.join(wanted, "__tm_doc"), least_words).repartition("doc", "no"), edit_words)
+    wanted = stored(_wanted(distinct), "wanted-lines").select(_key().alias("__tm_key"), "__tm_wanted")
+    picked = stored(_pick(base.join(wanted, "__tm_key"), least_words), "picked-lines", compression="zstd")
+    near = near_lines(picked, bounds)
     again = distinct.where("n > 1").select("h1", "h2", F.col("doc").alias("first"))
     marked = again.union(near.select("h1", "h2", F.lit(None).cast("long")))
     gone = (
@@ -278,9 +295,9 @@ def dedup_lines(
         .where("first is null or doc <> first")
         .groupBy("doc")
         .agg(F.collect_set(F.struct("h1", "h2")).alias("__tm_gone"))
-        .withColumnRenamed("doc", "__tm_doc")
+        .select(_key("doc").alias("__tm_key"), "__tm_gone")
     )
-    return _without(base.join(gone, "__tm_doc", "left"), text_col, docs.columns, kept, dropped, least_words)
+    return _without(base.join(gone, "__tm_key", "left"), text_col, docs.columns, kept, dropped, least_words)
 
 
 def _without(
