@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.time import MAX_NS, MIN_NS, bucket_of
+from tidemark.functions.time import MAX_NS, MIN_NS
 from tidemark.operators.ranges import range_scan
+from tidemark.operators.spans import ROWS_PER_SPAN, SPAN, carried, join_carried, with_spans
 from tidemark.schema import SEQ
 
-#: Time that one task takes of an entity: an hour.
-SPAN_NS = 3_600_000_000_000
-
 
 def speed_over_ground(
     poses: DataFrame,
@@ -20,7 +18,7 @@ def speed_over_ground(
     end_ns: int = MAX_NS,
     *,
     ordered: bool = True,
-    span_ns: int | None = SPAN_NS,
+    rows_per_span: int | None = ROWS_PER_SPAN,
 ) -> DataFrame:
     """entity_path, t_start_ns, t_end_ns, dt_ns, distance_m, speed_mps between samples that follow each other.
 
@@ -28,19 +26,17 @@ def speed_over_ground(
     they were paired, so the last of several samples of one instant is what the next one is measured from. Without
     ``entity`` every entity is worked on at once. The window is half-open.
 
-    An entity's history is dealt out by spans of ``span_ns``; what carries over from one to the next is a row a span. With
-    None an entity is one task.
+    An entity's history is dealt out by spans of about ``rows_per_span`` samples, however far apart these are; what carries over from
+    one to the next is a row a span. With None an entity is one task.
     """
     names = ["t_ns", "tx", "ty", "tz"]
     rows = range_scan(poses, start_ns, end_ns, entity).select("entity_path", *names, SEQ)
-    rows = rows.withColumn("__span", F.lit(0).cast("long") if span_ns is None else bucket_of(F.col("t_ns"), span_ns))
-    w = Window.partitionBy("entity_path", "__span").orderBy("t_ns", SEQ)
-    before = F.lag(F.struct(*names)).over(w)
-    steps = rows.select("entity_path", "__span", *names, before.alias("__before"), F.lead("t_ns").over(w).isNull().alias("__last"))
-    if span_ns is not None:
-        by_span = Window.partitionBy("entity_path").orderBy("__span")
-        carried = steps.where("__last").select("entity_path", "__span", F.lag(F.struct(*names)).over(by_span).alias("__carried"))
-        steps = steps.join(carried, ["entity_path", "__span"]).withColumn("__before", F.coalesce("__before", "__carried"))
+    spanned = with_spans(rows, "entity_path", ["t_ns", SEQ], rows_per_span)
+    w = Window.partitionBy("entity_path", SPAN).orderBy("t_ns", SEQ)
+    steps = spanned.withColumn("__before", F.lag(F.struct(*names)).over(w))
+    if rows_per_span is not None:
+        handed = carried(spanned, "entity_path", ["t_ns", SEQ], F.struct(*names))
+        steps = join_carried(steps, "entity_path", handed).withColumn("__before", F.coalesce("__before", "__carried"))
     dx, dy, dz = (F.col(c) - F.col(f"__before.{c}") for c in names[1:])
     out = (
         steps.where(F.col("t_ns") > F.col("__before.t_ns"))

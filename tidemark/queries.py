@@ -296,6 +296,30 @@ def stale_pairs(spark, d) -> DataFrame:
     return ops.proximity_pairs(order_poses(spark, d, None, ORDERS_AT + 1), ORDERS_AT, PRICE_RADIUS)
 
 
+#: Where the dates of orders are put among the events: a day of them is 18 minutes from the first event's month on.
+ORDERS_BEGIN, EVENTS_BEGIN, SHRINK = 788_918_400_000_000_000, 1_704_067_200_000_000_000, 80
+
+
+def asof_orders(spark, d) -> DataFrame:
+    """Each order, its date put among the events, with the last event of the user of the customer's number."""
+    at = F.lit(EVENTS_BEGIN) + F.expr(f"(unix_micros(cast(o_orderdate as timestamp)) * 1000 - {ORDERS_BEGIN}) div {SHRINK}")
+    orders = _read(spark, d, "orders").select("o_orderkey", F.concat(F.lit("/user/"), F.col("o_custkey")).alias("entity_path"), at.alias("t_ns"))
+    found = ops.as_of(orders, _rows(_read(spark, d, "events"), "ts", "/user/", "user_id", "event_id", {"value": F.col("value"), "label": F.col("event_type")}))
+    return found.select("o_orderkey", "entity_path", "t_ns", F.col("sample_ingest_seq").alias("event_id"), F.col("sample_t_ns").alias("event_t_ns"), "sample_value", "sample_label")
+
+
+#: How old a view may be that a purchase is traced to: six hours.
+FRESH_NS = 6 * 3_600_000_000_000
+
+
+def asof_fresh(spark, d) -> DataFrame:
+    """Each purchase with the same user's last view of the six hours before it."""
+    events = _read(spark, d, "events")
+    kind = lambda k: _rows(events.where(F.col("event_type") == k), "ts", "/user/", "user_id", "event_id", {"value": F.col("value")})
+    found = ops.as_of(kind("purchase"), kind("view"), tolerance_ns=FRESH_NS)
+    return found.select(F.col(SEQ).alias("event_id"), "entity_path", "t_ns", "value", F.col("sample_ingest_seq").alias("view_id"), F.col("sample_t_ns").alias("view_t_ns"), F.col("sample_value").alias("view_value"))
+
+
 def engine_plans(spark, d) -> DataFrame:
     """The counters of a query of each type over one snapshot, without their times."""
     s = snapshot(spark, d)
@@ -357,6 +381,8 @@ def queries() -> dict:
         "proximity_pairs": stale_pairs,
         "proximity_grid": _near(RADIUS),
         "proximity_radius_zero": _near(0.0),
+        "asof_orders": asof_orders,
+        "asof_fresh": asof_fresh,
         "bucket_manifest": manifest,
         "plan_counters_latest_at": _counters("Scalar", reaches_latest, AT),
         "plan_counters_range": _counters("Transform3D", reaches_range, ORDERS_AT, ORDERS_AT + 100 * DAY),
@@ -448,6 +474,17 @@ SELECT CAST({ORDERS_AT} AS BIGINT) AS at_ns, a.entity_path AS entity_a, b.entity
 FROM p a JOIN p b ON b.x BETWEEN a.x - 41 AND a.x + 41 AND a.entity_path < b.entity_path AND (a.x - b.x) * (a.x - b.x) <= {PRICE_RADIUS!r}::DOUBLE * {PRICE_RADIUS!r}::DOUBLE"""),
         "proximity_grid": _proximity_sql(RADIUS),
         "proximity_radius_zero": _proximity_sql(0.0),
+        "asof_orders": f"""
+WITH o AS (SELECT o_orderkey, o_custkey, {EVENTS_BEGIN} + (epoch_ns(o_orderdate) - {ORDERS_BEGIN}) // {SHRINK} AS t_ns FROM orders)
+SELECT o_orderkey, '/user/' || o_custkey AS entity_path, t_ns, event_id, epoch_ns(ts) AS event_t_ns, value AS sample_value, event_type AS sample_label
+FROM o ASOF LEFT JOIN (SELECT *, epoch_ns(ts) AS t FROM events QUALIFY row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id DESC) = 1) e
+ON o.o_custkey = e.user_id AND o.t_ns >= e.t""",
+        "asof_fresh": f"""
+WITH e AS (SELECT *, epoch_ns(ts) AS t FROM events),
+v AS (SELECT * FROM e WHERE event_type = 'view' QUALIFY row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id DESC) = 1)
+SELECT p.event_id, '/user/' || p.user_id AS entity_path, p.t AS t_ns, p.value, CASE WHEN p.t - v.t <= {FRESH_NS} THEN v.event_id END AS view_id,
+  CASE WHEN p.t - v.t <= {FRESH_NS} THEN v.t END AS view_t_ns, CASE WHEN p.t - v.t <= {FRESH_NS} THEN v.value END AS view_value
+FROM (SELECT * FROM e WHERE event_type = 'purchase') p ASOF LEFT JOIN v ON p.user_id = v.user_id AND p.t >= v.t""",
         "bucket_manifest": f"WITH {_MANIFEST} SELECT kind, bucket_start_ns, n AS rows, lo AS t_min_ns, hi AS t_max_ns FROM m WHERE kind = 'Scalar'",
         "plan_counters_latest_at": _counters_sql("Scalar", f"lo <= {AT}"),
         "plan_counters_range": _counters_sql("Transform3D", f"hi >= {ORDERS_AT} AND lo < {ORDERS_AT + 100 * DAY}"),
