@@ -20,6 +20,7 @@ from tidemark.sources.generator import GenConfig, run_events, scaled_tables
 from tidemark.sources.jsonl import decode, table_of
 from tidemark.sources.scratch import scratch
 from tidemark.sources.store import Snapshot, Store, snapshot_of, validate
+from tidemark.streaming.latest import current_latest, follow_latest
 from tidemark.streaming.ingest import IngestSummary, ingest_file, ingest_rows, ingest_stream
 
 AT = 1_704_931_200_000_000_000
@@ -219,6 +220,15 @@ def stream_ingest(spark, d) -> DataFrame:
     return _kinds(store)
 
 
+def stream_latest(spark, d) -> DataFrame:
+    """The last scalar of each user, from a stream to which the events come in four micro-batches, dealt out by a hash."""
+    rows, folder, out = scalars(spark, d), scratch(spark, "arrivals"), scratch(spark, "changes")
+    rows.repartition(8, F.xxhash64(SEQ)).write.parquet(folder)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(folder)
+    follow_latest(stream, out, scratch(spark, "stream")).awaitTermination()
+    return current_latest(spark.read.schema(rows.schema).parquet(out)).select("t_ns", "entity_path", "value")
+
+
 def ingest_summary(spark, d) -> DataFrame:
     """What an ingest of damaged scalars tells."""
     told: IngestSummary = ingest_file(spark, _files(spark, d, ("Scalar",)), _store(spark), batch_rows=1000)
@@ -397,6 +407,7 @@ def queries() -> dict:
         "store_ingest": store_ingest,
         "store_latest": store_latest,
         "stream_ingest": stream_ingest,
+        "stream_latest": stream_latest,
         "ingest_summary": ingest_summary,
         "memory_ingest": memory_ingest,
         "engine_plans": engine_plans,
@@ -499,6 +510,7 @@ FROM (SELECT * FROM e WHERE event_type = 'purchase') p ASOF LEFT JOIN v ON p.use
         "store_ingest": _stored_sql(tuple(KINDS)),
         "store_latest": _latest_sql(*event, "value", f"epoch_ns(ts) <= {AT}"),
         "stream_ingest": _stored_sql(("Scalar", "Annotation")),
+        "stream_latest": _latest_sql(*event, "value", "true"),
         "ingest_summary": "SELECT count(*) AS events_received, count(*) FILTER (event_id % 10 = 7) AS events_rejected, count(*) FILTER (event_id % 10 <> 7) AS events_sent, count(*) FILTER (event_id % 10 <> 7) AS rows_emitted, false AS cancelled FROM events WHERE event_id % 10 IN (0, 7, 8, 9)",
         "memory_ingest": _run_sql(),
         "engine_plans": _plans_sql(pairs),
