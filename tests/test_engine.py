@@ -141,6 +141,13 @@ def test_speed_does_not_depend_on_spans(spark, span):
     assert [tuple(x) for x in operators.speed_over_ground(t, rows_per_span=span).collect()] == want and len(want) > 60
 
 
+@pytest.mark.parametrize("span", [1, 3, 10**6])
+def test_order_of_arrival_is_over_all_entities(spark, span):
+    order = lambda *times: validate(snap(spark, [(f"/{'ab'[i % 2]}", t, 0) for i, t in enumerate(times)]), "Transform3D", rows_per_span=span)
+    assert order(1, 2, 2, 3, 7, 9, 9, 12) and order(5) and order()
+    assert not order(2, 1) and not order(1, 2, 3, 4, 5, 4) and not order(9, 1, 2, 3)
+
+
 def test_speed(spark):
     s = snap(spark, [("/a", i * B, i) for i in range(11)])
     r = engine.speed_over_ground(s, "/a")

@@ -1,6 +1,7 @@
 """Strict decoding of JSON lines, batch and streaming ingest."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -141,3 +142,60 @@ def test_a_cancelled_stream_says_so_and_goes_on(spark, tmp_path):
     assert ingest_stream(spark, f"{tmp_path}/in", store, f"{tmp_path}/cp", summary=told).awaitTermination(120)
     cancel(q, told)
     assert (told.cancelled, told.rows_emitted, store.snapshot().total_rows()) == (False, 1, 6)
+
+
+def test_every_bad_line_has_a_reason(spark):
+    lines = [*GOOD, *BAD, "", " \t"]
+    got = jsonl.decode(spark.createDataFrame(list(enumerate(lines)), "no long, value string"), rejects=True).collect()
+    why = {lines[r["no"]]: r["reason"] for r in got}
+    for r in got:
+        bad = lines[r["no"]] in BAD or lines[r["no"]] == j(event(t=-5))
+        assert (r["reason"] is not None) == bad and r["line"] == (lines[r["no"]] if bad else None)
+    assert {why[x] for x in BAD} == {"json", "kind", "field"} and why[j(event(t=-5))] == "time"
+    assert why["garbage"] == why[j(event()) + j(event())] == "json" and why[j(event(t="7"))] == "field"
+    assert why[j(event(payload=SCALAR | {"kind": "scalar"}))] == "kind"
+
+
+def test_rejects_are_committed_with_the_rows_once(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for k in range(3):
+        (tmp_path / f"in/{k}.jsonl").write_text("\n".join([j(event(k)), "garbage", "", j(event(-1)), j(event(k + 10))]))
+    store, checkpoint = Store(spark, f"file://{tmp_path}/s"), f"{tmp_path}/cp"
+    assert ingest_stream(spark, f"{tmp_path}/in", store, checkpoint, files_per_trigger=1).awaitTermination(120)
+    version = store.version()
+    again = jsonl.read_events(spark, f"{tmp_path}/in/1.jsonl", rejects=True)
+    for number in range(3):
+        assert store.append_events(again, (checkpoint, number)) == version
+    snap = store.snapshot()
+    rows = [(r["file"][-7:], r["reason"], r["line"]) for r in snap.rejects().orderBy("ingest_seq").collect()]
+    assert sorted(rows) == [(f"{k}.jsonl", *x) for k in range(3) for x in (("json", "garbage"), ("time", j(event(-1))))]
+    places = [r[0] for t in (snap.rejects(), snap.table("Annotation")) for r in t.select("ingest_seq").collect()]
+    assert len(set(places)) == 12 and snap.total_rows() == 6 and "Rejected" not in snap.count_by_kind()
+    store.compact()
+    assert store.snapshot().rejects().count() == 6 and store.snapshot().total_rows() == 6
+    clean = Store(spark, f"file://{tmp_path}/clean")
+    clean.append_events(jsonl.decode(spark.createDataFrame([(0, j(event()))], "ingest_seq long, value string"), rejects=True))
+    assert clean.snapshot().rejects().count() == 0
+
+
+@pytest.mark.parametrize("per_span", [1, 3, 1000])
+def test_lines_are_numbered_without_gaps(spark, tmp_path, per_span):
+    for f in range(4):
+        (tmp_path / f"{f}.txt").write_text("\n".join(f"{f}-{i:05}" for i in range(300 * f)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        rows = jsonl.in_order(jsonl.lines_of(spark.read.text(str(tmp_path))), splits_per_span=per_span).orderBy("ingest_seq").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r["ingest_seq"] for r in rows] == list(range(len(rows)))
+    assert [r["value"] for r in rows] == [f"{f}-{i:05}" for f in range(4) for i in range(300 * f)]
+
+
+def test_numbering_reads_the_text_once_and_broadcasts_no_places(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("x\ny")
+    df = jsonl.in_order(jsonl.lines_of(spark.read.text(str(tmp_path))))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+    assert "ShuffledHashJoin" in plan and "ReusedExchange" in final
+    assert set(re.findall(r"FileScan text \[(\w+)", final)) == {"value"}  # the counts share the shuffle of the text

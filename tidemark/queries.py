@@ -17,7 +17,7 @@ from tidemark.operators.proximity import near_pairs
 from tidemark.plans.manifest import counters, manifest_of, reaches_latest, reaches_range
 from tidemark.schema import KINDS, SEQ, columns
 from tidemark.sources.generator import GenConfig, run_events, scaled_tables
-from tidemark.sources.jsonl import decode, table_of
+from tidemark.sources.jsonl import decode, read_events, table_of
 from tidemark.sources.scratch import scratch
 from tidemark.sources.store import Snapshot, Store, snapshot_of, validate
 from tidemark.streaming.latest import current_latest, follow_latest
@@ -220,6 +220,17 @@ def stream_ingest(spark, d) -> DataFrame:
     return _kinds(store)
 
 
+def stream_rejects(spark, d) -> DataFrame:
+    """What a stream of damaged scalars rejected, by reason, beside what it kept; the last micro-batch is offered again."""
+    store, checkpoint = _store(spark), scratch(spark, "stream")
+    folder = _files(spark, d, ("Scalar",))
+    ingest_stream(spark, folder, store, checkpoint, files_per_trigger=4).awaitTermination()
+    store.append_events(read_events(spark, folder, rejects=True), (checkpoint, 0))
+    snap = store.snapshot()
+    told = snap.rejects().select("reason", SEQ).union(snap.table("Scalar").select(F.lit("none"), SEQ))
+    return told.groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(SEQ).alias("places"))
+
+
 def stream_latest(spark, d) -> DataFrame:
     """The last scalar of each user, from a stream to which the events come in four micro-batches, dealt out by a hash."""
     rows, folder, out = scalars(spark, d), scratch(spark, "arrivals"), scratch(spark, "changes")
@@ -407,6 +418,7 @@ def queries() -> dict:
         "store_ingest": store_ingest,
         "store_latest": store_latest,
         "stream_ingest": stream_ingest,
+        "stream_rejects": stream_rejects,
         "stream_latest": stream_latest,
         "ingest_summary": ingest_summary,
         "memory_ingest": memory_ingest,
@@ -510,14 +522,15 @@ FROM (SELECT * FROM e WHERE event_type = 'purchase') p ASOF LEFT JOIN v ON p.use
         "store_ingest": _stored_sql(tuple(KINDS)),
         "store_latest": _latest_sql(*event, "value", f"epoch_ns(ts) <= {AT}"),
         "stream_ingest": _stored_sql(("Scalar", "Annotation")),
+        "stream_rejects": "SELECT CASE WHEN event_id % 10 IN (1, 2, 3) THEN 'json' WHEN event_id % 10 = 4 THEN 'field' WHEN event_id % 10 = 5 THEN 'kind' WHEN event_id % 10 = 7 THEN 'time' ELSE 'none' END AS reason, count(*) AS n, count(*) AS places FROM events WHERE event_id % 10 <> 6 GROUP BY 1",
         "stream_latest": _latest_sql(*event, "value", "true"),
         "ingest_summary": "SELECT count(*) AS events_received, count(*) FILTER (event_id % 10 = 7) AS events_rejected, count(*) FILTER (event_id % 10 <> 7) AS events_sent, count(*) FILTER (event_id % 10 <> 7) AS rows_emitted, false AS cancelled FROM events WHERE event_id % 10 IN (0, 7, 8, 9)",
         "memory_ingest": _run_sql(),
         "engine_plans": _plans_sql(pairs),
         "monotone": """
-WITH e AS (SELECT 'Scalar' AS kind, user_id AS k, event_id AS q, ts AS t FROM events UNION ALL SELECT 'Annotation', user_id, event_id, ts FROM events
-  UNION ALL SELECT 'Transform3D', o_custkey, o_orderkey, o_orderdate FROM orders),
-l AS (SELECT kind, t < lag(t) OVER (PARTITION BY kind, k ORDER BY q) AS back FROM e)
+WITH e AS (SELECT 'Scalar' AS kind, event_id AS q, ts AS t FROM events UNION ALL SELECT 'Annotation', event_id, ts FROM events
+  UNION ALL SELECT 'Transform3D', o_orderkey, o_orderdate FROM orders),
+l AS (SELECT kind, t < lag(t) OVER (PARTITION BY kind ORDER BY q) AS back FROM e)
 SELECT kind, NOT coalesce(bool_or(back), false) AS in_order FROM l GROUP BY kind UNION ALL SELECT unnest(['Points3D', 'ImageRef']), true""",
         "generated_scalars": _scaled_sql(RUN.scalar_every, f"1.0::DOUBLE - tick / {float(RUN.ticks)!r}::DOUBLE AS value, 'ratio' AS unit"),
         "generated_images": _scaled_sql(RUN.image_every, "'synthetic://agent/' || a || '/tick/' || tick AS uri, CAST(640 AS INTEGER) AS width, CAST(480 AS INTEGER) AS height, 'JPEG' AS format"),

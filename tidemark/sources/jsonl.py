@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.spans import SPAN, with_spans
 from tidemark.schema import KINDS, RAW, SEQ, columns, schema
 
 # The fields that each kind's payload must have.
@@ -22,8 +23,13 @@ def _is_string(json: Column, path: str) -> Column:
     return F.schema_of_variant(F.try_variant_get(json, f"$[0].{path}", "variant")) == "STRING"
 
 
-def decode(lines: DataFrame, column: str = "value") -> DataFrame:
-    """All columns of ``lines`` but its text, then ``event`` (the raw struct; null if malformed) and ``blank``.
+#: Why a line is no event that is kept, by the first test that it fails.
+REASONS = {"json": "not one JSON object without repeated keys", "kind": "no known kind", "field": "a field is missing or of another type", "time": "a negative time"}
+
+
+def decode(lines: DataFrame, column: str = "value", *, rejects: bool = False) -> DataFrame:
+    """All columns of ``lines`` but its text, then ``event`` (the raw struct; null if malformed) and ``blank``. With ``rejects``
+    also ``reason`` (of REASONS; null for blank lines and events that are kept) and ``line``, the text of what has a reason.
 
     A line is an event only if it is one JSON object without repeated keys that has every field of its kind in the right
     type: integers where the schema says so, strings as strings, finite numbers, three coordinates a point, and a known
@@ -31,14 +37,14 @@ def decode(lines: DataFrame, column: str = "value") -> DataFrame:
     """
     event, json = F.col("__event"), F.col("__json")
     kind = event["payload"]["kind"]
-    ok = F.col("__corrupt").isNull() & F.try_variant_get(json, "$[0]", "variant").isNotNull()
-    ok &= F.try_variant_get(json, "$[1]", "variant").isNull() & event["t_ns"].isNotNull()
+    whole = F.try_variant_get(json, "$[0]", "variant").isNotNull() & F.try_variant_get(json, "$[1]", "variant").isNull()
+    typed = F.col("__corrupt").isNull() & event["t_ns"].isNotNull()
     for path in _STRINGS:
-        ok &= _is_string(json, path)
+        typed &= _is_string(json, path)
     for c in _PAYLOAD_STRINGS:
-        ok &= event["payload"][c].isNull() | _is_string(json, f"payload.{c}")
+        typed &= event["payload"][c].isNull() | _is_string(json, f"payload.{c}")
     for c in _DOUBLES:
-        ok &= event["payload"][c].isNull() | _finite(event["payload"][c])
+        typed &= event["payload"][c].isNull() | _finite(event["payload"][c])
     fields = F.lit(False)
     for k, names in REQUIRED.items():
         has = kind == k
@@ -46,25 +52,32 @@ def decode(lines: DataFrame, column: str = "value") -> DataFrame:
             has &= event["payload"][c].isNotNull()
         fields |= has
     points = event["payload"]["points"]
-    whole = F.forall(points, lambda p: p.isNotNull() & (F.size(p) == 3) & F.forall(p, lambda x: x.isNotNull() & _finite(x)))
-    ok &= fields & (points.isNull() | whole)
+    cloud = F.forall(points, lambda p: p.isNotNull() & (F.size(p) == 3) & F.forall(p, lambda x: x.isNotNull() & _finite(x)))
+    good = lambda c: F.coalesce(c, F.lit(False))
+    ok = good(whole & typed & fields & (points.isNull() | cloud))
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__corrupt", "allowNonNumericNumbers": "false"}
     parsed = F.from_json(column, f"{RAW}, __corrupt string", options)
     wrapped = F.try_parse_json(F.concat(F.lit("["), F.col(column), F.lit("]")))
     others = [c for c in lines.columns if c != column]
+    known = F.try_variant_get(json, "$[0].payload.kind", "string").isin(*KINDS)
+    blank = F.col("__line") == ""
+    out = [*others, F.when(ok, event).alias("event"), blank.alias("blank")]
+    if rejects:
+        why = F.when(blank | F.col("__line").isNull(), None).when(~good(whole), "json").when(~good(known), "kind").when(~ok, "field").when(event["t_ns"] < 0, "time")
+        out += [why.alias("reason"), F.when(why.isNotNull(), F.col("__text")).alias("line")]
     return (
-        lines.select(*others, F.trim(column, F.lit(" \t\r\n")).alias("__line"), parsed.alias("__all"), wrapped.alias("__json"))
+        lines.select(*others, F.col(column).alias("__text"), F.trim(column, F.lit(" \t\r\n")).alias("__line"), parsed.alias("__all"), wrapped.alias("__json"))
         .select("*", F.col("__all").dropFields("__corrupt").alias("__event"), F.col("__all.__corrupt").alias("__corrupt"))
-        .select(*others, F.when(F.coalesce(ok, F.lit(False)), event).alias("event"), (F.col("__line") == "").alias("blank"))
+        .select(*out)
     )
 
 
-def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """event, blank, ingest_seq of every line of a file or folder.
+def read_events(spark: SparkSession, path: str, *, rejects: bool = False) -> DataFrame:
+    """event, blank, ingest_seq and file of every line of a file or folder; see ``decode`` for ``rejects``.
 
     The sequence follows files by name and lines by place, and needs no sort of the data.
     """
-    return decode(in_order(lines_of(spark.read.text(path))))
+    return decode(in_order(lines_of(spark.read.text(path))), rejects=rejects)
 
 
 def lines_of(text: DataFrame) -> DataFrame:
@@ -76,20 +89,25 @@ def lines_of(text: DataFrame) -> DataFrame:
     )
 
 
-def in_order(text: DataFrame) -> DataFrame:
-    """value, ingest_seq: lines numbered from 0 in order of (file, place), without gaps.
+def in_order(text: DataFrame, *, splits_per_span: int = 1000) -> DataFrame:
+    """value, ingest_seq, file: lines numbered from 0 in order of (file, place), without gaps.
 
-    A split lies in one task; its lines are counted first, a row per split of the input.
+    A split lies in one task. Lines are dealt out by split once; that shuffle serves both the count of each split's
+    lines and the numbering. The counts are added up in two levels, within spans of about ``splits_per_span`` splits and over
+    these, and joined back; nothing goes through the driver.
     """
-    numbered = text.withColumn("__row", F.monotonically_increasing_id())
-    splits = numbered.groupBy("__file", "__start").agg(F.min("__row").alias("first"), F.count(F.lit(1)).alias("n")).collect()
-    at, shifts = 0, []
-    for r in sorted(splits, key=lambda r: (r["__file"], r["__start"])):
-        shifts.append((r["__file"], r["__start"], at - r["first"]))
-        at += r["n"]
-    places = F.broadcast(text.sparkSession.createDataFrame(shifts, "__file string, __start long, __shift long"))
-    seq = F.col("__row") + F.col("__shift")
-    return numbered.join(places, ["__file", "__start"]).select("value", seq.alias(SEQ))
+    here = ["__file", "__start"]
+    dealt = text.withColumn("__row", F.monotonically_increasing_id()).repartition(*here)
+    # counting the values and placing splits by an aggregate keep Catalyst from reading the text apart for the counts
+    splits = dealt.groupBy(*here).agg(F.min("__row").alias("__first"), F.count("value").alias("__n")).withColumn("__all", F.lit(0))
+    spanned = with_spans(splits, "__all", [*here, "__first"], splits_per_span)
+    before = Window.partitionBy(SPAN).orderBy(*here).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.orderBy(SPAN).rowsBetween(Window.unboundedPreceding, -1)  # a row for each span
+    tops = spanned.groupBy(SPAN).agg(F.sum("__n").alias("__n")).select(SPAN, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__top"))
+    within = spanned.withColumn("__at", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    places = within.join(tops.hint("shuffle_hash"), SPAN).select(*here, (F.col("__top") + F.col("__at") - F.col("__first")).alias("__shift"))
+    numbered = dealt.join(places.hint("shuffle_hash"), here)
+    return numbered.select("value", (F.col("__row") + F.col("__shift")).alias(SEQ), F.col("__file").alias("file"))
 
 
 def table_of(events: DataFrame, kind: str) -> DataFrame:

@@ -15,14 +15,17 @@ import json
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.errors import SchemaMismatch, VersionConflict
 from tidemark.functions.time import BUCKET_NS, bucket_of
+from tidemark.operators.spans import ROWS_PER_SPAN, SPAN, with_spans
 from tidemark.plans.manifest import manifest_of, merge_manifests
 from tidemark.schema import BUCKET, KINDS, SEQ, check_kind, check_table, columns, schema
 
+#: What the lines that were rejected are filed under, beside the kinds; their columns, and those that are text.
+REJECTED, REJECT_COLUMNS = "Rejected", f"{SEQ} long, file string, reason string, line string"
 #: Commits that a version lists beside its base.
 CHAIN = 64
 _MANIFEST = "kind string, bucket_start_ns long, rows long, t_min_ns long, t_max_ns long"
@@ -79,6 +82,12 @@ class Snapshot:
     bucket_ns: int = BUCKET_NS
     tables: dict[str, DataFrame] = field(default_factory=dict)
     parts: DataFrame | None = None
+    rejected: DataFrame | None = None
+
+    def rejects(self) -> DataFrame:
+        """ingest_seq, file, reason, line of the lines that ingest rejected; the sequence is that of the rows, so it tells the
+        place among these."""
+        return self.rejected if self.rejected is not None else self.spark.createDataFrame([], REJECT_COLUMNS)
 
     def table(self, kind: str) -> DataFrame:
         """Rows of a kind with ingest_seq and bucket_start_ns; without rows, an empty table."""
@@ -162,6 +171,7 @@ class Store:
         self, events: DataFrame, batch: tuple[str, int] | None = None, *, batch_rows: int | None = None, told: list[Flushed] | None = None
     ) -> int:
         """Append decoded events (event, ingest_seq) of all kinds in one commit, a kind's in files of at most ``batch_rows``.
+        If they have ``reason`` and ``line``, what was rejected goes to a side table in the same commit.
 
         ``batch`` is a stream and the number of its micro-batch, which grows; one that was committed before is left out, so
         a repeated micro-batch changes nothing. ``told`` gets what was written.
@@ -172,17 +182,24 @@ class Store:
         if batch is not None and batch[1] <= now["done"].get(batch[0], -1):
             return now["version"]
         valid = events.where("event is not null and event.t_ns >= 0")
-        return self._commit({k: table_of(valid, k) for k in KINDS}, batch, batch_rows, told)
+        rejects = None
+        if "reason" in events.columns:
+            file = F.col("file") if "file" in events.columns else F.lit(None).cast("string")
+            rejects = events.where("reason is not null").select(SEQ, file.alias("file"), "reason", "line")
+        return self._commit({k: table_of(valid, k) for k in KINDS}, batch, batch_rows, told, rejects)
 
     def _commit(
-        self, tables: dict[str, DataFrame], batch: tuple[str, int] | None = None, batch_rows: int | None = None, told: list[Flushed] | None = None
-    ) -> int:
+        self, tables: dict[str, DataFrame], batch: tuple[str, int] | None = None, batch_rows: int | None = None,
+        told: list[Flushed] | None = None, rejects: DataFrame | None = None,
+    ) -> int:
         now, name = self._latest(), uuid.uuid4().hex
         wide = None
         for kind, rows in tables.items():
             rows = rows.select(*columns(kind), SEQ)
             part = rows.select(F.lit(kind).alias("kind"), "t_ns", "entity_path", SEQ, *columns(kind)[2:])
             wide = part if wide is None else wide.unionByName(part, allowMissingColumns=True)
+        if rejects is not None:
+            wide = wide.unionByName(rejects.withColumn("kind", F.lit(REJECTED)), allowMissingColumns=True)
         wide = wide.withColumn(SEQ, F.col(SEQ) + F.lit(now["next_seq"]))
         folder = f"{self.root}/data/{name}"
         wide = wide.sortWithinPartitions("kind", "t_ns", SEQ)
@@ -193,12 +210,12 @@ class Store:
         top = now["next_seq"]
         if kinds:
             rows = self.spark.read.schema(f"t_ns long, {SEQ} long, kind string").parquet(folder)
-            manifest_of(rows, F.col("kind"), self.bucket_ns).write.parquet(f"{self.root}/manifest/{name}")
+            manifest_of(rows.where(F.col("kind") != REJECTED), F.col("kind"), self.bucket_ns).write.parquet(f"{self.root}/manifest/{name}")
             by_file = rows.groupBy("kind", F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("n"), F.max(SEQ).alias("top"))
             by_kind = by_file.groupBy("kind").agg(F.count(F.lit(1)).alias("files"), F.sum("n"), F.max("n"), F.max("top")).collect()
             top = max(r[-1] for r in by_kind) + 1
             if told is not None:
-                told += [Flushed(*r[:4]) for r in by_kind]
+                told += [Flushed(*r[:4]) for r in by_kind if r[0] != REJECTED]
         version = now["version"] + 1
         new = {
             "version": version,
@@ -227,7 +244,9 @@ class Store:
                 ddl = schema(kind).add(SEQ, "long")
                 tables[kind] = self.spark.read.schema(ddl).parquet(*paths)
         parts = self.spark.read.schema(_MANIFEST).parquet(*(f"{self.root}/manifest/{c['name']}" for c in commits))
-        return Snapshot(self.spark, self.bucket_ns, tables, parts)
+        paths = [f"{self.root}/data/{c['name']}/kind={REJECTED}" for c in commits if REJECTED in c["kinds"]]
+        rejected = self.spark.read.schema(REJECT_COLUMNS).parquet(*paths) if paths else None
+        return Snapshot(self.spark, self.bucket_ns, tables, parts, rejected)
 
     def compact(self, rows_per_file: int = 5_000_000) -> int:
         """Rewrite all commits as one, sorted by time within files, and publish it as a version."""
@@ -236,7 +255,8 @@ class Store:
         if len(self._commits(now)) < 2:
             return now["version"]
         wide = None
-        for kind, rows in snap.tables.items():
+        held = snap.tables | ({REJECTED: snap.rejected} if snap.rejected is not None else {})
+        for kind, rows in held.items():
             part = rows.select(F.lit(kind).alias("kind"), *rows.columns)
             wide = part if wide is None else wide.unionByName(part, allowMissingColumns=True)
         name = uuid.uuid4().hex
@@ -246,20 +266,28 @@ class Store:
         )
         snap.manifest().write.parquet(f"{self.root}/manifest/{name}")
         version = now["version"] + 1
-        new = now | {"version": version, "base": None, "commits": [{"name": name, "kinds": sorted(snap.tables)}]}
+        new = now | {"version": version, "base": None, "commits": [{"name": name, "kinds": sorted(held)}]}
         self.files.publish(f"versions/{version:012d}.json", json.dumps(new))
         return version
 
 
-def validate(snapshot: Snapshot, kind: str) -> bool:
-    """Whether times don't decrease in order of arrival; a check of quality that nothing enforces."""
-    from pyspark.sql import Window
+def validate(snapshot: Snapshot, kind: str, *, rows_per_span: int = ROWS_PER_SPAN) -> bool:
+    """Whether times don't decrease in order of arrival over all rows of a kind; a check of quality that nothing enforces.
 
+    Rows are dealt out by spans of their arrival. A span tells whether times fall within it and its first and last time; a
+    row for each span is then compared with the one before it.
+    """
     if kind not in snapshot.tables:
         return True
-    per_entity = Window.partitionBy("entity_path").orderBy(SEQ)
-    back = snapshot.table(kind).select((F.col("t_ns") < F.lag("t_ns").over(per_entity)).alias("back"))
-    return back.where("back").isEmpty()
+    rows = with_spans(snapshot.table(kind).select(F.lit(0).alias("__all"), SEQ, "t_ns"), "__all", [SEQ], rows_per_span)
+    inside = Window.partitionBy(SPAN).orderBy(SEQ)
+    told = (
+        rows.withColumn("back", F.col("t_ns") < F.lag("t_ns").over(inside))
+        .groupBy(SPAN)
+        .agg(F.max("back").alias("back"), F.min_by("t_ns", SEQ).alias("first"), F.max_by("t_ns", SEQ).alias("last"))
+    )
+    between = F.col("first") < F.lag("last").over(Window.orderBy(SPAN))
+    return told.select((F.coalesce("back", F.lit(False)) | F.coalesce(between, F.lit(False))).alias("back")).where("back").isEmpty()
 
 
 __all__ = ["Snapshot", "Store", "SchemaMismatch", "empty_snapshot", "snapshot_of", "validate"]

@@ -16,7 +16,8 @@ from tidemark.sources.store import Flushed, Store
 
 @dataclass
 class IngestSummary:
-    """What an ingest did. Malformed lines aren't events and count nowhere; rejected are those of negative time.
+    """What an ingest did. Malformed lines aren't events and count nowhere; rejected are those of negative time. Both are
+    in the store's side table (``Snapshot.rejects``), committed with the rows.
 
     A batch is a file of one kind: at most ``batch_rows`` rows of what a task has of it, the last one as many as are left.
     """
@@ -60,7 +61,7 @@ def _append(store: Store, events: DataFrame, summary: IngestSummary, batch: tupl
         counted, seen = _observed(events)
         counted.write.format("noop").mode("overwrite").save()
         told: list[Flushed] = []
-        store.append_events(events.select("event", SEQ), batch, batch_rows=batch_rows, told=told)
+        store.append_events(events.drop("blank"), batch, batch_rows=batch_rows, told=told)
         summary.add(seen.get["received"], seen.get["rejected"], told)
     finally:
         events.unpersist()
@@ -69,7 +70,7 @@ def _append(store: Store, events: DataFrame, summary: IngestSummary, batch: tupl
 def ingest_file(spark: SparkSession, path: str, store: Store, *, batch_rows: int | None = None) -> IngestSummary:
     """Append the events of a JSON-lines file or folder; malformed and blank lines are skipped."""
     began, summary = time.perf_counter(), IngestSummary()
-    _append(store, read_events(spark, path), summary, batch_rows=batch_rows)
+    _append(store, read_events(spark, path, rejects=True), summary, batch_rows=batch_rows)
     summary.wall_ms = (time.perf_counter() - began) * 1e3
     return summary
 
@@ -82,7 +83,7 @@ def ingest_rows(spark: SparkSession, events: list[dict] | DataFrame, store: Stor
 
         events = spark.createDataFrame([(line(e),) for e in events], "value string")
     numbered = events.select("value", F.monotonically_increasing_id().alias(SEQ))
-    _append(store, decode(numbered), summary)
+    _append(store, decode(numbered, rejects=True), summary)
     summary.wall_ms = (time.perf_counter() - began) * 1e3
     return summary
 
@@ -108,7 +109,7 @@ def ingest_stream(
     told = summary if summary is not None else IngestSummary()
 
     def commit(batch: DataFrame, number: int) -> None:
-        _append(store, decode(in_order(batch)), told, (checkpoint, number), batch_rows)
+        _append(store, decode(in_order(batch), rejects=True), told, (checkpoint, number), batch_rows)
 
     lines = lines_of(spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(folder))
     writer = lines.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint)
