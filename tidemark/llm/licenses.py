@@ -1,21 +1,25 @@
 """License scans with a positional rare-token index.
 
-The index holds, for each template, the rarest word of its first mandatory phrase by IDF over the whole corpus. Every
-template whose mandatory words are all in a file is looked up by that word; its places give the offsets at which the
-template may stand, as no alignment counts without its mandatory phrases. So the lookup loses none, however many licence
-words a file holds.
-
-A place of the first mandatory phrase fixes an offset. Around it the words of a long template may stand a few words
-earlier or later (a band), in order, so that inserted and dropped words don't lose a licence; the other phrases must stand
-in the band too. An alignment is scored by the share of the template's words that agree in the band.
+The index has postings of the templates' words: word -> (template, place). A file's licence words are looked up by falling IDF over
+the whole corpus. A word at place p of the file that a template has at place i gives the offset p - i. Each further word
+of the template, by falling IDF too, is intersected with the offsets by its relative position; an offset goes once so many
+words were missed that the rest can't reach the share that must agree. As that many words may be missed, only the rarest ones
+of a template, one more than may be missed, begin an offset, so common words are never looked up on their own.
+
+Around an offset words may stand some places earlier or later (a band, a fifth of the template's length), in order, so
+that inserted and dropped words don't lose a licence. What is left is verified: the mandatory phrases must stand, the first
+of them at the offset, the others in the band, and the longest common subsequence in the band must be large enough. Of
+alignments of different licences, one inside a longer one goes (MIT in MIT-0).
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,63 +35,147 @@ BASE = {
     "all rights reserved": "reserved",
 }
 
-# Public licence notices, with the phrases that must stand in each.
-TEMPLATES = {
-    "apache-2.0": ("Licensed under the Apache License, Version 2.0", ["apache license version 2"]),
-    "cc-by-nc-4.0": ("Licensed under CC BY-NC 4.0", ["cc by nc 4 0"]),
-    "cc-by-4.0": ("This work is licensed under a Creative Commons Attribution 4.0 International License", ["creative commons attribution 4 0"]),
-    "cc-by-sa-4.0": ("Licensed under CC BY-SA 4.0", ["cc by sa 4 0"]),
-    "cc0-1.0": ("To the extent possible under law, the author has waived all copyright and related rights: CC0 1.0 Universal", ["cc0 1 0"]),
-    "gpl-2.0": ("This program is licensed under the GNU General Public License, version 2", ["general public license version 2"]),
-    "gpl-3.0": ("This work is licensed under the GNU General Public License, version 3", ["general public license version 3"]),
-    "lgpl-2.1": ("This library is licensed under the GNU Lesser General Public License, version 2.1", ["lesser general public license"]),
-    "mit": ("Released under the MIT License", ["mit license"]),
-    "mit-grant": (
+# Public licences by their short identifiers, with names that are used for them. A name stands word by word.
+NAMES = {
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD"],
+    "AFL-3.0": ["Academic Free License version 3.0", "Academic Free License v3.0"],
+    "AGPL-3.0": ["GNU Affero General Public License version 3", "GNU Affero General Public License v3", "AGPLv3", "AGPL v3", "AGPL-3.0"],
+    "Apache-1.1": ["Apache Software License, Version 1.1", "Apache License 1.1"],
+    "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache License v2.0", "Apache Software License 2.0", "Apache 2.0 License", "Apache-2.0"],
+    "Artistic-2.0": ["Artistic License 2.0", "Artistic License, Version 2.0"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License", "FreeBSD License", "BSD-2-Clause"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "3-Clause BSD License", "New BSD License", "Modified BSD License", "Revised BSD License", "BSD-3-Clause"],
+    "BSD-4-Clause": ["BSD 4-Clause License", "4-Clause BSD License", "Original BSD License"],
+    "BSL-1.0": ["Boost Software License - Version 1.0", "Boost Software License 1.0", "Boost Software License, Version 1.0"],
+    "CC0-1.0": ["CC0 1.0 Universal", "CC0 1.0", "Creative Commons Zero v1.0", "CC0 Public Domain Dedication"],
+    "CDDL-1.0": ["Common Development and Distribution License 1.0", "Common Development and Distribution License (CDDL) Version 1.0"],
+    "CECILL-2.1": ["CeCILL Free Software License Agreement v2.1", "CeCILL 2.1"],
+    "CPL-1.0": ["Common Public License Version 1.0", "Common Public License 1.0"],
+    "ECL-2.0": ["Educational Community License, Version 2.0", "Educational Community License 2.0"],
+    "EPL-1.0": ["Eclipse Public License - v 1.0", "Eclipse Public License v1.0", "Eclipse Public License 1.0", "Eclipse Public License, Version 1.0"],
+    "EPL-2.0": ["Eclipse Public License - v 2.0", "Eclipse Public License v2.0", "Eclipse Public License 2.0", "Eclipse Public License, Version 2.0"],
+    "EUPL-1.1": ["European Union Public Licence v. 1.1", "EUPL v1.1", "European Union Public Licence 1.1"],
+    "EUPL-1.2": ["European Union Public Licence v. 1.2", "EUPL v1.2", "European Union Public Licence 1.2"],
+    "GFDL-1.3": ["GNU Free Documentation License, Version 1.3", "GNU Free Documentation License 1.3"],
+    "GPL-2.0": ["GNU General Public License, version 2", "GNU General Public License v2", "GNU General Public License (GPL) version 2", "GNU GPL version 2", "GNU GPL v2", "GPLv2", "GPL v2", "GPL version 2", "GPL-2.0"],
+    "GPL-3.0": ["GNU General Public License, version 3", "GNU General Public License v3", "GNU General Public License (GPL) version 3", "GNU GPL version 3", "GNU GPL v3", "GPLv3", "GPL v3", "GPL version 3", "GPL-3.0"],
+    "ISC": ["ISC License"],
+    "LGPL-2.1": ["GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License v2.1", "LGPLv2.1", "LGPL v2.1", "LGPL 2.1", "LGPL-2.1"],
+    "LGPL-3.0": ["GNU Lesser General Public License, version 3", "GNU Lesser General Public License v3", "LGPLv3", "LGPL v3", "LGPL-3.0"],
+    "LPPL-1.3c": ["LaTeX Project Public License, version 1.3c", "LaTeX Project Public License"],
+    "MIT": ["MIT License", "MIT Licence", "MIT Public License", "Expat License", "license: MIT"],
+    "MIT-0": ["MIT No Attribution", "MIT-0 License"],
+    "MPL-1.1": ["Mozilla Public License Version 1.1", "Mozilla Public License 1.1", "MPL 1.1"],
+    "MPL-2.0": ["Mozilla Public License, v. 2.0", "Mozilla Public License Version 2.0", "Mozilla Public License 2.0", "Mozilla Public License v2.0", "MPL 2.0", "MPL-2.0"],
+    "MS-PL": ["Microsoft Public License"],
+    "MS-RL": ["Microsoft Reciprocal License"],
+    "MulanPSL-2.0": ["Mulan Permissive Software License, Version 2", "Mulan PSL v2"],
+    "NCSA": ["University of Illinois/NCSA Open Source License"],
+    "ODbL-1.0": ["Open Database License (ODbL) v1.0", "Open Database License"],
+    "OFL-1.1": ["SIL Open Font License, Version 1.1", "SIL Open Font License 1.1", "SIL OFL 1.1"],
+    "OSL-3.0": ["Open Software License version 3.0", "Open Software License v. 3.0", "Open Software License 3.0"],
+    "PostgreSQL": ["PostgreSQL License"],
+    "PSF-2.0": ["Python Software Foundation License Version 2", "Python Software Foundation License"],
+    "Unlicense": ["The Unlicense", "unlicense.org"],
+    "UPL-1.0": ["Universal Permissive License v1.0", "Universal Permissive License (UPL), Version 1.0", "Universal Permissive License 1.0"],
+    "Vim": ["Vim License"],
+    "W3C": ["W3C Software Notice and License", "W3C Software and Document Notice and License"],
+    "WTFPL": ["Do What The Fuck You Want To Public License"],
+    "Zlib": ["zlib License", "zlib/libpng License"],
+    "ZPL-2.1": ["Zope Public License (ZPL) Version 2.1", "Zope Public License Version 2.1", "Zope Public License 2.1"],
+}
+
+# The parts of Creative Commons licences, in the orders that exist, and their versions.
+CC_PARTS = ["BY", "BY-SA", "BY-ND", "BY-NC", "BY-NC-SA", "BY-NC-ND"]
+CC_NAMES = {"BY": "Attribution", "SA": "ShareAlike", "ND": "NoDerivatives", "NC": "NonCommercial"}
+CC_VERSIONS = ["2.0", "2.5", "3.0", "4.0"]
+
+# Sentences that grant or disclaim, with the phrases that must stand in each.
+GRANTS = {
+    "mit": [(
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
         'documentation files (the "Software"), to deal in the Software without restriction, including without limitation '
         "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
         ["permission is hereby granted free of charge", "without restriction"],
-    ),
-    "bsd": (
+    )],
+    "bsd": [(
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
         "the following conditions are met",
         ["redistribution and use in source and binary forms", "following conditions are met"],
-    ),
-    "isc": (
+    )],
+    "isc": [(
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
         "granted",
         ["with or without fee is hereby granted"],
-    ),
-    "mpl-2.0": (
+    )],
+    "mpl-2.0": [(
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
         ["mozilla public license v 2 0"],
-    ),
-    "gpl-2.0-grant": (
+    )],
+    "gpl-2.0": [(
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public "
         "License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any "
         "later version",
         ["gnu general public license", "version 2 of the license"],
-    ),
-    "gpl-3.0-grant": (
+    )],
+    "gpl-3.0": [(
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
         "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any "
         "later version",
         ["gnu general public license", "version 3 of the license"],
-    ),
-    "lgpl-2.1-grant": (
+    )],
+    "agpl-3.0": [(
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public "
+        "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any "
+        "later version",
+        ["gnu affero general public license", "version 3 of the license"],
+    )],
+    "lgpl-2.1": [(
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General "
         "Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your "
         "option) any later version",
         ["gnu lesser general public license", "version 2 1 of the license"],
-    ),
-    "unlicense": ("This is free and unencumbered software released into the public domain", ["free and unencumbered software"]),
+    )],
+    "apache-2.0": [(
+        "you may not use this file except in compliance with the License. You may obtain a copy of the License at "
+        "http://www.apache.org/licenses/LICENSE-2.0",
+        ["apache org licenses license 2 0"],
+    )],
+    "unlicense": [("This is free and unencumbered software released into the public domain", ["free and unencumbered software"])],
+    "cc0-1.0": [("To the extent possible under law, the author has waived all copyright and related rights", ["waived all copyright and related"])],
+    "zlib": [(
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held "
+        "liable for any damages arising from the use of this software",
+        ["provided as is without any express or implied warranty", "authors be held liable"],
+    )],
+    "bsl-1.0": [(
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and "
+        "accompanying documentation covered by this license",
+        ["permission is hereby granted free of charge", "accompanying documentation covered by this license"],
+    )],
 }
 
+
+def _templates() -> dict[str, list[tuple[str, list[str]]]]:
+    """By label (the identifier in lower case): names, identifiers after the usual tag, Creative Commons names, grants."""
+    names = {k: list(v) for k, v in NAMES.items()}
+    for kind in CC_PARTS:
+        for version in CC_VERSIONS:
+            long = "-".join(CC_NAMES[p] for p in kind.split("-"))
+            names[f"CC-{kind}-{version}"] = [f"CC {kind} {version}", f"Creative Commons {long} {version}", f"creativecommons.org/licenses/{kind.lower()}/{version}"]
+    out = {k.lower(): [(t, [t]) for t in [*v, f"SPDX-License-Identifier: {k}"]] for k, v in names.items()}
+    for label, grants in GRANTS.items():
+        out.setdefault(label, []).extend(grants)
+    return out
+
+
+#: Alternatives of wording for each label: the words, and the phrases that must stand in them.
+TEMPLATES = _templates()
+
 #: Share of a template's words that must agree at an alignment.
 AGREE = 0.75
-#: Fewest words of a template that has a band, and how many of its words give one word of width. Shorter notices have
-#: none: their words stand at one offset, as tests/llm/test_licenses.py holds them to it.
-BAND_LEAST, BAND_WORDS = 20, 5
+#: How many words of a template give one word of the band's width.
+BAND_WORDS = 5
 
 #: A-Z become a-z; other ASCII characters that aren't letters or digits become spaces; the rest of UTF-8 stays.
 _FOLD = bytes(
@@ -113,37 +201,38 @@ class Index:
     """Postings of the templates' words, with the words' IDF over a corpus."""
 
     def __init__(self, document_frequency: dict[bytes, int], documents: int, templates: dict = TEMPLATES, base: dict = BASE):
-        self.templates = {k: words(text) for k, (text, _) in templates.items()}
-        self.phrases = {k: [words(p) for p in must] for k, (_, must) in templates.items()}
+        every = [(label, words(text), [words(p) for p in must]) for label, wordings in templates.items() for text, must in wordings]
+        self.labels, self.templates, self.phrases = (list(x) for x in zip(*every)) if every else ([], [], [])
         self.base = [(words(p), label) for p, label in base.items()]
-        self.vocabulary = frozenset(x for p in [*self.templates.values(), *(p for p, _ in self.base)] for x in p)
+        self.vocabulary = frozenset(x for p in [*self.templates, *(p for p, _ in self.base)] for x in p)
         self.idf = {x: math.log((1 + documents) / (1 + document_frequency.get(x, 0))) for x in self.vocabulary}
+        rare = lambda x: (-self.idf[x], x)
         self.heads: dict[bytes, list[tuple[list[bytes], str]]] = defaultdict(list)
         for p, label in self.base:
-            self.heads[self._rarest(p)].append((p, label))
-        self.musts = {k: frozenset(x for p in must for x in p) for k, must in self.phrases.items()}
-        self.postings: dict[str, tuple[bytes, list[int]]] = {}
-        for k, t in self.templates.items():
-            first = self.phrases[k][0]
-            x, n = self._rarest(first), len(first)
-            starts = [i for i in range(len(t)) if t[i : i + n] == first]
-            self.postings[k] = x, [i + j for i in starts for j, y in enumerate(first) if x == y]
-
-    def _rarest(self, words) -> bytes:
-        return min(words, key=lambda x: (-self.idf[x], x))
+            self.heads[min(p, key=rare)].append((p, label))
+        self.by_idf = {x: n for n, x in enumerate(sorted(self.vocabulary, key=rare))}
+        self.musts = [frozenset(x for p in must for x in p) for must in self.phrases]
+        self.slack = [len(t) - math.ceil(AGREE * len(t)) for t in self.templates]
+        #: Of each template the places of its words by falling IDF; the first slack + 1 begin offsets and are posted.
+        self.order = [sorted(range(len(t)), key=lambda i, t=t: (self.by_idf[t[i]], i)) for t in self.templates]
+        self.postings: dict[bytes, set[int]] = defaultdict(set)
+        for k, (t, order) in enumerate(zip(self.templates, self.order)):
+            for i in order[: self.slack[k] + 1]:
+                self.postings[t[i]].add(k)
 
     def scan(self, text: str) -> Scan:
         w = words(text)
         here = self.vocabulary.intersection(w)
         if not here:
             return Scan(len(w), [], {}, {})
-        likely = [k for k, must in self.musts.items() if must <= here]
-        wanted = {self.postings[k][0] for k in likely} | {x for x in here if x in self.heads}
+        met = {k for x in sorted(here, key=self.by_idf.get) if x in self.postings for k in self.postings[x] if self.musts[k] <= here}
+        wanted = {x for k in met for x in self.templates[k]} | {x for x in here if x in self.heads}
         places: dict[bytes, list[int]] = defaultdict(list)
         for i, x in enumerate(w):
             if x in wanted:
                 places[x].append(i)
-        return Scan(len(w), self._base(w, places), *self._align(w, likely, places))
+        found = [x for k in sorted(met) for x in self._alignments(w, k, places)]
+        return Scan(len(w), self._base(w, places), *best_alignments(found))
 
     def _base(self, w: list[bytes], places: dict[bytes, list[int]]) -> list[tuple[int, str]]:
         """Every place where a base phrase stands, found from its rarest word."""
@@ -156,19 +245,34 @@ class Index:
                         got.add((i - at, label))
         return sorted(got)
 
-    def _align(self, w, likely, places) -> tuple[dict[str, float], dict[str, int]]:
-        """The best alignment of each template: the share of words that agree, and where the template starts."""
-        best: dict[str, tuple[float, int]] = {}
-        for k in likely:
-            t, (x, own), (first, *others) = self.templates[k], self.postings[k], self.phrases[k]
-            width = band(t)
-            for at in {at - i for at in places[x] for i in own}:
-                if not self._stands(w, t, first, at) or not all(self._stands(w, t, p, at, width) for p in others):
-                    continue
-                agree = agreeing(w, t, at, width) / len(t)
+    def offsets(self, k: int, places: dict[bytes, list[int]]) -> set[int]:
+        """Offsets at which enough words of a template may stand: postings intersected by relative position."""
+        t, slack, reach = self.templates[k], self.slack[k], 2 * band(self.templates[k])
+        missed: dict[int, int] = {}
+        for n, i in enumerate(self.order[k]):
+            own = places.get(t[i], [])
+            for o in list(missed):
+                at = bisect_left(own, o + i - reach)
+                if at == len(own) or own[at] > o + i + reach:
+                    missed[o] += 1
+                    if missed[o] > slack:
+                        del missed[o]
+            if n <= slack:
+                for p in own:
+                    missed.setdefault(p - i, n)
+            elif not missed:
+                break
+        return set(missed)
+
+    def _alignments(self, w: list[bytes], k: int, places: dict[bytes, list[int]]) -> Iterator[tuple[str, float, int, int]]:
+        """(label, share of words that agree, first place, end) of a template's alignments."""
+        t, (first, *others), width = self.templates[k], self.phrases[k], band(self.templates[k])
+        near = {o + d for o in self.offsets(k, places) for d in range(-width, width + 1)}
+        for at in sorted(near):
+            if self._stands(w, t, first, at) and all(self._stands(w, t, p, at, width) for p in others):
+                agree = 1.0 if len(first) == len(t) else agreeing(w, t, at, width) / len(t)
                 if agree >= AGREE:
-                    best[k] = max(best.get(k, (0.0, -at)), (agree, -at))
-        return {k: a for k, (a, _) in best.items()}, {k: -at for k, (_, at) in best.items()}
+                    yield self.labels[k], agree, at, at + len(t)
 
     @staticmethod
     def _stands(w, t, phrase, at, width=0) -> bool:
@@ -181,9 +285,24 @@ class Index:
         )
 
 
+def best_alignments(found: list[tuple[str, float, int, int]]) -> tuple[dict[str, float], dict[str, int]]:
+    """By label the largest share and where that alignment starts, the first of equal ones; alignments inside a longer one of another
+    label are left out."""
+    best: dict[str, tuple[float, int]] = {}
+    reach: dict[str, int] = {}  # by label how far its alignments go that begin no later
+    for (at, end), group in groupby(sorted(found, key=lambda x: (x[2], -x[3])), key=lambda x: x[2:]):
+        same = list(group)
+        for label, agree, *_ in same:
+            if not any(far >= end and other != label for other, far in reach.items()):
+                best[label] = max(best.get(label, (0.0, -at)), (agree, -at))
+        for label, *_ in same:
+            reach[label] = max(end, reach.get(label, end))
+    return {k: a for k, (a, _) in best.items()}, {k: -at for k, (_, at) in best.items()}
+
+
 def band(template: list[bytes]) -> int:
     """How far a word may stand from where the offset puts it."""
-    return len(template) // BAND_WORDS if len(template) >= BAND_LEAST else 0
+    return len(template) // BAND_WORDS
 
 
 def agreeing(w: list[bytes], t: list[bytes], at: int, width: int) -> int:
