@@ -19,6 +19,7 @@ from tidemark.schema import KINDS, SEQ, columns
 from tidemark.sources.generator import GenConfig, run_events, scaled_tables
 from tidemark.sources.jsonl import decode, read_events, table_of
 from tidemark.sources.scratch import scratch
+from tidemark.sql import register_functions
 from tidemark.sources.store import Snapshot, Store, snapshot_of, validate
 from tidemark.streaming.latest import current_latest, follow_latest
 from tidemark.streaming.ingest import IngestSummary, ingest_file, ingest_rows, ingest_stream
@@ -341,6 +342,16 @@ def asof_fresh(spark, d) -> DataFrame:
     return found.select(F.col(SEQ).alias("event_id"), "entity_path", "t_ns", "value", F.col("sample_ingest_seq").alias("view_id"), F.col("sample_t_ns").alias("view_t_ns"), F.col("sample_value").alias("view_value"))
 
 
+def _called(call: str, columns: str = "*"):
+    """A call of a table function over the snapshot."""
+
+    def query(spark, d) -> DataFrame:
+        register_functions(snapshot(spark, d), "tm_")
+        return spark.sql(f"SELECT {columns} FROM tm_{call}")
+
+    return query
+
+
 def engine_plans(spark, d) -> DataFrame:
     """The counters of a query of each type over one snapshot, without their times."""
     s = snapshot(spark, d)
@@ -404,6 +415,10 @@ def queries() -> dict:
         "proximity_radius_zero": _near(0.0),
         "asof_orders": asof_orders,
         "asof_fresh": asof_fresh,
+        "sql_latest_at": _called(f"latest_at_scalar({AT})", "t_ns, entity_path, value"),
+        "sql_range_scan": _called(f"range_scan_scalar({START}, {END}, '/user/8')", "t_ns, entity_path, value"),
+        "sql_speed": _called("speed_over_ground()"),
+        "sql_proximity": _called(f"proximity_pairs({ORDERS_AT}, {PRICE_RADIUS!r}D)"),
         "bucket_manifest": manifest,
         "plan_counters_latest_at": _counters("Scalar", reaches_latest, AT),
         "plan_counters_range": _counters("Transform3D", reaches_range, ORDERS_AT, ORDERS_AT + 100 * DAY),
@@ -497,6 +512,10 @@ SELECT CAST({ORDERS_AT} AS BIGINT) AS at_ns, a.entity_path AS entity_a, b.entity
 FROM p a JOIN p b ON b.x BETWEEN a.x - 41 AND a.x + 41 AND a.entity_path < b.entity_path AND (a.x - b.x) * (a.x - b.x) <= {PRICE_RADIUS!r}::DOUBLE * {PRICE_RADIUS!r}::DOUBLE"""),
         "proximity_grid": _proximity_sql(RADIUS),
         "proximity_radius_zero": _proximity_sql(0.0),
+        "sql_latest_at": _latest_sql(*event, "value", f"epoch_ns(ts) <= {AT}"),
+        "sql_range_scan": scan + f"user_id = 8 AND {span}",
+        "sql_speed": _speed_sql(*order, "o_totalprice"),
+        "sql_proximity": pairs,
         "asof_orders": f"""
 WITH o AS (SELECT o_orderkey, o_custkey, {EVENTS_BEGIN} + (epoch_ns(o_orderdate) - {ORDERS_BEGIN}) // {SHRINK} AS t_ns FROM orders)
 SELECT o_orderkey, '/user/' || o_custkey AS entity_path, t_ns, event_id, epoch_ns(ts) AS event_t_ns, value AS sample_value, event_type AS sample_label
