@@ -123,6 +123,45 @@ def test_near_pairs_at_every_scale(spark, scale, radius):
     assert pairs("auto") == pairs("nested") and pairs("auto")
 
 
+def crowd(spark, n, spread, more=()):
+    """Half of ``n`` points within ``spread`` of the origin's cell, the others wide apart."""
+    import random
+
+    r = random.Random(n)
+    rows = [(f"/c/{i:05}", *(0.3 + spread * r.random() for _ in "xyz")) for i in range(n // 2)]
+    rows += [(f"/f/{i:05}", *(1000 * r.random() for _ in "xyz")) for i in range(n // 2)]
+    return spark.createDataFrame([*rows, *more], "entity_path string, tx double, ty double, tz double")
+
+
+@pytest.mark.parametrize("spread,most", [(0.0, 5), (0.4, 1), (1.5, 1), (4.0, 5)])
+def test_crowded_cells_lose_no_pair(spark, monkeypatch, spread, most):
+    from tidemark.operators import proximity
+
+    monkeypatch.setattr(proximity, "CROWD", most)
+    df = crowd(spark, 100, spread, [("/edge/0", 1.0, 1.0, 1.0), ("/edge/1", 2.0, 1.0, 1.0), ("/edge/2", 1.0, -1e9, 1.0), ("/edge/3", 1.0, -1e9 - 1, 1.0)])
+    pairs = lambda method: [tuple(x) for x in operators.near_pairs(df, 7, 1.0, method=method).collect()]
+    assert pairs("auto") == pairs("nested") and len(pairs("auto")) > 20
+
+
+def test_half_of_all_points_in_a_cell_are_dealt_out(spark, monkeypatch):
+    from tidemark.operators import proximity
+
+    monkeypatch.setattr(proximity, "CROWD", 50)
+    seen = {}
+    divided = proximity._divided
+    monkeypatch.setattr(proximity, "_divided", lambda *a: seen.setdefault("sides", divided(*a)))
+    for spread in (0.0, 0.9):
+        seen.clear()
+        operators.near_pairs(crowd(spark, 4000, spread), 7, 1.0)
+        own, around = seen["sides"]
+        key = [*proximity._CELL, "__part", "__i", "__j"]
+        left, right = (x.groupBy(*key).count() for x in (own, around))
+        work = left.join(right.withColumnRenamed("count", "m"), key).select((F.col("count") * F.col("m")).alias("w"))
+        shares = [r["w"] for r in work.groupBy(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(8)).alias("task")).agg(F.sum("w").alias("w")).collect()]
+        assert max(shares) <= 2 * sorted(shares)[len(shares) // 2]
+        assert left.agg(F.max("count")).first()[0] <= 3 * 50
+
+
 def test_near_pairs_join_on_equal_keys(spark):
     df = spark.createDataFrame([("/a", 1.0, 2.0, 3.0)], "entity_path string, tx double, ty double, tz double")
     for radius in (0.0, 0.5):

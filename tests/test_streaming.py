@@ -6,6 +6,7 @@ import pytest
 
 from tidemark import operators
 from tidemark.streaming.latest import current_latest, follow_latest
+from tidemark.streaming.ranges import follow_range, range_changes
 
 ROW = "t_ns long, entity_path string, ingest_seq long, value double, unit string"
 
@@ -57,3 +58,28 @@ def test_latest_begins_with_a_snapshot(spark, dirs):
     write(spark, [(49, "/a", 3, 3.0, None), (50, "/a", 0, 4.0, None), (2, "/b", 4, 5.0, None)], folder)
     follow_latest(stream(spark, folder), out, checkpoint, initial=before).awaitTermination()
     assert plain(spark.read.schema(ROW).parquet(out).collect()) == [(2, "/b", 4, 5.0, None)]
+
+
+SECOND = 1_000_000_000
+
+
+@pytest.mark.parametrize("lateness,parts", [("0 seconds", 1), ("5 seconds", 3)])
+def test_range_of_a_stream_equals_the_batch_scan(spark, dirs, lateness, parts):
+    folder, out, checkpoint = dirs
+    r = random.Random(4)
+    times = sorted(r.randrange(0, 30 * SECOND) for _ in range(80))
+    for _ in range(25):  # some come late
+        i = r.randrange(70)
+        j = i + r.randrange(10)
+        times[i], times[j] = times[j], times[i]
+    rows = [(t, r.choice(["/a", "/b", "/c"]), i, float(i), None) for i, t in enumerate(times)] + [(60 * SECOND, "/a", 80, 0.0, None), (None, "/a", 81, 0.0, None)]
+    for k in range(0, len(rows), 20):
+        write(spark, rows[k : k + 20], folder)
+        changes = range_changes(stream(spark, folder), 3 * SECOND, 22 * SECOND, bucket_ns=2 * SECOND, lateness=lateness, parts=parts)
+        follow_range(changes, out, checkpoint).awaitTermination()
+    found = spark.read.parquet(out).collect()
+    want = operators.range_scan(spark.createDataFrame(rows, ROW), 3 * SECOND, 22 * SECOND).collect()
+    assert plain(tuple(r)[:5] for r in found) == plain(want)
+    late = [r for r in found if r["is_late"]]
+    assert len(late) < len(found) and bool(late) == (lateness == "0 seconds")
+    assert all(r["bucket_start_ns"] == r["t_ns"] // (2 * SECOND) * 2 * SECOND for r in found)

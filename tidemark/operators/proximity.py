@@ -17,6 +17,11 @@ TINY = 1e-140
 #: The level of points that lie within FAR cells.
 _PLAIN = -100_000
 _AXES = ("tx", "ty", "tz")
+_CELL = ["__level", *(f"__{c}" for c in _AXES)]
+#: Points of a cell, and of one side of a block, beyond which they are divided; how often a cell is halved at most.
+CROWD, DEPTH = 1000, 3
+#: By how much of a cell's width parts of it are taken wider.
+EDGE = 2.0**-16
 
 
 def check_radius(radius: float) -> float:
@@ -47,6 +52,65 @@ def _same_place(points: DataFrame, at_ns: int, radius: float) -> DataFrame:
     return _pairs(keyed, keyed, at_ns, radius, on)
 
 
+def _left(value: Column, by: Column) -> Column:
+    return F.call_function("shiftleft", value, by)
+
+
+def _crowded(own: DataFrame) -> DataFrame:
+    """The cells of more than CROWD points, with __depth: how often they are halved along each axis."""
+    depth = F.least(F.lit(DEPTH), F.ceil(F.log(F.col("n") / CROWD) / math.log(8)).cast("int"))
+    return own.groupBy(*_CELL).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD).select(*_CELL, depth.alias("__depth"))
+
+
+def _parts_in_reach(radius: float) -> Column:
+    """Numbers of the parts of a divided cell that a ball about a point touches.
+
+    Part s has the coordinates (s, s >> depth, s >> 2 * depth), each of depth bits. The parts are taken EDGE wider than they
+    are, which is more than rounding moves a point.
+    """
+    side = _left(F.lit(1), F.col("__depth"))
+
+    def reached(s: Column) -> Column:
+        square = F.lit(0.0)
+        for n, c in enumerate(_AXES):
+            at = (F.col(c) / F.col("__width") - F.col(f"__{c}")) * side  # in parts
+            low = F.call_function("shiftrightunsigned", s, F.col("__depth") * n).bitwiseAND(side - 1)
+            off = F.greatest(low - at, at - low - 1, F.lit(0.0)) / side - EDGE
+            square = square + F.when(off > 0, off * off).otherwise(0.0)
+        return square <= F.pow(F.lit(radius) / F.col("__width"), 2) * (1 + EDGE)
+
+    return F.filter(F.sequence(F.lit(0), _left(F.lit(1), F.col("__depth") * 3) - 1), reached)
+
+
+def _divided(own: DataFrame, around: DataFrame, radius: float) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the part of their cell as __part and the block of that part as __i and __j.
+
+    A cell of many points is divided by a tree of up to DEPTH levels, and a point is put only into the parts that it can be near
+    to. What is left in one part, points at one spot at last, is dealt into blocks: all pairs of them meet, each of about CROWD
+    points, so no key has more of the points that stand in a part, and work is dealt out evenly over many keys.
+    """
+    crowded = _crowded(own)
+    number = F.lit(0)
+    for n, c in enumerate(_AXES):
+        side = _left(F.lit(1), F.col("__depth"))
+        at = F.floor((F.col(c) / F.col("__width") - F.col(f"__{c}")) * side).cast("int")
+        at = F.greatest(F.lit(0), F.least(side - 1, at))
+        number = number.bitwiseOR(_left(at, F.col("__depth") * n))
+    own = own.join(crowded, _CELL, "left").withColumn("__part", F.when(F.col("__depth").isNull(), 0).otherwise(number))
+    around = around.join(crowded, _CELL, "left")
+    parts = F.when(F.col("__depth").isNull(), F.array(F.lit(0))).otherwise(_parts_in_reach(radius))
+    around = around.withColumn("__part", F.explode(parts))
+    key = [*_CELL, "__part"]
+    many = own.where("__depth is not null").groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / CROWD).cast("int").alias("__blocks")).where("__blocks > 1")
+    first, every = F.array(F.lit(0)), F.sequence(F.lit(0), F.col("__blocks") - 1)
+    one = F.col("__blocks").isNull()
+    block = lambda seed: F.when(one, 0).otherwise(F.pmod(F.xxhash64("entity_path", F.lit(seed)), F.col("__blocks")).cast("int"))
+    spread = F.explode(F.when(one, first).otherwise(every))
+    own = own.join(many, key, "left").withColumn("__i", block(1)).withColumn("__j", spread)
+    around = around.join(many, key, "left").withColumn("__j", block(2)).withColumn("__i", spread)
+    return own, around
+
+
 def _in_cells(points: DataFrame, at_ns: int, radius: float) -> DataFrame:
     """Pairs of points in neighbouring cells.
 
@@ -70,9 +134,10 @@ def _in_cells(points: DataFrame, at_ns: int, radius: float) -> DataFrame:
     for c in _AXES:
         k = F.col(f"__{c}")
         around = around.withColumn(f"__{c}", F.explode(F.array(k - 1, k, k + 1)))
-    on = F.col("a.__level") == F.col("b.__level")
-    for c in _AXES:
-        on = on & (F.col(f"a.__{c}") == F.col(f"b.__{c}"))
+    own, around = _divided(own, around, radius)
+    on = F.lit(True)
+    for c in [*_CELL, "__part", "__i", "__j"]:
+        on = on & (F.col(f"a.{c}") == F.col(f"b.{c}"))
     return _pairs(own, around, at_ns, radius, on)
 
 

@@ -22,6 +22,7 @@ from tidemark.sources.scratch import scratch
 from tidemark.sql import register_functions
 from tidemark.sources.store import Snapshot, Store, snapshot_of, validate
 from tidemark.streaming.latest import current_latest, follow_latest
+from tidemark.streaming.ranges import follow_range, range_changes
 from tidemark.streaming.ingest import IngestSummary, ingest_file, ingest_rows, ingest_stream
 
 AT = 1_704_931_200_000_000_000
@@ -241,6 +242,17 @@ def stream_latest(spark, d) -> DataFrame:
     return current_latest(spark.read.schema(rows.schema).parquet(out)).select("t_ns", "entity_path", "value")
 
 
+def stream_range(spark, d) -> DataFrame:
+    """Scalars of a time range from a stream that has the events in eight files, by time but for some that come last."""
+    rows, folder, out = scalars(spark, d), scratch(spark, "arrivals"), scratch(spark, "released")
+    last = F.when(F.col(SEQ) % 50 == 7, F.lit(9 * 10**18)).otherwise(F.col("t_ns"))
+    rows.repartitionByRange(8, last).write.parquet(folder)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(folder)
+    changes = range_changes(stream, START, END, bucket_ns=DAY, lateness="1 hour", parts=4)
+    follow_range(changes, out, scratch(spark, "stream")).awaitTermination()
+    return spark.read.schema(changes.schema).parquet(out).select("t_ns", "entity_path", "value")
+
+
 def ingest_summary(spark, d) -> DataFrame:
     """What an ingest of damaged scalars tells."""
     told: IngestSummary = ingest_file(spark, _files(spark, d, ("Scalar",)), _store(spark), batch_rows=1000)
@@ -434,6 +446,7 @@ def queries() -> dict:
         "store_latest": store_latest,
         "stream_ingest": stream_ingest,
         "stream_rejects": stream_rejects,
+        "stream_range": stream_range,
         "stream_latest": stream_latest,
         "ingest_summary": ingest_summary,
         "memory_ingest": memory_ingest,
@@ -542,6 +555,7 @@ FROM (SELECT * FROM e WHERE event_type = 'purchase') p ASOF LEFT JOIN v ON p.use
         "store_latest": _latest_sql(*event, "value", f"epoch_ns(ts) <= {AT}"),
         "stream_ingest": _stored_sql(("Scalar", "Annotation")),
         "stream_rejects": "SELECT CASE WHEN event_id % 10 IN (1, 2, 3) THEN 'json' WHEN event_id % 10 = 4 THEN 'field' WHEN event_id % 10 = 5 THEN 'kind' WHEN event_id % 10 = 7 THEN 'time' ELSE 'none' END AS reason, count(*) AS n, count(*) AS places FROM events WHERE event_id % 10 <> 6 GROUP BY 1",
+        "stream_range": scan + span,
         "stream_latest": _latest_sql(*event, "value", "true"),
         "ingest_summary": "SELECT count(*) AS events_received, count(*) FILTER (event_id % 10 = 7) AS events_rejected, count(*) FILTER (event_id % 10 <> 7) AS events_sent, count(*) FILTER (event_id % 10 <> 7) AS rows_emitted, false AS cancelled FROM events WHERE event_id % 10 IN (0, 7, 8, 9)",
         "memory_ingest": _run_sql(),
