@@ -88,6 +88,25 @@ def test_bytes_agree_as_often_as_shingles():
     assert abs(np.mean(agree) - 0.8) < 0.03
 
 
+def test_the_exact_way_loses_no_link(spark, monkeypatch):
+    monkeypatch.setattr(nd, "SETS", 8)  # large postings are compared block by block
+    r = np.random.default_rng(12)
+    base = [[f"w{r.integers(0, 400)}" for _ in range(r.integers(5, 120))] for _ in range(12)]
+    rows = []
+    for i in range(150):
+        words = list(base[r.integers(0, 12)])
+        for _ in range(r.integers(0, 4)):
+            words[r.integers(0, len(words))] = f"x{r.integers(0, 30)}"
+        rows.append((i - 20, " ".join(words)))
+    rows += [(500, None), (501, ""), (502, "a b"), (503, "A  b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = groups_of(rows)
+    got = {x["doc"]: x["group_id"] for x in nd.near_documents(docs, exact=True).collect()}
+    assert got == want and len(set(want.values())) < 120
+    kept = {x["doc_id"] for x in nd.keep_first(docs, exact=True).collect()}
+    assert kept == set(want.values())
+
+
 def test_kept_documents_keep_their_columns(spark):
     docs = spark.createDataFrame([(4, "a b c", "x"), (2, "a b c", "y"), (None, "a b c", "z"), (None, None, "n")], "doc_id long, text string, doc string")
     got = {tuple(r) for r in nd.keep_first(docs).collect()}

@@ -207,6 +207,36 @@ def _beyond_nearest(posts: DataFrame, texts: DataFrame, words: int, similarity:
     )
 
 
+def _exact_links(texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """a, b: verified links that connect all pairs of the similarity among texts (doc, text) of different sets of shingles.
+
+    Of n shingles in the order of their hashes the first n - ceil(similarity * n) + 1 are posted. A pair of the similarity has at least
+    similarity * n shingles in common, for either n, so it meets in a posting; none is lost. Large postings are compared block by block.
+    """
+
+    def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts(batches, 1):
+            sets = shingle_sets(b.column(1), words)
+            first = [x[: len(x) - int(np.ceil(similarity * len(x) - 1e-9)) + 1].view(np.int64) for x in sets]
+            yield pa.record_batch(
+                [b.column(0), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array(first, pa.list_(pa.int64()))], names=["doc", "shingles", "keys"]
+            )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs(batches, ["key", "part"]):
+            doc, sets = t.column("doc").to_numpy(), [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
+            alike = np.zeros((len(sets), WIDTH), np.uint8)  # nothing is told by fingerprints here
+            found = _links(alike, sets, np.arange(len(sets)), 0, 0, similarity)
+            if found:
+                i, j = np.array(found).T
+                yield pa.record_batch([pa.array(doc[i]), pa.array(doc[j])], names=["a", "b"])
+
+    sets = stored(texts.mapInArrow(posted, "doc long, shingles binary, keys array<long>"), "shingle-sets")
+    met = blocks(sets.select("doc", F.explode("keys").alias("key")), "key", "doc", SETS)
+    joined = met.join(sets.select("doc", "shingles"), "doc").repartition("key", "part").sortWithinPartitions("key", "part", "doc")
+    return joined.mapInArrow(run, "a long, b long").distinct()
+
+
 def _verified(pairs: DataFrame, words: int, similarity: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts(batches, 2):
@@ -220,25 +250,44 @@ def _verified(pairs: DataFrame, words: int, similarity: float) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def _class_node(same: bytes) -> int:
-    """The node of rows without an id of their own: 60 bits of the hash of their set of shingles."""
-    return int(same.hex()[:15], 16)
-
-
-def _by_class(rows: DataFrame, text_col: str, words: int) -> DataFrame:
-    """``rows`` with their node by the text's set of shingles as __tm_node."""
+def _class_of(rows: DataFrame, text_col: str, words: int) -> DataFrame:
+    """``rows`` with 128 bits of the hash of their text's set of shingles as __tm_same."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts(batches, text_col):
-            same = (xxhash.xxh3_128_digest(x.tobytes()) for x in shingle_sets(b.column(text_col), words))
-            yield pa.record_batch([*b.columns, pa.array(map(_class_node, same), pa.int64())], names=[*b.schema.names, "__tm_node"])
+            same = [xxhash.xxh3_128_digest(x.tobytes()) for x in shingle_sets(b.column(text_col), words)]
+            yield pa.record_batch([*b.columns, pa.array(same, pa.binary())], names=[*b.schema.names, "__tm_same"])
 
     kinds = dict(rows.dtypes)
-    return rows.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in rows.columns) + ", __tm_node long")
+    return rows.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in rows.columns) + ", __tm_same binary")
+
+
+def _numbered(classes: DataFrame) -> DataFrame:
+    """__tm_same, __tm_node: a number below 0 of its own for each class of rows whose id isn't their own, stored. Such ids are
+    at least 0, so no number is an id or that of another class."""
+    same = classes.select(F.col("same").alias("__tm_same")).distinct()
+    return stored(same.select("__tm_same", (F.lit(-1) - F.monotonically_increasing_id()).alias("__tm_node")), "class-numbers")
+
+
+def _probable_links(classes: DataFrame, lookup: DataFrame, words: int, similarity: float) -> DataFrame:
+    """a, b: verified links among classes (doc, bytes) that meet by their fingerprints; ``lookup`` has doc and text."""
+    left, right = lookup.select(F.col("doc").alias("a"), F.col("text").alias("x")), lookup.select(F.col("doc").alias("b"), F.col("text").alias("y"))
+    pairs = stored(candidates(_postings(classes)), "candidates")
+    near = _verified(
+        pairs.where("b is not null").join(left, "a").join(right, "b").select("a", "b", "x", "y"), words, similarity
+    )
+    full = pairs.where("b is null").select(F.col("a").alias("key"))
+    if not full.isEmpty():
+        near = stored(near, "near")
+        groups = components(near, "a", "b").withColumnsRenamed({"node": "doc", "component": "group"})
+        grouped = classes.join(groups, "doc", "left").withColumn("group", F.coalesce("group", "doc"))
+        rest = _postings(grouped).join(full, "key", "left_semi")
+        near = near.union(_beyond_nearest(rest, lookup, words, similarity))
+    return near
 
 
 def near_documents(
-    docs: DataFrame, *, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, *, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", exact: bool = False
 ) -> DataFrame:
     """doc, node, group_id, first: the smallest id of each document's group and the node that stays of it.
 
@@ -246,39 +295,39 @@ def near_documents(
     group-by; only classes are indexed. Each class first meets its most similar earlier classes in every posting, so links
     grow with the documents, not with their pairs; texts of what meets are compared whole. Postings with more are read
     once more, for all their pairs that the groups so far don't join, so groups are those that all pairs of a posting would
-    give. A text of under ``words`` words is one shingle; texts without a word are equal.
+    give. With ``exact`` classes meet by the first of their shingles instead (_exact_links), which finds every pair of the
+    similarity, at the cost of a posting for each fifth shingle. A text of under ``words`` words is one shingle; texts without a word are equal.
 
     A row whose id is its own is a node by that id. Rows with a null id, or one that others have too, are nodes by their
-    class, so ids never link different texts; there is a row per id and class. Null ids count as the largest id. No rows
-    give no rows.
+    class, as are those with an id below 0, so ids never link different texts; there is a row per id and class. Null ids count
+    as the largest id. No rows give no rows.
     """
+    return _grouped(docs, words, similarity, id_col, text_col, exact)[0]
+
+
+def _grouped(docs: DataFrame, words: int, similarity: float, id_col: str, text_col: str, exact: bool) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """The rows of near_documents, the ids that aren't a row's own, and the numbers of the classes of their rows, if any."""
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))
     texts = docs.select(key.alias("id"), F.col(text_col).alias("text"))
     marked = stored(_fingerprints(texts.withColumnRenamed("id", "doc"), words), "wide-fingerprints").withColumnRenamed("doc", "id")
     many = stored(_not_own(marked, "id"), "repeated-ids")
-    class_node = F.conv(F.substring(F.hex("same"), 1, 15), 16, 10).cast("long")  # _class_node
+    numbers = None
     own = marked.join(many, "id", "left_anti").withColumn("doc", F.col("id"))
     lookup = texts.withColumnRenamed("id", "doc")
     if not many.isEmpty():
-        marked = stored(own.union(marked.join(many, "id", "left_semi").withColumn("doc", class_node)), "nodes")
-        shared = _by_class(texts.join(many, "id", "left_semi"), "text", words).select(F.col("__tm_node").alias("doc"), "text")
+        others = marked.join(many, "id", "left_semi")
+        numbers = _numbered(others)
+        others = others.join(numbers, F.col("same") == F.col("__tm_same")).select(*marked.columns, F.col("__tm_node").alias("doc"))
+        marked = stored(own.union(others), "nodes")
+        shared = _class_of(texts.join(many, "id", "left_semi"), "text", words).join(numbers, "__tm_same").select(F.col("__tm_node").alias("doc"), "text")
         lookup = texts.join(many, "id", "left_anti").select(F.col("id").alias("doc"), "text").union(shared.dropDuplicates(["doc"]))
     else:
         marked = marked.withColumn("doc", F.col("id"))
     classes = stored(marked.groupBy("same", "bytes").agg(F.min("doc").alias("doc")), "shingle-classes")
-    left, right = lookup.select(F.col("doc").alias("a"), F.col("text").alias("x")), lookup.select(F.col("doc").alias("b"), F.col("text").alias("y"))
-    classes_by_id = classes.select("doc", "bytes")
-    pairs = stored(candidates(_postings(classes_by_id)), "candidates")
-    near = _verified(
-        pairs.where("b is not null").join(left, "a").join(right, "b").select("a", "b", "x", "y"), words, similarity
-    )
-    full = pairs.where("b is null").select(F.col("a").alias("key"))
-    if not full.isEmpty():
-        near = stored(near, "near")
-        groups = components(near, "a", "b").withColumnsRenamed({"node": "doc", "component": "group"})
-        grouped = classes_by_id.join(groups, "doc", "left").withColumn("group", F.coalesce("group", "doc"))
-        rest = _postings(grouped).join(full, "key", "left_semi")
-        near = near.union(_beyond_nearest(rest, lookup, words, similarity))
+    if exact:
+        near = stored(_exact_links(lookup.join(classes.select("doc"), "doc", "left_semi"), words, similarity), "near")
+    else:
+        near = _probable_links(classes.select("doc", "bytes"), lookup, words, similarity)
     of_class = marked.join(classes.withColumnRenamed("doc", "class"), ["same", "bytes"]).select("id", "doc", "class").distinct()
     groups = components(near.union(of_class.select("doc", "class").where("doc <> class")), "a", "b")
     members = stored(
@@ -287,34 +336,36 @@ def near_documents(
         "members",
     )
     first = members.groupBy("component").agg(F.min(F.struct("id", "node")).alias("least"))
-    return split_join(members, first, "component").select(
+    found = split_join(members, first, "component").select(
         F.col("id").alias("doc"), "node", F.col("least.id").alias("group_id"), F.col("least.node").alias("first")
     )
+    return found, many, numbers
 
 
 def _not_own(rows: DataFrame, id_col: str) -> DataFrame:
-    """The ids, as longs in one column of that name, that aren't a single row's own; null counts as the largest."""
-    return rows.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | (F.col(id_col) == _NO_ID)).select(id_col)
+    """The ids, as longs in one column of that name, that aren't a single row's own; null counts as the largest. Ids below 0 are
+    among them, as numbers below 0 are those of classes."""
+    odd = (F.col("n") > 1) | (F.col(id_col) == _NO_ID) | (F.col(id_col) < 0)
+    return rows.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where(odd).select(id_col)
 
 
 def keep_first(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, exact: bool = False
 ) -> DataFrame:
     """The one document that is the first of its group, of each group, with its columns.
 
-    Of rows that share both id and set of shingles one stays.
+    Of rows that share both id and set of shingles one stays. ``exact`` is that of near_documents.
     """
-    groups = near_documents(docs, id_col=id_col, text_col=text_col, words=words, similarity=similarity)
+    groups, many, numbers = _grouped(docs, words, similarity, id_col, text_col, exact)
     groups = stored(groups, "near-groups")
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))
     last = (F.col("doc") == F.col("group_id")) & (F.col("node") == F.col("first"))
     gone = groups.where(~last & (F.col("doc") == F.col("node"))).select(F.col("doc").alias("__tm_gone"))
-    ids = docs.select(key.alias("__tm_many"))
-    many = stored(_not_own(ids, "__tm_many"), "repeated-ids")
-    if many.isEmpty():
+    if numbers is None:
         return docs.join(gone, key == F.col("__tm_gone"), "left_anti")
+    many = many.select(F.col("id").alias("__tm_many"))
     own = docs.join(many, key == F.col("__tm_many"), "left_anti").join(gone, key == F.col("__tm_gone"), "left_anti")
     stay = groups.where(last).select(F.col("doc").alias("__tm_id"), F.col("node").alias("__tm_first"))
-    shared = _by_class(docs.join(many, key == F.col("__tm_many"), "left_semi").withColumn("__tm_key", key), text_col, words)
-    shared = shared.join(stay, (F.col("__tm_key") == F.col("__tm_id")) & (F.col("__tm_node") == F.col("__tm_first")), "left_semi")
+    shared = _class_of(docs.join(many, key == F.col("__tm_many"), "left_semi").withColumn("__tm_key", key), text_col, words)
+    shared = shared.join(numbers, "__tm_same").join(stay, (F.col("__tm_key") == F.col("__tm_id")) & (F.col("__tm_node") == F.col("__tm_first")), "left_semi")
     return own.union(shared.dropDuplicates(["__tm_key", "__tm_node"]).select(*docs.columns))
