@@ -34,7 +34,20 @@ def test_queries(spark, run_file, capsys):
     assert "considered_entities=3" in err and out.count("/agent/") == 6
 
 
-def test_rows_fetched_once_and_files_capped(spark, run_file, capsys, tmp_path):
+def test_rows_are_printed_in_pages(capsys, monkeypatch):
+    from pyspark.sql import Row
+
+    monkeypatch.setattr(cli, "PAGE", 2)
+    rows = iter([Row(a=i, b=None) for i in range(5)])
+    cli.show(rows, ["a", "b"], False)
+    out = capsys.readouterr().out
+    assert out.count("|a|") == 3 and out.count("None") == 5 and next(rows, None) is None
+    cli.show(iter([]), ["a"], False)
+    cli.show(iter([Row(a=1, b=None)]), ["a", "b"], True)
+    assert capsys.readouterr().out == 'result=empty\n{"a": 1}\n'
+
+
+def test_rows_streamed_once_and_files_capped(spark, run_file, capsys, tmp_path):
     out, err = said(capsys, "--json", "query", "range", "--input", run_file, "--kind", "scalar", "--start", "0", "--end", "30000000", "--store", f"file://{tmp_path}/s", "--batch-rows", "7")
     assert sum("unit" in json.loads(x) for x in out.splitlines()) == 6
     summary = next(json.loads(x) for x in out.splitlines() if '"ingest"' in x)["ingest"]

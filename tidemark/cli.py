@@ -6,6 +6,8 @@ import argparse
 import json
 import sys
 import time
+from collections.abc import Iterable
+from itertools import islice
 
 from pyspark.sql import Row, SparkSession
 
@@ -26,9 +28,9 @@ LIMITS = [
     "A store needs a file system whose rename is one step and refuses a taken name.",
     "Rows of a store can't be changed or deleted; compaction leaves the files of older versions where they are.",
     "A proximity query returns every near pair, so its result grows with the square of a crowd within one radius.",
-    "Speed needs all samples of an entity within a span (an hour unless told otherwise) in one task.",
+    "Speed and as-of lookups need the rows of a span (about a million unless told otherwise) of an entity in one task.",
     "The exact generator draws its numbers one after another in one process; large runs come from scaled_run, with other numbers.",
-    "Query and op commands print results that fit the driver; without --store they ingest into a folder of this machine, so on a local master only.",
+    "Query and op commands print rows a partition at a time, in tables of a thousand; without --store they ingest into a folder of this machine, so on a local master only.",
     "Times are 64-bit nanoseconds; bounds on a timestamp column are those of its microseconds.",
 ]
 
@@ -104,20 +106,28 @@ def session() -> SparkSession:
     )
 
 
-def show(rows: list[Row], names: list[str], as_json: bool) -> None:
-    """Rows as a table, or as a JSON object per line; a field that is null is left out of its object."""
+#: Rows of a table that are laid out together.
+PAGE = 1000
+
+
+def show(rows: Iterable[Row], names: list[str], as_json: bool) -> None:
+    """Rows as tables of PAGE rows at most, or as a JSON object per line; a field that is null is left out of its object. They
+    are printed as they come."""
     if as_json:
         for r in rows:
             print(json.dumps({k: v for k, v in r.asDict(True).items() if v is not None}))
         return
-    if not rows:
+    rows = iter(rows)
+    page = list(islice(rows, PAGE))
+    if not page:
         print("result=empty")
-        return
-    cells = [names, *([str(v) for v in r] for r in rows)]
-    widths = [max(map(len, column)) for column in zip(*cells)]
-    rule = "+" + "+".join("-" * w for w in widths) + "+"
-    lines = ["|" + "|".join(x.rjust(w) for x, w in zip(row, widths)) + "|" for row in cells]
-    print("\n".join([rule, lines[0], rule, *lines[1:], rule]))
+    while page:
+        cells = [names, *([str(v) for v in r] for r in page)]
+        widths = [max(map(len, column)) for column in zip(*cells)]
+        rule = "+" + "+".join("-" * w for w in widths) + "+"
+        lines = ["|" + "|".join(x.rjust(w) for x, w in zip(row, widths)) + "|" for row in cells]
+        print("\n".join([rule, lines[0], rule, *lines[1:], rule]))
+        page = list(islice(rows, PAGE))
 
 
 def _load(spark: SparkSession, args, say: Reporter) -> tuple[Store, IngestSummary]:
@@ -127,13 +137,13 @@ def _load(spark: SparkSession, args, say: Reporter) -> tuple[Store, IngestSummar
 
 
 def _answer(args, r: engine.Result, say: Reporter, ingest: IngestSummary, extra: list[tuple[str, object]]) -> None:
-    rows, plan = r.fetch(), r.plan()
+    show(r.stream(), r.rows.columns, args.json)
+    plan = r.plan()
     shown = plan.as_dict() if args.explain else {k: plan.as_dict()[k] for k in ("returned_rows", "latency_us")}
     for k, v in shown.items():
         say.counter(k, v)
     for k, v in extra:
         say.info(f"{k}={v}")
-    show(rows, r.rows.columns, args.json)
     say.summary(RunSummary(plan.query_type, ingest, QuerySummary.of(plan), [(k, str(v)) for k, v in extra]))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Row
@@ -16,8 +17,8 @@ from tidemark.sources.store import Snapshot
 
 @dataclass
 class Result:
-    """Rows of a query as a DataFrame. ``fetch`` brings them to the driver once and keeps them; ``plan`` counts, running the
-    query only if nothing was fetched; ``considered`` says how many rows the operator had (entities of a proximity query,
+    """Rows of a query as a DataFrame. ``stream`` brings them to the driver a partition at a time; ``plan`` counts, running the
+    query only if they weren't streamed to the end; ``considered`` says how many rows the operator had (entities of a proximity query,
     samples of a speed query)."""
 
     rows: DataFrame
@@ -26,20 +27,20 @@ class Result:
     _type: str
     _reaches: object
     _considered: DataFrame | None = None
-    _fetched: list[Row] | None = None
+    _returned: int | None = None
     _us: int = 0
 
-    def fetch(self) -> list[Row]:
-        """All rows, for results that a person reads."""
-        if self._fetched is None:
-            timed = Timed()
-            self._fetched = self.rows.collect()
-            self._us = timed.us()
-        return self._fetched
+    def stream(self) -> Iterator[Row]:
+        """The rows in order, of which the driver holds one partition."""
+        timed, n = Timed(), 0
+        for row in self.rows.toLocalIterator():
+            n += 1
+            yield row
+        self._returned, self._us = n, timed.us()
 
     def plan(self) -> QueryPlan:
         timed = Timed()
-        returned = self.rows.count() if self._fetched is None else len(self._fetched)
+        returned = self.rows.count() if self._returned is None else self._returned
         us = self._us or timed.us()
         plan = plan_of(self._type, self._snapshot.manifest(), self._kind, self._reaches)
         plan.returned_rows, plan.latency_us = returned, us

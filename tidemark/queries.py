@@ -7,7 +7,9 @@ A time window or an entity is also put as bounds on the table's own columns, whi
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from dataclasses import replace
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark import engine
@@ -16,14 +18,14 @@ from tidemark.functions.time import nanos, timestamps_within
 from tidemark.operators.proximity import near_pairs
 from tidemark.plans.manifest import counters, manifest_of, reaches_latest, reaches_range
 from tidemark.schema import KINDS, SEQ, columns
-from tidemark.sources.generator import GenConfig, run_events, scaled_tables
+from tidemark.sources.generator import GenConfig, scaled_tables
 from tidemark.sources.jsonl import decode, read_events, table_of
 from tidemark.sources.scratch import scratch
 from tidemark.sql import register_functions
 from tidemark.sources.store import Snapshot, Store, snapshot_of, validate
 from tidemark.streaming.latest import current_latest, follow_latest
 from tidemark.streaming.ranges import follow_range, range_changes
-from tidemark.streaming.ingest import IngestSummary, ingest_file, ingest_rows, ingest_stream
+from tidemark.streaming.ingest import IngestSummary, cancel, ingest_file, ingest_rows, ingest_stream
 
 AT = 1_704_931_200_000_000_000
 START, END = 1_704_500_000_000_000_000, 1_704_900_000_000_000_000
@@ -222,6 +224,27 @@ def stream_ingest(spark, d) -> DataFrame:
     return _kinds(store)
 
 
+#: Rows of a file that ingest_files writes at most.
+CAP = 1000
+
+
+def ingest_files(spark, d) -> DataFrame:
+    """The same of one file of scalars, with the files that it wrote under a cap of rows."""
+    folder = scratch(spark, "lines")
+    _damaged(spark, d).select("value").coalesce(1).write.text(folder)
+    told = ingest_file(spark, folder, _store(spark), batch_rows=CAP)
+    return spark.createDataFrame([(told.rows_emitted, told.batches_flushed, told.max_batch_rows)], "rows_emitted long, batches_flushed long, max_batch_rows long")
+
+
+def stream_delayed(spark, d) -> DataFrame:
+    """A stream that flushes by time, fifty milliseconds at least apart, until it is cancelled; by kind."""
+    store, told = _store(spark), IngestSummary()
+    query = ingest_stream(spark, _files(spark, d, ("Annotation",)), store, scratch(spark, "stream"), summary=told, delay_ms=50)
+    query.processAllAvailable()
+    cancel(query, told)
+    return _kinds(store).withColumn("cancelled", F.lit(told.cancelled))
+
+
 def stream_rejects(spark, d) -> DataFrame:
     """What a stream of damaged scalars rejected, by reason, beside what it kept; the last micro-batch is offered again."""
     store, checkpoint = _store(spark), scratch(spark, "stream")
@@ -354,6 +377,20 @@ def asof_fresh(spark, d) -> DataFrame:
     return found.select(F.col(SEQ).alias("event_id"), "entity_path", "t_ns", "value", F.col("sample_ingest_seq").alias("view_id"), F.col("sample_t_ns").alias("view_t_ns"), F.col("sample_value").alias("view_value"))
 
 
+def _placed(rows: DataFrame) -> DataFrame:
+    """Small results with the place at which each row comes."""
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())).cast("long"))
+
+
+def latest_at_order(spark, d) -> DataFrame:
+    return _placed(engine.latest_at(snapshot(spark, d), "Scalar", AT).rows).select("place", "entity_path", "t_ns")
+
+
+def range_scan_order(spark, d) -> DataFrame:
+    """Orders of one customer by day, then by arrival, which isn't the order of time."""
+    return _placed(engine.range_scan(snapshot(spark, d), "Transform3D", 0, 10**18, "/cust/8").rows).select("place", "t_ns", "tx")
+
+
 def _called(call: str, columns: str = "*"):
     """A call of a table function over the snapshot."""
 
@@ -388,14 +425,15 @@ RUN = GenConfig(agents=4, ticks=100, scalar_every=7, image_every=30)
 
 
 def memory_ingest(spark, d) -> DataFrame:
-    """A generated run held in memory, ingested into a store."""
+    """Lines of events, damaged ones among them, ingested from a DataFrame in place of files."""
     store = _store(spark)
-    ingest_rows(spark, list(run_events(RUN)), store)
+    ingest_rows(spark, _damaged(spark, d).select("value"), store)
     return _kinds(store)
 
 
 def _scaled(kind: str):
-    return lambda spark, d: scaled_tables(spark, RUN)[kind].select(*columns(kind))
+    """A run with an agent for each supplier."""
+    return lambda spark, d: scaled_tables(spark, replace(RUN, agents=_read(spark, d, "supplier").count()))[kind].select(*columns(kind))
 
 
 def manifest(spark, d) -> DataFrame:
@@ -427,6 +465,8 @@ def queries() -> dict:
         "proximity_radius_zero": _near(0.0),
         "asof_orders": asof_orders,
         "asof_fresh": asof_fresh,
+        "latest_at_order": latest_at_order,
+        "range_scan_order": range_scan_order,
         "sql_latest_at": _called(f"latest_at_scalar({AT})", "t_ns, entity_path, value"),
         "sql_range_scan": _called(f"range_scan_scalar({START}, {END}, '/user/8')", "t_ns, entity_path, value"),
         "sql_speed": _called("speed_over_ground()"),
@@ -445,6 +485,8 @@ def queries() -> dict:
         "store_ingest": store_ingest,
         "store_latest": store_latest,
         "stream_ingest": stream_ingest,
+        "ingest_files": ingest_files,
+        "stream_delayed": stream_delayed,
         "stream_rejects": stream_rejects,
         "stream_range": stream_range,
         "stream_latest": stream_latest,
@@ -487,17 +529,9 @@ def _plans_sql(pairs: str) -> str:
     return " UNION ALL ".join(rows)
 
 
-def _run_sql() -> str:
-    tick = lambda every: f"SELECT unnest(range(0, {RUN.ticks}, {every})) * {RUN.tick_ns} AS t"
-    rows = " UNION ALL ".join(
-        f"SELECT '{kind}' AS kind, t FROM ({tick(every)}) CROSS JOIN range({RUN.agents})"
-        for kind, every in (("Transform3D", RUN.pose_every), ("Scalar", RUN.scalar_every), ("ImageRef", RUN.image_every))
-    )
-    return f"SELECT kind, count(*) AS n, count(DISTINCT t // {DAY}) AS partitions, min(t) AS t_min_ns, max(t) AS t_max_ns FROM ({rows}) GROUP BY kind"
-
-
 def _scaled_sql(every: int, columns: str) -> str:
-    return f"SELECT tick * {RUN.tick_ns} AS t_ns, '/agent/' || a AS entity_path, {columns} FROM (SELECT unnest(range(0, {RUN.ticks}, {every})) AS tick) CROSS JOIN range({RUN.agents}) AS r(a)"
+    return f"""SELECT tick * {RUN.tick_ns} AS t_ns, '/agent/' || a AS entity_path, {columns}
+FROM (SELECT unnest(range(0, {RUN.ticks}, {every})) AS tick) CROSS JOIN (SELECT unnest(range((SELECT count(*) FROM supplier))) AS a)"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -525,6 +559,8 @@ SELECT CAST({ORDERS_AT} AS BIGINT) AS at_ns, a.entity_path AS entity_a, b.entity
 FROM p a JOIN p b ON b.x BETWEEN a.x - 41 AND a.x + 41 AND a.entity_path < b.entity_path AND (a.x - b.x) * (a.x - b.x) <= {PRICE_RADIUS!r}::DOUBLE * {PRICE_RADIUS!r}::DOUBLE"""),
         "proximity_grid": _proximity_sql(RADIUS),
         "proximity_radius_zero": _proximity_sql(0.0),
+        "latest_at_order": f"SELECT row_number() OVER (ORDER BY entity_path) AS place, entity_path, t_ns FROM ({_latest_sql(*event, 'value', f'epoch_ns(ts) <= {AT}')})",
+        "range_scan_order": f"SELECT row_number() OVER (ORDER BY epoch_ns(o_orderdate) // {DAY}, o_orderkey) AS place, epoch_ns(o_orderdate) AS t_ns, o_totalprice AS tx FROM orders WHERE o_custkey = 8 AND epoch_ns(o_orderdate) < {10**18}",
         "sql_latest_at": _latest_sql(*event, "value", f"epoch_ns(ts) <= {AT}"),
         "sql_range_scan": scan + f"user_id = 8 AND {span}",
         "sql_speed": _speed_sql(*order, "o_totalprice"),
@@ -554,11 +590,13 @@ FROM (SELECT * FROM e WHERE event_type = 'purchase') p ASOF LEFT JOIN v ON p.use
         "store_ingest": _stored_sql(tuple(KINDS)),
         "store_latest": _latest_sql(*event, "value", f"epoch_ns(ts) <= {AT}"),
         "stream_ingest": _stored_sql(("Scalar", "Annotation")),
+        "ingest_files": f"SELECT count(*) AS rows_emitted, CAST(ceil(count(*) / {CAP}) AS BIGINT) AS batches_flushed, least(count(*), {CAP}) AS max_batch_rows FROM events WHERE event_id % 10 IN (0, 8, 9)",
+        "stream_delayed": f"SELECT *, true AS cancelled FROM ({_stored_sql(('Annotation',))})",
         "stream_rejects": "SELECT CASE WHEN event_id % 10 IN (1, 2, 3) THEN 'json' WHEN event_id % 10 = 4 THEN 'field' WHEN event_id % 10 = 5 THEN 'kind' WHEN event_id % 10 = 7 THEN 'time' ELSE 'none' END AS reason, count(*) AS n, count(*) AS places FROM events WHERE event_id % 10 <> 6 GROUP BY 1",
         "stream_range": scan + span,
         "stream_latest": _latest_sql(*event, "value", "true"),
         "ingest_summary": "SELECT count(*) AS events_received, count(*) FILTER (event_id % 10 = 7) AS events_rejected, count(*) FILTER (event_id % 10 <> 7) AS events_sent, count(*) FILTER (event_id % 10 <> 7) AS rows_emitted, false AS cancelled FROM events WHERE event_id % 10 IN (0, 7, 8, 9)",
-        "memory_ingest": _run_sql(),
+        "memory_ingest": _stored_sql(("Scalar",)),
         "engine_plans": _plans_sql(pairs),
         "monotone": """
 WITH e AS (SELECT 'Scalar' AS kind, event_id AS q, ts AS t FROM events UNION ALL SELECT 'Annotation', event_id, ts FROM events
