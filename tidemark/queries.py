@@ -18,6 +18,7 @@ from tidemark.functions.time import nanos, timestamps_within
 from tidemark.operators.proximity import near_pairs
 from tidemark.plans.manifest import counters, manifest_of, reaches_latest, reaches_range
 from tidemark.schema import KINDS, SEQ, columns
+from tidemark.sources import ipc
 from tidemark.sources.generator import GenConfig, scaled_tables
 from tidemark.sources.jsonl import decode, read_events, table_of
 from tidemark.sources.scratch import scratch
@@ -133,10 +134,10 @@ def _decoded(kind: str):
     return lambda spark, d: table_of(decode(_lines_of(kind, spark, d)), kind)
 
 
-def points_build(spark, d) -> DataFrame:
+def _told_clouds(clouds: DataFrame) -> DataFrame:
     """Clouds told by their number of points and their first and last coordinate."""
     points = F.col("points")
-    return _decoded("Points3D")(spark, d).select(
+    return clouds.select(
         "t_ns",
         "entity_path",
         F.size(points).cast("long").alias("n_points"),
@@ -145,6 +146,10 @@ def points_build(spark, d) -> DataFrame:
     )
 
 
+def points_build(spark, d) -> DataFrame:
+    return _told_clouds(_decoded("Points3D")(spark, d))
+
+
 #: What is done to the lines of events by the remainder of their number by 10, and whether they are still events then.
 DAMAGE = {1: "half", 2: "tail", 3: "key", 4: "text", 5: "kind", 6: "blank", 7: "early"}
 
@@ -224,6 +229,25 @@ def stream_ingest(spark, d) -> DataFrame:
     return _kinds(store)
 
 
+def _dumped(spark, d, kinds=tuple(KINDS)) -> Snapshot:
+    """The decoded lines of all kinds, written as Arrow IPC files and read back."""
+    folder = scratch(spark, "dump")
+    ipc.dump(snapshot_of(spark, {k: _decoded(k)(spark, d) for k in kinds}, DAY), folder)
+    return ipc.load(spark, folder, bucket_ns=DAY)
+
+
+def ipc_dump(spark, d) -> DataFrame:
+    """By kind, what a dump gives back."""
+    return _dumped(spark, d).manifest().groupBy("kind").agg(
+        F.sum("rows").alias("n"), F.count(F.lit(1)).alias("partitions"), F.min("t_min_ns").alias("t_min_ns"), F.max("t_max_ns").alias("t_max_ns")
+    )
+
+
+def ipc_points(spark, d) -> DataFrame:
+    """Clouds of a dump, told as points_build does."""
+    return _told_clouds(_dumped(spark, d, ("Points3D",)).table("Points3D"))
+
+
 #: Rows of a file that ingest_files writes at most.
 CAP = 1000
 
@@ -485,6 +509,8 @@ def queries() -> dict:
         "store_ingest": store_ingest,
         "store_latest": store_latest,
         "stream_ingest": stream_ingest,
+        "ipc_dump": ipc_dump,
+        "ipc_points": ipc_points,
         "ingest_files": ingest_files,
         "stream_delayed": stream_delayed,
         "stream_rejects": stream_rejects,
@@ -499,12 +525,12 @@ def queries() -> dict:
     }
 
 
-def _stored_sql(kinds: tuple[str, ...]) -> str:
-    damaged = ", ".join(str(k) for k in DAMAGE)
+def _stored_sql(kinds: tuple[str, ...], damaged: bool = True) -> str:
+    lost = f" WHERE event_id % 10 NOT IN ({', '.join(str(k) for k in DAMAGE)})" if damaged else ""
     parts = {
         "Transform3D": "SELECT 'Transform3D' AS kind, epoch_ns(o_orderdate) AS t FROM orders",
         "Points3D": "SELECT 'Points3D' AS kind, vec_id * 1000 AS t FROM embeddings",
-        "Scalar": f"SELECT 'Scalar' AS kind, epoch_ns(ts) AS t FROM events WHERE event_id % 10 NOT IN ({damaged})",
+        "Scalar": f"SELECT 'Scalar' AS kind, epoch_ns(ts) AS t FROM events{lost}",
         "ImageRef": "SELECT 'ImageRef' AS kind, page_id AS t FROM pages",
         "Annotation": "SELECT 'Annotation' AS kind, epoch_ns(ts) AS t FROM events",
     }
@@ -580,7 +606,9 @@ FROM (SELECT * FROM e WHERE event_type = 'purchase') p ASOF LEFT JOIN v ON p.use
         "plan_counters_latest_at": _counters_sql("Scalar", f"lo <= {AT}"),
         "plan_counters_range": _counters_sql("Transform3D", f"hi >= {ORDERS_AT} AND lo < {ORDERS_AT + 100 * DAY}"),
         "kind_counts": f"WITH {_MANIFEST} SELECT kind, CAST(sum(n) AS BIGINT) AS n FROM m GROUP BY kind",
-        "points3d_build": "SELECT vec_id * 1000 AS t_ns, '/vec/' || vec_id AS entity_path, len(embedding) // 3 AS n_points, embedding[1]::DOUBLE AS first_x, embedding[3 * (len(embedding) // 3)]::DOUBLE AS last_z FROM embeddings",
+        "points3d_build": (clouds := "SELECT vec_id * 1000 AS t_ns, '/vec/' || vec_id AS entity_path, len(embedding) // 3 AS n_points, embedding[1]::DOUBLE AS first_x, embedding[3 * (len(embedding) // 3)]::DOUBLE AS last_z FROM embeddings"),
+        "ipc_dump": _stored_sql(tuple(KINDS), damaged=False),
+        "ipc_points": clouds,
         "transform3d_table": f"SELECT epoch_ns(o_orderdate) AS t_ns, '/cust/' || o_custkey AS entity_path, o_totalprice AS tx, o_custkey + 0.5::DOUBLE AS ty, 0.0::DOUBLE AS tz, 0.0::DOUBLE AS qx, 0.0::DOUBLE AS qy, 0.0::DOUBLE AS qz, 1.0::DOUBLE AS qw, o_orderkey AS {SEQ} FROM orders",
         "scalar_table": f"SELECT epoch_ns(ts) AS t_ns, '/user/' || user_id AS entity_path, value, 'V' AS unit, event_id AS {SEQ} FROM events",
         "image_table": f"SELECT page_id AS t_ns, '/page/' || page_id % 7 AS entity_path, url AS uri, CAST(page_id % 4096 + 1 AS INTEGER) AS width, CAST(480 AS INTEGER) AS height, 'HTML' AS format, page_id AS {SEQ} FROM pages",
