@@ -78,7 +78,8 @@ class Written(WriterCommitMessage):
 
 
 class IpcWriter(DataSourceArrowWriter):
-    """Tasks write files that readers don't see; commit gives them their names, and abort deletes them."""
+    """Tasks write files that readers don't see; commit gives them their names, and abort deletes them. A task that outlives the
+    abort may leave such a file behind, still unseen."""
 
     def __init__(self, path: str, overwrite: bool):
         self.path, self.overwrite, self.job = path, overwrite, uuid.uuid4().hex
