@@ -59,6 +59,10 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op6_exact_dedup(spark, sf_dir: str) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 of every document, dropped ones too.
+
+    Null text is empty; null ids are kept, repeated rows stay repeated, an empty table has no rows. Other columns aren't read.
+    """
     from tidemark.llm.common import table
 
     return exact_dedup(table(spark, sf_dir, "documents"))

@@ -208,4 +208,9 @@ def simhash_groups(
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint, component_id of every document.
+
+    Null and empty texts have the fingerprint zero and are linked like others; null ids are kept, repeated rows stay repeated, an
+    empty table has no rows. Other columns aren't read.
+    """
     return simhash_groups(table(spark, sf_dir, "documents"))
