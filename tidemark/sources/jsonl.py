@@ -97,7 +97,8 @@ def in_order(text: DataFrame, *, splits_per_span: int = 1000) -> DataFrame:
     these, and joined back; nothing goes through the driver.
     """
     here = ["__file", "__start"]
-    dealt = text.withColumn("__row", F.monotonically_increasing_id()).repartition(*here)
+    tasks = 4 * int(text.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few splits share one; decoding comes after
+    dealt = text.withColumn("__row", F.monotonically_increasing_id()).repartition(tasks, *here)
     # counting the values and placing splits by an aggregate keep Catalyst from reading the text apart for the counts
     splits = dealt.groupBy(*here).agg(F.min("__row").alias("__first"), F.count("value").alias("__n")).withColumn("__all", F.lit(0))
     spanned = with_spans(splits, "__all", [*here, "__first"], splits_per_span)
