@@ -10,7 +10,7 @@ from tidemark.schema import KINDS, RAW, SEQ, columns, schema
 
 # The fields that each kind's payload must have.
 REQUIRED = {k: [c for c in columns(k)[2:] if c != "unit"] for k in KINDS}
-_STRINGS = ["entity_path", "timeline", "component", "payload.kind"]
+_STRINGS = ["entity_path", "timeline", "component"]  # a kind that is none of the known strings is refused anyhow
 _PAYLOAD_STRINGS = ["unit", "uri", "format", "label"]
 _DOUBLES = ["tx", "ty", "tz", "qx", "qy", "qz", "qw", "value"]
 
@@ -37,7 +37,8 @@ def decode(lines: DataFrame, column: str = "value", *, rejects: bool = False) ->
     """
     event, json = F.col("__event"), F.col("__json")
     kind = event["payload"]["kind"]
-    whole = F.try_variant_get(json, "$[0]", "variant").isNotNull() & F.try_variant_get(json, "$[1]", "variant").isNull()
+    alone = F.try_variant_get(json, "$[1]", "variant").isNull()
+    whole = F.try_variant_get(json, "$[0]", "variant").isNotNull() & alone
     typed = F.col("__corrupt").isNull() & event["t_ns"].isNotNull()
     for path in _STRINGS:
         typed &= _is_string(json, path)
@@ -54,20 +55,26 @@ def decode(lines: DataFrame, column: str = "value", *, rejects: bool = False) ->
     points = event["payload"]["points"]
     cloud = F.forall(points, lambda p: p.isNotNull() & (F.size(p) == 3) & F.forall(p, lambda x: x.isNotNull() & _finite(x)))
     good = lambda c: F.coalesce(c, F.lit(False))
-    ok = good(whole & typed & fields & (points.isNull() | cloud))
+    ok = good(typed & fields & (points.isNull() | cloud) & alone)
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__corrupt", "allowNonNumericNumbers": "false"}
     parsed = F.from_json(column, f"{RAW}, __corrupt string", options)
     wrapped = F.try_parse_json(F.concat(F.lit("["), F.col(column), F.lit("]")))
     others = [c for c in lines.columns if c != column]
     known = F.try_variant_get(json, "$[0].payload.kind", "string").isin(*KINDS)
     blank = F.col("__line") == ""
-    out = [*others, F.when(ok, event).alias("event"), blank.alias("blank")]
+    # a projection that isn't deterministic keeps Catalyst from pushing filters on events below it, where each of their terms
+    # would parse the line again
+    kept = F.when(F.col("__ok") & (F.spark_partition_id() >= 0), event)
+    out = [*others, kept.alias("event"), blank.alias("blank")]
     if rejects:
-        why = F.when(blank | F.col("__line").isNull(), None).when(~good(whole), "json").when(~good(known), "kind").when(~ok, "field").when(event["t_ns"] < 0, "time")
+        late = F.when(event["t_ns"] < 0, "time")
+        why = F.when(F.col("__ok"), late).when(blank | F.col("__line").isNull(), None)
+        why = why.when(~good(whole), "json").when(~good(known), "kind").otherwise("field")
         out += [why.alias("reason"), F.when(why.isNotNull(), F.col("__text")).alias("line")]
     return (
         lines.select(*others, F.col(column).alias("__text"), F.trim(column, F.lit(" \t\r\n")).alias("__line"), parsed.alias("__all"), wrapped.alias("__json"))
         .select("*", F.col("__all").dropFields("__corrupt").alias("__event"), F.col("__all.__corrupt").alias("__corrupt"))
+        .select("*", ok.alias("__ok"))
         .select(*out)
     )
 
@@ -111,19 +118,19 @@ def in_order(text: DataFrame, *, splits_per_span: int = 1000) -> DataFrame:
     return numbered.select("value", (F.col("__row") + F.col("__shift")).alias(SEQ), F.col("__file").alias("file"))
 
 
+def field_of(name: str) -> Column:
+    """A column of a kind's table, from ``event``."""
+    if name in ("t_ns", "entity_path"):
+        return F.col(f"event.{name}")
+    if name == "points":
+        return F.transform("event.payload.points", lambda p: F.struct(p[0].alias("x"), p[1].alias("y"), p[2].alias("z")))
+    return F.col(f"event.payload.{name}")
+
+
 def table_of(events: DataFrame, kind: str) -> DataFrame:
     """The rows of one kind in its own columns, with ingest_seq. ``events`` has event and ingest_seq."""
     own = events.where(F.col("event.payload.kind") == kind)
-    out = []
-    for f in schema(kind):
-        if f.name in ("t_ns", "entity_path"):
-            c = F.col(f"event.{f.name}")
-        elif f.name == "points":
-            c = F.transform("event.payload.points", lambda p: F.struct(p[0].alias("x"), p[1].alias("y"), p[2].alias("z")))
-        else:
-            c = F.col(f"event.payload.{f.name}")
-        out.append(c.alias(f.name))
-    return own.select(*out, SEQ)
+    return own.select(*(field_of(f.name).alias(f.name) for f in schema(kind)), SEQ)
 
 
 def write_json_rows(df: DataFrame, path: str) -> None:

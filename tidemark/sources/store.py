@@ -137,6 +137,27 @@ def snapshot_of(spark: SparkSession, tables: dict[str, DataFrame], bucket_ns: in
     return Snapshot(spark, bucket_ns, held)
 
 
+def _rows_of(events: DataFrame) -> DataFrame:
+    """The rows of decoded events, each with its kind and that kind's columns, and what was rejected; a pass over the events
+    whatever the number of kinds."""
+    from tidemark.sources.jsonl import field_of
+
+    event = F.col("event")
+    kind = F.when(event["t_ns"] >= 0, F.when(event["payload"]["kind"].isin(*KINDS), event["payload"]["kind"]))
+    rejects = "reason" in events.columns
+    if rejects:
+        kind = F.coalesce(kind, F.when(F.col("reason").isNotNull(), REJECTED))
+    filed = events.withColumn("kind", kind).where("kind is not null")
+    kept = F.col("kind") != REJECTED
+    out = [F.when(kept, event[c]).alias(c) for c in ("t_ns", "entity_path")]
+    for k in KINDS:
+        out += [F.when(F.col("kind") == k, field_of(c)).alias(c) for c in columns(k)[2:]]
+    if rejects:
+        file = F.col("file") if "file" in events.columns else F.lit(None).cast("string")
+        out += [F.when(~kept, c).alias(n) for n, c in (("file", file), ("reason", F.col("reason")), ("line", F.col("line")))]
+    return filed.select("kind", SEQ, *out)
+
+
 class Store:
     """Append-only tables under a folder. One writer publishes a version at a time; readers never wait."""
 
@@ -176,30 +197,30 @@ class Store:
         ``batch`` is a stream and the number of its micro-batch, which grows; one that was committed before is left out, so
         a repeated micro-batch changes nothing. ``told`` gets what was written.
         """
-        from tidemark.sources.jsonl import table_of
-
         now = self._latest()
-        if batch is not None and batch[1] <= now["done"].get(batch[0], -1):
+        if batch is not None and self._holds(now, batch):
             return now["version"]
-        valid = events.where("event is not null and event.t_ns >= 0")
-        rejects = None
-        if "reason" in events.columns:
-            file = F.col("file") if "file" in events.columns else F.lit(None).cast("string")
-            rejects = events.where("reason is not null").select(SEQ, file.alias("file"), "reason", "line")
-        return self._commit({k: table_of(valid, k) for k in KINDS}, batch, batch_rows, told, rejects)
-
-    def _commit(
-        self, tables: dict[str, DataFrame], batch: tuple[str, int] | None = None, batch_rows: int | None = None,
-        told: list[Flushed] | None = None, rejects: DataFrame | None = None,
-    ) -> int:
-        now, name = self._latest(), uuid.uuid4().hex
+        return self._publish(_rows_of(events), batch, batch_rows, told)
+
+    @staticmethod
+    def _holds(version: dict, batch: tuple[str, int]) -> bool:
+        return batch[1] <= version["done"].get(batch[0], -1)
+
+    def holds(self, batch: tuple[str, int]) -> bool:
+        """Whether a stream's micro-batch has been committed."""
+        return self._holds(self._latest(), batch)
+
+    def _commit(self, tables: dict[str, DataFrame], *, batch_rows: int | None = None) -> int:
         wide = None
         for kind, rows in tables.items():
             rows = rows.select(*columns(kind), SEQ)
             part = rows.select(F.lit(kind).alias("kind"), "t_ns", "entity_path", SEQ, *columns(kind)[2:])
             wide = part if wide is None else wide.unionByName(part, allowMissingColumns=True)
-        if rejects is not None:
-            wide = wide.unionByName(rejects.withColumn("kind", F.lit(REJECTED)), allowMissingColumns=True)
+        return self._publish(wide, None, batch_rows, None)
+
+    def _publish(self, wide: DataFrame, batch: tuple[str, int] | None, batch_rows: int | None, told: list[Flushed] | None) -> int:
+        """Write rows of several kinds, which ``kind`` tells, in one job, and list them in a new version."""
+        now, name = self._latest(), uuid.uuid4().hex
         wide = wide.withColumn(SEQ, F.col(SEQ) + F.lit(now["next_seq"]))
         folder = f"{self.root}/data/{name}"
         wide = wide.sortWithinPartitions("kind", "t_ns", SEQ)
