@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark import schema
 from tidemark.sources import generator, jsonl
+from tidemark.sources import store as stores
 from tidemark.sources.store import Store
 from tidemark.streaming import IngestSummary, cancel, ingest_file, ingest_rows, ingest_stream
 
@@ -129,6 +130,25 @@ def test_batches_have_a_row_cap_and_are_counted_by_kind(spark, tmp_path):
     assert sorted(r[0] for r in store.snapshot().table("Scalar").select("ingest_seq").collect()) == list(range(25))
 
 
+@pytest.mark.parametrize("cap,together", [(10, 1), (10, 60), (7, 100_000), (1000, 1)])
+def test_batches_are_whole_however_many_tasks_read_the_file(spark, tmp_path, monkeypatch, cap, together):
+    monkeypatch.setattr(stores, "ROWS_TOGETHER", together)
+    (tmp_path / "in").mkdir()
+    lines = [j(event(t, SCALAR)) if t % 3 else j(event(t)) if t % 2 else "garbage" for t in range(600)]
+    (tmp_path / "in/a.jsonl").write_text("\n".join(lines))
+    store = Store(spark, f"file://{tmp_path}/s")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5k")
+    try:
+        s = ingest_file(spark, f"{tmp_path}/in", store, batch_rows=cap)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert (s.rows_emitted, s.batches_flushed, s.max_batch_rows) == (500, -(-400 // cap) + -(-100 // cap), min(cap, 400))
+    snap = store.snapshot()
+    for kind, own in (("Scalar", [t for t in range(600) if t % 3]), ("Annotation", [t for t in range(600) if t % 3 == 0 and t % 2])):
+        assert sorted(map(tuple, snap.table(kind).select("t_ns", "ingest_seq").collect())) == [(t, t) for t in own]
+    assert snap.rejects().count() == 100 and store.files.names("drafts") == []
+
+
 def test_a_cancelled_stream_says_so_and_goes_on(spark, tmp_path):
     generator.write_jsonl([event(t) for t in range(5)], f"{tmp_path}/in/0.jsonl")
     store, told = Store(spark, f"file://{tmp_path}/s"), IngestSummary()

@@ -17,6 +17,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.errors import SchemaMismatch, VersionConflict
 from tidemark.functions.time import BUCKET_NS, bucket_of
@@ -28,6 +29,8 @@ from tidemark.schema import BUCKET, KINDS, SEQ, check_kind, check_table, columns
 REJECTED, REJECT_COLUMNS = "Rejected", f"{SEQ} long, file string, reason string, line string"
 #: Commits that a version lists beside its base.
 CHAIN = 64
+#: About how many rows are dealt out together where files have a cap; whole files at least.
+ROWS_TOGETHER = 100_000
 _MANIFEST = "kind string, bucket_start_ns long, rows long, t_min_ns long, t_max_ns long"
 
 
@@ -63,6 +66,9 @@ class Files:
             self.fs.delete(draft, False)
             raise VersionConflict(f"{name} was published by another writer")
 
+    def delete(self, folder: str) -> None:
+        self.fs.delete(self._path(folder), True)
+
 
 @dataclass(frozen=True)
 class Flushed:
@@ -182,7 +188,8 @@ class Store:
         return self._latest()["version"]
 
     def append(self, kind: str, rows: DataFrame, *, batch_rows: int | None = None) -> int:
-        """Append rows of one kind in files of at most ``batch_rows``; no rows make no version. Returns the version."""
+        """Append rows of one kind in files of ``batch_rows``, but for a last one of what is left; no rows make no version.
+        Returns the version."""
         check_table(rows, kind)
         if SEQ not in rows.columns:
             rows = rows.withColumn(SEQ, F.monotonically_increasing_id())
@@ -191,7 +198,7 @@ class Store:
     def append_events(
         self, events: DataFrame, batch: tuple[str, int] | None = None, *, batch_rows: int | None = None, told: list[Flushed] | None = None
     ) -> int:
-        """Append decoded events (event, ingest_seq) of all kinds in one commit, a kind's in files of at most ``batch_rows``.
+        """Append decoded events (event, ingest_seq) of all kinds in one commit, a kind's in files of ``batch_rows`` and one of what is left.
         If they have ``reason`` and ``line``, what was rejected goes to a side table in the same commit.
 
         ``batch`` is a stream and the number of its micro-batch, which grows; one that was committed before is left out, so
@@ -223,8 +230,12 @@ class Store:
         now, name = self._latest(), uuid.uuid4().hex
         wide = wide.withColumn(SEQ, F.col(SEQ) + F.lit(now["next_seq"]))
         folder = f"{self.root}/data/{name}"
+        if batch_rows:
+            wide = self._in_batches(wide, f"drafts/{name}", batch_rows)
         wide = wide.sortWithinPartitions("kind", "t_ns", SEQ)
         wide.write.option("maxRecordsPerFile", batch_rows or 0).partitionBy("kind").parquet(folder)
+        if batch_rows:
+            self.files.delete(f"drafts/{name}")
         kinds = [n.partition("=")[2] for n in self.files.names(f"data/{name}") if n.startswith("kind=")]
         if not kinds and batch is None:
             return now["version"]
@@ -252,6 +263,25 @@ class Store:
         self.files.publish(f"versions/{version:012d}.json", json.dumps(new))
         return version
 
+    def _in_batches(self, wide: DataFrame, draft: str, batch_rows: int) -> DataFrame:
+        """Rows dealt out so that tasks have whole batches of a kind, and only one of them what is left.
+
+        The rows are written once, a file for each kind and task; the counts of these files and a row's place in its own
+        number the rows of a kind without gaps, and no row is read or sorted for that.
+        """
+        folder = f"{self.root}/{draft}"
+        wide.write.partitionBy("kind").parquet(folder)
+        ordered = [*(f for f in wide.schema if f.name != "kind"), wide.schema["kind"]]
+        file = F.col("_metadata.file_path").alias("__file")
+        held = self.spark.read.schema(StructType(ordered)).parquet(folder)
+        counts = held.select("kind", file).groupBy("kind", "__file").agg(F.count(F.lit(1)).alias("__n"))
+        earlier = Window.partitionBy("kind").orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+        begins = counts.select("__file", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__begin"))
+        placed = held.select("*", file, F.col("_metadata.row_index").alias("__at")).join(begins, "__file")
+        together = max(1, ROWS_TOGETHER // batch_rows) * batch_rows
+        tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))  # adaptive execution would go by bytes, and files cost more
+        return placed.repartition(tasks, "kind", F.floor((F.col("__begin") + F.col("__at")) / together)).select(*wide.columns)
+
     def snapshot(self, version: int | None = None) -> Snapshot:
         """The tables of a version (the latest if none is given), pinned to its files."""
         now = self._latest() if version is None else json.loads(self.files.read(f"versions/{version:012d}.json"))

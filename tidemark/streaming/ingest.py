@@ -19,7 +19,7 @@ class IngestSummary:
     """What an ingest did. Malformed lines aren't events and count nowhere; rejected are those of negative time. Both are
     in the store's side table (``Snapshot.rejects``), committed with the rows.
 
-    A batch is a file of one kind: at most ``batch_rows`` rows of what a task has of it, the last one as many as are left.
+    A batch is a file of one kind: ``batch_rows`` rows of it, the last one of a commit as many as are left.
     """
 
     events_received: int = 0
