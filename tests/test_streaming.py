@@ -2,10 +2,11 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from tidemark import operators
-from tidemark.streaming.latest import current_latest, follow_latest
+from tidemark.streaming.latest import current_latest, fewer, follow_latest, latest_changes
 from tidemark.streaming.ranges import follow_range, range_changes
 
 ROW = "t_ns long, entity_path string, ingest_seq long, value double, unit string"
@@ -52,6 +53,26 @@ def test_latest_of_shuffled_batches_with_restarts(spark, dirs):
     assert spark.read.schema(ROW).parquet(out).count() == n  # nothing is told twice
 
 
+@pytest.mark.parametrize("held", [3, 20, 10_000])
+def test_fewer_rows_reach_the_state(spark, held):
+    rows = some_rows(400, 2) + [(5, None, 1000, 2.0, None), (4, None, 1001, None, "V"), (2**62 + 1, "/a", 2**53 + 1, None, None), (2**62, "/a", 2**60, 1.0, "V")]
+    names = [c.split()[0] for c in ROW.split(", ")]
+    types = [pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.string()]
+    cut = [pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 30]), types)], names=names) for k in range(0, len(rows), 30)]
+    left = [tuple(x.values()) for b in fewer("entity_path", held)(iter([*cut, cut[0].slice(0, 0)])) for x in b.to_pylist()]
+    best = {}
+    for x in rows:
+        best[x[1]] = max(x, best.get(x[1], x), key=lambda y: (y[0], y[2]))
+    assert set(best.values()) <= set(left) <= set(rows) and len(left) < len(rows)
+    assert held < 10_000 or sorted(left, key=repr) == sorted(best.values(), key=repr)
+
+
+def test_the_state_gets_what_is_left_of_a_micro_batch(spark, dirs):
+    write(spark, some_rows(10, 3), dirs[0])
+    plan = latest_changes(stream(spark, dirs[0]))._jdf.queryExecution().analyzed().toString()
+    assert plan.index("TransformWithState") < plan.index("MapInArrow") < plan.index("RepartitionByExpression")
+
+
 def test_latest_begins_with_a_snapshot(spark, dirs):
     folder, out, checkpoint = dirs
     before = spark.createDataFrame([(50, "/a", 1, 1.0, "V"), (1, "/b", 2, 2.0, "V")], ROW)
