@@ -2,6 +2,7 @@
 
 import json
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -211,6 +212,25 @@ def test_lines_are_numbered_without_gaps(spark, tmp_path, per_span):
     assert [r["value"] for r in rows] == [f"{f}-{i:05}" for f in range(4) for i in range(300 * f)]
 
 
+@pytest.mark.parametrize("together", [1, 7, 100])
+def test_lines_of_a_split_are_dealt_out_over_tasks(spark, tmp_path, monkeypatch, together):
+    monkeypatch.setattr(jsonl, "LINES_TOGETHER", together)
+    for f in range(2):
+        (tmp_path / f"{f}.txt").write_text("\n".join(f"{f}-{i:05}" for i in range(3000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10k")  # three splits of a file; tasks may hold several
+    try:
+        lines = jsonl.in_order(jsonl.lines_of(spark.read.text(str(tmp_path))))
+        rows = lines.withColumn("task", F.spark_partition_id()).orderBy("ingest_seq").collect()
+        final = lines._jdf.queryExecution()
+        lines.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [(r["ingest_seq"], r["value"]) for r in rows] == list(enumerate(f"{f}-{i:05}" for f in range(2) for i in range(3000)))
+    sizes = Counter(r["task"] for r in rows)
+    assert len(sizes) >= 10 and max(sizes.values()) < 1500
+    assert final.executedPlan().toString().partition("Initial Plan")[0].count("FileScan text") == 1
+
+
 def test_numbering_reads_the_text_once_and_broadcasts_no_places(spark, tmp_path):
     (tmp_path / "a.txt").write_text("x\ny")
     df = jsonl.in_order(jsonl.lines_of(spark.read.text(str(tmp_path))))

@@ -96,19 +96,26 @@ def lines_of(text: DataFrame) -> DataFrame:
     )
 
 
+#: Lines of a split that are dealt out together at most.
+LINES_TOGETHER = 10_000
+
+
 def in_order(text: DataFrame, *, splits_per_span: int = 1000) -> DataFrame:
     """value, ingest_seq, file: lines numbered from 0 in order of (file, place), without gaps.
 
-    A split lies in one task. Lines are dealt out by split once; that shuffle serves both the count of each split's
-    lines and the numbering. The counts are added up in two levels, within spans of about ``splits_per_span`` splits and over
-    these, and joined back; nothing goes through the driver.
+    A split lies in one task. Lines are dealt out once, by blocks of a split, so that the tasks that decode them have as many
+    each; that shuffle serves both the count of each block's lines and the numbering. The counts are added up in two levels,
+    within spans of about ``splits_per_span`` blocks and over these, and joined back; nothing goes through the driver.
     """
-    here = ["__file", "__start"]
-    tasks = 4 * int(text.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few splits share one; decoding comes after
-    dealt = text.withColumn("__row", F.monotonically_increasing_id()).repartition(tasks, *here)
-    # counting the values and placing splits by an aggregate keep Catalyst from reading the text apart for the counts
+    here = ["__file", "__start", "__block"]
+    tasks = 4 * int(text.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = text.withColumn("__row", F.monotonically_increasing_id())
+    at = F.col("__row").bitwiseAND(F.lit((1 << 33) - 1))  # a line's place in its task
+    block = F.coalesce(F.floor(at / LINES_TOGETHER), F.lit(0))  # never null, else the join's filter would part its shuffle from the counts'
+    dealt = rows.withColumn("__block", block).repartition(tasks, *here)
+    # counting the values, and placing blocks by all their columns, keep Catalyst from reading the text apart for the counts
     splits = dealt.groupBy(*here).agg(F.min("__row").alias("__first"), F.count("value").alias("__n")).withColumn("__all", F.lit(0))
-    spanned = with_spans(splits, "__all", [*here, "__first"], splits_per_span)
+    spanned = with_spans(splits, "__all", [*here, "__first", "__n"], splits_per_span)
     before = Window.partitionBy(SPAN).orderBy(*here).rowsBetween(Window.unboundedPreceding, -1)
     earlier = Window.orderBy(SPAN).rowsBetween(Window.unboundedPreceding, -1)  # a row for each span
     tops = spanned.groupBy(SPAN).agg(F.sum("__n").alias("__n")).select(SPAN, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__top"))
