@@ -1,11 +1,12 @@
 import random
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidemark.llm import near_documents as nd
-from tidemark.llm import packing
+from tidemark.llm import common, line_dedup, packing
 from tests.llm.test_lines import brute as brute_lines
 
 SF = "/root/testdata/sf0.01"
@@ -161,3 +162,25 @@ def test_ids_link_no_texts(spark):
     null = sorted(r["text"] or "" for r in nd.keep_first(docs).collect() if r["doc_id"] is None)
     assert got == sorted([(9, b), (7, c + " more"), (3, "same id one"), (3, "same id two"), (1, "alone"), (2, a + " end"), (2, "another")])
     assert null == ["", "only null ids"]
+
+
+def test_texts_are_merged_whatever_is_joined_with_them(spark, monkeypatch):
+    """A broadcast of what is small yet would let shuffles grow by steps, faster than the input."""
+    plans = {}
+
+    def told(df, name, **options):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return common.stored(df, name, **options)
+
+    words = [" ".join(f"w{(i * 7 + k) % 50}" for k in range(12)) for i in range(20)]
+    docs = spark.createDataFrame([(i, f"{w}\nline {i}") for i, w in enumerate(words)], "doc_id long, text string")
+    docs = common.stored(docs, "docs")
+    monkeypatch.setattr(line_dedup, "stored", told)
+    kept = line_dedup.dedup_lines(docs)._jdf.queryExecution().executedPlan().toString()
+    joins = lambda plan: re.findall(r"\w+Join(?= \[)", plan)  # noqa: E731  from the top
+    assert joins(plans["picked-lines"])[0] == joins(kept)[0] == "SortMergeJoin"
+    texts = docs.select(F.col("doc_id").alias("doc"), "text")
+    classes = nd._fingerprints(texts, 5).select("doc", "bytes")
+    near = nd._probable_links(classes, texts, 5, 0.8)._jdf.queryExecution().executedPlan().toString()
+    first = nd.keep_first(docs)._jdf.queryExecution().executedPlan().toString()
+    assert joins(near)[:2] == ["SortMergeJoin"] * 2 and joins(first)[0] == "SortMergeJoin"

@@ -285,7 +285,8 @@ def dedup_lines(
     distinct = lines.groupBy("h1", "h2", "a0", "a1", "z0", "z1").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("n"))
     distinct = stored(distinct, "distinct-lines")
     wanted = stored(_wanted(distinct), "wanted-lines").select(_key().alias("__tm_key"), "__tm_wanted")
-    picked = stored(_pick(base.join(wanted, "__tm_key"), least_words), "picked-lines", compression="zstd")
+    # merged whatever the size: with a few lines less this would be a broadcast, and what is written would grow faster than the input
+    picked = stored(_pick(base.join(wanted.hint("merge"), "__tm_key"), least_words), "picked-lines", compression="zstd")
     near = near_lines(picked, bounds)
     again = distinct.where("n > 1").select("h1", "h2", F.col("doc").alias("first"))
     marked = again.union(near.select("h1", "h2", F.lit(None).cast("long")))
@@ -297,7 +298,7 @@ def dedup_lines(
         .agg(F.collect_set(F.struct("h1", "h2")).alias("__tm_gone"))
         .select(_key("doc").alias("__tm_key"), "__tm_gone")
     )
-    return _without(base.join(gone, "__tm_key", "left"), text_col, docs.columns, kept, dropped, least_words)
+    return _without(base.join(gone.hint("merge"), "__tm_key", "left"), text_col, docs.columns, kept, dropped, least_words)
 
 
 def _without(
